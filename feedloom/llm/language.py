@@ -1,10 +1,13 @@
 """Language identification by compression.
 
 Each language has a zstandard raw-content dictionary: passages of labelled
-documents, laid end to end. A text is cut into segments, every segment is
-encoded with every dictionary, and the language whose encodings are smallest in
-sum is the guess. The margin is the part by which the second smallest sum is
-larger than the smallest; a text is rejected when that is narrow.
+documents, laid end to end. A text is brought to lower case, what isn't a letter
+becomes a space, and it is cut into segments; every segment is encoded with every
+dictionary, and the language whose encodings are smallest in sum is the guess. The
+margin is the part by which the smallest sum is below the second smallest. Where
+it is narrow, which whole bytes make likely for short texts, the tails of the
+first segment from each of its words are encoded, too. A text is rejected when
+the margin then still is narrow.
 
 Dictionaries are fitted on a bounded sample: at most SAMPLE_TEXTS distinct texts
 of a language, those whose hashes are smallest, with PASSAGE_CHARS characters of
@@ -30,10 +33,10 @@ from pyspark.sql import Window as W
 
 from .common import join_small
 
-SAMPLE_TEXTS, PASSAGE_CHARS, SEGMENT_CHARS, LEVEL = 160, 700, 1500, 3
+SAMPLE_TEXTS, PASSAGE_CHARS, SEGMENT_CHARS, LEVEL = 500, 700, 500, 3
 #: Below this margin a text is rejected.
-MARGIN = 0.001
-LETTER = re.compile(r"[^\W\d_]")
+MARGIN = 0.0005
+NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Few labelled languages are expected; each one costs an encoding of every text.
 MOST_LANGUAGES = 1_000
 
@@ -64,10 +67,15 @@ def fit_dictionaries(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int
     """The raw content of each language's dictionary, about texts * chars characters at most."""
     found: dict[str, list[str]] = {}
     for row in passages(labelled, texts, chars).collect():  # bounded by languages * texts * chars
-        found.setdefault(row.lang, []).append(row.passage.lower())
+        found.setdefault(row.lang, []).append(letters(row.passage))
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"{len(found)} languages are labelled; at most {MOST_LANGUAGES} are expected")
-    return {lang: "\n".join(sorted(found[lang])).encode() for lang in sorted(found)}
+    return {lang: "".join(sorted(found[lang])).encode() for lang in sorted(found)}
+
+
+def letters(text: str) -> str:
+    """The words of text in lower case, each with a space before it."""
+    return " " + NO_LETTERS.sub(" ", text.lower()).strip()
 
 
 def encoders(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
@@ -81,12 +89,21 @@ def encoders(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCo
 
 def classify(text: str | None, by_lang: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float]:
     """The language and the margin of a text."""
-    if not text or not by_lang or not LETTER.search(text):
+    low = letters(text or "")
+    if low == " " or not by_lang:
         return "und", 0.0
-    low = text.lower()
+    if len(by_lang) == 1:
+        return by_lang[0][0], 1.0
     parts = [low[i : i + SEGMENT_CHARS].encode() for i in range(0, len(low), SEGMENT_CHARS)]
-    sums = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in by_lang)
-    return sums[0][1], 1.0 - sums[0][0] / sums[1][0] if len(sums) > 1 else 1.0
+    sums = {lang: sum(len(c.compress(p)) for p in parts) for lang, c in by_lang}
+    (best, lang), (second, _) = sorted((n, lang) for lang, n in sums.items())[:2]
+    if best > second * (1 - MARGIN):
+        words = low[:SEGMENT_CHARS].split(" ")
+        tails = [" ".join(["", *words[i:]]).encode() for i in range(2, len(words))]
+        tails += [(" " + w).encode() for w in words]
+        sums = {lang: sums[lang] + sum(len(c.compress(p)) for p in tails) for lang, c in by_lang}
+        (best, lang), (second, _) = sorted((n, lang) for lang, n in sums.items())[:2]
+    return lang, 1.0 - best / second
 
 
 def _classifier(dictionaries: dict[str, bytes]):

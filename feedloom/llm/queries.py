@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .language import fit_dictionaries, identify_languages, remainder
 from .mixing import mix_sources
 
 
@@ -13,12 +14,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder("doc_id", 4) == 2
+    dictionaries = fit_dictionaries(docs.filter(~held_out))
+    return identify_languages(docs, dictionaries).withColumn("held_out", held_out)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).documents().drop("source")
 
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op8_language": op8_language,
     "op10_mix_sources": op10_mix_sources,
 }
 
