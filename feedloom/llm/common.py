@@ -48,6 +48,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_small(left: DataFrame, small: DataFrame, on: Column | Sequence[str], rows: int, how: str = "inner") -> DataFrame:
     """left joined with a table of `rows` counted rows: broadcast up to BROADCAST_ROWS, else shuffled."""
     return left.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)

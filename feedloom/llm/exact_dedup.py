@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1 << 10, 1 << 14, 12
 
@@ -156,11 +156,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
+    its_id, its_sha = fresh(docs, "kept_id"), fresh(docs, "kept_sha")
     stay = (
         exact_duplicates(docs, id_col, text_col)
         .filter("kept")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+        .select(F.col("doc_id").alias(its_id), F.col("text_sha256").alias(its_sha))
         .distinct()
     )
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__sha"))
+    same = F.col(id_col).eqNullSafe(F.col(its_id)) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col(its_sha))
     return docs.join(stay, same, "left_semi")

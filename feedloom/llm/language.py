@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import join_small
+from .common import fresh, join_small
 
 SAMPLE_TEXTS, PASSAGE_CHARS, SEGMENT_CHARS, LEVEL = 500, 700, 500, 3
 #: Below this margin a text is rejected.
@@ -106,14 +106,16 @@ def classify(text: str | None, by_lang: list[tuple[str, zstandard.ZstdCompressor
     return lang, 1.0 - best / second
 
 
-def _classifier(dictionaries: dict[str, bytes]):
+def _classifier(dictionaries: dict[str, bytes], lang_name: str, score_name: str):
+    """Replaces the last column, the text, by its language and score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang = encoders(dictionaries)
         for batch in batches:
-            got = [classify(t, by_lang) for t in batch.column("__text").to_pylist()]
+            got = [classify(t, by_lang) for t in batch.column(batch.num_columns - 1).to_pylist()]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             langs, scores = pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())
-            yield pa.RecordBatch.from_arrays([*kept, langs, scores], [*batch.schema.names[:-1], "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*kept, langs, scores], [*batch.schema.names[:-1], lang_name, score_name])
 
     return run
 
@@ -127,7 +129,7 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col:
     """doc_id, lang_pred, score, rejected of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(_classifier(dictionaries), f"doc_id {kind}, __lang string, __score double")
+    out = rows.mapInArrow(_classifier(dictionaries, "__lang", "__score"), f"doc_id {kind}, __lang string, __score double")
     rejected = (F.col("__lang") == "und") | (F.col("__score") < MARGIN)
     return out.select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), rejected.alias("rejected"))
 
@@ -135,6 +137,7 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col:
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.withColumn("__text", F.col(text_col))
-    out = rows.mapInArrow(_classifier(dictionaries), f"{kinds}, __lang string, __score double")
-    return out.filter((F.col("__lang") != "und") & (F.col("__score") >= MARGIN)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    rows = docs.withColumn(fresh(docs, "text_again"), F.col(text_col))
+    out = rows.mapInArrow(_classifier(dictionaries, lang, score), f"{kinds}, {lang} string, {score} double")
+    return out.filter((F.col(lang) != "und") & (F.col(score) >= MARGIN)).select(*docs.columns)

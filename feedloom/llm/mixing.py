@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, join_small, materialize, prefix_sums
+from .common import WORD, fresh, join_small, materialize, prefix_sums
 
 #: Weights by the order of the sources' names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -239,22 +239,24 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str | N
 
     A row whose document is taken whole keeps its text; of others the taken words
     remain, in their order, with a space between. length_col, where given, becomes the text's length."""
-    base = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
-    mix = mix_sources(base, text_col=text_col, row_col="__row", **how)
+    row, pieces, size, epoch = (fresh(docs, x) for x in ("row", "pieces", "size", "epoch"))
+    base = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    mix = mix_sources(base, text_col=text_col, row_col=row, **how)
+    last = F.array_max(F.transform(pieces, lambda p: p["times"])).cast("int")
     per_doc = (
         mix.taken_pieces()
-        .join(mix.sizes.select("row", F.col("row").alias("__row"), F.col("size").alias("__size")), "row")
-        .groupBy("__row", "__size")
-        .agg(F.sort_array(F.collect_list(F.struct("first_word", "words", "times"))).alias("__pieces"))
-        .withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__pieces", lambda p: p["times"])).cast("int"))))
-        .withColumn("__pieces", F.filter("__pieces", lambda p: p["times"] >= F.col("__epoch")))
+        .join(mix.sizes.select("row", F.col("size").alias("whole")), "row")
+        .groupBy(F.col("row").alias(row), F.col("whole").alias(size))
+        .agg(F.sort_array(F.collect_list(F.struct("first_word", "words", "times"))).alias(pieces))
+        .withColumn(epoch, F.explode(F.sequence(F.lit(1), last)))
+        .withColumn(pieces, F.filter(pieces, lambda p: p["times"] >= F.col(epoch)))
     )
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     part = F.array_join(
-        F.flatten(F.transform("__pieces", lambda p: F.slice(words, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " "
+        F.flatten(F.transform(pieces, lambda p: F.slice(words, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " "
     )
-    whole = F.aggregate("__pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("__size")
-    out = base.join(per_doc, "__row").withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part))
+    whole = F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col(size)
+    out = base.join(per_doc, row).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)
