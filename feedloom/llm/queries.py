@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_duplicates
 from .language import fit_dictionaries, identify_languages, remainder
 from .mixing import mix_sources
+from .pieces import digest_documents
+
+#: Where the public tokenizers' vocabulary files lie.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def piece_model() -> str:
+    return f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +31,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, dictionaries).withColumn("held_out", held_out)
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(documents(spark, sf_dir), piece_model())
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).documents().drop("source")
 
@@ -28,6 +42,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op8_language": op8_language,
+    "op9_pieces": op9_pieces,
     "op10_mix_sources": op10_mix_sources,
 }
 
