@@ -1,5 +1,9 @@
 """Session defaults: UTC, adaptive execution, shuffle partitions that follow the machine."""
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +20,19 @@ def build_session(app: str = "feedloom", master: str | None = None, **conf: str)
         "spark.ui.enabled": "false",
     } | conf
     return builder.config(map=settings).getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python functions find it there
+    wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="feedloom-")) / "feedloom_package"
+    made = shutil.make_archive(str(target), "zip", root_dir=package.parent, base_dir=package.name)
+    spark.sparkContext.addPyFile(made)
