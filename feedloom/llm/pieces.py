@@ -322,27 +322,44 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def digest_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes (the end of the last span): encoded and
-    decoded in one pass, so that the ids themselves need not leave the task."""
+def _digests(c: Codec, texts: list[str | None], with_ids: bool) -> list[pa.Array]:
+    """n_tokens, ids_sha256, decoded_sha256, covered_bytes of texts; with ids before them if asked."""
+    every, out = [], ([], [], [], [])
+    for text in texts:
+        ids, ends = c.encode(text or "")
+        whole = np.concatenate([[c.begin], ids, [c.end]]).astype("<u4")
+        decoded = c.decode(whole).encode()
+        digests = hashlib.sha256(whole.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        for column, value in zip(out, (len(whole), *digests, int(ends[-1]) if len(ends) else 0)):
+            column.append(value)
+        if with_ids:
+            every.append(whole.astype(np.int32))
+    arrays = list(map(pa.array, out, (pa.int64(), pa.string(), pa.string(), pa.int64())))
+    return [_lists(every, pa.int32()), *arrays] if with_ids else arrays
+
+
+def _with_digests(rows: DataFrame, model: str, with_ids: bool) -> DataFrame:
+    """rows with their last column, the text, replaced by what _digests gives."""
+    names = ["ids"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"]
+    types = ["array<int>"] * with_ids + ["bigint", "string", "string", "bigint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for text in batch.column(1).to_pylist():
-                ids, ends = c.encode(text or "")
-                whole = np.concatenate([[c.begin], ids, [c.end]]).astype("<u4")
-                decoded = c.decode(whole).encode()
-                row = len(whole), hashlib.sha256(whole.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), int(ends[-1]) if len(ends) else 0
-                for column, value in zip(out, row):
-                    column.append(value)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names)
+            kept = [batch.column(k) for k in range(batch.num_columns - 1)]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            yield pa.RecordBatch.from_arrays([*kept, *_digests(c, texts, with_ids)], [*batch.schema.names[:-1], *names])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, covered_bytes bigint"
-    )
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(run, ", ".join(kinds + [f"{n} {t}" for n, t in zip(names, types)]))
+
+
+def digest_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes (the end of the last span): encoded and
+    decoded in one pass, so that the ids themselves need not leave the task."""
+    return _with_digests(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, False)
+
+
+def encode_rows(docs: DataFrame, model: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns `keep` of docs, then ids and the columns of digest_documents, for every row."""
+    return _with_digests(docs.select(*keep, F.col(text_col).alias("text")), model, True)
