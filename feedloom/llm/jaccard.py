@@ -40,8 +40,8 @@ from .common import fresh, materialize
 BUCKET, NEIGHBOURS = 64, 4
 #: Counts below this don't move a shingle to the end; at most so many shingles are moved.
 REPEATS, MOVED = 8, 1_000_000
-#: Sets are fetched by a broadcast list of ids up to this length (8 bytes each), beyond it by a shuffle.
-FETCH_BROADCAST = 500_000
+#: Sets are fetched by a broadcast list of ids up to this length (about 60 bytes each), beyond it by a shuffle.
+FETCH_BROADCAST = 300_000
 FLUSH_SHINGLES, CACHE_WORDS = 4_000_000, 400_000
 
 
@@ -128,18 +128,31 @@ def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
 
 
 def _sets(width: int):
+    """cls, sid, text -> cls, shingles, where the text has that set; a task gives a class once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, given = _Words(), set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 200):
-                sets = [shingle_set(t, width, words) for t in texts[i : i + 200]]
-                sids = pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([sids, pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "shingles"])
+            out: list[tuple[int, bytes]] = []
+            for cls, sid, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if cls not in given:
+                    s = shingle_set(text, width, words)
+                    if xxhash.xxh3_128_digest(s) == sid:
+                        given.add(cls)
+                        out.append((cls, s.tobytes()))
+                if len(out) == 200:
+                    yield _set_batch(out)
+                    out = []
+            yield _set_batch(out)
 
     return run
 
 
+def _set_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    arrays = [pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["cls", "shingles"])
+
+
 def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,16 +224,17 @@ class JaccardJoin:
         groups = full.groupBy("gid").agg(F.min("row").alias("g"))
         self.classes = materialize(classes.join(groups, "gid").drop("gid"), "jaccard-classes")
         per_token = W.partitionBy("token")
-        entries = full.select("row", "gid", "n", F.posexplode("prefix").alias("pos", "token"))
+        at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")  # in one number: most rows move only to be found alone
+        entries = full.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
         entries = (
-            entries.select("token", "row", F.struct("n", "pos").alias("at"))
+            entries.select("token", "row", at.alias("at"))
             .withColumn("seen", F.count(F.lit(1)).over(per_token))
             .filter("seen > 1")
         )
         named = full.join(groups, "gid").select("row", "g")
         entries = (
             entries.join(named, "row")
-            .select("token", "g", F.col("at.n").alias("n"), F.col("at.pos").alias("pos"))
+            .select("token", "g", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
             .distinct()
             .withColumn("groups", F.count(F.lit(1)).over(per_token))
             .filter("groups > 1")
@@ -292,13 +306,12 @@ class JaccardJoin:
         pairs = materialize(pairs, "jaccard-pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         needed = materialize(self.classes.join(needed, "cls", "left_semi").select("cls", "sid", "doc_id"), "jaccard-needed")
-        ids = needed.select(F.col("doc_id").alias("its_id")).distinct()
+        wanted = needed.select("cls", "sid", F.col("doc_id").alias("its_id"))
         if needed.count() <= FETCH_BROADCAST:
-            ids = F.broadcast(ids)
-        texts = self.texts.join(ids, F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.width), "sid binary, shingles binary")
-        sets = needed.select("cls", "sid").join(sets, "sid").select("cls", "shingles").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-        sets = materialize(sets, "jaccard-sets")
+            wanted = F.broadcast(wanted)
+        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id"))).select("cls", "sid", "text")
+        sets = texts.mapInArrow(_sets(self.width), "cls long, shingles binary")
+        # both joins deal the sets out by class, so one exchange serves them
         one, two = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
         checked = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verifier(self.percent), "a long, b long")
         return materialize(checked, "jaccard-links")
