@@ -12,6 +12,7 @@ from .jaccard import JaccardJoin
 from .language import fit_dictionaries, identify_languages, remainder
 from .mixing import mix_sources
 from .pieces import digest_documents
+from .quality import quality_scores
 
 #: Where the public tokenizers' vocabulary files lie.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -29,6 +30,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(documents(spark, sf_dir)).components().drop("class_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_scores(documents(spark, sf_dir), labels, ~held_out).withColumn("held_out", held_out)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = remainder("doc_id", 4) == 2
@@ -47,6 +54,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_pieces": op9_pieces,
     "op10_mix_sources": op10_mix_sources,
