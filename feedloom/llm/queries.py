@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .fuzzy import edited_fingerprints
 from .jaccard import JaccardJoin
 from .language import fit_dictionaries, identify_languages, remainder
 from .mixing import mix_sources
@@ -30,6 +31,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(documents(spark, sf_dir)).components().drop("class_id")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 5) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
@@ -54,6 +59,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_pieces": op9_pieces,
