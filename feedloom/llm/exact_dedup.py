@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, sliced
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1 << 10, 1 << 14, 12
 
@@ -65,7 +65,7 @@ def _chunks(data: bytes, hash_bytes: int) -> Iterator[tuple[bytes, bytes]]:
 
 def _recipes(hash_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             shas, recipes = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 data = text or b""
@@ -80,7 +80,7 @@ def _recipes(hash_bytes: int):
 
 def _contents(hash_bytes: int, positions: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows: dict = {"id": [], "pos": [], "h": [], "content": []}
             size = 0
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):

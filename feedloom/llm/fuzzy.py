@@ -30,6 +30,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from .common import sliced
 from pyspark.sql import types as T
 
 WINDOW, LEAST_BLOCK, PIECES, SIGNATURE, RUN = 7, 3, 64, 128, 4
@@ -122,7 +124,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, n_chars, fingerprint of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             arrays = [batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([fingerprint(t.encode()) for t in texts])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_chars", "fingerprint"])
@@ -173,7 +175,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for rng, extra, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = fingerprint(text.encode())

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, materialize
+from .common import fresh, materialize, sliced
 
 #: Groups in a bucket that are paired outright; places in a large bucket's order that meet.
 BUCKET, NEIGHBOURS = 64, 4
@@ -79,7 +79,7 @@ def _repeats(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = _Words(), {}, 0
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, width, words)
                 key = xxhash.xxh3_128_digest(s)
@@ -99,7 +99,7 @@ def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, given = _Words(), set()
-        for batch in batches:
+        for batch in sliced(batches):
             ns, sids, gids, prefixes = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, width, words)
@@ -132,7 +132,7 @@ def _sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, given = _Words(), set()
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple[int, bytes]] = []
             for cls, sid, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if cls not in given:
@@ -155,7 +155,7 @@ def _set_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, join_small
+from .common import fresh, join_small, sliced
 
 SAMPLE_TEXTS, PASSAGE_CHARS, SEGMENT_CHARS, LEVEL = 500, 700, 500, 3
 #: Below this margin a text is rejected.
@@ -111,7 +111,7 @@ def _classifier(dictionaries: dict[str, bytes], lang_name: str, score_name: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang = encoders(dictionaries)
-        for batch in batches:
+        for batch in sliced(batches):
             got = [classify(t, by_lang) for t in batch.column(batch.num_columns - 1).to_pylist()]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             langs, scores = pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())

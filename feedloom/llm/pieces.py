@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -283,7 +285,7 @@ def codec(path: str) -> Codec:
 def _encoder(path: str, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, ends = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 i, e = c.encode(text or "")
@@ -314,7 +316,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [c.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -345,7 +347,7 @@ def _with_digests(rows: DataFrame, model: str, with_ids: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in batches:
+        for batch in sliced(batches):
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             texts = batch.column(batch.num_columns - 1).to_pylist()
             yield pa.RecordBatch.from_arrays([*kept, *_digests(c, texts, with_ids)], [*batch.schema.names[:-1], *names])

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_spread", "alpha", "digit", "mark", "upper", "distinct", "top_word",
@@ -88,7 +88,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, x: the vector of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -136,7 +136,7 @@ def fit(vectors: DataFrame, labels: DataFrame) -> Discriminant:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         size = len(STATISTICS)
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array(batch.column(1).to_pylist(), float).reshape(-1, size)
             y = np.array(batch.column(0).to_pylist(), int)
             for c in (0, 1):
@@ -158,7 +158,7 @@ def score(vectors: DataFrame, model: Discriminant) -> DataFrame:
     """vectors with score in place of x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array(batch.column(1).to_pylist(), float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], ["doc_id", "score"])
 
