@@ -14,6 +14,7 @@ from .language import fit_dictionaries, identify_languages, remainder
 from .mixing import mix_sources
 from .pieces import digest_documents
 from .quality import quality_scores
+from .token_counts import count_tokens
 
 #: Where the public tokenizers' vocabulary files lie.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -31,6 +32,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(documents(spark, sf_dir)).components().drop("class_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), piece_model())
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_token_counts": op4_token_counts,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
