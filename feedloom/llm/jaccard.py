@@ -40,9 +40,10 @@ from .common import fresh, materialize, sliced
 BUCKET, NEIGHBOURS = 64, 4
 #: Counts below this don't move a shingle to the end; at most so many shingles are moved.
 REPEATS, MOVED = 8, 1_000_000
-#: Sets are fetched by a broadcast list of ids up to this length (about 60 bytes each), beyond it by a shuffle.
-FETCH_BROADCAST = 300_000
-FLUSH_SHINGLES, CACHE_WORDS = 4_000_000, 400_000
+#: Sets are fetched by a broadcast list of the places that want them up to this length (about 60 bytes each), beyond it by a shuffle.
+FETCH_BROADCAST = 500_000
+PARTNERS = 256
+FLUSH_SHINGLES, CACHE_WORDS = 2_000_000, 150_000
 
 
 class _Words(dict):
@@ -128,40 +129,46 @@ def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
 
 
 def _sets(width: int):
-    """cls, sid, text -> cls, shingles, where the text has that set; a task gives a class once."""
+    """cls, sid, homes, text -> homes, cls, shingles, where the text has that set; a task gives a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, given = _Words(), set()
         for batch in sliced(batches):
-            out: list[tuple[int, bytes]] = []
-            for cls, sid, text in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, sets = [], []
+            for i, (cls, sid, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)))):
                 if cls not in given:
                     s = shingle_set(text, width, words)
                     if xxhash.xxh3_128_digest(s) == sid:
                         given.add(cls)
-                        out.append((cls, s.tobytes()))
-                if len(out) == 200:
-                    yield _set_batch(out)
-                    out = []
-            yield _set_batch(out)
+                        rows.append(i)
+                        sets.append(s.tobytes())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2).take(at), batch.column(0).take(at), pa.array(sets, pa.binary())], ["homes", "cls", "shingles"]
+            )
 
     return run
 
 
-def _set_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    arrays = [pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, ["cls", "shingles"])
-
-
 def _verifier(percent: int):
+    """a, part, partner, cls, shingles in order -> a, b: the set of a comes first, and its partners after it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, own = None, np.zeros(0, np.uint64)
         for batch in sliced(batches):
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found: list[tuple[int, int]] = []
+            for a, part, partner, cls, data in zip(*(c.to_pylist() for c in batch.columns)):
+                other = np.frombuffer(data, np.uint64)
+                if not partner:
+                    home, own = (a, part), other
+                    continue
+                if home != (a, part):
+                    raise ValueError(f"class {a} has no set")
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    found.append((a, cls))
+            arrays = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
 
     return run
 
@@ -302,18 +309,30 @@ class JaccardJoin:
         return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs of classes whose whole sets are similar enough."""
+        """Those of the pairs of classes whose whole sets are similar enough.
+
+        A set goes to the pairs' first classes, cut into parts of about PARTNERS
+        partners, and there once, whatever the number of pairs."""
         pairs = materialize(pairs, "jaccard-pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        needed = materialize(self.classes.join(needed, "cls", "left_semi").select("cls", "sid", "doc_id"), "jaccard-needed")
-        wanted = needed.select("cls", "sid", F.col("doc_id").alias("its_id"))
-        if needed.count() <= FETCH_BROADCAST:
+        parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+        placed = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+        home = F.struct("a", "part", F.lit(False).alias("partner"))
+        own = placed.select(F.col("a").alias("cls"), home.alias("home")).distinct()
+        partners = placed.select(F.col("b").alias("cls"), F.struct("a", "part", F.lit(True).alias("partner")).alias("home"))
+        homes = own.unionByName(partners).groupBy("cls").agg(F.collect_list("home").alias("homes"))
+        wanted = self.classes.join(homes, "cls").select("cls", "sid", "homes", F.col("doc_id").alias("its_id"))
+        wanted = materialize(wanted, "jaccard-wanted")
+        if wanted.agg(F.coalesce(F.sum(F.size("homes")), F.lit(0))).first()[0] <= FETCH_BROADCAST:
             wanted = F.broadcast(wanted)
-        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id"))).select("cls", "sid", "text")
-        sets = texts.mapInArrow(_sets(self.width), "cls long, shingles binary")
-        # both joins deal the sets out by class, so one exchange serves them
-        one, two = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-        checked = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verifier(self.percent), "a long, b long")
+        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id"))).select("cls", "sid", "homes", "text")
+        sets = texts.mapInArrow(_sets(self.width), "homes array<struct<a:long,part:long,partner:boolean>>, cls long, shingles binary")
+        sent = sets.select(F.explode("homes").alias("home"), "cls", "shingles").select("home.*", "cls", "shingles")
+        checked = (
+            sent.repartition("a", "part")
+            .sortWithinPartitions("a", "part", "partner")
+            .mapInArrow(_verifier(self.percent), "a long, b long")
+            .distinct()
+        )
         return materialize(checked, "jaccard-links")
 
     def links(self) -> DataFrame:
