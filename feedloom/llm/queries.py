@@ -14,6 +14,7 @@ from .language import fit_dictionaries, identify_languages, remainder
 from .mixing import mix_sources
 from .pieces import digest_documents
 from .quality import quality_scores
+from .suffix_tree_lm import SuffixTreeModel
 from .token_counts import count_tokens
 
 #: Where the public tokenizers' vocabulary files lie.
@@ -24,6 +25,10 @@ def piece_model() -> str:
     return f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SuffixTreeModel(documents(spark, sf_dir), remainder("doc_id", 10) == 0).score()
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -62,6 +67,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
