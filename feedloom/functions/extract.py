@@ -1,0 +1,51 @@
+"""The readable blocks of a page, by a small parser for use inside Spark functions."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+BLOCKS = {"h1", "h2", "h3", "p", "li", "blockquote", "pre"}
+SKIPPED = {"nav", "aside", "footer", "script", "style", "header", "form"}
+
+
+class _Reader(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.skip, self.tag, self.parts, self.out = 0, None, [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SKIPPED:
+            self.close_block()
+            self.skip += 1
+        elif tag in BLOCKS and not self.skip:
+            self.close_block()
+            self.tag = tag
+
+    def handle_endtag(self, tag):
+        if tag in SKIPPED:
+            self.skip = max(0, self.skip - 1)
+        elif tag == self.tag:
+            self.close_block()
+
+    def handle_data(self, data):
+        if self.tag and not self.skip:
+            self.parts.append(data)
+
+    def close_block(self):
+        body = " ".join("".join(self.parts).split())
+        if self.tag and body:
+            self.out.append((self.tag, body))
+        self.tag, self.parts = None, []
+
+
+def article_blocks(page: str) -> list[tuple[str, str]]:
+    """(tag, text) of headings and paragraphs in order, without headings that nothing follows."""
+    reader = _Reader()
+    reader.feed(page)
+    reader.close()
+    reader.close_block()
+    kept: list[tuple[str, str]] = []
+    for tag, body in reversed(reader.out):
+        if tag[0] != "h" or (kept and kept[-1][0][0] != "h"):
+            kept.append((tag, body))
+    return kept[::-1]

@@ -1,4 +1,8 @@
 """All queries of the library's own operators, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from feedloom.plans import feedback_queries, ranking_queries, text_queries
+
+QUERIES = text_queries.QUERIES | ranking_queries.QUERIES | feedback_queries.QUERIES
+ORACLE_SQL = text_queries.ORACLE_SQL | ranking_queries.ORACLE_SQL | feedback_queries.ORACLE_SQL
