@@ -14,6 +14,7 @@ from .language import fit_dictionaries, identify_languages, remainder
 from .mixing import mix_sources
 from .pieces import digest_documents
 from .quality import quality_scores
+from .suffix_dedup import repeated_spans
 from .suffix_tree_lm import SuffixTreeModel
 from .token_counts import count_tokens
 
@@ -41,6 +42,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), piece_model())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir)).drop("spans")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
