@@ -25,6 +25,18 @@ def build_session(app: str = "feedloom", master: str | None = None, **conf: str)
 _SHIPPED: set[str] = set()
 
 
+#: Rows of a batch between Spark and Python: texts are long, and the default of 10,000 holds 34 MB of them at once.
+BATCH_ROWS = "1000"
+
+
+def ready(spark: SparkSession) -> None:
+    """Ship the package and, unless the session says otherwise, keep batches for Python small."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, so that Python functions find it there
     wherever the driver was started."""
