@@ -11,31 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm import common, exact_dedup, jaccard, language, mixing, pieces
 from feedloom.llm.queries import piece_model
+from feedloom.session import ready
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected; dictionaries are fitted on labelled rows whose remainder isn't 2."""
+    ready(spark)
     dictionaries = language.fit_dictionaries(docs.filter(language.remainder("doc_id", 4) != 2))
     return language.keep_identified(docs, dictionaries)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
+    ready(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates that links connect, the document with the smallest id."""
+    ready(spark)
     return jaccard.keep_one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each document and epoch, with the words that the mix takes."""
+    ready(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids, byte spans and digests of every row's text, with its document's id, language and source."""
+    ready(spark)
     return pieces.encode_rows(docs, piece_model(), ["doc_id", "lang", "source", "n_chars"])
 
 

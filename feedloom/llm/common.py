@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -50,11 +53,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about `size` bytes: what Python makes of a slice is several times larger."""
+    """The batches in slices of about `size` bytes: what Python makes of a slice is several times larger.
+
+    At either end the worker, which serves many tasks, gives back what it no longer needs."""
+    release()
     for batch in batches:
         step = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    release()
+
+
+def release() -> None:
+    """Hand free memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fresh(df: DataFrame, name: str) -> str:

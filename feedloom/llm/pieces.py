@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import release, sliced
 
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts of at most so many characters are kept, in two generations of at most so many each.
-KEPT_CHARS, KEPT_PARTS = 48, 200_000
+KEPT_CHARS, KEPT_PARTS = 48, 120_000
 
 
 class CharacterMap:
@@ -154,6 +154,9 @@ class Codec:
         self.new: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
     def part(self, text: str) -> tuple[bytes, bytes]:
         """Ids, and lengths in bytes of the normalised text, of a part; both as 32-bit integers."""
         got = self.new.get(text) or self.old.get(text)
@@ -295,6 +298,8 @@ def _encoder(path: str, spans: bool):
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             names = [*batch.schema.names[:-1], "ids", "ends"][: len(kept) + len(arrays)]
             yield pa.RecordBatch.from_arrays([*kept, *arrays], names)
+        c.forget()
+        release()
 
     return run
 
@@ -351,6 +356,8 @@ def _with_digests(rows: DataFrame, model: str, with_ids: bool) -> DataFrame:
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             texts = batch.column(batch.num_columns - 1).to_pylist()
             yield pa.RecordBatch.from_arrays([*kept, *_digests(c, texts, with_ids)], [*batch.schema.names[:-1], *names])
+        c.forget()
+        release()
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     return rows.mapInArrow(run, ", ".join(kinds + [f"{n} {t}" for n, t in zip(names, types)]))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import release, sliced
 
 NODES, LONG, SHIFT = 500_000, 64, 2.7
 
@@ -130,6 +130,8 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             columns = list(zip(*map(t.tokens, batch.column(1).to_pylist())))
             arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_words", "n_tokens", "score"])
+        t.clear()
+        release()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
