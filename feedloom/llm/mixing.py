@@ -252,9 +252,13 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str | N
         .withColumn(pieces, F.filter(pieces, lambda p: p["times"] >= F.col(epoch)))
     )
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    part = F.array_join(
-        F.flatten(F.transform(pieces, lambda p: F.slice(words, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " "
-    )
+    # an array of one, so that the words are found once for all pieces
+    part = F.transform(
+        F.array(words),
+        lambda w: F.array_join(
+            F.flatten(F.transform(pieces, lambda p: F.slice(w, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " "
+        ),
+    )[0]
     whole = F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col(size)
     out = base.join(per_doc, row).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part))
     if length_col in docs.columns:
