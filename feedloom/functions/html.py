@@ -34,3 +34,14 @@ def anchors(html: Column) -> Column:
     tag = '<a href="([^"]*)">([^<]*)</a>'
     urls, texts = F.regexp_extract_all(html, F.lit(tag), F.lit(1)), F.regexp_extract_all(html, F.lit(tag), F.lit(2))
     return F.zip_with(urls, texts, lambda u, t: F.struct(u.alias("url"), strip_html(t).alias("text")))
+
+
+def meta(html: Column, *keys: str) -> Column:
+    """The first non-empty content of a page's meta tags with these keys, in the order of the keys."""
+    found = [F.nullif(F.regexp_extract(html, f'<meta (?:name|property)="{k}" content="([^"]*)"', 1), F.lit("")) for k in keys]
+    return F.coalesce(*found)
+
+
+def first_image(html: Column) -> Column:
+    """The first absolute image address, or null."""
+    return F.nullif(F.regexp_extract(html, '<img[^>]* src="(https?://[^"]+)"', 1), F.lit(""))
