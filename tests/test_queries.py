@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import text, url, vector
-from feedloom.operators import feedback, latest, ranking, similarity
+from feedloom.operators import feedback, latest, ranking, similarity, state
 from feedloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -108,3 +108,8 @@ def test_language_and_prose_gates(spark):
     german = "der Hund und die Katze sind nicht mit dem Ball auf der Wiese"
     row = spark.createDataFrame([(german, "the cat and the dog is on it for this", "kurz")], "a string, b string, c string")
     assert tuple(row.select(*[text.detect_lang(F.col(c)) for c in "abc"]).first()) == ("de", "en", None)
+
+
+@pytest.mark.parametrize(("given", "want"), [((30, True, True), (21, 9)), ((30, False, True), (30, 0)), ((30, True, False), (0, 30)), ((1, True, True), (1, 0)), ((5, False, False), (0, 0))])
+def test_places_of_a_feed(given, want):
+    assert state.slots(*given) == want
