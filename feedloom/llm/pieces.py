@@ -136,6 +136,7 @@ class Codec:
         self.strip_first = spec.add_dummy_prefix or spec.remove_extra_whitespaces
         self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.known = {p: (i, len(p.encode())) for p, i in self.ids.items()}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.bytes = {i: int(p.piece[3:5], 16) for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.byte_ids = {b: i for i, b in self.bytes.items()} if model.trainer_spec.byte_fallback else {}
@@ -163,30 +164,41 @@ class Codec:
         if got is None:
             cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs]
             if cuts and len(cuts) < len(text) - 1:
-                halves = [self.part(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
-                got = b"".join(x for x, _ in halves), b"".join(x for _, x in halves)
+                halves = [self._between_cuts(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+                got = b"".join([x for x, _ in halves]), b"".join([x for _, x in halves])
             else:
                 got = self._numbers(merge(text, self.scores))
+        self._keep(text, got)
+        return got
+
+    def _between_cuts(self, text: str) -> tuple[bytes, bytes]:
+        """The same of a text in which every two neighbours occur in some piece."""
+        got = self.new.get(text) or self.old.get(text) or self._numbers(merge(text, self.scores))
+        self._keep(text, got)
+        return got
+
+    def _keep(self, text: str, got: tuple[bytes, bytes]) -> None:
         if len(text) <= KEPT_CHARS:
             if len(self.new) >= KEPT_PARTS:
                 self.new, self.old = {}, self.new
             self.new[text] = got
-        return got
 
     def _numbers(self, pieces: list[str]) -> tuple[bytes, bytes]:
         ids, lengths = [], []
         for p in pieces:
-            known, size = self.ids.get(p), len(p.encode())
+            known = self.known.get(p)
             if known is not None:
-                ids.append(known)
-                lengths.append(size)
+                ids.append(known[0])
+                lengths.append(known[1])
             elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in p.encode()]
-                lengths += [0] * (size - 1) + [size]  # the character's last byte carries its span
+                data = p.encode()
+                ids += [self.byte_ids[b] for b in data]
+                lengths += [0] * (len(data) - 1) + [len(data)]  # the character's last byte carries its span
             else:
                 ids.append(self.unknown)
-                lengths.append(size)
-        return np.array(ids, "<u4").tobytes(), np.array(lengths, "<u4").tobytes()
+                lengths.append(len(p.encode()))
+        form = f"<{len(ids)}I"
+        return struct.pack(form, *ids), struct.pack(form, *lengths)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids without begin and end, and for each the end of its byte span; the spans of a text follow one another."""
