@@ -72,6 +72,12 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def forget(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of finished steps now: its cleaner waits for the driver to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it."""
     taken = {c.lower() for c in df.columns}

@@ -1,25 +1,28 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Tokens are words in ASCII lower case and one end per text. The tree predicts
-symbols: a word that makes up SYMBOL_SHARE of all training tokens is one, the others
-share a symbol by their last two characters where that makes up as much, and the
-rest, with every word that training lacks, share one. A symbol's probability is that
-of its words, so a text's score is its unigram score plus, for each token, the
-logarithm of what the context changes for the token's symbol.
+symbols: a word seen SYMBOL_COUNT times in training is one, the others share a symbol
+by their last two characters where those are seen as often, and the rest, with every
+word that training lacks, share one. A symbol's probability is that of its words, so
+a text's score is its unigram score plus, for each token, the logarithm of what the
+context changes for the token's symbol.
 
 Contexts grow from the newest symbol backwards. One of length k+1 is counted where
-its newest k symbols are in the tree and it makes up CONTEXT_SHARE of the tokens; it
-is retained if its next symbols diverge enough from those after its suffix. Next
-symbols seen often have a probability of their own, drawn towards the suffix's, and
-what is left goes to the others in the suffix's proportions. A token is scored in
-the longest retained context that is a suffix of what precedes it.
-
-Texts become blocks first, in each of which words are numbered; blocks are written
-once, and every later pass reads those. The counts of all words are exact: each
-block sends its words with their counts, Spark adds them up by word, and every block
-gets the totals of its words back. All counts come from all training rows. What is
-broadcast is bounded by the shares: at most 1/share symbols, and per length
-1/CONTEXT_SHARE contexts and 1/ENTRY_SHARE next symbols.
+its newest k symbols are in the tree and it is seen CONTEXT_COUNT times; it is
+retained if its next symbols diverge enough from those after its suffix. Next symbols
+seen ENTRY_COUNT times have a probability of their own, drawn towards the suffix's,
+and what is left goes to the others in the suffix's proportions. A token is scored in
+the longest retained context that is a suffix of what precedes it. The counts are
+absolute, so the tree grows with the text; in small tables, where a share of all
+tokens comes to less than a count, the share takes its place.
+
+Texts become blocks first, in each of which words, and later symbols and contexts,
+are numbered. The counts of all words are exact: each block sends its words with
+their counts, Spark adds them up by word, and every block gets the totals and symbols
+of its words back. In the same way each level sends a block's contexts and what
+follows them, and gets back those that are retained with what they change. Symbols,
+contexts and next symbols are tables in the shared folder; nothing of them reaches
+the driver or is broadcast for its own sake.
 
 Defined results: null counts as the empty text, whose one token is the end; without
 training tokens every probability is 1; rows and ids may repeat.
@@ -38,14 +41,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, sliced
+from .common import forget, join_small, materialize, sliced
 
 BLOCK_TOKENS = 2_000_000
 SYMBOL_SHARE, CONTEXT_SHARE, ENTRY_SHARE = 5e-5, 5e-5, 2e-6
+SYMBOL_COUNT, CONTEXT_COUNT, ENTRY_COUNT = 256, 256, 8
 DEPTH, DRAW, DIVERGENCE = 3, 30.0, 0.01
 ADD = 0.1
 #: Symbols: what stands before a text, the rest, the end; others follow. A text's end is the empty word.
 BEFORE, REST, END, FIRST_SYMBOL = 0, 1, 2, 3
+#: The context of length 0.
+ROOT = -1
 
 
 class _Numbers(dict):
@@ -54,6 +60,21 @@ class _Numbers(dict):
         return value
 
 
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder, without the shuffles that made it: those of all levels would be several times the input."""
+    out = materialize(df, tag)
+    forget(df.sparkSession)
+    return out
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype("<i4").tobytes(), 3)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<i4").astype(np.int64)
+
+
 def _blocks(id_type: pa.DataType):
     """doc_id, held_out, text -> block rows. Number 0 of a block's words is the end."""
 
@@ -70,7 +91,7 @@ def _blocks(id_type: pa.DataType):
                 pa.array([lengths.tolist()], pa.list_(pa.int64())),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array([w.decode() for w in words])),
                 pa.ListArray.from_arrays(pa.array([0, len(train)], pa.int32()), pa.array(train.astype(np.int64))),
-                pa.array([zstandard.compress(ids.astype("<i4").tobytes(), 3)], pa.binary()),
+                pa.array([_packed(ids)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(arrays, ["docs", "held", "lengths", "words", "train", "ids"])
 
@@ -103,12 +124,11 @@ class Level:
 
 @dataclass
 class SuffixTree:
-    """symbols: word or "~" and an ending -> symbol; root: each symbol's probability."""
+    """A whole tree in memory, with symbols and contexts numbered densely; root: each symbol's probability."""
 
-    symbols: dict[str, int]
+    words: dict[str, int]
+    endings: dict[str, int]
     root: np.ndarray
-    total: int
-    distinct: int
     levels: list[Level] = field(default_factory=list)
 
     @property
@@ -116,29 +136,8 @@ class SuffixTree:
         return len(self.root)
 
     def symbol(self, word: str) -> int:
-        own = self.symbols.get(word)
-        return own if own is not None else self.symbols.get("~" + word[-2:], REST)
-
-    def chances(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The probability of every symbol of texts laid end to end, and its place, or -1, in the contexts of each level."""
-        p = self.root[symbols]
-        place, places = np.zeros(len(symbols), np.int64), []
-        for k, level in enumerate(self.levels, 1):
-            place = locate(level.keys, self.keys_at(symbols, starts, k, place))
-            entry = locate(level.entries, np.where(place >= 0, place * self.size + symbols, -1))
-            if len(level.keys):
-                passed = level.left[np.maximum(place, 0)] * p
-                p = np.where(place < 0, p, np.where(entry >= 0, level.chances[np.maximum(entry, 0)] if len(level.chances) else p, passed))
-            places.append(place)
-        return p, places
-
-    def keys_at(self, symbols: np.ndarray, starts: np.ndarray, k: int, place: np.ndarray) -> np.ndarray:
-        """The key of the context of length k before every token; -1 where there is none."""
-        older = np.full(len(symbols), BEFORE, np.int64)
-        older[k:] = symbols[: len(symbols) - k] if k < len(symbols) else older[k:]
-        since = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.append(starts, len(symbols))))
-        older = np.where(since >= k, older, BEFORE)
-        return np.where((since >= k - 1) & (place >= 0), place * self.size + older, -1)
+        own = self.words.get(word)
+        return own if own is not None else self.endings.get(word[-2:], REST)
 
 
 def locate(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -149,46 +148,124 @@ def locate(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _symbols_of(tree: SuffixTree, words: list[str]) -> np.ndarray:
-    return np.array([END if not w else tree.symbol(w) for w in words], np.int64)
+class _Block:
+    """A row of the state, and the contexts of length k that it holds: `found` has their keys, `at` each token's place among them, or -1."""
+
+    def __init__(self, state: pa.Table | pa.RecordBatch, row: int, k: int):
+        self.symbols = state.column("symbols")[row].values.to_numpy()
+        self.contexts = state.column("contexts")[row].values.to_numpy()
+        self.ids = _unpacked(state.column("ids")[row].as_py())
+        lengths = state.column("lengths")[row].values.to_numpy()
+        self.train = np.repeat(~np.array(state.column("held")[row].as_py(), bool), lengths)
+        self.starts = np.cumsum(lengths) - lengths
+        self.size = len(self.symbols)
+        place = _unpacked(state.column("places")[row].as_py())
+        since = np.arange(len(self.ids)) - np.repeat(self.starts, lengths)
+        older = np.zeros(len(self.ids), np.int64)
+        older[k:] = self.ids[:-k]
+        older[since < k] = 0  # a block's symbol 0 is BEFORE
+        keys = np.where((since >= k - 1) & (place >= 0), place * self.size + older, -1)
+        found, at = np.unique(keys, return_inverse=True)
+        none = int(found[0] < 0)
+        self.found, self.at = found[none:], at - none
+
+
+STATE = ["block", "docs", "held", "lengths", "known", "base", "gain", "symbols", "ids", "contexts", "places"]
+
+
+def _with_symbols(total: int, distinct: int):
+    """A block and block, number, c, symbol of its words -> the state before the first level."""
+
+    def run(block: pa.Table, words: pa.Table) -> pa.Table:
+        number = words.column("number").to_numpy()
+        c, symbol = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        c[number], symbol[number] = words.column("c").to_numpy(), words.column("symbol").to_numpy()
+        symbols, own = np.unique(symbol, return_inverse=True)
+        ids = _unpacked(block.column("ids")[0].as_py())
+        lengths = block.column("lengths")[0].values.to_numpy()
+        starts = np.cumsum(lengths) - lengths
+        base = np.log10((c + ADD) / (total + ADD * (distinct + 1))) if total else np.zeros(len(c))
+        row = {
+            "known": np.add.reduceat((c[ids] > 0).astype(np.int64), starts),
+            "base": np.add.reduceat(base[ids], starts),
+            "gain": np.zeros(len(lengths)),
+            "symbols": np.concatenate([[BEFORE], symbols]),
+            "ids": _packed(own[ids] + 1),
+            "contexts": np.array([ROOT], np.int64),
+            "places": _packed(np.zeros(len(ids))),
+        }
+        return pa.Table.from_arrays([pa.array([row[n]]) if n in row else block.column(n) for n in STATE], STATE)
+
+    return run
 
 
-def _counts(tree: SuffixTree, candidates: np.ndarray):
-    """words, held, lengths, ids -> key of a candidate context, next symbol, n; from training texts."""
+def _seen(k: int):
+    """The state -> block, number, parent, older, n: every context of length k in a block, and how often training has it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words, held, lengths, packed = (batch.column(i)[row] for i in range(4))
-                ids = np.frombuffer(zstandard.decompress(packed.as_py()), "<i4")
-                train = ~np.array(held.as_py(), bool)
-                lengths = np.array(lengths.as_py(), np.int64)
-                ids, lengths = ids[np.repeat(train, lengths)], lengths[train]
-                if not len(ids):
-                    continue
-                symbols = _symbols_of(tree, words.as_py())[ids]
-                starts = np.cumsum(lengths) - lengths
-                k = len(tree.levels) + 1
-                places = tree.chances(symbols, starts)[1]
-                keys = tree.keys_at(symbols, starts, k, places[-1] if places else np.zeros(len(symbols), np.int64))
-                if len(candidates):
-                    keys = np.where(locate(candidates, keys) >= 0, keys, -1)
-                packed_keys, n = np.unique(keys[keys >= 0] * tree.size + symbols[keys >= 0], return_counts=True)
-                arrays = [pa.array(packed_keys // tree.size), pa.array(packed_keys % tree.size), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "symbol", "n"])
+                b = _Block(batch, row, k)
+                n = np.bincount(b.at[(b.at >= 0) & b.train], minlength=len(b.found))
+                arrays = [
+                    pa.array(np.full(len(n), batch.column("block")[row].as_py(), np.int64)),
+                    pa.array(np.arange(len(n))),
+                    pa.array(b.contexts[b.found // b.size] if len(n) else b.found),
+                    pa.array(b.symbols[b.found % b.size]),
+                    pa.array(n),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "number", "parent", "older", "n"])
 
     return run
 
 
-def _candidates(tree: SuffixTree):
-    """The same rows -> key, n: how often each context of the next length comes up."""
-    inner = _counts(tree, np.zeros(0, np.int64))
+def _after(k: int):
+    """A block's state and number, ctx, parent of its candidates -> block, code, ctx, parent, symbol, n: what follows them there."""
+
+    def run(state: pa.Table, candidates: pa.Table) -> pa.Table:
+        b = _Block(state, 0, k)
+        which = np.full(len(b.found) + 1, -1, np.int64)  # the last is for tokens without a context
+        which[candidates.column("number").to_numpy()] = np.arange(candidates.num_rows)
+        on = which[b.at] >= 0
+        codes, at = np.unique(b.at[on] * b.size + b.ids[on], return_inverse=True)
+        n = np.bincount(at[b.train[on]], minlength=len(codes))
+        its = which[codes // b.size]
+        return pa.table(
+            {
+                "block": np.full(len(codes), state.column("block")[0].as_py(), np.int64),
+                "code": codes,
+                "ctx": candidates.column("ctx").to_numpy()[its],
+                "parent": candidates.column("parent").to_numpy()[its],
+                "symbol": b.symbols[codes % b.size],
+                "n": n,
+            }
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in inner(batches):
-            keys, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            n = np.bincount(at, weights=batch.column(2).to_numpy(), minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+    return run
+
+
+def _with_level(k: int):
+    """A block's state and code, ctx, x of what the level retains there -> its next state.
+
+    With ctx the code is a context's number and x what its unlisted symbols gain; without, code and x are of a listed symbol."""
+
+    def run(state: pa.Table, kept: pa.Table) -> pa.Table:
+        b = _Block(state, 0, k)
+        code, x = kept.column("code").to_numpy(), kept.column("x").to_numpy()
+        context = kept.column("ctx").is_valid().to_numpy()
+        which = np.full(len(b.found) + 1, -1, np.int64)
+        which[code[context]] = np.arange(int(context.sum()))
+        places = which[b.at]
+        gain = np.where(places >= 0, np.append(x[context], 0.0)[places], 0.0)
+        order = np.argsort(code[~context])
+        listed = locate(code[~context][order], np.where(places >= 0, b.at * b.size + b.ids, -1))
+        gain = np.where(listed >= 0, np.append(x[~context][order], 0.0)[listed], gain)
+        row = {
+            "gain": state.column("gain")[0].values.to_numpy() + np.add.reduceat(gain, b.starts),
+            "contexts": kept.column("ctx").filter(kept.column("ctx").is_valid()).to_numpy(),
+            "places": _packed(places),
+        }
+        return pa.Table.from_arrays([pa.array([row[n]]) if n in row else state.column(n) for n in STATE], STATE)
 
     return run
 
@@ -198,148 +275,160 @@ class SuffixTreeModel:
 
     def __init__(self, docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text"):
         rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-        self.id_kind = rows.schema["doc_id"].dataType.simpleString()
-        self.spark = docs.sparkSession
+        id_kind = rows.schema["doc_id"].dataType.simpleString()
         from pyspark.sql.pandas.types import to_arrow_type
 
         blocks = rows.mapInArrow(
             _blocks(to_arrow_type(rows.schema["doc_id"].dataType)),
-            f"docs array<{self.id_kind}>, held array<boolean>, lengths array<long>, words array<string>, train array<long>, ids binary",
+            f"docs array<{id_kind}>, held array<boolean>, lengths array<long>, words array<string>, train array<long>, ids binary",
         )
-        self.blocks = materialize(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "lm-blocks")
+        self.blocks = _written(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "lm-blocks")
+        self.kinds = (
+            f"block long, docs array<{id_kind}>, held array<boolean>, lengths array<long>, known array<long>, base array<double>, "
+            "gain array<double>, symbols array<long>, ids binary, contexts array<long>, places binary"
+        )
+        tokens = F.aggregate("train", F.lit(0).cast("long"), lambda a, b: a + b)
+        self.total = self.blocks.agg(F.coalesce(F.sum(tokens), F.lit(0))).first()[0]
+        self.levels: list[tuple[DataFrame, DataFrame]] = []
+        self.state = self._symbols()
+        if self.total:
+            for _ in range(DEPTH):
+                if not self._grow():
+                    break
+
+    def _least(self, count: int, share: float) -> float:
+        return min(count, share * self.total)
+
+    def _symbols(self) -> DataFrame:
+        """The state before the first level; self.totals, endings and symbols (symbol, m, q: its count and probability)."""
+        least = self._least(SYMBOL_COUNT, SYMBOL_SHARE)
         numbered = self.blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("number", "x"))
         same = W.partitionBy("word")
         totals = (
             numbered.select("block", "number", F.col("x.words").alias("word"), F.col("x.train").alias("n"))
+            .withColumn("id", F.monotonically_increasing_id() + FIRST_SYMBOL)
             .withColumn("c", F.sum("n").over(same))
-            .withColumn("word", F.when(F.row_number().over(same.orderBy("block")) == 1, F.col("word")))
-            .select("block", "number", "c", "word")
+            .withColumn("first", F.col("id") == F.min("id").over(same))
+            .withColumn("id", F.min("id").over(same))
         )
-        self.totals = materialize(totals, "lm-totals")
-        self.tree = self._symbols()
-        if self.tree.total:
-            for _ in range(DEPTH):
-                if not self._grow():
-                    break
-
-    def _symbols(self) -> SuffixTree:
-        known = self.totals.filter("word is not null and c > 0").select("word", "c")
-        total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-        if not total:
-            return SuffixTree({}, np.ones(FIRST_SYMBOL), 0, 0)
-        least = SYMBOL_SHARE * total
-        whole = total + ADD * (distinct + 1)
-        common = known.filter((F.col("c") >= least) & (F.col("word") != "")).collect()  # at most 1 / SYMBOL_SHARE
-        rare = known.filter((F.col("c") < least) & (F.col("word") != ""))
-        endings = rare.groupBy(F.substring("word", -2, 2).alias("ending")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"))
-        shared = endings.filter(F.col("c") >= least).collect()  # at most 1 / SYMBOL_SHARE
+        rare = (F.col("word") != "") & (F.col("c") > 0) & (F.col("c") < least)
+        totals = totals.withColumn("ending", F.when(rare, F.substring("word", -2, 2))).withColumn("word", F.when(F.col("first"), F.col("word")))
+        self.totals = _written(totals, "lm-totals")
+        known = self.totals.filter("first and c > 0")
+        self.words = known.filter((F.col("c") >= least) & (F.col("word") != ""))
+        self.endings = _written(
+            known.filter("ending is not null")
+            .groupBy("ending")
+            .agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"), F.min("id").alias("shared"))
+            .filter(F.col("c") >= least),
+            "lm-endings",
+        )
+        distinct = known.count()
+        whole = self.total + ADD * (distinct + 1)
+        own = self.words.select(F.col("id").alias("symbol"), F.col("c").alias("m"), (F.col("c") + ADD).alias("mass"))
+        own = own.unionByName(self.endings.select(F.col("shared").alias("symbol"), F.col("c").alias("m"), (F.col("c") + ADD * F.col("k")).alias("mass")))
         end = known.filter("word = ''").first()
-        symbols: dict[str, int] = {}
-        root = [0.0, 0.0, ((end.c if end else 0) + ADD) / whole]
-        for word, mass in [(r.word, r.c + ADD) for r in common] + [("~" + r.ending, r.c + ADD * r.k) for r in shared]:
-            symbols[word] = len(root)
-            root.append(mass / whole)
-        root[REST] = max(ADD / whole, 1.0 - sum(root))
-        return SuffixTree(symbols, np.array(root), total, distinct)
+        ends = end.c if end else 0
+        m, mass = own.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
+        self.rest = max(ADD / whole, 1.0 - (mass + ends + ADD) / whole)
+        self.end = (ends + ADD) / whole
+        two = [(REST, self.total - m - ends, self.rest), (END, ends, self.end)]
+        two = self.blocks.sparkSession.createDataFrame(two, "symbol long, m long, q double")
+        self.symbols = _written(own.select("symbol", "m", (F.col("mass") / whole).alias("q")).unionByName(two), "lm-symbols")
+        named = join_small(self.totals, self.endings.select("ending", "shared"), ["ending"], self.endings.count(), "left")
+        symbol = F.when(F.col("number") == 0, END).when(F.col("c") >= F.greatest(F.lit(least), F.lit(1)), F.col("id"))
+        words = named.select("block", "number", "c", symbol.otherwise(F.coalesce("shared", F.lit(REST))).alias("symbol"))
+        own = self.blocks.select("block", "docs", "held", "lengths", "ids").groupBy("block")
+        return _written(own.cogroup(words.groupBy("block")).applyInArrow(_with_symbols(self.total, distinct), self.kinds), "lm-state")
 
     def _grow(self) -> bool:
         """Adds a level; False if it has no contexts."""
-        tree, rows = self.tree, self.blocks.select("words", "held", "lengths", "ids")
-        seen = rows.mapInArrow(_candidates(tree), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        often = seen.filter(F.col("n") >= CONTEXT_SHARE * tree.total).select("key").toPandas()["key"]  # at most 1 / CONTEXT_SHARE
-        candidates = np.sort(often.to_numpy(np.int64))
-        if not len(candidates):
-            return False
-        counts = rows.mapInArrow(_counts(tree, candidates), "key long, symbol long, n long")
-        counts = materialize(counts.groupBy("key", "symbol").agg(F.sum("n").alias("n")), "lm-counts")
+        k = len(self.levels) + 1
+        listed = F.col("n") >= self._least(ENTRY_COUNT, ENTRY_SHARE)
+        same = W.partitionBy("parent", "older")
+        candidates = (
+            self.state.mapInArrow(_seen(k), "block long, number long, parent long, older long, n long")
+            .withColumn("id", F.monotonically_increasing_id())
+            .withColumn("c", F.sum("n").over(same))
+            .withColumn("ctx", F.min("id").over(same))
+            .filter(F.col("c") >= F.greatest(F.lit(self._least(CONTEXT_COUNT, CONTEXT_SHARE)), F.lit(1)))
+        )
+        candidates = _written(candidates.select("block", "number", "ctx", "parent", "older"), "lm-candidates")
+        state = self.state.groupBy("block")
+        pairs = state.cogroup(candidates.select("block", "number", "ctx", "parent").groupBy("block")).applyInArrow(
+            _after(k), "block long, code long, ctx long, parent long, symbol long, n long"
+        )
+        # a listed symbol goes back to all its blocks; the others are counted alone
+        same = W.partitionBy("ctx", "symbol")
+        pairs = pairs.withColumn("n", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("block")) == 1)
+        pairs = _written(pairs.filter((F.col("n") > 0) & (F.col("first") | listed)), "lm-pairs")
         # how the next symbols of a context diverge from those of its suffix, over all of them
-        size = F.lit(tree.size)
-        own = W.partitionBy("key")
-        after = counts.withColumn("of_key", F.sum("n").over(own))
-        if tree.levels:
-            before = self.last_counts.withColumn("of_suffix", F.sum("n").over(own)).withColumnRenamed("n", "m")
-            places = self.spark.createDataFrame([(int(k), i) for i, k in enumerate(tree.levels[-1].keys)], "key long, place long")
-            before = before.join(F.broadcast(places), "key").drop("key")  # the suffix's place: at most 1 / CONTEXT_SHARE rows
-            after = after.withColumn("place", F.floor(F.col("key") / size)).join(before, ["place", "symbol"])
+        if self.levels:
+            before = self.levels[-1][1].select(
+                F.col("ctx").alias("parent"), "symbol", F.col("n").alias("m"), F.col("chance").alias("q"), F.col("c").alias("of_suffix")
+            )
+            on = ["parent", "symbol"]
         else:
-            base = counts.groupBy("symbol").agg(F.sum("n").alias("m"))
-            after = after.join(base, "symbol").withColumn("of_suffix", F.lit(tree.total))
-        gain = F.col("n") * F.log((F.col("n") / F.col("of_key")) / (F.col("m") / F.col("of_suffix")))
-        tested = after.groupBy("key").agg(F.sum(gain).alias("gain"), F.count(F.lit(1)).alias("k"), F.first("of_key").alias("n"))
-        kept = tested.filter(F.col("gain") - (F.col("k") - 1) >= DIVERGENCE * F.col("n")).select("key", "n").toPandas()
-        kept = kept.sort_values("key")
-        keys, n = kept["key"].to_numpy(np.int64), kept["n"].to_numpy(float)
-        if not len(keys):
+            before, on = self.symbols.withColumn("of_suffix", F.lit(self.total)), ["symbol"]
+        after = pairs.filter("first").select("ctx", "parent", "symbol", "n").join(before, on)
+        after = _written(after.select("ctx", "symbol", "n", "m", "q", "of_suffix"), "lm-after")
+        tested = after.groupBy("ctx").agg(
+            F.sum("n").alias("c"),
+            F.count(F.lit(1)).alias("k"),
+            F.sum(F.col("n") * F.log(F.col("n") / F.col("m"))).alias("gain"),
+            F.first("of_suffix").alias("of_suffix"),
+        )
+        gain = F.col("gain") + F.col("c") * F.log(F.col("of_suffix") / F.col("c"))
+        kept = tested.filter(gain - (F.col("k") - 1) >= DIVERGENCE * F.col("c")).select("ctx", "c")
+        chance = F.when(listed, (F.col("n") + DRAW * F.col("q")) / (F.col("c") + DRAW))
+        level = _written(after.join(kept, "ctx").select("ctx", "symbol", "n", "c", "q", chance.alias("chance")), "lm-level")
+        if level.isEmpty():
             return False
-        listed = counts.filter(F.col("n") >= ENTRY_SHARE * tree.total).toPandas()  # at most 1 / ENTRY_SHARE
-        place = locate(keys, listed["key"].to_numpy(np.int64))
-        listed, place = listed[place >= 0], place[place >= 0]
-        symbol = listed["symbol"].to_numpy(np.int64)
-        entries = place * tree.size + symbol
-        order = np.argsort(entries)
-        entries, place, symbol, m = entries[order], place[order], symbol[order], listed["n"].to_numpy(float)[order]
-        suffix = self._suffix_chances(keys[place], symbol)
-        chances = (m + DRAW * suffix) / (n[place] + DRAW)
-        taken = np.bincount(place, chances, len(keys))
-        theirs = np.bincount(place, suffix, len(keys))
-        left = np.maximum(1.0 - taken, 1e-12) / np.maximum(1.0 - theirs, 1e-12)
-        tree.levels.append(Level(keys, left, entries, chances))
-        self.last_counts = counts
-        return True
 
-    def _suffix_chances(self, keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """The probabilities of symbols after the suffixes of contexts, given by their keys."""
-        tree = self.tree
+        def unlisted(x: str) -> Column:
+            return F.greatest(1.0 - F.coalesce(F.sum(F.when(F.col("chance").isNotNull(), F.col(x))), F.lit(0.0)), F.lit(1e-12))
 
-        def after(k: int, place: np.ndarray) -> np.ndarray:
-            if k == 0:
-                return tree.root[symbols]
-            level = tree.levels[k - 1]
-            shorter = after(k - 1, level.keys[place] // tree.size)
-            entry = locate(level.entries, place * tree.size + symbols)
-            return np.where(entry >= 0, level.chances[np.maximum(entry, 0)] if len(level.chances) else shorter, level.left[place] * shorter)
+        left = level.groupBy("ctx").agg((unlisted("chance") / unlisted("q")).alias("left"))
+        contexts = _written(candidates.join(left, "ctx"), "lm-contexts")
+        entries = level.filter("chance is not null").select("ctx", "symbol", F.log10(F.col("chance") / F.col("q")).alias("x"))
+        back = pairs.filter(listed).select("block", "code", "ctx", "symbol").join(entries, ["ctx", "symbol"])
+        back = back.select("block", "code", F.lit(None).cast("long").alias("ctx"), "x").unionByName(
+            contexts.select("block", F.col("number").alias("code"), "ctx", F.log10("left").alias("x"))
+        )
+        self.state = _written(state.cogroup(back.groupBy("block")).applyInArrow(_with_level(k), self.kinds), "lm-state")
+        self.levels.append((contexts, level))
+        return True
 
-        return after(len(tree.levels), keys // tree.size)
+    @property
+    def tree(self) -> SuffixTree:
+        """The whole tree, collected: for small tables."""
+        words, endings = self.words.select("id", "word").collect(), self.endings.select("shared", "ending").collect()
+        q = {r.symbol: r.q for r in self.symbols.collect()}
+        number = {BEFORE: BEFORE, REST: REST, END: END} | {r[0]: i for i, r in enumerate(words + endings, FIRST_SYMBOL)}
+        root = np.zeros(len(number))
+        for symbol, p in q.items():
+            root[number[symbol]] = p
+        tree = SuffixTree({r.word: number[r.id] for r in words}, {r.ending: number[r.shared] for r in endings}, root)
+        places = {ROOT: 0}
+        for contexts, level in self.levels:
+            rows = contexts.select("ctx", "parent", "older", "left").distinct().collect()
+            rows = sorted((places[r.parent] * tree.size + number[r.older], r.ctx, r.left) for r in rows)
+            places = {ctx: i for i, (_, ctx, _) in enumerate(rows)}
+            entries = sorted((places[r.ctx] * tree.size + number[r.symbol], r.chance) for r in level.filter("chance is not null").collect())
+            tree.levels.append(Level(*map(np.array, ([r[0] for r in rows], [r[2] for r in rows], [e[0] for e in entries], [e[1] for e in entries]))))
+        return tree
 
     def score(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; scores are log10."""
-        tree = self.tree
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-        def run(block: pa.Table, totals: pa.Table) -> pa.Table:
-            out = []
-            c = np.zeros(totals.num_rows, np.int64)
-            c[totals.column("number").to_numpy()] = totals.column("c").to_numpy()
-            for row in range(block.num_rows):
-                ids = np.frombuffer(zstandard.decompress(block.column("ids")[row].as_py()), "<i4")
-                words = block.column("words")[row].as_py()
-                lengths = np.array(block.column("lengths")[row].as_py(), np.int64)
-                starts = np.cumsum(lengths) - lengths
-                base = (
-                    np.log10((c + ADD) / (tree.total + ADD * (tree.distinct + 1))) if tree.total else np.zeros(len(c))
-                )
-                own = np.where((c > 0) | (np.arange(len(c)) == 0), _symbols_of(tree, words), REST)
-                symbols = own[ids]
-                gain = np.log10(tree.chances(symbols, starts)[0] / tree.root[symbols]) if tree.total else np.zeros(len(ids))
-                sums = [np.add.reduceat(x, starts) for x in (base[ids], gain, (c[ids] > 0).astype(np.int64))]
-                n = len(lengths)
-                arrays = [
-                    block.column("docs")[row].values,
-                    block.column("held")[row].values,
-                    pa.array(lengths),
-                    pa.array(sums[2]),
-                    pa.array(np.full(n, tree.total, np.int64)),
-                    pa.array(sums[0]),
-                    pa.array(sums[0] + sums[1]),
-                ]
-                out.append(pa.Table.from_arrays(arrays, names))
-            return pa.concat_tables(out)
-
-        own = self.blocks.select("block", "docs", "held", "lengths", "words", "ids").groupBy("block")
-        back = self.totals.select("block", "number", "c").groupBy("block")
-        return own.cogroup(back).applyInArrow(
-            run,
-            f"doc_id {self.id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        x = F.explode(F.arrays_zip("docs", "held", "lengths", "known", "base", "gain")).alias("x")
+        return self.state.select(x).select(
+            F.col("x.docs").alias("doc_id"),
+            F.col("x.held").alias("held_out"),
+            F.col("x.lengths").alias("n_tokens"),
+            F.col("x.known").alias("n_known"),
+            F.lit(self.total).cast("long").alias("train_tokens"),
+            F.col("x.base").alias("base_score"),
+            (F.col("x.base") + F.col("x.gain")).alias("score"),
         )
 
 

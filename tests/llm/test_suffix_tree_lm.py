@@ -117,3 +117,33 @@ def test_nothing_to_learn_from_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert {(r.score, r.n_known, r.train_tokens) for r in SuffixTreeModel(docs, F.lit(True)).score().collect()} == {(0.0, 0, 0)}
     assert SuffixTreeModel(docs.filter("false"), F.lit(False)).score().count() == 0
+
+
+def test_counts_and_not_shares_of_the_tokens_bound_the_tree(spark):
+    rows, docs = table(spark)
+    with pytest.MonkeyPatch.context() as m:  # as in a table so large that a share is far more than a count
+        for share in ("SYMBOL_SHARE", "CONTEXT_SHARE", "ENTRY_SHARE"):
+            m.setattr(suffix_tree_lm, share, 0.5)
+        m.setattr(suffix_tree_lm, "BLOCK_TOKENS", 2_000)
+        tree = SuffixTreeModel(docs, remainder("doc_id", 10) == 0).tree
+    texts = [tokens(t) for i, t, _ in rows if not held(i)]
+    c = Counter(w for t in texts for w in t)
+    often = {w for w, n in c.items() if w and n >= 256}
+    assert {"the", "cat", "dog"} <= often == set(tree.words)
+    after, plain, total = {}, Counter(), sum(c.values())
+    for t in texts:
+        own = [END if not w else tree.symbol(w) for w in t]
+        plain.update(own)
+        for a, b in zip([BEFORE, *own], own):
+            after.setdefault(a, Counter())[b] += 1
+    want, chances = [], {}
+    for a, follow in after.items():
+        n = sum(follow.values())
+        gain = sum(k * math.log((k / n) / (plain[b] / total)) for b, k in follow.items())
+        if n >= 256 and gain - (len(follow) - 1) >= suffix_tree_lm.DIVERGENCE * n:
+            want.append(a)
+            chances |= {(a, b): (k + 30 * tree.root[b]) / (n + 30) for b, k in follow.items() if k >= 8}
+    level = tree.levels[0]
+    assert sorted(want) == level.keys.tolist()
+    got = {(int(level.keys[e // tree.size]), int(e % tree.size)): p for e, p in zip(level.entries.tolist(), level.chances)}
+    assert got == pytest.approx(chances)
