@@ -12,7 +12,9 @@ Buckets of more than BUCKET groups would give too many pairs. There every entry
 first meets a few neighbours in a pseudorandom order. After the components of what
 was found, a bucket in one component needs nothing more; in others all members
 outside the bucket's largest component meet all other members, and pairs in one
-component drop out. No pair that could join two components is left out.
+component drop out. No pair that could join two components is left out. That is
+the quick path, for components alone; where every link counts, all entries of a large
+bucket meet, in salted blocks.
 
 The order is a matter of speed alone, so it may rest on counts that leave out what
 repeats in no task. Shingles are held as 64-bit hashes and sets are told apart by
@@ -38,6 +40,8 @@ from .common import fresh, materialize, sliced
 
 #: Groups in a bucket that are paired outright; places in a large bucket's order that meet.
 BUCKET, NEIGHBOURS = 64, 4
+#: Entries of a large bucket that meet in one task when all of them meet.
+BLOCK = 256
 #: Counts below this don't move a shingle to the end; at most so many shingles are moved.
 REPEATS, MOVED = 8, 1_000_000
 #: Sets are fetched by a broadcast list of the places that want them up to this length (about 60 bytes each), beyond it by a shuffle.
@@ -211,7 +215,7 @@ def _can_reach(percent: int, n: Column, m: Column, i: Column, j: Column) -> Colu
 
 
 class JaccardJoin:
-    """The join of one table; links() gives verified pairs of classes, components() a row per document."""
+    """The join of one table; links() gives all linked pairs of classes, link_counts() and components() a row per document."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, bucket: int = BUCKET):
         self.width, self.percent, self.bucket = width, percent, bucket
@@ -277,13 +281,17 @@ class JaccardJoin:
         groups = own.select(F.struct(F.lit(1), F.col("g").alias("token")).alias("key"), "g", F.lit(0).alias("pos"))
         return tokens.unionByName(groups).join(self.classes.select("g", "cls", "n"), "g").select("key", "cls", "n", "pos")
 
-    def candidates(self) -> DataFrame:
-        """a, b: pairs of classes from small buckets, and neighbours in large ones."""
+    def _small(self) -> DataFrame:
+        """a, b: pairs of classes from small buckets."""
         small = self.entries.filter(F.col("groups") <= self.bucket)
         x = small.select("token", "g", "n", "pos")
         y = small.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("pos").alias("at"))
         fits = _can_reach(self.percent, F.col("n"), F.col("m"), F.col("pos"), F.col("at"))
         met = x.join(y, (x["token"] == y["token"]) & (F.col("g") < F.col("h")) & fits).select("g", "h").distinct()
+        return self._expanded(met)
+
+    def candidates(self) -> DataFrame:
+        """a, b: pairs of classes from small buckets, and neighbours in large ones."""
         large = self._large()
         by_hash = W.partitionBy("key").orderBy(F.xxhash64("key", "cls"), "cls")
         near = large.withColumn("next", F.array(*[F.lead(F.struct("cls", "n", "pos"), k).over(by_hash) for k in range(1, NEIGHBOURS + 1)]))
@@ -291,7 +299,23 @@ class JaccardJoin:
             F.col("next").isNotNull() & _can_reach(self.percent, F.col("n"), F.col("next.n"), F.col("pos"), F.col("next.pos"))
         )
         near = near.select(F.least("cls", "next.cls").alias("a"), F.greatest("cls", "next.cls").alias("b"))
-        return self._expanded(met).unionByName(near).distinct()
+        return self._small().unionByName(near).distinct()
+
+    def _all(self) -> DataFrame:
+        """a, b: every pair of classes that a bucket, small or large, lets through.
+
+        A large bucket is dealt into parts of about BLOCK entries, and each two parts meet in a block of their own."""
+        large = self._large()
+        parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        large = materialize(large.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), "jaccard-large")
+        x = large.withColumn("other", F.explode(F.expr("sequence(part, parts - 1)")))
+        x = x.select("key", F.col("part").alias("i"), F.col("other").alias("j"), "cls", "n", "pos")
+        y = large.withColumn("other", F.explode(F.expr("sequence(0, part)")))
+        y = y.select("key", F.col("other").alias("i"), F.col("part").alias("j"), F.col("cls").alias("its"), F.col("n").alias("m"), F.col("pos").alias("at"))
+        once = (F.col("i") < F.col("j")) | (F.col("cls") < F.col("its"))
+        fits = _can_reach(self.percent, F.col("n"), F.col("m"), F.col("pos"), F.col("at"))
+        met = x.join(y, ["key", "i", "j"]).filter(once & fits)
+        return self._small().unionByName(met.select(F.least("cls", "its").alias("a"), F.greatest("cls", "its").alias("b"))).distinct()
 
     def _rest(self, labels: DataFrame) -> DataFrame:
         """a, b: pairs of different components in large buckets, one side outside the bucket's largest component."""
@@ -336,6 +360,24 @@ class JaccardJoin:
         return materialize(checked, "jaccard-links")
 
     def links(self) -> DataFrame:
+        """a, b: all pairs of classes that are similar enough, whatever the size of their buckets."""
+        return self.verified(self._all())
+
+    def link_counts(self) -> DataFrame:
+        """doc_id, n_shingles, class_id (the least id with its set; an empty set is its own), n_links (classes it links with) of every document."""
+        links = self.links()
+        ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
+        counts = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+        least = self.rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+        own = self.classes.select("sid", "cls").join(least, "sid").join(counts, "cls", "left").select("sid", "least", "n_links")
+        return self.rows.join(own, "sid", "left").select(
+            "doc_id",
+            F.col("n").cast("long").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        )
+
+    def connecting(self) -> DataFrame:
         """a, b: verified pairs of classes, enough of them to connect every component."""
         first = self.verified(self.candidates())
         rest = self._rest(connected_components(first))
@@ -343,7 +385,7 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id (the least id that links reach), class_id of every document."""
-        labels = connected_components(self.links())
+        labels = connected_components(self.connecting())
         roots = self.classes.join(labels, F.col("cls") == F.col("node"), "left").select("sid", "cls", F.coalesce("root", "cls").alias("root"))
         named = self.rows.join(roots, "sid", "left").select("row", "doc_id", "n", F.coalesce("root", "row").alias("root"), F.coalesce("cls", "row").alias("cls"))
         least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -38,6 +38,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(documents(spark, sf_dir)).components().drop("class_id")
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return JaccardJoin(documents(spark, sf_dir)).link_counts()
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), piece_model())
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op3_jaccard_links": op3_jaccard_links,
     "op4_token_counts": op4_token_counts,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_fingerprints": op6_fingerprints,
@@ -115,4 +120,24 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents d LEFT JOIN sizes s USING (doc_id)
         JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
     """,
+    "op3_jaccard_links": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, list_sort(list_distinct(CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+            FROM words
+        ), classes AS (
+            SELECT doc_id, s, len(s)::BIGINT AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM sets
+        ), shingles AS (SELECT class_id, n, unnest(s) AS g FROM classes WHERE doc_id = class_id
+        ), shared AS (
+            SELECT a.class_id AS x, b.class_id AS y, count(*) AS k, any_value(a.n + b.n) AS of_both
+            FROM shingles a JOIN shingles b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY ALL
+        ), links AS (SELECT x, count(*) AS n_links FROM shared WHERE 100 * k >= 75 * (of_both - k) GROUP BY x)
+        SELECT doc_id, n AS n_shingles, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM classes LEFT JOIN links ON x = class_id
+    """,
 }

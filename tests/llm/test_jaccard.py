@@ -1,9 +1,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.llm import jaccard, queries
 from feedloom.llm.jaccard import JaccardJoin, connected_components, keep_one_of_each
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,3 +89,39 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 600), (600, 550), (7, 7)], "a long, b long")
     got = dict(map(tuple, connected_components(edges).collect()))
     assert got == {i: 0 for i in range(201)} | {500: 500, 600: 500, 550: 500}
+
+
+@pytest.mark.parametrize(("bucket", "block"), [(64, 256), (2, 8)])
+def test_links_are_all_pairs_of_different_sets(spark, monkeypatch, bucket, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(11)
+    rows = [(500 + i, t) for i, (_, t) in enumerate(corpus(2, 20, 8))]
+    for i in range(120):  # one family, whose members differ from each other in one to four words of 90
+        text = [f"v{j}" for j in range(90)]
+        for _ in range(r.randint(1, 2)):
+            text[r.randrange(90)] = f"w{r.randrange(1000)}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000, rows[0][1]), (1001, None), (1002, "")]
+    join = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket)
+    sets, ids = {}, {}
+    for d, text in rows:
+        w = WORD.findall((text or "").translate(ASCII))
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        ids.setdefault(sets[d] or d, d)
+    names = {r.cls: r.doc_id for r in join.classes.collect()}
+    first = {d: ids[s or d] for d, s in sets.items()}
+    alone = [d for d, c in first.items() if d == c and sets[d]]
+    want = {(a, b) for a in alone for b in alone if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [tuple(sorted((first[names[r.a]], first[names[r.b]]))) for r in join.links().collect()]
+    assert len(want) > 1_000 and sorted(got) == sorted(want)
+    counts = {d: sum(first[d] in pair for pair in want) for d in first}
+    assert sorted(map(tuple, join.link_counts().collect())) == sorted((d, len(sets[d]), first[d], counts[d]) for d in first)
+
+
+def test_link_counts_equal_their_sql(spark):
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op3_jaccard_links"]).fetchall()
+    got = queries.QUERIES["op3_jaccard_links"](spark, data).select("doc_id", "n_shingles", "class_id", "n_links")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(n for *_, n in want)
