@@ -297,6 +297,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _spans(ends: np.ndarray) -> np.ndarray:
+    """The ends of a text's pieces, with those of begin and end, which cover nothing."""
+    return np.concatenate([[0], ends, ends[-1:] if len(ends) else [0]]).astype(np.int64)
+
+
 def _encoder(path: str, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -305,7 +310,7 @@ def _encoder(path: str, spans: bool):
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 i, e = c.encode(text or "")
                 ids.append(np.concatenate([[c.begin], i, [c.end]]).astype(np.int32))
-                ends.append(np.concatenate([[0], e, e[-1:] if len(e) else [0]]).astype(np.int64))
+                ends.append(_spans(e))
             arrays = [_lists(ids, pa.int32())] + ([_lists(ends, pa.int64())] if spans else [])
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             names = [*batch.schema.names[:-1], "ids", "ends"][: len(kept) + len(arrays)]
@@ -342,8 +347,8 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def _digests(c: Codec, texts: list[str | None], with_ids: bool) -> list[pa.Array]:
-    """n_tokens, ids_sha256, decoded_sha256, covered_bytes of texts; with ids before them if asked."""
-    every, out = [], ([], [], [], [])
+    """n_tokens, ids_sha256, decoded_sha256, covered_bytes of texts; with ids and ends before them if asked."""
+    every, spans, out = [], [], ([], [], [], [])
     for text in texts:
         ids, ends = c.encode(text or "")
         whole = np.concatenate([[c.begin], ids, [c.end]]).astype("<u4")
@@ -353,14 +358,15 @@ def _digests(c: Codec, texts: list[str | None], with_ids: bool) -> list[pa.Array
             column.append(value)
         if with_ids:
             every.append(whole.astype(np.int32))
+            spans.append(_spans(ends))
     arrays = list(map(pa.array, out, (pa.int64(), pa.string(), pa.string(), pa.int64())))
-    return [_lists(every, pa.int32()), *arrays] if with_ids else arrays
+    return [_lists(every, pa.int32()), _lists(spans, pa.int64()), *arrays] if with_ids else arrays
 
 
 def _with_digests(rows: DataFrame, model: str, with_ids: bool) -> DataFrame:
     """rows with their last column, the text, replaced by what _digests gives."""
-    names = ["ids"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"]
-    types = ["array<int>"] * with_ids + ["bigint", "string", "string", "bigint"]
+    names = ["ids", "ends"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"]
+    types = ["array<int>", "array<bigint>"] * with_ids + ["bigint", "string", "string", "bigint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -382,5 +388,5 @@ def digest_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
 
 def encode_rows(docs: DataFrame, model: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs, then ids and the columns of digest_documents, for every row."""
+    """The columns `keep` of docs, then ids, ends and the columns of digest_documents, for every row."""
     return _with_digests(docs.select(*keep, F.col(text_col).alias("text")), model, True)

@@ -58,3 +58,17 @@ def test_every_stage_against_brute_force_on_its_own_input(spark, tmp_path):
         ids = [1, *library.encode(r.text), 2]
         want[r.doc_id, tuple(ids), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += 1
     assert Counter((r.doc_id, tuple(r.ids), r.decoded_sha256) for r in encoded) == want
+
+
+def test_the_last_stage_gives_the_library_s_byte_spans(spark):
+    texts = ["The cat sat.", "", None, "Été – 12 000 €\n\n  two  spaces", "日本語 and ▁ signs"]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").select(docs.columns).limit(100)
+    rows = docs.union(documents.withColumn("doc_id", documents.doc_id + 1000))
+    own = {r.doc_id: r.text for r in rows.collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r.ends for r in corpus_pipeline.encode(spark, rows, DATA).collect()}
+    assert set(got) == set(own)
+    for d, text in own.items():
+        ends = [p.end for p in library.encode(text or "", return_type="proto").pieces]
+        assert got[d] == [0, *ends, ends[-1] if ends else 0]
