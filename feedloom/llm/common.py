@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +50,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     executor costs a read."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete the files of tables from materialize() that nothing will read again."""
+    for df in written:
+        if path := _WRITTEN.pop(df, None):
+            sc = df.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,23 @@
 """Removal of repeated byte strings by suffix arrays over shards.
 
 A byte goes if it lies in a string of LENGTH bytes that also starts earlier: in a
-document with a smaller id, or before in the same one. Every such string holds an
-anchor, a short string whose hash is least among those in it, so all places of a
-string come together under an anchor's hash. There, places whose whole surroundings
-are equal are decided at once: every string of all but the first repeats. First
-places of differing surroundings go on, to the shards of the two halves that they
-may share beside the anchor; a shard's surroundings are laid end to end, their
-suffixes are sorted by induction (see induced), and runs of suffixes with LENGTH
-bytes in common leave all but their earliest start to remove. The filter loses no
-repeat, and it leaves to the sort what it alone can tell.
+document with a smaller id, or before in the same one. Every such string has an
+anchor, the short string in it whose hash is least (the first of equals), and the
+core, the anchor with the bytes on its longer side up to CORE. Neighbouring strings
+with one anchor and one side are a run, held by a piece of text. Equal strings have
+equal cores, so pieces come together by their cores' hashes.
+
+Pieces whose core occurs once go. Of equal pieces the first stays, and all strings of
+the others repeat. The pieces left are dealt to shards by core; a shard's are laid end
+to end, their suffixes are sorted by induction in external memory (see induced), and
+runs of suffixes with LENGTH bytes in common leave all but their earliest start to
+remove. The filter loses no repeat, and it leaves to the sort what it alone can tell.
+
+A core with more than HOT different pieces is dealt to several shards. What is first
+in a shard need not be first of all then, so of every string in such a piece each
+shard gives a 128-bit hash and the first place, and an aggregate finds the others.
+
+Equal pieces are told by 128 bits of hashes: 64 of the core, 64 of the whole.
 
 Defined results: null counts as the empty text; rows that share an id, or have none,
 are told apart in the order of id, null last, and text, and rows with the same id and
@@ -19,30 +27,33 @@ text count as separate documents; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from .common import materialize, sliced
-from .induced import sorted_suffixes
+from .common import discard, forget, materialize, release, sliced
+from .induced import MEMORY, STEP, Scratch, blocks, sorted_suffixes
 
 LENGTH, ANCHOR = 100, 32
 WINDOW, SIDE = LENGTH - ANCHOR + 1, (LENGTH - ANCHOR) // 2
-SEGMENT, SHARD_BYTES = 1 << 20, 1 << 18
-#: So many places go out in a broadcast list (about 60 bytes each); more are fetched by a shuffle.
-FETCH_BROADCAST = 400_000
+CORE = ANCHOR + SIDE
+SEGMENT = 1 << 20
+#: Different pieces of one core that stay in one shard.
+HOT = 4_096
+#: Text of a shard that tables beyond `spark.sql.shuffle.partitions` of them are dealt for.
+SHARD_BYTES = 32 << 20
 PRIME = 0x100000001B3
 INVERSE = pow(PRIME, -1, 1 << 64)
-SHIFTED = bytes((i + 2) % 256 for i in range(256))  # UTF-8 has no byte above 0xF4, so 0, 1 and 0xFF stay free
+SHIFTED = bytes((i + 2) % 256 for i in range(256))  # UTF-8 has no byte above 0xF4, so 0 and 1 stay free
+TOP = 0xF4 + 2
 _POWERS: list[np.ndarray] = []
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         _POWERS.clear()
@@ -67,140 +78,202 @@ def _sliding(f, x: np.ndarray, width: int) -> np.ndarray:
     return f(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors of data, their hashes, and hashes of their surroundings."""
+def runs(data: bytes) -> tuple[np.ndarray, ...]:
+    """core, whole (hashes), low, high: each run of strings of data that share an anchor and a side, by its first and last start."""
     found = []
     for start in range(0, max(1, len(data)), SEGMENT):
-        low = max(0, start - 2 * LENGTH)
-        part = data[low : start + SEGMENT + 2 * LENGTH]
+        # strings that start in the segment; the first may belong to a run that began before
+        low = max(0, start - WINDOW)
+        part = data[low : start + SEGMENT + WINDOW + LENGTH]
         n = len(part)
         if n < LENGTH:
             continue
-        b = np.frombuffer(part, np.uint8).astype(np.uint64) + np.uint64(1)
         up, down = _powers(n)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(b * up, dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(part, np.uint8).astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
         count = n - ANCHOR + 1
         x = _mixed((sums[ANCHOR:] - sums[:count]) * down[:count]) | np.uint64(1)
         least = _sliding(np.minimum, x, WINDOW)
         edge = np.zeros(WINDOW - 1, np.uint64)
         at = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), WINDOW) == x)
-        at = at[(at + low >= start) & (at + low < start + SEGMENT)]
-        left, right = np.maximum(at - (WINDOW - 1), 0), np.minimum(at + LENGTH, n)
-        around = (sums[right] - sums[left]) * down[left]
-        around = _mixed(around ^ ((at - left).astype(np.uint64) << np.uint64(20)) ^ (right - at).astype(np.uint64))
-        found.append((at + low, x[at], around))
+        # a string's anchor is the first place in it with the least hash
+        starts = np.arange(len(least))
+        which = np.searchsorted(at, starts)
+        wrong = np.flatnonzero(x[at[which]] != least)
+        while len(wrong):
+            which[wrong] += 1
+            wrong = wrong[x[at[which[wrong]]] != least[wrong]]
+        anchor = at[which]
+        left = anchor - starts >= SIDE
+        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1])]))
+        last = np.append(first[1:], len(starts)) - 1
+        own = (first + low >= start) & (first + low < start + SEGMENT)
+        first, last = first[own], last[own]
+        anchor, left = anchor[first], left[first]
+        begin = anchor - np.where(left, SIDE, 0)
+        core = _mixed((sums[begin + CORE] - sums[begin]) * down[begin] ^ left.astype(np.uint64))
+        whole = _mixed((sums[last + LENGTH] - sums[first]) * down[first])
+        whole ^= _mixed(((anchor - first) * LENGTH + last - first).astype(np.uint64))
+        found.append((core, whole, first + low, last + low))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text -> h, around, key, pos"""
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> core, n of its pieces; a core has one row for each batch."""
+    for batch in sliced(batches):
+        parts = [runs(t.encode())[0] for t in batch.column(0).to_pylist()]
+        cores, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(n)], ["core", "n"])
+
+
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text -> core, whole, key, low, high"""
     for batch in sliced(batches):
         keys, parts = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            got = anchors(text.encode()) if text else None
-            if got and len(got[0]):
-                keys.append(np.full(len(got[0]), key, np.int64))
-                parts.append(got)
+            got = runs(text.encode())
+            keys.append(np.full(len(got[0]), key, np.int64))
+            parts.append(got)
         if parts:
-            pos, h, around = (np.concatenate(c) for c in zip(*parts))
-            arrays = [pa.array(c) for c in (h.view(np.int64), around.view(np.int64), np.concatenate(keys), pos.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "around", "key", "pos"])
+            core, whole, low, high = (np.concatenate(c) for c in zip(*parts))
+            arrays = [core.view(np.int64), whole.view(np.int64), np.concatenate(keys), low.astype(np.int32), high.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["core", "whole", "key", "low", "high"])
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, places, text -> shard, key, start, bytes: a place's surroundings, once for each half beside its anchor."""
+    """key, wanted (low, high, shard, hot), text -> shard, hot, key, start, bytes: the pieces with their text."""
+    names = ["shard", "hot", "key", "start", "bytes"]
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names)
+
     for batch in sliced(batches):
         out: list[tuple] = []
-        for key, places, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, wanted, text in zip(*(c.to_pylist() for c in batch.columns)):
             data = text.encode()
-            for q in places:
-                low = max(0, q - WINDOW + 1)
-                around = data[low : q + LENGTH]
-                middle = data[q : q + ANCHOR]
-                if q >= SIDE:
-                    out.append((xxhash.xxh3_64_intdigest(b"l" + data[q - SIDE : q] + middle) - (1 << 63), key, low, around))
-                if q + ANCHOR + SIDE <= len(data):
-                    out.append((xxhash.xxh3_64_intdigest(b"r" + data[q : q + ANCHOR + SIDE]) - (1 << 63), key, low, around))
+            out.extend((w["shard"], w["hot"], key, w["low"], data[w["low"] : w["high"] + LENGTH]) for w in wanted)
             if len(out) > 20_000:
-                yield _fetched_batch(out)
+                yield made(out)
                 out = []
-        yield _fetched_batch(out)
-
-
-def _fetched_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 4
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "key", "start", "bytes"])
-
-
-def repeats(pieces: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
-    """(key, start) of every string of LENGTH bytes in the pieces (key, start, bytes) that also starts earlier in them."""
-    text = b"\x01".join(b.translate(SHIFTED) for _, _, b in pieces) + b"\x01\x00"
-    ends = np.cumsum([len(b) + 1 for _, _, b in pieces])
-    run: list[tuple[int, int]] = []
-    for suffix, common in sorted_suffixes(text):
-        k = int(np.searchsorted(ends, suffix, side="right"))
-        if k < len(pieces):
-            key, start, data = pieces[k]
-            at = suffix - (int(ends[k]) - len(data) - 1)
-            if at + LENGTH <= len(data):
-                run.append((key, start + at))
-        if common < LENGTH:
-            if len(run) > 1:
-                first = min(run)
-                yield from {x for x in run if x != first}
-            run = []
-
-
-def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """shard, key, start, bytes in order of shards -> key, start of repeats; whole shards share a sort."""
-    held: list[tuple[int, int, bytes]] = []
-    own: list[tuple[int, int, bytes]] = []
-    shard, size = None, 0
-
-    def sort() -> pa.RecordBatch:
-        got = list(repeats(held)) if held else []
-        arrays = [pa.array([k for k, _ in got], pa.int64()), pa.array([s for _, s in got], pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, ["key", "start"])
-
-    def close() -> None:
-        nonlocal size
-        if len(own) > 1:
-            held.extend(own)
-            size += sum(len(b) + 1 for _, _, b in own)
-        own.clear()
-
-    for batch in batches:
-        for s, key, start, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if s != shard:
-                close()
-                shard = s
-                if size > SHARD_BYTES:
-                    yield sort()
-                    held.clear()
-                    size = 0
-            own.append((key, start, data))
-    close()
-    yield sort()
+        yield made(out)
+
+
+class Shard:
+    """Pieces (key, start, bytes, hot) laid end to end, and what sorting their suffixes says of their strings.
+
+    The text and all arrays of the sort go to scratch files beyond `memory` bytes; 21 bytes a piece stay in memory."""
+
+    def __init__(self, pieces: Iterator[pa.RecordBatch], memory: int = MEMORY):
+        scratch = Scratch(memory)
+        keys, starts, hots, sizes = ([np.zeros(0, k)] for k in (np.int64, np.int32, bool, np.int64))
+        with tempfile.TemporaryFile() as file:
+            for batch in pieces:
+                texts = batch.column("bytes").to_pylist()
+                file.write(b"".join(x.translate(SHIFTED) + b"\x01" for x in texts))
+                sizes.append(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+                for column, name in ((keys, "key"), (starts, "start"), (hots, "hot")):
+                    column.append(batch.column(name).to_numpy(zero_copy_only=False))
+            self.n = file.tell() + 1
+            self.text = scratch.array(self.n + STEP, np.uint8)
+            file.seek(0)
+            for a, b in blocks(0, self.n - 1):
+                self.text[a:b] = np.frombuffer(file.read(b - a), np.uint8)
+        self.keys, self.starts, self.hots = map(np.concatenate, (keys, starts, hots))
+        self.ends = np.cumsum(np.concatenate(sizes))
+        self.gone = scratch.array(self.n, bool)
+        self.scratch = scratch
+
+    def _places(self, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of suffixes, and the documents' keys and places where they start."""
+        piece = np.minimum(np.searchsorted(self.ends, suffix, side="right"), len(self.ends) - 1)
+        begin = np.where(piece > 0, self.ends[piece - 1], 0)
+        return piece, self.keys[piece], self.starts[piece] + (suffix - begin)
+
+    def sort(self) -> Iterator[tuple[bytes, int, int]]:
+        """Marks every string that repeats an earlier one of the shard; yields (hash, key, start) of each string of hot
+        pieces, at its first place here."""
+        held = np.zeros(0, np.int64)  # the first place of the run that goes on in the next block
+        for suffix, shared in sorted_suffixes(self.text, self.n, TOP, LENGTH, self.scratch):
+            begins = shared < LENGTH
+            runs_before = np.cumsum(begins)
+            most = int(runs_before[-1])
+            whole = suffix + LENGTH < self.ends[np.minimum(np.searchsorted(self.ends, suffix, side="right"), len(self.ends) - 1)]
+            run = np.concatenate([np.zeros(len(held), np.int64), runs_before[whole]])
+            suffix = np.concatenate([held, suffix[whole]])
+            held = suffix[:0]
+            if not len(suffix):
+                continue
+            piece, key, start = self._places(suffix)
+            order = np.lexsort((start, key, run))
+            run, suffix = run[order], suffix[order]
+            first = np.concatenate([[True], run[1:] != run[:-1]])
+            self.gone[suffix[~first]] = True
+            if run[-1] == most:
+                held = suffix[first][-1:]
+            edge = np.flatnonzero(first)
+            hot = np.logical_or.reduceat(self.hots[piece[order]], edge)
+            if len(held):
+                hot[-1] = False
+            yield from self._hashed(suffix[edge[hot]])
+        if len(held):
+            yield from self._hashed(held[self.hots[self._places(held)[0]]])
+
+    def _hashed(self, suffix: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+        _, key, start = self._places(suffix)
+        for s, k, at in zip(suffix.tolist(), key.tolist(), start.tolist()):
+            yield xxhash.xxh3_128_digest(self.text[s : s + LENGTH]), k, at
+
+    def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """key, begin, end of neighbouring strings that are marked."""
+        for a, b in blocks(0, self.n):
+            at = a + np.flatnonzero(self.gone[a:b])
+            if len(at):
+                piece, key, start = self._places(at)
+                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1])]))
+                last = np.append(first[1:], len(at)) - 1
+                yield key[first], start[first], start[last] + LENGTH
+
+
+def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hot, key, start, bytes of a shard -> key, begin, end of what repeats, and key, begin, hash of hot strings' first places."""
+    names, kinds = ["key", "begin", "end", "hash"], (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def made(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    release()
+    shard = Shard(batches)
+    if len(shard.keys):
+        given = shard.sort()
+        while rows := list(islice(given, 50_000)):
+            hashes, keys, starts = zip(*rows)
+            yield made(keys, starts, [None] * len(rows), hashes)
+        for key, begin, end in shard.spans():
+            yield made(key, begin, end, [None] * len(key))
+    del shard
+    release()
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, copies (places of anchors), starts (of strings) -> what goes and what is left."""
+    """doc_id, text, gone (begin, end) -> what goes and what is left."""
     for batch in sliced(batches):
         out: tuple[list, ...] = ([], [], [], [], [])
-        for text, copies, starts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+        gone_of = batch.column(2)
+        for i, text in enumerate(batch.column(1).to_pylist()):
             data = (text or "").encode()
             n = len(data)
-            low = np.concatenate([np.maximum(np.array(copies or [], np.int64) - WINDOW + 1, 0), np.array(starts or [], np.int64)])
-            high = np.minimum(np.concatenate([np.array(copies or [], np.int64), np.array(starts or [], np.int64)]) + LENGTH, n)
-            steps = np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
-            gone = np.cumsum(steps[:n]) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+            edges, kept = np.zeros(0, np.int64), data
+            if gone_of[i].is_valid:
+                pairs = gone_of[i].values
+                steps = np.bincount(pairs.field("begin").to_numpy(), minlength=n + 1)
+                steps -= np.bincount(np.minimum(pairs.field("end").to_numpy(), n), minlength=n + 1)
+                gone = np.cumsum(steps[:n]) > 0
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             spans = [{"begin": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
-            for column, value in zip(out, (n, int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans)):
+            for column, value in zip(out, (n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans)):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
@@ -218,32 +291,58 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "repeats-docs")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _span(begin: Column | str, end: Column | str) -> Column:
+    return F.struct(F.col(begin).cast("long").alias("begin"), end.cast("long").alias("end")).alias("span")
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    """key, low, high, core, copy of the pieces whose core occurs again; copy: an equal piece comes first."""
+    cores = texts.select("text").mapInArrow(_cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n"))
+    cores = materialize(cores.filter("n > 1").select("core"), "repeats-cores")
+    forget(texts.sparkSession)
+    rows = texts.mapInArrow(_piece_rows, "core long, whole long, key long, low int, high int")
+    rows = materialize(rows.join(cores, "core", "left_semi"), "repeats-pieces")
+    discard(cores)
+    first = rows.groupBy("core", "whole").agg(F.min(F.struct("key", "low")).alias("first"))
+    copy = F.struct("key", "low") != F.col("first")
+    pieces = materialize(rows.join(first, ["core", "whole"]).select("key", "low", "high", "core", copy.alias("copy")), "repeats-pieces")
+    discard(rows)
+    forget(texts.sparkSession)
+    return pieces
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end in bytes) of every row."""
+    spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
     texts = rows.select("key", "text").filter(F.octet_length("text") >= LENGTH)
-    places = texts.mapInArrow(_anchor_rows, "h long, around long, key long, pos int").repartition("h")
-    same, every = W.partitionBy("h", "around").orderBy("key", "pos"), W.partitionBy("h")
-    places = (
-        places.withColumn("n", F.row_number().over(same))
-        .withColumn("several", F.min("around").over(every) != F.max("around").over(every))
-        .filter("n > 1 OR several")
-        .select("key", "pos", (F.col("n") > 1).alias("copy"))
+    pieces = _pieces(texts)
+    kinds = pieces.filter("NOT copy").groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shards = F.ceil(F.col("k") / F.lit(hot))
+    shard = F.xxhash64("core", F.pmod(F.xxhash64("key", "low"), shards))
+    wanted = pieces.filter("NOT copy").join(kinds, "core").select("key", F.struct("low", "high", shard.alias("shard"), (shards > 1).alias("hot")).alias("x"))
+    wanted = materialize(wanted.groupBy("key").agg(F.collect_list("x").alias("wanted")), "repeats-wanted")
+    size = wanted.select(F.explode("wanted").alias("x")).agg(F.coalesce(F.sum(F.col("x.high") - F.col("x.low") + LENGTH + 1), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    fetched = texts.join(wanted, "key").select("key", "wanted", "text")
+    fetched = fetched.mapInArrow(_fetched, "shard long, hot boolean, key long, start int, bytes binary")
+    found = fetched.repartition(parts, "shard").mapInArrow(_sorted_shard, "key long, begin long, end long, hash binary")
+    found = materialize(found, "repeats-found")
+    discard(wanted)
+    forget(spark)
+    hashed = found.filter("hash is not null")
+    gone = pieces.filter("copy").select("key", _span("low", F.col("high") + LENGTH)).unionByName(
+        found.filter("hash is null").select("key", _span("begin", F.col("end")))
     )
-    places = materialize(places, "repeats-places")
-    first = places.filter("NOT copy").groupBy("key").agg(F.collect_list("pos").alias("places"))
-    count = places.filter("NOT copy").count()
-    fetched = texts.join(F.broadcast(first) if count <= FETCH_BROADCAST else first, "key").select("key", "places", "text")
-    shards = fetched.mapInArrow(_fetched, "shard long, key long, start int, bytes binary")
-    starts = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sort_shards, "key long, start int")
-    starts = materialize(starts, "repeats-starts").distinct()
-    gone = places.filter("copy").select("key", F.col("pos").alias("copy"), F.lit(None).cast("int").alias("start"))
-    gone = gone.unionByName(starts.select("key", F.lit(None).cast("int").alias("copy"), "start"))
-    gone = gone.groupBy("key").agg(F.collect_list("copy").alias("copies"), F.collect_list("start").alias("starts"))
+    if not hashed.isEmpty():
+        first = hashed.groupBy("hash").agg(F.min(F.struct("key", "begin")).alias("first"))
+        again = hashed.join(first, "hash").filter(F.struct("key", "begin") != F.col("first"))
+        gone = gone.unionByName(again.select("key", _span("begin", F.col("begin") + LENGTH)))
+    gone = gone.groupBy("key").agg(F.collect_list("span").alias("gone"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return (
         rows.join(gone, "key", "left")
-        .select("doc_id", "text", "copies", "starts")
+        .select("doc_id", "text", "gone")
         .mapInArrow(
             _removed,
             f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:long,end:long>>",

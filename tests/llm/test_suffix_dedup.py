@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from feedloom.llm import induced, suffix_dedup
-from feedloom.llm.induced import sorted_suffixes
+from feedloom.llm.induced import STEP, Scratch, sorted_suffixes
 from feedloom.llm.suffix_dedup import repeated_spans
 
 R = random.Random(6)
@@ -57,7 +59,6 @@ def found(spark, rows):
 @pytest.mark.parametrize("segment", [1 << 20, 700])
 def test_equals_brute_force(spark, monkeypatch, segment):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
-    monkeypatch.setattr(suffix_dedup, "_anchor_rows", suffix_dedup._anchor_rows)
     rows = corpus()
     assert found(spark, rows) == brute(rows)
 
@@ -76,23 +77,52 @@ def test_spans_and_empty_table(spark):
     assert repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_segments_of_a_long_text_have_the_same_anchors():
+def test_hot_cores_are_dealt_to_several_shards(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r)[:5] for r in repeated_spans(docs, hot=2).collect()), key=str) == brute(rows)
+
+
+def test_segments_of_a_long_text_have_the_same_runs():
     data = (words(500) + "ab" * 300 + words(300)).encode()
-    whole = suffix_dedup.anchors(data)
+    whole = suffix_dedup.runs(data)
+    assert (np.concatenate([[-1], whole[3][:-1]]) + 1 == whole[2]).all() and whole[3][-1] == len(data) - 100
     with pytest.MonkeyPatch.context() as m:
         m.setattr(suffix_dedup, "SEGMENT", 333)
-        cut = suffix_dedup.anchors(data)
+        cut = suffix_dedup.runs(data)
     assert all((x == y).all() for x, y in zip(whole, cut))
 
 
-@pytest.mark.parametrize("block", [3, 1 << 15])
-def test_suffixes_sorted_by_induction(monkeypatch, block):
+@pytest.mark.parametrize("names", [0, 3, 1 << 22])
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_suffixes_sorted_by_induction(monkeypatch, block, names):
     monkeypatch.setattr(induced, "BLOCK", block)
-    for _ in range(150):
-        t = bytes(R.randint(1, R.choice([1, 2, 5])) for _ in range(R.randint(0, 60))) * R.randint(1, 4) + b"\0"
-        got = list(sorted_suffixes(t))
-        order = sorted(range(len(t)), key=lambda i: t[i:], reverse=True)
-        assert [s for s, _ in got] == order
-        for (a, common), b in zip(got, order[1:]):
-            real = next((k for k in range(len(t)) if max(a, b) + k >= len(t) or t[a + k] != t[b + k]), 0)
-            assert common == min(real, 100)
+    monkeypatch.setattr(induced, "NAMES", names)
+    for _ in range(60):
+        text = bytes(R.randint(1, R.choice([1, 2, 5, 200])) for _ in range(R.randint(0, 60))) * R.randint(1, 4) + b"\0"
+        cap = R.choice([3, 100, 300])
+        t = np.zeros(len(text) + STEP, np.uint8)
+        t[: len(text)] = np.frombuffer(text, np.uint8)
+        parts = list(sorted_suffixes(t, len(text), 200, cap))
+        order, shared = (np.concatenate([p[k] for p in parts]).tolist() for k in (0, 1))
+        assert sorted(order) == list(range(len(text)))
+        for a, b, k in zip(order, order[1:], shared[1:]):
+            real = next(j for j in range(cap + 1) if j == cap or text[a + j] != text[b + j])
+            assert k == real and (k == cap or text[a + k] > text[b + k])
+
+
+def test_a_shard_beyond_its_memory_goes_to_disk(monkeypatch):
+    made = []
+    real = Scratch.array
+    monkeypatch.setattr(Scratch, "array", lambda self, n, kind: made.append(n * np.dtype(kind).itemsize > self.left) or real(self, n, kind))
+    pieces = [words(40).encode()[:168] for _ in range(300)]
+    pieces += [p[20:150] for p in pieces[:200]]
+    table = pa.table({"key": list(range(500)), "start": pa.array([7] * 500, pa.int32()), "bytes": pieces, "hot": [False] * 500})
+    got = []
+    for memory in (1 << 30, 0):
+        made.clear()
+        shard = suffix_dedup.Shard(iter(table.to_batches(64)), memory)
+        assert not list(shard.sort())
+        got.append(sorted(tuple(x.tolist()) for part in shard.spans() for x in np.transpose(part)))
+        assert all(made) if not memory else not any(made)
+    assert got[0] == got[1] == [(300 + i, 7, 7 + 130) for i in range(200)]
