@@ -79,6 +79,15 @@ def sliced(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[p
     release()
 
 
+def model_file(model: str) -> str:
+    """Where a tokenizer's file lies: model itself if it is a path, else the public tokenizers' file of that name, here on this machine."""
+    if "/" in model:
+        return model
+    import public_tokenizers
+
+    return public_tokenizers.path(model)
+
+
 def release() -> None:
     """Hand free memory back to the system, where the C library can."""
     gc.collect()

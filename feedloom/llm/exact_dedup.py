@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import fresh, materialize, sliced
 
@@ -155,13 +156,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    its_id, its_sha = fresh(docs, "kept_id"), fresh(docs, "kept_sha")
+    """The rows of docs that stay, one of each text, with all their columns.
+
+    Of rows that share the largest id, or a null one, and the text, any one stays."""
+    its_id, its_sha, sha, nth = (fresh(docs, x) for x in ("kept_id", "kept_sha", "text_sha", "nth"))
     stay = (
         exact_duplicates(docs, id_col, text_col)
         .filter("kept")
         .select(F.col("doc_id").alias(its_id), F.col("text_sha256").alias(its_sha))
         .distinct()
     )
-    same = F.col(id_col).eqNullSafe(F.col(its_id)) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col(its_sha))
-    return docs.join(stay, same, "left_semi")
+    named = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    found = named.join(stay, F.col(id_col).eqNullSafe(F.col(its_id)) & (F.col(sha) == F.col(its_sha)), "left_semi")
+    equal = W.partitionBy(sha).orderBy(F.lit(1))
+    return found.withColumn(nth, F.row_number().over(equal)).filter(F.col(nth) == 1).select(*docs.columns)

@@ -9,12 +9,13 @@ pass the bounds expand into their distinct sets, and every such pair is verified
 whole sets. Copies never become pairs: equal sets are one class from the start.
 
 Buckets of more than BUCKET groups would give too many pairs. There every entry
-first meets a few neighbours in a pseudorandom order. After the components of what
-was found, a bucket in one component needs nothing more; in others all members
-outside the bucket's largest component meet all other members, and pairs in one
-component drop out. No pair that could join two components is left out. That is
-the quick path, for components alone; where every link counts, all entries of a large
-bucket meet, in salted blocks.
+first meets a few neighbours in a pseudorandom order of all classes, which is the
+same in all buckets, so that classes which share many buckets are neighbours in most
+of them and make few pairs. After the components of what was found, a bucket in one
+component needs nothing more; in others all members outside the bucket's largest
+component meet all other members, in salted blocks, and pairs in one component drop
+out. No pair that could join two components is left out. That is the quick path, for
+components alone; where every link counts, all entries of a large bucket meet.
 
 The order is a matter of speed alone, so it may rest on counts that leave out what
 repeats in no task. Shingles are held as 64-bit hashes and sets are told apart by
@@ -36,17 +37,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, materialize, sliced
+from .common import discard, forget, fresh, materialize, sliced
 
 #: Groups in a bucket that are paired outright; places in a large bucket's order that meet.
-BUCKET, NEIGHBOURS = 64, 4
+BUCKET, NEIGHBOURS = 8, 4
 #: Entries of a large bucket that meet in one task when all of them meet.
 BLOCK = 256
+#: Entries of a bucket of several components that those outside the largest meet in one task.
+REST_BLOCK = 4_096
 #: Counts below this don't move a shingle to the end; at most so many shingles are moved.
-REPEATS, MOVED = 8, 1_000_000
+REPEATS, MOVED = 8, 250_000
 #: Sets are fetched by a broadcast list of the places that want them up to this length (about 60 bytes each), beyond it by a shuffle.
 FETCH_BROADCAST = 500_000
 PARTNERS = 256
+#: Pairs of one class that its set goes to from one row.
+HOMES = 1_024
 FLUSH_SHINGLES, CACHE_WORDS = 2_000_000, 150_000
 
 
@@ -100,7 +105,7 @@ def _repeats(width: int):
 
 
 def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
-    """row, doc_id, text -> row, doc_id, n, sid, gid, prefix; a task gives a group's prefix once while it remembers it."""
+    """row, doc_id, text, text_hash -> row, doc_id, n, sid, gid, prefix, text_hash; a task gives a group's prefix once while it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, given = _Words(), set()
@@ -127,28 +132,28 @@ def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
             arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(sids, pa.binary()), pa.array(gids, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n", "sid", "gid", "prefix"])
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(3)], ["row", "doc_id", "n", "sid", "gid", "prefix", "text_hash"])
 
     return run
 
 
 def _sets(width: int):
-    """cls, sid, homes, text -> homes, cls, shingles, where the text has that set; a task gives a class once."""
+    """cls, chunk, sid, homes, text -> homes, cls, shingles, where the text has that set; a task gives a class's chunk of homes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, given = _Words(), set()
         for batch in sliced(batches):
             rows, sets = [], []
-            for i, (cls, sid, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)))):
-                if cls not in given:
+            for i, (cls, chunk, sid, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))):
+                if (cls, chunk) not in given:
                     s = shingle_set(text, width, words)
                     if xxhash.xxh3_128_digest(s) == sid:
-                        given.add(cls)
+                        given.add((cls, chunk))
                         rows.append(i)
                         sets.append(s.tobytes())
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2).take(at), batch.column(0).take(at), pa.array(sets, pa.binary())], ["homes", "cls", "shingles"]
+                [batch.column(3).take(at), batch.column(0).take(at), pa.array(sets, pa.binary())], ["homes", "cls", "shingles"]
             )
 
     return run
@@ -199,7 +204,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        edges = materialize(small.filter("a <> b").distinct(), "cc")
+        last, edges = edges, materialize(small.filter("a <> b").distinct(), "cc")
+        discard(last)
         now = state(edges)
         if now == was:
             break
@@ -223,9 +229,10 @@ class JaccardJoin:
         self.spark = docs.sparkSession
         moved, counts = self._moved()
         kind = self.texts.schema["doc_id"].dataType.simpleString()
-        rows = self.texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        rows = self.texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
         rows = rows.mapInArrow(
-            _prefixes(width, percent, moved, counts), f"row long, doc_id {kind}, n int, sid binary, gid binary, prefix array<long>"
+            _prefixes(width, percent, moved, counts),
+            f"row long, doc_id {kind}, n int, sid binary, gid binary, prefix array<long>, text_hash long",
         )
         self.rows = materialize(rows, "jaccard-rows")
         full = self.rows.filter("n > 0")
@@ -251,6 +258,7 @@ class JaccardJoin:
             .filter("groups > 1")
         )
         self.entries = materialize(entries, "jaccard-entries")
+        forget(self.spark)
 
     def _moved(self) -> tuple[np.ndarray, np.ndarray]:
         """The most repeated shingles, sorted, and their counts; at most MOVED of them, 16 bytes each."""
@@ -266,6 +274,7 @@ class JaccardJoin:
         frame = counts.filter(level >= least).toPandas()
         tokens, n = frame["token"].to_numpy(np.int64).view(np.uint64), frame["n"].to_numpy(np.int64)
         order = np.argsort(tokens)
+        discard(counts)
         return tokens[order], n[order]
 
     def _expanded(self, pairs: DataFrame) -> DataFrame:
@@ -293,7 +302,7 @@ class JaccardJoin:
     def candidates(self) -> DataFrame:
         """a, b: pairs of classes from small buckets, and neighbours in large ones."""
         large = self._large()
-        by_hash = W.partitionBy("key").orderBy(F.xxhash64("key", "cls"), "cls")
+        by_hash = W.partitionBy("key").orderBy(F.xxhash64("cls"), "cls")
         near = large.withColumn("next", F.array(*[F.lead(F.struct("cls", "n", "pos"), k).over(by_hash) for k in range(1, NEIGHBOURS + 1)]))
         near = near.withColumn("next", F.explode("next")).filter(
             F.col("next").isNotNull() & _can_reach(self.percent, F.col("n"), F.col("next.n"), F.col("pos"), F.col("next.pos"))
@@ -322,14 +331,22 @@ class JaccardJoin:
         roots = labels.select(F.col("node").alias("cls"), "root")
         large = self._large().join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         shares = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-        largest = shares.groupBy("key").agg(F.max(F.struct("k", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"))
+        largest = shares.groupBy("key").agg(
+            F.max(F.struct("k", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("k").alias("entries")
+        )
         split = materialize(large.join(largest.filter("roots > 1"), "key"), "jaccard-split")
-        few = split.filter("root <> most").select("key", "cls", "n", "pos", "root")
+        parts = F.ceil(F.col("entries") / REST_BLOCK).cast("int")
+        few = split.filter("root <> most").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "cls", "n", "pos", "root")
         all_ = split.select(
-            F.col("key").alias("key2"), F.col("cls").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("root2")
+            F.col("key").alias("key2"),
+            F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part2"),
+            F.col("cls").alias("other"),
+            F.col("n").alias("m"),
+            F.col("pos").alias("at"),
+            F.col("root").alias("root2"),
         )
         fits = _can_reach(self.percent, F.col("n"), F.col("m"), F.col("pos"), F.col("at"))
-        met = few.join(all_, (few["key"] == all_["key2"]) & (F.col("root") != F.col("root2")) & fits)
+        met = few.join(all_, (few["key"] == all_["key2"]) & (few["part"] == all_["part2"]) & (F.col("root") != F.col("root2")) & fits)
         return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -343,12 +360,15 @@ class JaccardJoin:
         home = F.struct("a", "part", F.lit(False).alias("partner"))
         own = placed.select(F.col("a").alias("cls"), home.alias("home")).distinct()
         partners = placed.select(F.col("b").alias("cls"), F.struct("a", "part", F.lit(True).alias("partner")).alias("home"))
-        homes = own.unionByName(partners).groupBy("cls").agg(F.collect_list("home").alias("homes"))
-        wanted = self.classes.join(homes, "cls").select("cls", "sid", "homes", F.col("doc_id").alias("its_id"))
-        wanted = materialize(wanted, "jaccard-wanted")
+        homes = own.unionByName(partners)
+        chunks = homes.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / HOMES).alias("chunks"))
+        homes = homes.join(chunks, "cls").groupBy("cls", F.pmod(F.xxhash64("home"), F.col("chunks")).alias("chunk"))
+        homes = homes.agg(F.collect_list("home").alias("homes"))
+        wanted = self.classes.join(homes, "cls").select("cls", "chunk", "sid", "homes", F.col("doc_id").alias("its_id"))
+        written = wanted = materialize(wanted, "jaccard-wanted")
         if wanted.agg(F.coalesce(F.sum(F.size("homes")), F.lit(0))).first()[0] <= FETCH_BROADCAST:
             wanted = F.broadcast(wanted)
-        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id"))).select("cls", "sid", "homes", "text")
+        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id"))).select("cls", "chunk", "sid", "homes", "text")
         sets = texts.mapInArrow(_sets(self.width), "homes array<struct<a:long,part:long,partner:boolean>>, cls long, shingles binary")
         sent = sets.select(F.explode("homes").alias("home"), "cls", "shingles").select("home.*", "cls", "shingles")
         checked = (
@@ -357,7 +377,10 @@ class JaccardJoin:
             .mapInArrow(_verifier(self.percent), "a long, b long")
             .distinct()
         )
-        return materialize(checked, "jaccard-links")
+        checked = materialize(checked, "jaccard-links")
+        discard(pairs, written)
+        forget(self.spark)
+        return checked
 
     def links(self) -> DataFrame:
         """a, b: all pairs of classes that are similar enough, whatever the size of their buckets."""
@@ -380,14 +403,26 @@ class JaccardJoin:
     def connecting(self) -> DataFrame:
         """a, b: verified pairs of classes, enough of them to connect every component."""
         first = self.verified(self.candidates())
-        rest = self._rest(connected_components(first))
+        rest = materialize(self._rest(connected_components(first)), "jaccard-rest")
         return first.unionByName(self.verified(rest)) if not rest.isEmpty() else first
 
-    def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id (the least id that links reach), class_id of every document."""
+    def _rooted(self) -> DataFrame:
+        """row, doc_id, n, text_hash, root (a number of its component), cls of every document."""
         labels = connected_components(self.connecting())
         roots = self.classes.join(labels, F.col("cls") == F.col("node"), "left").select("sid", "cls", F.coalesce("root", "cls").alias("root"))
-        named = self.rows.join(roots, "sid", "left").select("row", "doc_id", "n", F.coalesce("root", "row").alias("root"), F.coalesce("cls", "row").alias("cls"))
+        return self.rows.join(roots, "sid", "left").select(
+            "row", "doc_id", "n", "text_hash", F.coalesce("root", "row").alias("root"), F.coalesce("cls", "row").alias("cls")
+        )
+
+    def stay(self) -> DataFrame:
+        """doc_id, text_hash, several: the document of each component that has the least id, null last; several: all of its kind stay, having no words."""
+        rooted = self._rooted()
+        least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash", "n")).alias("x"))
+        return least.select("x.doc_id", "x.text_hash", (F.col("x.n") == 0).alias("several")).distinct()
+
+    def components(self) -> DataFrame:
+        """doc_id, n_shingles, component_id (the least id that links reach), class_id of every document."""
+        named = self._rooted()
         least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
         return named.join(least, "root", "left").select(
             "doc_id",
@@ -398,8 +433,13 @@ class JaccardJoin:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is the least of its component, with all their columns."""
-    name = fresh(docs, "kept_id")
-    found = JaccardJoin(docs, id_col, text_col, **how).components()
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    """One row of each component, that with the least id, null last, with all its columns; rows without words all stay.
+
+    Of rows that share this id and the text any one stays."""
+    its_id, its_hash, hashed, several, nth = (fresh(docs, x) for x in ("kept_id", "kept_hash", "text_hash", "several", "nth"))
+    stay = JaccardJoin(docs, id_col, text_col, **how).stay().toDF(its_id, its_hash, several)
+    same = F.col(id_col).eqNullSafe(F.col(its_id)) & (F.col(hashed) == F.col(its_hash))
+    found = docs.withColumn(hashed, F.xxhash64(text_col)).join(stay, same)
+    equal = W.partitionBy(hashed, id_col).orderBy(F.lit(1))
+    found = found.withColumn(nth, F.row_number().over(equal)).filter((F.col(nth) == 1) | F.col(several))
+    return found.select(*docs.columns)

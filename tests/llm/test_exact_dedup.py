@@ -36,6 +36,12 @@ def test_stage_keeps_columns_and_one_of_each(spark):
     assert sorted(r.doc_id for r in out.select("doc_id").distinct().collect()) == [2, 4, 5, 8, 9]
 
 
+def test_stage_keeps_one_of_equal_rows(spark):
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (None, "a"), (2, None), (2, "")]
+    out = drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in out if r.doc_id) == [(1, "a"), (2, "")] and [r.text for r in out if r.doc_id is None] == ["b"]
+
+
 def test_empty_table(spark):
     assert exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -85,6 +85,35 @@ def test_stage_and_empty_table(spark):
     assert JaccardJoin(spark.createDataFrame([], "doc_id long, text string")).components().count() == 0
 
 
+def test_stage_keeps_one_row_of_rows_loaded_twice(spark):
+    text, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, text), (1, text), (None, text), (None, other), (None, other), (1, other + " x"), (2, None), (2, None), (None, "")]
+    kept = sorted((tuple(r) for r in keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(1, text), (1, other + " x"), (2, None), (2, None), (None, "")], key=str)
+
+
+@pytest.mark.parametrize("copies", [500, 2000])
+def test_a_family_gives_few_candidates_for_each_class(spark, copies):
+    r = random.Random(12)
+    rows = []
+    for i in range(copies):
+        words = [f"v{j}" for j in range(200)]
+        words[r.randrange(200)] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    join = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    pairs = join.candidates().count()
+    assert pairs <= 3 * jaccard.NEIGHBOURS * copies
+
+
+def test_other_paths_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FETCH_BROADCAST", 0)
+    monkeypatch.setattr(jaccard, "HOMES", 2)
+    monkeypatch.setattr(jaccard, "REST_BLOCK", 3)
+    monkeypatch.setattr(jaccard, "MOVED", 5)
+    rows = corpus(3, 30, 12)
+    assert found(spark, rows, bucket=2) == brute(rows)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 600), (600, 550), (7, 7)], "a long, b long")
     got = dict(map(tuple, connected_components(edges).collect()))
