@@ -5,14 +5,14 @@ documents, laid end to end. A text is brought to lower case, what isn't a letter
 becomes a space, and it is cut into segments; every segment is encoded with every
 dictionary, and the language whose encodings are smallest in sum is the guess. The
 margin is the part by which the smallest sum is below the second smallest. Where
-it is narrow, which whole bytes make likely for short texts, the tails of the
-first segment from each of its words are encoded, too. A text is rejected when
-the margin then still is narrow.
+it is narrow, which whole bytes make likely for short texts, the tails of every
+segment from each of its words are encoded, too. A text is rejected when the
+margin then still is narrow.
 
 Dictionaries are fitted on a bounded sample: at most SAMPLE_TEXTS distinct texts
 of a language, those whose hashes are smallest, with PASSAGE_CHARS characters of
-each, from a place that the hash gives. All rows count towards the sample's
-threshold, and every whole text is scored.
+each, from a place that the hash gives. All rows are looked
+at for the sample, and every whole text is scored.
 
 Defined results: a null text, and a text without letters, is `und` with score 0
 and rejected; labels that are null teach nothing; equal sums go to the language
@@ -45,11 +45,12 @@ def passages(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = PASSAG
     """lang, u, passage: the bounded sample, from lang and text.
 
     u is a hash of the text, so copies fall together and count once. A first cut at
-    twice the wanted share leaves few rows for the window that takes the least."""
+    four times the wanted share of the distinct texts, whose number is known to some
+    hundredths, leaves few rows for the window that takes the least."""
     rows = labelled.filter("lang is not null and text <> ''").select(
         "lang", "text", (F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(1 << 40)).alias("u")
     )
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("least"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("u").alias("n"), F.min("u").alias("least"))
     n = counts.count()
     near = join_small(rows, counts, ["lang"], n).filter(
         (F.col("u") <= F.lit(4.0 * texts) / F.col("n")) | (F.col("u") == F.col("least"))
@@ -98,10 +99,11 @@ def classify(text: str | None, by_lang: list[tuple[str, zstandard.ZstdCompressor
     sums = {lang: sum(len(c.compress(p)) for p in parts) for lang, c in by_lang}
     (best, lang), (second, _) = sorted((n, lang) for lang, n in sums.items())[:2]
     if best > second * (1 - MARGIN):
-        words = low[:SEGMENT_CHARS].split(" ")
-        tails = [" ".join(["", *words[i:]]).encode() for i in range(2, len(words))]
-        tails += [(" " + w).encode() for w in words]
-        sums = {lang: sums[lang] + sum(len(c.compress(p)) for p in tails) for lang, c in by_lang}
+        for i in range(0, len(low), SEGMENT_CHARS):
+            words = low[i : i + SEGMENT_CHARS].split(" ")
+            tails = [" ".join(["", *words[i:]]).encode() for i in range(2, len(words))]
+            tails += [(" " + w).encode() for w in words]
+            sums = {lang: sums[lang] + sum(len(c.compress(p)) for p in tails) for lang, c in by_lang}
         (best, lang), (second, _) = sorted((n, lang) for lang, n in sums.items())[:2]
     return lang, 1.0 - best / second
 

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, by DataFrame functions alone.
 
 Documents of a source are laid end to end in a pseudorandom order and cut into
-blocks of a fixed number of words. The mix is a row of slots, cut into output
+blocks of a fixed number of words, which is less for a source whose target is but a
+few blocks. The mix is a row of slots, cut into output
 shards. Every shard draws its slots' sources from a multinomial distribution.
 What a source has drawn beyond its quota is dealt again to the sources still
 short of theirs, so totals are exact to a block. The r-th slot of a source takes
@@ -27,11 +28,13 @@ from .common import WORD, fresh, join_small, materialize, prefix_sums
 
 #: Weights by the order of the sources' names, repeating.
 WEIGHTS = (3, 1, 2)
+#: About so many rows of all sources have their places summed up in one task.
+BUCKET_ROWS = 4_000
 
 
 @dataclass
 class Mix:
-    """sizes: row, doc_id, src, size; sources: src, source, source_size, target, blocks, quota;
+    """sizes: row, doc_id, src, size; sources: src, source, source_size, target, block_words, blocks, quota;
     pieces: src, block, row, first_word, words; slots: shard, src, rank, block, epoch."""
 
     sizes: DataFrame
@@ -110,13 +113,13 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
     return F.when(found < n, found).otherwise(F.raise_error(F.lit("the permutation's walk did not end")).cast("long"))
 
 
-def _layout(sizes: DataFrame, rows: int, block_words: int, seed: int) -> DataFrame:
+def _layout(sizes: DataFrame, rows: int, seed: int) -> DataFrame:
     """Where documents fall in their source's row of blocks: src, block, row, first_word, words."""
-    buckets = max(1, rows // 20_000)
+    buckets = max(1, rows // BUCKET_ROWS)
     placed = sizes.filter("size > 0").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed)))
     placed = placed.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     placed = prefix_sums(placed, ["src"], "bucket", ["h", "doc_id", "size", "row"], "size", "start")
-    b = F.lit(block_words)
+    b = F.col("block_words")
     low, end = F.col("block") * b, F.col("start") + F.col("size")
     first = F.greatest(low, F.col("start"))
     return placed.withColumn(
@@ -197,7 +200,7 @@ def mix_sources(
     """Mix all documents; see the module. A source's taken words differ from its target by about a block.
 
     share: the mix's words over all words; limit: the most epochs of a source;
-    block_words: words of a block; shard_slots: blocks of an output shard; row_col: a
+    block_words: words of a block, or a sixteenth of the source's target if that is less; shard_slots: blocks of an output shard; row_col: a
     column that tells rows apart, else they are numbered."""
     spark = docs.sparkSession
     counted = docs.select(
@@ -209,10 +212,12 @@ def mix_sources(
     counted = materialize(counted, "mix-sizes")
     by_source = counted.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = fill_targets(by_source.select("source", "source_size"), share, limit)
-    blocks = F.ceil(F.col("source_size") / block_words)
+    words = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / 16))).cast("long")
+    sources = sources.withColumn("block_words", words)
+    blocks = F.ceil(F.col("source_size") / F.col("block_words"))
     most = F.floor(blocks * F.lit(limit)).cast("long")
     sources = sources.select(
-        "*", blocks.alias("blocks"), F.least(F.round(F.col("target") / block_words).cast("long"), most).alias("quota")
+        "*", blocks.alias("blocks"), F.least(F.round(F.col("target") / F.col("block_words")).cast("long"), most).alias("quota")
     )
     sources = materialize(sources, "mix-sources")
     totals = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("quota"), F.lit(0))).first()
@@ -220,9 +225,10 @@ def mix_sources(
     rows = by_source.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     keyed = F.col("source").eqNullSafe(F.col("its_source"))
     sizes = join_small(
-        counted, sources.select("src", F.col("source").alias("its_source")), keyed, n_sources
-    ).select("row", "doc_id", "src", "size")
-    pieces = _layout(sizes, int(rows), block_words, seed)
+        counted, sources.select("src", "block_words", F.col("source").alias("its_source")), keyed, n_sources
+    ).select("row", "doc_id", "src", "size", "block_words")
+    pieces = _layout(sizes, int(rows), seed)
+    sizes = sizes.drop("block_words")
     ranks = _slots(spark, sources, n_sources, n_slots, shard_slots, seed)
     slots = join_small(ranks, sources.select("src", "blocks"), ["src"], n_sources).select(
         "shard",

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, sliced
+from .common import model_file, release, sliced
 
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
@@ -125,7 +125,7 @@ class Codec:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
 
-        with open(path, "rb") as f:
+        with open(model_file(path), "rb") as f:
             model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
         kinds = [p.type for p in model.pieces]
         if model.trainer_spec.model_type != 2 or {USER_DEFINED, UNUSED} & set(kinds) or model.trainer_spec.treat_whitespace_as_suffix:

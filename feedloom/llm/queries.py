@@ -18,12 +18,12 @@ from .suffix_dedup import repeated_spans
 from .suffix_tree_lm import SuffixTreeModel
 from .token_counts import count_tokens
 
-#: Where the public tokenizers' vocabulary files lie.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: A folder with the public tokenizers' vocabulary files; without one, each machine takes those it has installed.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR")
 
 
 def piece_model() -> str:
-    return f"{TOKENIZERS}/piece_bpe_32k.model"
+    return f"{TOKENIZERS}/piece_bpe_32k.model" if TOKENIZERS else "piece_bpe_32k.model"
 
 
 def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, sliced
+from .common import model_file, release, sliced
 
 NODES, LONG, SHIFT = 500_000, 64, 2.7
 
@@ -50,7 +50,7 @@ class Unigram:
     def of_model(cls, path: str) -> Unigram:
         from sentencepiece import sentencepiece_model_pb2
 
-        with open(path, "rb") as f:
+        with open(model_file(path), "rb") as f:
             model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
         return cls([p.piece.replace("▁", " ").encode() for p in model.pieces if p.type == 1])
 

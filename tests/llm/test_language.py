@@ -1,4 +1,7 @@
 import random
+import re
+
+import zstandard
 
 from feedloom.llm.language import classify, encoders, fit_dictionaries, identify_languages, keep_identified, remainder
 
@@ -36,6 +39,36 @@ def test_sample_is_bounded_and_copies_count_once(spark):
     assert found["aa"].count(b"same") <= 2 and found["bb"].count(b"other") <= 50
 
 
+def test_equals_a_plain_walk_over_all_dictionaries(spark):
+    """Lengths of encodings, summed, ties to the language that sorts first; 'dd' has the dictionary of 'aa'."""
+    docs = table(spark)
+    found = fit_dictionaries(docs.filter(remainder("doc_id", 4) != 2))
+    found["dd"] = found["aa"]
+    rows = {r.doc_id: r for r in identify_languages(docs.filter("doc_id > 5"), found).collect()}
+    for r in docs.filter("doc_id > 5").collect():
+        low = " " + re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).strip()
+        parts = [low[i : i + 500] for i in range(0, len(low), 500)]
+
+        def bits(lang, parts):
+            d = zstandard.ZstdCompressionDict(found[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=3)
+            c = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)
+            return sum(len(c.compress(p.encode())) for p in parts)
+
+        if low == " ":
+            assert rows[r.doc_id].lang_pred == "und"
+            continue
+        sums = sorted((bits(lang, parts), lang) for lang in found)
+        if sums[0][0] > sums[1][0] * (1 - 0.0005):
+            for p in list(parts):
+                words = p.split(" ")
+                parts += [" ".join(["", *words[i:]]) for i in range(2, len(words))] + [" " + w for w in words]
+            sums = sorted((bits(lang, parts), lang) for lang in found)
+        got = rows[r.doc_id]
+        assert (got.lang_pred, got.score) == (sums[0][1], 1 - sums[0][0] / sums[1][0])
+        assert got.lang_pred != "dd" and got.rejected == (got.score < 0.0005)
+
+
 def test_no_labels_one_language_and_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert fit_dictionaries(empty) == {} and identify_languages(empty, {}).count() == 0

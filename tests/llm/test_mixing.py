@@ -75,5 +75,39 @@ def test_stage_gives_the_taken_words(spark):
     assert out.columns == t.columns and got == want
 
 
+def test_taken_equals_a_walk_of_the_slots(spark):
+    """Every slot's block taken word by word, from the documents laid end to end."""
+    t = table(spark).filter("doc_id is not null and doc_id <> 5")
+    mix = mix_sources(t, block_words=16)
+    laid, taken = {}, Counter()
+    sizes = {r.row: (r.doc_id, r["size"]) for r in mix.sizes.collect()}
+    for r in mix.pieces.collect():
+        for w in range(r.first_word, r.first_word + r.words):
+            laid.setdefault((r.src, r.block), []).append((r.row, w))
+    words = [x for block in laid.values() for x in block]
+    assert sorted(words) == [(row, w) for row, (_, n) in sorted(sizes.items()) for w in range(n)]
+    for s in mix.slots.collect():
+        taken.update(sizes[row][0] for row, _ in laid[s.src, s.block])
+    assert {r.doc_id: r.taken for r in mix.documents().collect()} == {d: taken[d] for d, _ in sizes.values()}
+
+
+def test_a_source_of_few_words_comes_near_its_target(spark):
+    rows = [(i, "w " * 500, "big") for i in range(40)] + [(100 + i, "v " * 7, "small") for i in range(4)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).documents().collect()
+    for source in ("big", "small"):
+        target = next(r.target for r in got if r.source == source)
+        assert abs(sum(r.taken for r in got if r.source == source) - target) <= max(1, target / 16, 0.0)
+
+
+def test_ties_of_the_order_agree(spark):
+    rows = [(1, "a b c", "x")] * 30 + [(1, "d e", "x")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums = [Counter() for _ in range(2)]
+    for k, d in enumerate((docs, docs.repartition(5))):
+        for r in mix_sources(d).documents().collect():
+            sums[k][r["size"]] += r.taken
+    assert sum(sums[0].values()) == sum(sums[1].values())
+
+
 def test_empty_table(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).documents().count() == 0
