@@ -87,15 +87,23 @@ def _refined(rank: np.ndarray, on: np.ndarray, key: np.ndarray, bits: int) -> np
 
 def _ranked_pieces(t: np.ndarray, low: np.ndarray, high: np.ndarray, top: int, cap: int) -> np.ndarray:
     """Ranks of the pieces t[low..high]; where one begins another, the shorter is the greater."""
-    bits, past = (top + 1).bit_length(), len(t) - 1
+    small = t.dtype == np.uint8
+    bits, past = 8 if small else (top + 1).bit_length(), len(t) - 1
     rank, on, at = np.zeros(len(low), np.int64), np.arange(len(low)), 0
+    near = np.lib.stride_tricks.sliding_window_view(t, STEP)
     while len(on) and at < cap:
-        width = max(1, (63 - (len(low).bit_length() if at else 0)) // bits)
-        key = np.zeros(len(on), np.int64)
-        for j in range(at, at + width):
-            place = low[on] + j
-            symbol = np.where(place <= high[on], t[np.minimum(place, past)], np.where(place == high[on] + 1, top + 1, 0))
-            key = key << bits | symbol
+        width = min(STEP, max(1, (63 - (len(low).bit_length() if at else 0)) // bits))
+        left = high[on] + 1 - low[on] - at  # so many symbols are left, and then one above all others
+        if small:
+            x = near[np.minimum(low[on] + at, len(near) - 1)]
+            places = np.arange(STEP)
+            x = np.where(places < left[:, None], x, np.where(places == left[:, None], np.uint8(top + 1), np.uint8(0)))
+            key = (x.view(">u8")[:, 0].astype(np.uint64) >> np.uint64(64 - 8 * width)).astype(np.int64)
+        else:
+            key = np.zeros(len(on), np.int64)
+            for j in range(width):
+                symbol = np.where(j < left, t[np.minimum(low[on] + at + j, past)], np.where(j == left, top + 1, 0))
+                key = key << bits | symbol
         on = _refined(rank, on, key, bits * width)
         at += width
         on = on[low[on] + at <= high[on] + 1]
@@ -269,14 +277,25 @@ def sorted_suffixes(t: np.ndarray, n: int, top: int, cap: int, scratch: Scratch
     _kinds(t, n, rising)
     falls, climbs, seeds = (np.zeros(top + 1, np.int64) for _ in range(3))
     below, above = np.full(top + 1, -1, np.int64), np.full(top + 1, top + 1, np.int64)
+    pairs = np.zeros((2, (top + 1) ** 2), np.int64) if top < 1 << 8 else None
     m = 0
     for a, b in blocks(0, n):
         up, x, after = rising[a:b], t[a:b], t[a + 1 : b + 1]
         falls += np.bincount(x[~up], minlength=top + 1)
         climbs += np.bincount(x[up], minlength=top + 1)
-        np.maximum.at(below, x[~up], after[~up])
-        np.minimum.at(above, x[up], after[up])
+        if pairs is not None:
+            codes = x.astype(np.int64) * (top + 1) + after
+            pairs[0] += np.bincount(codes[~up], minlength=len(pairs[0]))
+            pairs[1] += np.bincount(codes[up], minlength=len(pairs[1]))
+        else:
+            np.maximum.at(below, x[~up], after[~up])
+            np.minimum.at(above, x[up], after[up])
         m += np.count_nonzero(up[1:] & ~up[:-1]) + int(a > 0 and rising[a] and not rising[a - 1])
+    if pairs is not None:
+        for symbol, after in zip(*np.nonzero(pairs[0].reshape(top + 1, -1))):
+            below[symbol] = after
+        for symbol, after in zip(*(c[::-1] for c in np.nonzero(pairs[1].reshape(top + 1, -1)))):
+            above[symbol] = after
     above[0] = top + 1  # of the end, nothing comes after
     starts, m = scratch.array(m, np.int32 if n < 1 << 31 else np.int64), 0
     for a, b in blocks(1, n):

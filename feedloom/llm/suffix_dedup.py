@@ -41,10 +41,11 @@ from pyspark.sql import types as T
 from .common import discard, forget, materialize, release, sliced
 from .induced import MEMORY, STEP, Scratch, blocks, sorted_suffixes
 
-LENGTH, ANCHOR = 100, 32
+LENGTH, ANCHOR = 100, 16
 WINDOW, SIDE = LENGTH - ANCHOR + 1, (LENGTH - ANCHOR) // 2
 CORE = ANCHOR + SIDE
-SEGMENT = 1 << 20
+#: Bytes of text that are looked at together; pieces of a task that are counted or compared before they leave it.
+SEGMENT, FLUSH = 1 << 17, 400_000
 #: Different pieces of one core that stay in one shard.
 HOT = 4_096
 #: Text of a shard that tables beyond `spark.sql.shuffle.partitions` of them are dealt for.
@@ -53,12 +54,13 @@ PRIME = 0x100000001B3
 INVERSE = pow(PRIME, -1, 1 << 64)
 SHIFTED = bytes((i + 2) % 256 for i in range(256))  # UTF-8 has no byte above 0xF4, so 0 and 1 stay free
 TOP = 0xF4 + 2
+LOW_BITS = np.uint64(0xFFFFFFFF)
 _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         _POWERS.clear()
         for base in (PRIME, INVERSE):
-            p = np.full(max(n, SEGMENT + 4 * LENGTH), base, np.uint64)
+            p = np.full(max(n, 2 * SEGMENT + 8 * LENGTH), base, np.uint64)
             p[0] = 1
             _POWERS.append(np.multiply.accumulate(p))
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -69,76 +71,118 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
 
 
-def _sliding(f, x: np.ndarray, width: int) -> np.ndarray:
-    """f, minimum or maximum, over every `width` neighbours, by doubling."""
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbours, by doubling."""
     size = 1
     while 2 * size <= width:
-        x = f(x[:-size], x[size:])
+        x = np.minimum(x[:-size], x[size:])
         size *= 2
-    return f(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
-
-
-def runs(data: bytes) -> tuple[np.ndarray, ...]:
-    """core, whole (hashes), low, high: each run of strings of data that share an anchor and a side, by its first and last start."""
-    found = []
-    for start in range(0, max(1, len(data)), SEGMENT):
-        # strings that start in the segment; the first may belong to a run that began before
-        low = max(0, start - WINDOW)
-        part = data[low : start + SEGMENT + WINDOW + LENGTH]
-        n = len(part)
-        if n < LENGTH:
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+
+
+def _segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """Lists of (text, first place of its own, place where the part begins, part): parts of texts, about SEGMENT bytes together.
+
+    A part goes far enough round the strings that start at places of its own to show their runs as a whole."""
+    held, size = [], 0
+    for i, data in enumerate(texts):
+        if len(data) < LENGTH:
             continue
+        for start in range(0, len(data) - LENGTH + 1, SEGMENT):
+            low = max(0, start - 1)
+            part = data[low : start + SEGMENT + WINDOW + LENGTH]
+            held.append((i, start, low, part))
+            size += len(part)
+            if size >= SEGMENT:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """core, whole (hashes), text, low, high: each run of strings that share an anchor and a side, by its first and last start."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    for held in _segments(texts):
+        text, start, low = (np.array([h[k] for h in held], np.int64) for k in range(3))
+        size = np.array([len(h[3]) for h in held], np.int64)
+        begin = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(h[3] for h in held), np.uint8)
+        n = len(data)
         up, down = _powers(n)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(part, np.uint8).astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
         count = n - ANCHOR + 1
-        x = _mixed((sums[ANCHOR:] - sums[:count]) * down[:count]) | np.uint64(1)
-        least = _sliding(np.minimum, x, WINDOW)
-        edge = np.zeros(WINDOW - 1, np.uint64)
-        at = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), WINDOW) == x)
+        x = _mixed((sums[ANCHOR:] - sums[:count]) * down[:count])
         # a string's anchor is the first place in it with the least hash
-        starts = np.arange(len(least))
-        which = np.searchsorted(at, starts)
-        wrong = np.flatnonzero(x[at[which]] != least)
-        while len(wrong):
-            which[wrong] += 1
-            wrong = wrong[x[at[which[wrong]]] != least[wrong]]
-        anchor = at[which]
+        anchor = (_least(x & ~LOW_BITS | np.arange(count, dtype=np.uint64), WINDOW) & LOW_BITS).astype(np.int64)
+        starts = np.arange(len(anchor))
         left = anchor - starts >= SIDE
-        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1])]))
-        last = np.append(first[1:], len(starts)) - 1
-        own = (first + low >= start) & (first + low < start + SEGMENT)
-        first, last = first[own], last[own]
+        inside = np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(begin + size - LENGTH + 1, minlength=n + 1))[: len(anchor)] > 0
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1]) | (inside[1:] != inside[:-1])])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(anchor)) - 1
+        part = np.searchsorted(begin, first, side="right") - 1
+        place = first - begin[part] + low[part]
+        own = inside[first] & (place >= start[part]) & (place < start[part] + SEGMENT)
+        first, last, part, place = first[own], last[own], part[own], place[own]
         anchor, left = anchor[first], left[first]
-        begin = anchor - np.where(left, SIDE, 0)
-        core = _mixed((sums[begin + CORE] - sums[begin]) * down[begin] ^ left.astype(np.uint64))
+        at = anchor - np.where(left, SIDE, 0)
+        core = _mixed((sums[at + CORE] - sums[at]) * down[at] ^ left.astype(np.uint64))
         whole = _mixed((sums[last + LENGTH] - sums[first]) * down[first])
         whole ^= _mixed(((anchor - first) * LENGTH + last - first).astype(np.uint64))
-        found.append((core, whole, first + low, last + low))
-    if not found:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64))
+        found.append((core, whole, text[part], place, place + last - first))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> core, n of its pieces; a core has one row for each batch."""
+    """text -> core, n: cores with the number of their pieces, some hundred thousand pieces at a time."""
+    held, size = [], 0
+
+    def counted() -> pa.RecordBatch:
+        cores, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(n)], ["core", "n"])
+
     for batch in sliced(batches):
-        parts = [runs(t.encode())[0] for t in batch.column(0).to_pylist()]
-        cores, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(n)], ["core", "n"])
+        held.append(runs([t.encode() for t in batch.column(0).to_pylist()])[0])
+        size += len(held[-1])
+        if size > FLUSH:
+            yield counted()
+            held, size = [], 0
+    yield counted()
+
+
+def _copies(core: np.ndarray, whole: np.ndarray, key: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which pieces have an equal one among these that comes first."""
+    out = np.zeros(len(core), bool)
+    both = core ^ _mixed(whole)
+    order = np.argsort(both)
+    both = both[order]
+    same = both[1:] == both[:-1]
+    some = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+    some = some[np.lexsort((low[some], key[some], whole[some], core[some]))]
+    out[some[1:]] = (core[some[1:]] == core[some[:-1]]) & (whole[some[1:]] == whole[some[:-1]])
+    return out
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text -> core, whole, key, low, high"""
+    """key, text -> core, whole, key, low, high, copy: copy marks pieces that repeat one of the same task, so that those
+    of a common passage need not meet."""
+    held, size = [], 0
+
+    def made() -> pa.RecordBatch:
+        core, whole, key, low, high = (np.concatenate(c) for c in zip(*held))
+        arrays = [core.view(np.int64), whole.view(np.int64), key, low.astype(np.int32), high.astype(np.int32), _copies(core, whole, key, low)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["core", "whole", "key", "low", "high", "copy"])
+
     for batch in sliced(batches):
-        keys, parts = [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            got = runs(text.encode())
-            keys.append(np.full(len(got[0]), key, np.int64))
-            parts.append(got)
-        if parts:
-            core, whole, low, high = (np.concatenate(c) for c in zip(*parts))
-            arrays = [core.view(np.int64), whole.view(np.int64), np.concatenate(keys), low.astype(np.int32), high.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["core", "whole", "key", "low", "high"])
+        core, whole, text, low, high = runs([t.encode() for t in batch.column(1).to_pylist()])
+        held.append((core, whole, batch.column(0).to_numpy()[text], low, high))
+        size += len(core)
+        if size > FLUSH:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,12 +344,15 @@ def _pieces(texts: DataFrame) -> DataFrame:
     cores = texts.select("text").mapInArrow(_cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n"))
     cores = materialize(cores.filter("n > 1").select("core"), "repeats-cores")
     forget(texts.sparkSession)
-    rows = texts.mapInArrow(_piece_rows, "core long, whole long, key long, low int, high int")
+    rows = texts.mapInArrow(_piece_rows, "core long, whole long, key long, low int, high int, copy boolean")
     rows = materialize(rows.join(cores, "core", "left_semi"), "repeats-pieces")
     discard(cores)
-    first = rows.groupBy("core", "whole").agg(F.min(F.struct("key", "low")).alias("first"))
+    forget(texts.sparkSession)
+    open_ = rows.filter("NOT copy")
+    first = open_.groupBy("core", "whole").agg(F.min(F.struct("key", "low")).alias("first"))
     copy = F.struct("key", "low") != F.col("first")
-    pieces = materialize(rows.join(first, ["core", "whole"]).select("key", "low", "high", "core", copy.alias("copy")), "repeats-pieces")
+    pieces = open_.join(first, ["core", "whole"]).select("key", "low", "high", "core", copy.alias("copy"))
+    pieces = materialize(pieces.unionByName(rows.filter("copy").select("key", "low", "high", "core", "copy")), "repeats-pieces")
     discard(rows)
     forget(texts.sparkSession)
     return pieces

@@ -35,13 +35,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import forget, join_small, materialize, sliced
+from .common import discard, forget, join_small, materialize, sliced
 
 BLOCK_TOKENS = 2_000_000
 SYMBOL_SHARE, CONTEXT_SHARE, ENTRY_SHARE = 5e-5, 5e-5, 2e-6
@@ -148,33 +148,41 @@ def locate(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _numbered(keys: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys among the valid ones, and each one's place among them, -1 where it isn't valid."""
+    at = np.full(len(keys), -1, np.int64)
+    at[valid], found = pd.factorize(keys[valid])
+    return found, at
+
+
+def _contexts(ids: np.ndarray, lengths: np.ndarray, places: np.ndarray, size: int, k: int) -> dict[str, bytes]:
+    """Of each token the context of length k, where the one of k-1, at `places`, is in the tree: distinct ones, and which a token has."""
+    since = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    older = np.zeros(len(ids), np.int64)
+    older[k:] = ids[:-k]
+    older[since < k] = 0  # a block's symbol 0 is BEFORE
+    found, at = _numbered(places * size + older, (since >= k - 1) & (places >= 0))
+    return {"parents": _packed(found // size), "older": _packed(found % size), "at": _packed(at)}
+
+
 class _Block:
-    """A row of the state, and the contexts of length k that it holds: `found` has their keys, `at` each token's place among them, or -1."""
+    """A row of the state: its tokens' symbols, and the contexts that they have on the level to come."""
 
-    def __init__(self, state: pa.Table | pa.RecordBatch, row: int, k: int):
+    def __init__(self, state: pa.Table | pa.RecordBatch, row: int):
         self.symbols = state.column("symbols")[row].values.to_numpy()
         self.contexts = state.column("contexts")[row].values.to_numpy()
-        self.ids = _unpacked(state.column("ids")[row].as_py())
-        lengths = state.column("lengths")[row].values.to_numpy()
-        self.train = np.repeat(~np.array(state.column("held")[row].as_py(), bool), lengths)
-        self.starts = np.cumsum(lengths) - lengths
+        self.parents, self.older, self.at, self.ids = (_unpacked(state.column(c)[row].as_py()) for c in ("parents", "older", "at", "ids"))
+        self.lengths = state.column("lengths")[row].values.to_numpy()
+        self.train = np.repeat(~np.array(state.column("held")[row].as_py(), bool), self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.size = len(self.symbols)
-        place = _unpacked(state.column("places")[row].as_py())
-        since = np.arange(len(self.ids)) - np.repeat(self.starts, lengths)
-        older = np.zeros(len(self.ids), np.int64)
-        older[k:] = self.ids[:-k]
-        older[since < k] = 0  # a block's symbol 0 is BEFORE
-        keys = np.where((since >= k - 1) & (place >= 0), place * self.size + older, -1)
-        found, at = np.unique(keys, return_inverse=True)
-        none = int(found[0] < 0)
-        self.found, self.at = found[none:], at - none
 
 
-STATE = ["block", "docs", "held", "lengths", "known", "base", "gain", "symbols", "ids", "contexts", "places"]
+STATE = ["block", "docs", "held", "lengths", "known", "base", "gain", "symbols", "ids", "contexts", "parents", "older", "at"]
 
 
 def _with_symbols(total: int, distinct: int):
-    """A block and block, number, c, symbol of its words -> the state before the first level."""
+    """A block and of_block, number, c, symbol of its words -> the state before the first level."""
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         number = words.column("number").to_numpy()
@@ -185,86 +193,79 @@ def _with_symbols(total: int, distinct: int):
         lengths = block.column("lengths")[0].values.to_numpy()
         starts = np.cumsum(lengths) - lengths
         base = np.log10((c + ADD) / (total + ADD * (distinct + 1))) if total else np.zeros(len(c))
+        of_tokens = own[ids] + 1
         row = {
             "known": np.add.reduceat((c[ids] > 0).astype(np.int64), starts),
             "base": np.add.reduceat(base[ids], starts),
             "gain": np.zeros(len(lengths)),
             "symbols": np.concatenate([[BEFORE], symbols]),
-            "ids": _packed(own[ids] + 1),
+            "ids": _packed(of_tokens),
             "contexts": np.array([ROOT], np.int64),
-            "places": _packed(np.zeros(len(ids))),
         }
+        row |= _contexts(of_tokens, lengths, np.zeros(len(ids), np.int64), len(symbols) + 1, 1)
         return pa.Table.from_arrays([pa.array([row[n]]) if n in row else block.column(n) for n in STATE], STATE)
 
     return run
 
 
-def _seen(k: int):
-    """The state -> block, number, parent, older, n: every context of length k in a block, and how often training has it there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                b = _Block(batch, row, k)
-                n = np.bincount(b.at[(b.at >= 0) & b.train], minlength=len(b.found))
-                arrays = [
-                    pa.array(np.full(len(n), batch.column("block")[row].as_py(), np.int64)),
-                    pa.array(np.arange(len(n))),
-                    pa.array(b.contexts[b.found // b.size] if len(n) else b.found),
-                    pa.array(b.symbols[b.found % b.size]),
-                    pa.array(n),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["block", "number", "parent", "older", "n"])
-
-    return run
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state -> block, number, parent, older, n: every context of the level in a block, and how often training has it there."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            b = _Block(batch, row)
+            n = np.bincount(b.at[(b.at >= 0) & b.train], minlength=len(b.parents))
+            arrays = [
+                pa.array(np.full(len(n), batch.column("block")[row].as_py(), np.int64)),
+                pa.array(np.arange(len(n))),
+                pa.array(b.contexts[b.parents]),
+                pa.array(b.symbols[b.older]),
+                pa.array(n),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "number", "parent", "older", "n"])
 
 
-def _after(k: int):
+def _after(state: pa.Table, candidates: pa.Table) -> pa.Table:
     """A block's state and number, ctx, parent of its candidates -> block, code, ctx, parent, symbol, n: what follows them there."""
-
-    def run(state: pa.Table, candidates: pa.Table) -> pa.Table:
-        b = _Block(state, 0, k)
-        which = np.full(len(b.found) + 1, -1, np.int64)  # the last is for tokens without a context
-        which[candidates.column("number").to_numpy()] = np.arange(candidates.num_rows)
-        on = which[b.at] >= 0
-        codes, at = np.unique(b.at[on] * b.size + b.ids[on], return_inverse=True)
-        n = np.bincount(at[b.train[on]], minlength=len(codes))
-        its = which[codes // b.size]
-        return pa.table(
-            {
-                "block": np.full(len(codes), state.column("block")[0].as_py(), np.int64),
-                "code": codes,
-                "ctx": candidates.column("ctx").to_numpy()[its],
-                "parent": candidates.column("parent").to_numpy()[its],
-                "symbol": b.symbols[codes % b.size],
-                "n": n,
-            }
-        )
-
-    return run
+    b = _Block(state, 0)
+    which = np.full(len(b.parents) + 1, -1, np.int64)  # the last is for tokens without a context
+    which[candidates.column("number").to_numpy()] = np.arange(candidates.num_rows)
+    codes, at = _numbered(b.at * b.size + b.ids, which[b.at] >= 0)
+    n = np.bincount(at[(at >= 0) & b.train], minlength=len(codes))
+    its = which[codes // b.size]
+    return pa.table(
+        {
+            "block": np.full(len(codes), state.column("block")[0].as_py(), np.int64),
+            "code": codes,
+            "ctx": candidates.column("ctx").to_numpy()[its],
+            "parent": candidates.column("parent").to_numpy()[its],
+            "symbol": b.symbols[codes % b.size],
+            "n": n,
+        }
+    )
 
 
 def _with_level(k: int):
-    """A block's state and code, ctx, x of what the level retains there -> its next state.
+    """A block's state and code, ctx, x of what level k retains there -> its next state.
 
     With ctx the code is a context's number and x what its unlisted symbols gain; without, code and x are of a listed symbol."""
 
     def run(state: pa.Table, kept: pa.Table) -> pa.Table:
-        b = _Block(state, 0, k)
+        b = _Block(state, 0)
         code, x = kept.column("code").to_numpy(), kept.column("x").to_numpy()
         context = kept.column("ctx").is_valid().to_numpy()
-        which = np.full(len(b.found) + 1, -1, np.int64)
+        which = np.full(len(b.parents) + 1, -1, np.int64)
         which[code[context]] = np.arange(int(context.sum()))
         places = which[b.at]
         gain = np.where(places >= 0, np.append(x[context], 0.0)[places], 0.0)
         order = np.argsort(code[~context])
-        listed = locate(code[~context][order], np.where(places >= 0, b.at * b.size + b.ids, -1))
-        gain = np.where(listed >= 0, np.append(x[~context][order], 0.0)[listed], gain)
+        on = np.flatnonzero(places >= 0)
+        listed = locate(code[~context][order], b.at[on] * b.size + b.ids[on])
+        gain[on] = np.where(listed >= 0, np.append(x[~context][order], 0.0)[listed], gain[on])
         row = {
             "gain": state.column("gain")[0].values.to_numpy() + np.add.reduceat(gain, b.starts),
             "contexts": kept.column("ctx").filter(kept.column("ctx").is_valid()).to_numpy(),
-            "places": _packed(places),
         }
+        row |= _contexts(b.ids, b.lengths, places, b.size, k + 1)
         return pa.Table.from_arrays([pa.array([row[n]]) if n in row else state.column(n) for n in STATE], STATE)
 
     return run
@@ -285,12 +286,13 @@ class SuffixTreeModel:
         self.blocks = _written(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "lm-blocks")
         self.kinds = (
             f"block long, docs array<{id_kind}>, held array<boolean>, lengths array<long>, known array<long>, base array<double>, "
-            "gain array<double>, symbols array<long>, ids binary, contexts array<long>, places binary"
+            "gain array<double>, symbols array<long>, ids binary, contexts array<long>, parents binary, older binary, at binary"
         )
         tokens = F.aggregate("train", F.lit(0).cast("long"), lambda a, b: a + b)
         self.total = self.blocks.agg(F.coalesce(F.sum(tokens), F.lit(0))).first()[0]
         self.levels: list[tuple[DataFrame, DataFrame]] = []
         self.state = self._symbols()
+        discard(self.blocks)
         if self.total:
             for _ in range(DEPTH):
                 if not self._grow():
@@ -300,21 +302,14 @@ class SuffixTreeModel:
         return min(count, share * self.total)
 
     def _symbols(self) -> DataFrame:
-        """The state before the first level; self.totals, endings and symbols (symbol, m, q: its count and probability)."""
-        least = self._least(SYMBOL_COUNT, SYMBOL_SHARE)
+        """The state before the first level; self.words, endings and symbols (symbol, m, q: its count and probability)."""
+        least = F.greatest(F.lit(self._least(SYMBOL_COUNT, SYMBOL_SHARE)), F.lit(1))
         numbered = self.blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("number", "x"))
-        same = W.partitionBy("word")
-        totals = (
-            numbered.select("block", "number", F.col("x.words").alias("word"), F.col("x.train").alias("n"))
-            .withColumn("id", F.monotonically_increasing_id() + FIRST_SYMBOL)
-            .withColumn("c", F.sum("n").over(same))
-            .withColumn("first", F.col("id") == F.min("id").over(same))
-            .withColumn("id", F.min("id").over(same))
-        )
-        rare = (F.col("word") != "") & (F.col("c") > 0) & (F.col("c") < least)
-        totals = totals.withColumn("ending", F.when(rare, F.substring("word", -2, 2))).withColumn("word", F.when(F.col("first"), F.col("word")))
-        self.totals = _written(totals, "lm-totals")
-        known = self.totals.filter("first and c > 0")
+        numbered = numbered.select("block", "number", F.col("x.words").alias("word"), F.col("x.train").alias("n"))
+        counted = numbered.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0")
+        rare = (F.col("word") != "") & (F.col("c") < least)
+        counted = counted.withColumn("ending", F.when(rare, F.substring("word", -2, 2)))
+        known = _written(counted.withColumn("id", F.monotonically_increasing_id() + FIRST_SYMBOL), "lm-words")
         self.words = known.filter((F.col("c") >= least) & (F.col("word") != ""))
         self.endings = _written(
             known.filter("ending is not null")
@@ -335,33 +330,34 @@ class SuffixTreeModel:
         two = [(REST, self.total - m - ends, self.rest), (END, ends, self.end)]
         two = self.blocks.sparkSession.createDataFrame(two, "symbol long, m long, q double")
         self.symbols = _written(own.select("symbol", "m", (F.col("mass") / whole).alias("q")).unionByName(two), "lm-symbols")
-        named = join_small(self.totals, self.endings.select("ending", "shared"), ["ending"], self.endings.count(), "left")
-        symbol = F.when(F.col("number") == 0, END).when(F.col("c") >= F.greatest(F.lit(least), F.lit(1)), F.col("id"))
-        words = named.select("block", "number", "c", symbol.otherwise(F.coalesce("shared", F.lit(REST))).alias("symbol"))
+        # words that training lacks end like the others
+        named = numbered.select("block", "number", "word").join(known.select("word", "c", "id"), "word", "left")
+        named = named.withColumn("ending", F.when(F.col("c").isNull() | (F.col("c") < least), F.substring("word", -2, 2)))
+        named = join_small(named, self.endings.select("ending", "shared"), ["ending"], self.endings.count(), "left")
+        symbol = F.when(F.col("number") == 0, END).when(F.col("c") >= least, F.col("id"))
+        symbol = symbol.when(F.col("c").isNull(), REST).otherwise(F.coalesce("shared", F.lit(REST)))
+        words = named.select(F.col("block").alias("of_block"), "number", F.coalesce("c", F.lit(0)).alias("c"), symbol.alias("symbol"))
         own = self.blocks.select("block", "docs", "held", "lengths", "ids").groupBy("block")
-        return _written(own.cogroup(words.groupBy("block")).applyInArrow(_with_symbols(self.total, distinct), self.kinds), "lm-state")
+        return _written(own.cogroup(words.groupBy("of_block")).applyInArrow(_with_symbols(self.total, distinct), self.kinds), "lm-state")
 
     def _grow(self) -> bool:
-        """Adds a level; False if it has no contexts."""
+        """Adds a level; False if it has no contexts.
+
+        What all blocks see is added up by aggregates and joined with the blocks' rows, so that no task holds all rows of a
+        common context."""
         k = len(self.levels) + 1
         listed = F.col("n") >= self._least(ENTRY_COUNT, ENTRY_SHARE)
-        same = W.partitionBy("parent", "older")
-        candidates = (
-            self.state.mapInArrow(_seen(k), "block long, number long, parent long, older long, n long")
-            .withColumn("id", F.monotonically_increasing_id())
-            .withColumn("c", F.sum("n").over(same))
-            .withColumn("ctx", F.min("id").over(same))
-            .filter(F.col("c") >= F.greatest(F.lit(self._least(CONTEXT_COUNT, CONTEXT_SHARE)), F.lit(1)))
-        )
-        candidates = _written(candidates.select("block", "number", "ctx", "parent", "older"), "lm-candidates")
+        seen = _written(self.state.mapInArrow(_seen, "block long, number long, parent long, older long, n long"), "lm-seen")
+        totals = seen.groupBy("parent", "older").agg(F.sum("n").alias("c"))
+        totals = totals.filter(F.col("c") >= F.greatest(F.lit(self._least(CONTEXT_COUNT, CONTEXT_SHARE)), F.lit(1)))
+        totals = _written(totals.select("parent", "older", F.monotonically_increasing_id().alias("ctx")), "lm-totals")
+        candidates = _written(seen.drop("n").join(totals, ["parent", "older"]), "lm-candidates")
+        discard(seen, totals)
         state = self.state.groupBy("block")
         pairs = state.cogroup(candidates.select("block", "number", "ctx", "parent").groupBy("block")).applyInArrow(
-            _after(k), "block long, code long, ctx long, parent long, symbol long, n long"
+            _after, "block long, code long, ctx long, parent long, symbol long, n long"
         )
-        # a listed symbol goes back to all its blocks; the others are counted alone
-        same = W.partitionBy("ctx", "symbol")
-        pairs = pairs.withColumn("n", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("block")) == 1)
-        pairs = _written(pairs.filter((F.col("n") > 0) & (F.col("first") | listed)), "lm-pairs")
+        pairs = _written(pairs, "lm-pairs")
         # how the next symbols of a context diverge from those of its suffix, over all of them
         if self.levels:
             before = self.levels[-1][1].select(
@@ -370,8 +366,8 @@ class SuffixTreeModel:
             on = ["parent", "symbol"]
         else:
             before, on = self.symbols.withColumn("of_suffix", F.lit(self.total)), ["symbol"]
-        after = pairs.filter("first").select("ctx", "parent", "symbol", "n").join(before, on)
-        after = _written(after.select("ctx", "symbol", "n", "m", "q", "of_suffix"), "lm-after")
+        after = pairs.groupBy("ctx", "symbol").agg(F.sum("n").alias("n"), F.min("parent").alias("parent")).filter("n > 0")
+        after = _written(after.join(before, on).select("ctx", "symbol", "n", "m", "q", "of_suffix"), "lm-after")
         tested = after.groupBy("ctx").agg(
             F.sum("n").alias("c"),
             F.count(F.lit(1)).alias("k"),
@@ -382,6 +378,7 @@ class SuffixTreeModel:
         kept = tested.filter(gain - (F.col("k") - 1) >= DIVERGENCE * F.col("c")).select("ctx", "c")
         chance = F.when(listed, (F.col("n") + DRAW * F.col("q")) / (F.col("c") + DRAW))
         level = _written(after.join(kept, "ctx").select("ctx", "symbol", "n", "c", "q", chance.alias("chance")), "lm-level")
+        discard(after)
         if level.isEmpty():
             return False
 
@@ -390,12 +387,14 @@ class SuffixTreeModel:
 
         left = level.groupBy("ctx").agg((unlisted("chance") / unlisted("q")).alias("left"))
         contexts = _written(candidates.join(left, "ctx"), "lm-contexts")
+        discard(candidates)
         entries = level.filter("chance is not null").select("ctx", "symbol", F.log10(F.col("chance") / F.col("q")).alias("x"))
-        back = pairs.filter(listed).select("block", "code", "ctx", "symbol").join(entries, ["ctx", "symbol"])
+        back = pairs.select("block", "code", "ctx", "symbol").join(entries, ["ctx", "symbol"])
         back = back.select("block", "code", F.lit(None).cast("long").alias("ctx"), "x").unionByName(
             contexts.select("block", F.col("number").alias("code"), "ctx", F.log10("left").alias("x"))
         )
-        self.state = _written(state.cogroup(back.groupBy("block")).applyInArrow(_with_level(k), self.kinds), "lm-state")
+        last, self.state = self.state, _written(state.cogroup(back.groupBy("block")).applyInArrow(_with_level(k), self.kinds), "lm-state")
+        discard(pairs, last)
         self.levels.append((contexts, level))
         return True
 

@@ -56,7 +56,7 @@ def found(spark, rows):
     return sorted((tuple(r)[:5] for r in repeated_spans(docs).collect()), key=str)
 
 
-@pytest.mark.parametrize("segment", [1 << 20, 700])
+@pytest.mark.parametrize("segment", [1 << 17, 700])
 def test_equals_brute_force(spark, monkeypatch, segment):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     rows = corpus()
@@ -85,12 +85,14 @@ def test_hot_cores_are_dealt_to_several_shards(spark):
 
 def test_segments_of_a_long_text_have_the_same_runs():
     data = (words(500) + "ab" * 300 + words(300)).encode()
-    whole = suffix_dedup.runs(data)
-    assert (np.concatenate([[-1], whole[3][:-1]]) + 1 == whole[2]).all() and whole[3][-1] == len(data) - 100
+    whole = suffix_dedup.runs([data])
+    assert (np.concatenate([[-1], whole[4][:-1]]) + 1 == whole[3]).all() and whole[4][-1] == len(data) - 100
     with pytest.MonkeyPatch.context() as m:
         m.setattr(suffix_dedup, "SEGMENT", 333)
-        cut = suffix_dedup.runs(data)
+        cut = suffix_dedup.runs([data])
+        among = suffix_dedup.runs([b"short", data[:150], data, data[99:]])
     assert all((x == y).all() for x, y in zip(whole, cut))
+    assert all((x == y[among[2] == 2]).all() for x, y in zip(whole[3:], among[3:]))
 
 
 @pytest.mark.parametrize("names", [0, 3, 1 << 22])
