@@ -8,14 +8,15 @@ group; groups meet in the buckets of their prefix shingles, pairs of groups that
 pass the bounds expand into their distinct sets, and every such pair is verified on
 whole sets. Copies never become pairs: equal sets are one class from the start.
 
-Buckets of more than BUCKET groups would give too many pairs. There every entry
-first meets a few neighbours in a pseudorandom order of all classes, which is the
-same in all buckets, so that classes which share many buckets are neighbours in most
-of them and make few pairs. After the components of what was found, a bucket in one
-component needs nothing more; in others all members outside the bucket's largest
-component meet all other members, in salted blocks, and pairs in one component drop
-out. No pair that could join two components is left out. That is the quick path, for
-components alone; where every link counts, all entries of a large bucket meet.
+Where every link counts, all entries of a bucket meet, those of large ones in salted
+blocks. For components alone there is a quick path. Every class goes to two of its
+buckets, those whose shingles have the least of two hashes: near copies mostly choose
+alike. There classes are dealt to blocks, and of a block's whole sets all links are
+found at once. After the components of these links, a bucket in one component needs
+nothing more; in others all members outside the bucket's largest component meet all
+other members, in salted blocks, and pairs in one component drop out. No pair that
+could join two components is left out. The pairs that remain are checked first on
+prefixes, whose common shingles bound those of the sets, and then on whole sets.
 
 The order is a matter of speed alone, so it may rest on counts that leave out what
 repeats in no task. Shingles are held as 64-bit hashes and sets are told apart by
@@ -39,8 +40,10 @@ from pyspark.sql import Window as W
 
 from .common import discard, forget, fresh, materialize, sliced
 
-#: Groups in a bucket that are paired outright; places in a large bucket's order that meet.
-BUCKET, NEIGHBOURS = 8, 4
+#: Groups in a bucket that are paired outright.
+BUCKET = 64
+#: Buckets that a class chooses; classes and shingles of about so many make a block there.
+CHOICES, CLASSES, SHINGLES = 2, 64, 500_000
 #: Entries of a large bucket that meet in one task when all of them meet.
 BLOCK = 256
 #: Entries of a bucket of several components that those outside the largest meet in one task.
@@ -50,6 +53,8 @@ REPEATS, MOVED = 8, 250_000
 #: Sets are fetched by a broadcast list of the places that want them up to this length (about 60 bytes each), beyond it by a shuffle.
 FETCH_BROADCAST = 500_000
 PARTNERS = 256
+#: Shingles of a block that are looked at together.
+COLUMNS = 4_096
 #: Pairs of one class that its set goes to from one row.
 HOMES = 1_024
 FLUSH_SHINGLES, CACHE_WORDS = 2_000_000, 150_000
@@ -138,43 +143,52 @@ def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
 
 
 def _sets(width: int):
-    """cls, chunk, sid, homes, text -> homes, cls, shingles, where the text has that set; a task gives a class's chunk of homes once."""
+    """cls, chunk, sid, homes, text -> homes, cls, n, shingles, where the text has that set; a task gives a class's chunk of homes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, given = _Words(), set()
         for batch in sliced(batches):
-            rows, sets = [], []
+            rows, sets, sizes = [], [], []
             for i, (cls, chunk, sid, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))):
                 if (cls, chunk) not in given:
                     s = shingle_set(text, width, words)
                     if xxhash.xxh3_128_digest(s) == sid:
                         given.add((cls, chunk))
                         rows.append(i)
-                        sets.append(s.tobytes())
+                        sizes.append(len(s))
+                        sets.append(np.sort(s.view(np.int64)).tobytes())
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(3).take(at), batch.column(0).take(at), pa.array(sets, pa.binary())], ["homes", "cls", "shingles"]
-            )
+            arrays = [batch.column(3).take(at), batch.column(0).take(at), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["homes", "cls", "n", "shingles"])
 
     return run
 
 
+def _prefix_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """homes, cls, n, prefix -> homes, cls, n, shingles: the prefix in the order of hashes."""
+    for batch in batches:
+        sets = [np.sort(x.values.to_numpy()).tobytes() for x in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["homes", "cls", "n", "shingles"])
+
+
 def _verifier(percent: int):
-    """a, part, partner, cls, shingles in order -> a, b: the set of a comes first, and its partners after it."""
+    """a, part, partner, cls, n, shingles in order -> a, b: the set of a comes first, and its partners after it.
+
+    n: the shingles of the whole set, of which those at hand may be a part; those in neither part may all be equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, own = None, np.zeros(0, np.uint64)
+        home, own, whole = None, np.zeros(0, np.int64), 0
         for batch in sliced(batches):
             found: list[tuple[int, int]] = []
-            for a, part, partner, cls, data in zip(*(c.to_pylist() for c in batch.columns)):
-                other = np.frombuffer(data, np.uint64)
+            for a, part, partner, cls, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                other = np.frombuffer(data, np.int64)
                 if not partner:
-                    home, own = (a, part), other
+                    home, own, whole = (a, part), other, n
                     continue
                 if home != (a, part):
                     raise ValueError(f"class {a} has no set")
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(other) - both):
+                both = len(np.intersect1d(own, other, assume_unique=True)) + min(whole - len(own), n - len(other))
+                if 100 * both >= percent * (whole + n - both):
                     found.append((a, cls))
             arrays = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
@@ -182,6 +196,61 @@ def _verifier(percent: int):
     return run
 
 
+def _joined(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links, enough of them to connect what all links between the sets connect."""
+    sizes = np.array([len(x) for x in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    same = tokens[1:] == tokens[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    place = np.cumsum(np.concatenate([[True], ~same]))[shared]
+    owner = owner[shared]
+    if not len(owner):
+        return []
+    place = np.unique(place, return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(place[-1]) + 1, COLUMNS):  # place is sorted
+        a, b = np.searchsorted(place, [low, low + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[a:b], place[a:b] - low] = 1
+        both += (has @ has.T).astype(np.int64)
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    out, left = [], set(range(len(sets)))
+    while left:
+        todo = [left.pop()]
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(linked[i]).tolist():
+                if j in left:
+                    left.remove(j)
+                    todo.append(j)
+                    out.append((classes[i], classes[j]))
+    return out
+
+
+def _block_links(percent: int):
+    """a, part, cls, shingles in order of (a, part) -> a, b: links within each (a, part)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, classes, sets = None, [], []
+        for batch in sliced(batches):
+            found: list[tuple[int, int]] = []
+            for a, part, cls, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if home != (a, part):
+                    found += _joined(classes, sets, percent) if len(sets) > 1 else []
+                    home, classes, sets = (a, part), [], []
+                classes.append(cls)
+                sets.append(np.frombuffer(data, np.int64))
+            yield pairs(found)
+        yield pairs(_joined(classes, sets, percent) if len(sets) > 1 else [])
+
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) of every node of edges a, b, two longs; loops may be absent.
 
@@ -227,6 +296,7 @@ class JaccardJoin:
         self.width, self.percent, self.bucket = width, percent, bucket
         self.texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         self.spark = docs.sparkSession
+        self.wanted: list[DataFrame] = []
         moved, counts = self._moved()
         kind = self.texts.schema["doc_id"].dataType.simpleString()
         rows = self.texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -283,9 +353,9 @@ class JaccardJoin:
         others = self.classes.select(F.col("g").alias("h"), F.col("cls").alias("b"))
         return pairs.join(members, "g").join(others, "h").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def _large(self) -> DataFrame:
-        """key, cls, n, pos: entries of the large buckets, and of groups with several classes as buckets of their own."""
-        tokens = self.entries.filter(F.col("groups") > self.bucket).select(F.struct(F.lit(0), "token").alias("key"), "g", "pos")
+    def _members(self, least: int) -> DataFrame:
+        """key, cls, n, pos: entries of the buckets of more than `least` groups, and of groups with several classes as buckets of their own."""
+        tokens = self.entries.filter(F.col("groups") > least).select(F.struct(F.lit(0), "token").alias("key"), "g", "pos")
         own = self.classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
         groups = own.select(F.struct(F.lit(1), F.col("g").alias("token")).alias("key"), "g", F.lit(0).alias("pos"))
         return tokens.unionByName(groups).join(self.classes.select("g", "cls", "n"), "g").select("key", "cls", "n", "pos")
@@ -299,22 +369,11 @@ class JaccardJoin:
         met = x.join(y, (x["token"] == y["token"]) & (F.col("g") < F.col("h")) & fits).select("g", "h").distinct()
         return self._expanded(met)
 
-    def candidates(self) -> DataFrame:
-        """a, b: pairs of classes from small buckets, and neighbours in large ones."""
-        large = self._large()
-        by_hash = W.partitionBy("key").orderBy(F.xxhash64("cls"), "cls")
-        near = large.withColumn("next", F.array(*[F.lead(F.struct("cls", "n", "pos"), k).over(by_hash) for k in range(1, NEIGHBOURS + 1)]))
-        near = near.withColumn("next", F.explode("next")).filter(
-            F.col("next").isNotNull() & _can_reach(self.percent, F.col("n"), F.col("next.n"), F.col("pos"), F.col("next.pos"))
-        )
-        near = near.select(F.least("cls", "next.cls").alias("a"), F.greatest("cls", "next.cls").alias("b"))
-        return self._small().unionByName(near).distinct()
-
     def _all(self) -> DataFrame:
         """a, b: every pair of classes that a bucket, small or large, lets through.
 
         A large bucket is dealt into parts of about BLOCK entries, and each two parts meet in a block of their own."""
-        large = self._large()
+        large = self._members(self.bucket)
         parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
         large = materialize(large.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), "jaccard-large")
         x = large.withColumn("other", F.explode(F.expr("sequence(part, parts - 1)")))
@@ -327,9 +386,9 @@ class JaccardJoin:
         return self._small().unionByName(met.select(F.least("cls", "its").alias("a"), F.greatest("cls", "its").alias("b"))).distinct()
 
     def _rest(self, labels: DataFrame) -> DataFrame:
-        """a, b: pairs of different components in large buckets, one side outside the bucket's largest component."""
+        """a, b: pairs of different components in a bucket, one side outside the bucket's largest component."""
         roots = labels.select(F.col("node").alias("cls"), "root")
-        large = self._large().join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        large = self._members(1).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         shares = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
         largest = shares.groupBy("key").agg(
             F.max(F.struct("k", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("k").alias("entries")
@@ -349,8 +408,31 @@ class JaccardJoin:
         met = few.join(all_, (few["key"] == all_["key2"]) & (few["part"] == all_["part2"]) & (F.col("root") != F.col("root2")) & fits)
         return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs of classes whose whole sets are similar enough.
+    def _sent(self, homes: DataFrame) -> DataFrame:
+        """home, cls, n, shingles: the whole sets of homes' classes, at their homes, from cls, home."""
+        chunks = homes.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / HOMES).alias("chunks"))
+        homes = homes.join(chunks, "cls").groupBy("cls", F.pmod(F.xxhash64("home"), F.col("chunks")).alias("chunk"))
+        homes = homes.agg(F.collect_list("home").alias("homes"))
+        wanted = self.classes.join(homes, "cls").select("cls", "chunk", "sid", "homes", F.col("doc_id").alias("its_id"))
+        self.wanted.append(wanted := materialize(wanted, "jaccard-wanted"))
+        kind = wanted.schema["homes"].dataType.simpleString()
+        if wanted.agg(F.coalesce(F.sum(F.size("homes")), F.lit(0))).first()[0] <= FETCH_BROADCAST:
+            wanted = F.broadcast(wanted)
+        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id"))).select("cls", "chunk", "sid", "homes", "text")
+        sets = texts.mapInArrow(_sets(self.width), f"homes {kind}, cls long, n int, shingles binary")
+        return sets.select(F.explode("homes").alias("home"), "cls", "n", "shingles")
+
+    def _prefixes_sent(self, homes: DataFrame) -> DataFrame:
+        """The same with prefixes, which are at hand, in the place of sets."""
+        first = self.rows.select(F.col("row").alias("g"), "prefix")
+        placed = homes.groupBy("cls").agg(F.collect_list("home").alias("homes"))
+        kind = placed.schema["homes"].dataType.simpleString()
+        rows = self.classes.join(placed, "cls").join(first, "g").select("homes", "cls", "n", "prefix")
+        sets = rows.mapInArrow(_prefix_sets, f"homes {kind}, cls long, n int, shingles binary")
+        return sets.select(F.explode("homes").alias("home"), "cls", "n", "shingles")
+
+    def verified(self, pairs: DataFrame, whole: bool = True) -> DataFrame:
+        """Those of the pairs of classes whose whole sets are similar enough; with whole=False those whose prefixes allow it.
 
         A set goes to the pairs' first classes, cut into parts of about PARTNERS
         partners, and there once, whatever the number of pairs."""
@@ -361,26 +443,36 @@ class JaccardJoin:
         own = placed.select(F.col("a").alias("cls"), home.alias("home")).distinct()
         partners = placed.select(F.col("b").alias("cls"), F.struct("a", "part", F.lit(True).alias("partner")).alias("home"))
         homes = own.unionByName(partners)
-        chunks = homes.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / HOMES).alias("chunks"))
-        homes = homes.join(chunks, "cls").groupBy("cls", F.pmod(F.xxhash64("home"), F.col("chunks")).alias("chunk"))
-        homes = homes.agg(F.collect_list("home").alias("homes"))
-        wanted = self.classes.join(homes, "cls").select("cls", "chunk", "sid", "homes", F.col("doc_id").alias("its_id"))
-        written = wanted = materialize(wanted, "jaccard-wanted")
-        if wanted.agg(F.coalesce(F.sum(F.size("homes")), F.lit(0))).first()[0] <= FETCH_BROADCAST:
-            wanted = F.broadcast(wanted)
-        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id"))).select("cls", "chunk", "sid", "homes", "text")
-        sets = texts.mapInArrow(_sets(self.width), "homes array<struct<a:long,part:long,partner:boolean>>, cls long, shingles binary")
-        sent = sets.select(F.explode("homes").alias("home"), "cls", "shingles").select("home.*", "cls", "shingles")
+        sent = (self._sent(homes) if whole else self._prefixes_sent(homes)).select("home.*", "cls", "n", "shingles")
         checked = (
             sent.repartition("a", "part")
             .sortWithinPartitions("a", "part", "partner")
             .mapInArrow(_verifier(self.percent), "a long, b long")
             .distinct()
         )
-        checked = materialize(checked, "jaccard-links")
-        discard(pairs, written)
+        return self._checked(checked, pairs)
+
+    def _checked(self, links: DataFrame, *used: DataFrame) -> DataFrame:
+        """links, written; what they came from is dropped."""
+        links = materialize(links, "jaccard-links")
+        discard(*used, *self.wanted)
+        self.wanted = []
         forget(self.spark)
-        return checked
+        return links
+
+    def chosen(self) -> DataFrame:
+        """a, b: links between classes that choose the same bucket, and there fall into the same block."""
+        members = self._members(1).select("key", "cls", "n")
+        least = [F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "n")).alias(f"x{k}") for k in range(CHOICES)]
+        choices = F.array_distinct(F.array(*[F.struct(f"x{k}.key", f"x{k}.n") for k in range(CHOICES)]))
+        choices = members.groupBy("cls").agg(*least).select("cls", F.explode(choices).alias("x")).select("cls", "x.key", "x.n")
+        choices = materialize(choices, "jaccard-choices")
+        parts = F.ceil(F.greatest(F.count(F.lit(1)) / CLASSES, F.sum("n") / SHINGLES)).alias("parts")
+        sizes = choices.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), parts).filter("classes > 1")
+        home = F.struct(F.xxhash64("key").alias("a"), F.pmod(F.xxhash64("cls", "key"), F.col("parts")).alias("part"))
+        sent = self._sent(choices.join(sizes, "key").select("cls", home.alias("home")))
+        found = sent.select("home.*", "cls", "shingles").repartition("a", "part").sortWithinPartitions("a", "part")
+        return self._checked(found.mapInArrow(_block_links(self.percent), "a long, b long").distinct(), choices)
 
     def links(self) -> DataFrame:
         """a, b: all pairs of classes that are similar enough, whatever the size of their buckets."""
@@ -402,9 +494,13 @@ class JaccardJoin:
 
     def connecting(self) -> DataFrame:
         """a, b: verified pairs of classes, enough of them to connect every component."""
-        first = self.verified(self.candidates())
+        first = self.chosen()
         rest = materialize(self._rest(connected_components(first)), "jaccard-rest")
-        return first.unionByName(self.verified(rest)) if not rest.isEmpty() else first
+        if rest.isEmpty():
+            return first
+        near = self.verified(rest, whole=False)
+        discard(rest)
+        return first.unionByName(self.verified(near)) if not near.isEmpty() else first
 
     def _rooted(self) -> DataFrame:
         """row, doc_id, n, text_hash, root (a number of its component), cls of every document."""

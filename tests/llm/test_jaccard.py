@@ -93,7 +93,7 @@ def test_stage_keeps_one_row_of_rows_loaded_twice(spark):
 
 
 @pytest.mark.parametrize("copies", [500, 2000])
-def test_a_family_gives_few_candidates_for_each_class(spark, copies):
+def test_blocks_connect_a_family_without_its_pairs(spark, copies):
     r = random.Random(12)
     rows = []
     for i in range(copies):
@@ -101,8 +101,31 @@ def test_a_family_gives_few_candidates_for_each_class(spark, copies):
         words[r.randrange(200)] = f"w{i}"
         rows.append((i, " ".join(words)))
     join = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
-    pairs = join.candidates().count()
-    assert pairs <= 3 * jaccard.NEIGHBOURS * copies
+    links = join.chosen()
+    assert links.count() <= jaccard.CHOICES * copies
+    assert join._rest(connected_components(links)).count() <= copies
+
+
+def test_links_of_a_block_connect_what_brute_force_connects():
+    r = random.Random(5)
+    import numpy as np
+
+    for columns in (7, 4096):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(jaccard, "COLUMNS", columns)
+            sets = [np.unique(np.array(r.sample(range(24), r.randint(16, 22)))) for _ in range(25)] + [np.arange(100, 120)]
+            near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b))}
+            got = jaccard._joined(list(range(len(sets))), sets, 75)
+            assert near and set(got) <= near
+
+            def reach(edges, n=len(sets)):
+                root = list(range(n))
+                for _ in range(n):
+                    for i, j in edges:
+                        root[i] = root[j] = min(root[i], root[j])
+                return root
+
+            assert reach(got) == reach(near)
 
 
 def test_other_paths_give_the_same(spark, monkeypatch):
@@ -110,6 +133,7 @@ def test_other_paths_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HOMES", 2)
     monkeypatch.setattr(jaccard, "REST_BLOCK", 3)
     monkeypatch.setattr(jaccard, "MOVED", 5)
+    monkeypatch.setattr(jaccard, "CLASSES", 2)
     rows = corpus(3, 30, 12)
     assert found(spark, rows, bucket=2) == brute(rows)
 
