@@ -1,30 +1,82 @@
-"""Exact similarity to small sets of vectors: pools, floors, assignment, neighbours, diversity."""
+"""Exact similarity by blocks of vectors: pools, floors, assignment, neighbours, diversity.
+
+Vectors are packed into blocks, a matrix each. Blocks of rows meet blocks of the other
+set, and one matrix product gives the similarities of two blocks, of which only what
+counts leaves the task: the best of a row, the nearest of a centroid.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from feedloom.functions.vector import dot, unit
+from feedloom.functions.vector import unit
+
+#: Vectors of a block; a set of up to so many bytes goes out whole, a larger one meets the rows' blocks in a shuffle.
+BLOCK, BROADCAST_BYTES = 4_096, 64 << 20
+
+
+def packed(rows: DataFrame, key: str, vector: str, prefix: str = "") -> DataFrame:
+    """Blocks of rows with their keys (longs), their number and one matrix of doubles; vectors are of one length."""
+    names = [f"{prefix}{x}" for x in ("keys", "n", "matrix")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(low, BLOCK)
+                keys, flat = part.column(0), part.column(1).flatten()
+                arrays = [pa.array([keys.to_pylist()], pa.list_(pa.int64())), pa.array([len(keys)], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([flat.to_numpy(zero_copy_only=False).astype("<f8").tobytes()], pa.binary())], names)
+
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    return rows.select(F.col(key).cast("long"), doubles).mapInArrow(run, f"{names[0]} array<long>, {names[1]} long, {names[2]} binary")
+
+
+def blockwise(
+    rows: DataFrame, others: DataFrame, key: str, other: str, choose: Callable[..., tuple], schema: str, vector: str = "vector", theirs: str = "their_vector"
+) -> DataFrame:
+    """What `choose` gives for the keys of two blocks and the matrix of their similarities: columns of `schema`."""
+    mine, small = packed(rows, key, vector), packed(others, other, theirs, "their_")
+    size = small.agg(F.coalesce(F.sum(F.octet_length("their_matrix")), F.lit(0))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, n, x, b, m, y in zip(*(c.to_pylist() for c in batch.columns)):
+                sims = np.frombuffer(x, "<f8").reshape(n, -1) @ np.frombuffer(y, "<f8").reshape(m, -1).T
+                columns = choose(np.array(a), np.array(b), sims)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [part.split()[0] for part in schema.split(", ")])
 
-#: So many vectors of a small side go out whole; a larger one is dealt in blocks of this size.
-BLOCK = 4_096
+    return mine.crossJoin(F.broadcast(small) if size <= BROADCAST_BYTES else small).mapInArrow(run, schema)
 
 
-def against(rows: DataFrame, small: DataFrame, vector: str = "vector", theirs: str = "their_vector") -> DataFrame:
-    """Every row with every vector of the other set, and their similarity as `sim`.
+def _best(a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> tuple:
+    """Each row's best, and whose it is: the least key on ties."""
+    order = np.argsort(b, kind="stable")
+    at = np.argmax(sims[:, order], axis=1)
+    return a, sims[np.arange(len(a)), order[at]], b[order[at]]
 
-    A set of up to BLOCK vectors is broadcast. A larger one is a query set met in
-    blocks: rows are repeated per block and meet it in a join on the block's number."""
-    n = small.count()
-    if n <= BLOCK:
-        met = rows.crossJoin(F.broadcast(small))
-    else:
-        blocks = -(-n // BLOCK)
-        dealt = small.withColumn("__block", F.pmod(F.xxhash64(theirs), F.lit(blocks)))
-        met = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "__block").drop("__block")
-    return met.withColumn("sim", dot(F.col(vector), F.col(theirs)))
+
+def _nearest(k: int, floor: float = -np.inf):
+    """Each row's k nearest others, the least key first on ties, without itself."""
+
+    def choose(a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> tuple:
+        sims = np.where((a[:, None] == b[None, :]) | (sims < floor), -np.inf, sims)
+        order = np.lexsort((np.broadcast_to(b, sims.shape), -sims), axis=1)[:, :k]
+        found = np.take_along_axis(sims, order, axis=1)
+        real = found > -np.inf
+        return np.repeat(a, real.sum(axis=1)), b[order[real]], found[real]
+
+    return choose
+
+
+def similarities(rows: DataFrame, others: DataFrame, key: str, other: str) -> DataFrame:
+    """key, other, sim of every row with every one of a stated set; a row doesn't meet itself."""
+    return blockwise(rows, others, key, other, lambda a, b, s: _nearest(len(b))(a, b, s), f"{key} long, {other} long, sim double")
 
 
 def label_means(vectors: DataFrame, label: str = "label", vector: str = "vector") -> DataFrame:
@@ -43,24 +95,28 @@ def knn_pool(candidates: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     """candidate_id, sim: exact top k of each centroid, positive similarities scaled by the centroid's weight,
     then a candidate's best. Exclusions come later, as the pool is of all candidates."""
     top = W.partitionBy("centroid").orderBy(F.desc("sim"), "candidate_id")
-    heaviest = F.max("weight").over(W.partitionBy(F.lit(1)))
-    pooled = (
-        against(candidates, centroids.withColumn("heaviest", heaviest))
-        .withColumn("n", F.row_number().over(top))
-        .filter(F.col("n") <= k)
-    )
+
+    def nearest(a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> tuple:
+        centroid, candidate, sim = _nearest(k)(-1 - b, a, sims.T)  # keys of two kinds are never the same
+        return candidate, -1 - centroid, sim
+
+    weights = centroids.select("centroid", "weight", F.max("weight").over(W.partitionBy(F.lit(1))).alias("heaviest"))
+    pooled = blockwise(candidates, centroids, "candidate_id", "centroid", nearest, "candidate_id long, centroid long, sim double")
+    pooled = pooled.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k).join(weights, "centroid")
     scaled = F.when(F.col("sim") > 0, F.col("sim") * (0.5 + 0.5 * F.col("weight") / F.col("heaviest"))).otherwise(F.col("sim"))
     return pooled.groupBy("candidate_id").agg(F.max(scaled).alias("sim"))
 
 
 def best_similarity(rows: DataFrame, small: DataFrame, key: str = "candidate_id") -> DataFrame:
     """key, best: the largest similarity to the set, -1 at least."""
-    return against(rows, small).groupBy(key).agg(F.greatest(F.lit(-1.0), F.max("sim")).alias("best"))
+    found = blockwise(rows, small.withColumn("__their", F.lit(0)), key, "__their", _best, f"{key} long, best double, their long")
+    return found.groupBy(key).agg(F.greatest(F.lit(-1.0), F.max("best")).alias("best"))
 
 
 def assign(rows: DataFrame, centroids: DataFrame, gate: float, key: str = "candidate_id") -> DataFrame:
     """key, centroid, sim: the nearest centroid, the least on ties, where it is near enough."""
-    near = against(rows, centroids).groupBy(key).agg(F.max(F.struct("sim", (-F.col("centroid")).alias("c"))).alias("x"))
+    near = blockwise(rows, centroids, key, "centroid", _best, f"{key} long, sim double, centroid long")
+    near = near.groupBy(key).agg(F.max(F.struct("sim", (-F.col("centroid")).alias("c"))).alias("x"))
     return near.select(key, (-F.col("x.c")).alias("centroid"), F.col("x.sim").alias("sim")).filter(F.col("sim") >= gate)
 
 
@@ -73,11 +129,13 @@ def negative_exemplars(rows: DataFrame, kept: DataFrame, rejected: DataFrame) ->
 
 
 def neighbour_pairs(rows: DataFrame, floor: float, neighbours: int = 3, key: str = "candidate_id") -> DataFrame:
-    """a, b, sim: each row's nearest others above the floor, every pair once."""
+    """a, b, sim: each row's nearest others above the floor, every pair once.
+
+    Exact, so the work grows with the square of the rows, as matrix products: it is for the stories of a cycle."""
     others = rows.select(F.col(key).alias("other"), F.col("vector").alias("their_vector"))
     top = W.partitionBy(key).orderBy(F.desc("sim"), "other")
-    near = against(rows, others).filter(F.col(key) != F.col("other")).withColumn("n", F.row_number().over(top))
-    near = near.filter((F.col("n") <= neighbours) & (F.col("sim") >= floor))
+    near = blockwise(rows, others, key, "other", _nearest(neighbours, floor), f"{key} long, other long, sim double")
+    near = near.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= neighbours)
     return near.select(F.least(key, "other").alias("a"), F.greatest(key, "other").alias("b"), "sim").dropDuplicates(["a", "b"])
 
 

@@ -8,7 +8,7 @@ from feedloom.functions import url, vector
 from feedloom.operators import ranking, similarity
 from feedloom.sources.domain import AS_OF, read, view, with_views
 
-K, FLOOR, GATE = 50, 0.2, 0.2
+K, FLOOR, GATE = 200, 0.2, 0.2
 
 
 def _candidates(spark, sf_dir):
@@ -33,9 +33,10 @@ def vector_norms(spark, sf_dir):
 
 
 def pairwise_cosine(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("a"), F.col("embedding").alias("vector"))
-    met = similarity.against(rows, rows.select(F.col("a").alias("b"), F.col("vector").alias("their_vector"))).filter("a < b")
-    return met.select("a", "b", F.round("sim", 5).alias("sim"))
+    """The vectors whose id is divisible by 20, a stated query set, against all others."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("b"), F.col("embedding").alias("vector"))
+    asked = rows.filter("b % 20 = 0").select(F.col("b").alias("a"), F.col("vector").alias("their_vector"))
+    return similarity.similarities(rows, asked, "b", "a").select("a", "b", F.round("sim", 5).alias("sim"))
 
 
 def knn_pool(spark, sf_dir):
@@ -184,7 +185,7 @@ _SITE = r"""CASE WHEN len(list_filter(string_split(regexp_extract(url, '^[a-z]+:
 ORACLE_SQL = {
     "vector_norms": f"SELECT vec_id, round(sqrt({_DOT.format('embedding', 'embedding')}), 5) AS length FROM embeddings",
     "pairwise_cosine": f"""SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT.format('a.embedding', 'b.embedding')}, 5) AS sim
-        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id < 40""",
+        FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0""",
     "knn_pool": _sql(_POOL + " SELECT candidate_id, round(sim, 5) AS sim FROM pool"),
     "similarity_floor": _sql(_MET + ", " + _BEST + f" SELECT candidate_id, round(best, 5) AS best FROM best WHERE best >= {FLOOR}"),
     "negative_exemplars": _sql(f" SELECT u.candidate_id FROM {_nearest(1)} u JOIN {_nearest(2)} d USING (candidate_id) WHERE NOT d.s > u.s"),
