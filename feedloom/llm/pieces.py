@@ -5,7 +5,8 @@ longest source prefix that the map's double-array trie holds is replaced, and
 every byte of the result remembers the source byte it came from. The result is
 split where no piece of the vocabulary can reach across, every part is merged by
 the scores of the pieces, and pieces are projected to byte spans of the original
-text. Parts repeat, so each task keeps those it has met lately.
+text. Parts repeat, so each task keeps those it has met lately; the new ones of a
+batch of texts are merged together, as arrays, a pair of each part at a time.
 
 Models of the byte-pair kind are read, with or without byte fallback. Models with
 user-defined or unused pieces, white space as suffix, or another kind raise.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,11 @@ SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts of at most so many characters are kept, in two generations of at most so many each.
-KEPT_CHARS, KEPT_PARTS = 48, 120_000
+KEPT_CHARS, KEPT_PARTS = 48, 200_000
+#: Parts of at most so many characters are merged together with others.
+SHORT = 64
+#: The score of two neighbours that make up no piece.
+NEVER = -(1 << 62)
 
 
 class CharacterMap:
@@ -149,6 +155,7 @@ class Codec:
         ]
         self.opens = [p.type == NORMAL and p.piece.startswith(SPACE) for p in model.pieces]
         self.pairs = {x + y for p in self.ids for x, y in zip(p, p[1:])}
+        self._tables()
         # no piece holds a line break or goes on with a space after something else: most parts end there
         inner = any(x != SPACE and y == SPACE for x, y in self.pairs) or any("\n" in p and len(p) > 1 for p in self.ids)
         self.parts = re.compile("(?s).+" if inner else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -158,24 +165,91 @@ class Codec:
     def forget(self) -> None:
         self.new, self.old = {}, {}
 
-    def part(self, text: str) -> tuple[bytes, bytes]:
-        """Ids, and lengths in bytes of the normalised text, of a part; both as 32-bit integers."""
-        got = self.new.get(text) or self.old.get(text)
-        if got is None:
-            cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs]
-            if cuts and len(cuts) < len(text) - 1:
-                halves = [self._between_cuts(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
-                got = b"".join([x for x, _ in halves]), b"".join([x for _, x in halves])
-            else:
-                got = self._numbers(merge(text, self.scores))
-        self._keep(text, got)
-        return got
-
-    def _between_cuts(self, text: str) -> tuple[bytes, bytes]:
-        """The same of a text in which every two neighbours occur in some piece."""
-        got = self.new.get(text) or self.old.get(text) or self._numbers(merge(text, self.scores))
-        self._keep(text, got)
-        return got
+    def _tables(self) -> None:
+        """Pieces and characters as numbers, and what two of them make up: sorted codes, ranks of scores, results."""
+        names = dict.fromkeys([*self.ids, *(c for p in self.ids for c in p)])
+        number = {p: i for i, p in enumerate(names)}
+        self.size = len(number)
+        ranks = {score: i for i, score in enumerate(sorted(set(self.scores.values())))}
+        rows = [
+            (number[p[:i]] * self.size + number[p[i:]], ranks[self.scores[p]], number[p])
+            for p in self.ids
+            for i in range(1, len(p))
+            if p[:i] in number and p[i:] in number
+        ]
+        table = np.array(sorted(rows), np.int64).reshape(-1, 3)
+        self.codes, self.ranks, self.joined = table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy()
+        single = sorted((ord(p), i) for p, i in number.items() if len(p) == 1)
+        self.points, self.point_numbers = (np.array([x[k] for x in single], np.int64) for k in (0, 1))
+        self.id_of = np.array([self.ids.get(p, -1) for p in names], np.int64)
+        self.bytes_of = np.array([len(p.encode()) for p in names], np.int64)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = a * self.size + b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[at] == code
+        return np.where(hit, self.ranks[at], NEVER), self.joined[at]
+
+    def _merged(self, sym: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all parts, whose characters have the numbers sym, and the part that each is in.
+
+        In each round every part merges its best pair, of equal ones the leftmost, as merge() does."""
+        done: list[tuple[np.ndarray, np.ndarray]] = [(sym[:0], part[:0])]
+        score, joined = np.full(len(sym), NEVER), np.zeros(len(sym), np.int64)
+        inner = np.flatnonzero(part[1:] == part[:-1])
+        score[inner], joined[inner] = self._pairs(sym[inner], sym[inner + 1])
+        while len(sym):
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            best = np.maximum.reduceat(score, starts)
+            best = np.repeat(best, np.diff(np.append(starts, len(sym))))
+            on = best > NEVER
+            if not on.all():
+                done.append((sym[~on], part[~on]))
+                sym, part, score, joined, best = sym[on], part[on], score[on], joined[on], best[on]
+            at = np.flatnonzero(score == best)
+            at = at[np.concatenate([[True], part[at[1:]] != part[at[:-1]]])[: len(at)]]
+            sym[at] = joined[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            sym, part, score, joined = sym[keep], part[keep], score[keep], joined[keep]
+            at -= np.arange(len(at))
+            for i in (at[at > 0] - 1, at):
+                score[i] = NEVER
+                i = i[i + 1 < len(sym)]
+                i = i[part[i] == part[i + 1]]
+                score[i], joined[i] = self._pairs(sym[i], sym[i + 1])
+        sym, part = (np.concatenate(c) for c in zip(*done))
+        order = np.argsort(part, kind="stable")
+        return sym[order], part[order]
+
+    def learn(self, texts: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids, and lengths in bytes of the normalised text, of parts; both as 32-bit integers."""
+        short = [x for x in texts if len(x) <= SHORT]
+        found = {}
+        if short:
+            points = np.frombuffer("".join(short).encode("utf-32-le"), np.uint32).astype(np.int64)
+            at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+            known = self.points[at] == points
+            part = np.repeat(np.arange(len(short)), np.fromiter(map(len, short), np.int64, len(short)))
+            odd = np.zeros(len(short), bool)
+            odd[part[~known]] = True
+            plain = ~odd[part]
+            sym, part = self._merged(self.point_numbers[at[plain]], part[plain])
+            ids = self.id_of[sym]
+            odd[part[ids < 0]] = True
+            ends = 4 * np.searchsorted(part, np.arange(len(short)), side="right")
+            data, sizes = ids.astype("<u4").tobytes(), self.bytes_of[sym].astype("<u4").tobytes()
+            low = 0
+            for x, high, is_odd in zip(short, ends.tolist(), odd.tolist()):
+                if not is_odd:
+                    found[x] = data[low:high], sizes[low:high]
+                low = high
+        for x in texts:
+            if x not in found:  # long, or with characters that are no piece
+                found[x] = self._numbers(merge(x, self.scores))
+        for x, got in found.items():
+            self._keep(x, got)
+        return found
 
     def _keep(self, text: str, got: tuple[bytes, bytes]) -> None:
         if len(text) <= KEPT_CHARS:
@@ -202,22 +276,42 @@ class Codec:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids without begin and end, and for each the end of its byte span; the spans of a text follow one another."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """encode() of each text. Distinct parts are looked up once, and laid out for all texts as arrays."""
+        prepared = [self._normal(text) for text in texts]
+        parts = [self.parts.findall(norm) for norm, _ in prepared]
+        which, distinct = pd.factorize(np.array([p for own in parts for p in own], object))
+        new, old = self.new, self.old
+        more = self.learn([p for p in distinct if p not in new and p not in old])
+        got = [new.get(p) or more.get(p) or old[p] for p in distinct]
+        sizes = np.array([len(x) // 4 for x, _ in got], np.int64)
+        each = sizes[which]
+        upto = np.cumsum(each)
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - each), each) + np.arange(int(each.sum()))
+        all_ids = np.frombuffer(b"".join([x for x, _ in got]), "<u4")[at]
+        all_ends = np.cumsum(np.frombuffer(b"".join([x for _, x in got]), "<u4")[at], dtype=np.int64)
+        out, low = [], 0
+        for text, (norm, source), high in zip(texts, prepared, np.append(0, upto)[np.cumsum([len(own) for own in parts])].tolist()):
+            ids, ends = all_ids[low:high], all_ends[low:high] - (all_ends[low - 1] if low else 0)
+            low = high
+            if not self.byte_ids and len(ids):  # the library gives a run of unknown characters one id
+                keep = np.append((ids[1:] != self.unknown) | (ids[:-1] != self.unknown), True)
+                ids, ends = ids[keep], ends[keep]
+            if text and len(ends):
+                ends = source[ends] if source is not None else self._plain_ends(text, norm, ends)
+            out.append((ids, ends))
+        return out
+
+    def _normal(self, text: str) -> tuple[str, np.ndarray | None]:
+        """The normal form, and the source of its bytes where the model has a character map."""
         if not text:
-            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+            return "", None
         if self.plain:  # the map is empty: every byte stays or becomes the space sign
-            norm = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-            source = None
-        else:
-            data, source = self.normalize(text.encode())
-            norm = data.decode()
-        new, part = self.new, self.part
-        got = [new.get(p) or part(p) for p in self.parts.findall(norm)]
-        ids = np.frombuffer(b"".join([x for x, _ in got]), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join([x for _, x in got]), "<u4"), dtype=np.int64)
-        if not self.byte_ids and len(ids):  # the library gives a run of unknown characters one id
-            keep = np.append((ids[1:] != self.unknown) | (ids[:-1] != self.unknown), True)
-            ids, ends = ids[keep], ends[keep]
-        return ids, source[ends] if source is not None else self._plain_ends(text, norm, ends)
+            return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE), None
+        data, source = self.normalize(text.encode())
+        return data.decode(), source
 
     def _plain_ends(self, text: str, norm: str, ends: np.ndarray) -> np.ndarray:
         """Offsets in text for offsets in its plain form, in which spaces are two bytes longer and one may stand in front."""
@@ -307,8 +401,7 @@ def _encoder(path: str, spans: bool):
         c = codec(path)
         for batch in sliced(batches):
             ids, ends = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                i, e = c.encode(text or "")
+            for i, e in c.encode_all([text or "" for text in batch.column(batch.num_columns - 1).to_pylist()]):
                 ids.append(np.concatenate([[c.begin], i, [c.end]]).astype(np.int32))
                 ends.append(_spans(e))
             arrays = [_lists(ids, pa.int32())] + ([_lists(ends, pa.int64())] if spans else [])
@@ -349,8 +442,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 def _digests(c: Codec, texts: list[str | None], with_ids: bool) -> list[pa.Array]:
     """n_tokens, ids_sha256, decoded_sha256, covered_bytes of texts; with ids and ends before them if asked."""
     every, spans, out = [], [], ([], [], [], [])
-    for text in texts:
-        ids, ends = c.encode(text or "")
+    for ids, ends in c.encode_all([text or "" for text in texts]):
         whole = np.concatenate([[c.begin], ids, [c.end]]).astype("<u4")
         decoded = c.decode(whole).encode()
         digests = hashlib.sha256(whole.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()

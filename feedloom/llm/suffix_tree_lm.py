@@ -20,9 +20,9 @@ Texts become blocks first, in each of which words, and later symbols and context
 are numbered. The counts of all words are exact: each block sends its words with
 their counts, Spark adds them up by word, and every block gets the totals and symbols
 of its words back. In the same way each level sends a block's contexts and what
-follows them, and gets back those that are retained with what they change. Symbols,
-contexts and next symbols are tables in the shared folder; nothing of them reaches
-the driver or is broadcast for its own sake.
+follows them, packed and dealt to buckets by key, and gets back those that are
+retained with what they change. Symbols, contexts and next symbols are tables in the
+shared folder; nothing of them reaches the driver or is broadcast for its own sake.
 
 Defined results: null counts as the empty text, whose one token is the end; without
 training tokens every probability is 1; rows and ids may repeat.
@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, forget, join_small, materialize, sliced
 
-BLOCK_TOKENS = 2_000_000
+#: Tokens of a block; tokens for which a bucket is made, whose keys are added up in one task.
+BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 3_000_000
 SYMBOL_SHARE, CONTEXT_SHARE, ENTRY_SHARE = 5e-5, 5e-5, 2e-6
 SYMBOL_COUNT, CONTEXT_COUNT, ENTRY_COUNT = 256, 256, 8
 DEPTH, DRAW, DIVERGENCE = 3, 30.0, 0.01
@@ -208,62 +209,165 @@ def _with_symbols(total: int, distinct: int):
     return run
 
 
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The state -> block, number, parent, older, n: every context of the level in a block, and how often training has it there."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            b = _Block(batch, row)
-            n = np.bincount(b.at[(b.at >= 0) & b.train], minlength=len(b.parents))
-            arrays = [
-                pa.array(np.full(len(n), batch.column("block")[row].as_py(), np.int64)),
-                pa.array(np.arange(len(n))),
-                pa.array(b.contexts[b.parents]),
-                pa.array(b.symbols[b.older]),
-                pa.array(n),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["block", "number", "parent", "older", "n"])
-
-
-def _after(state: pa.Table, candidates: pa.Table) -> pa.Table:
-    """A block's state and number, ctx, parent of its candidates -> block, code, ctx, parent, symbol, n: what follows them there."""
-    b = _Block(state, 0)
-    which = np.full(len(b.parents) + 1, -1, np.int64)  # the last is for tokens without a context
-    which[candidates.column("number").to_numpy()] = np.arange(candidates.num_rows)
-    codes, at = _numbered(b.at * b.size + b.ids, which[b.at] >= 0)
-    n = np.bincount(at[(at >= 0) & b.train], minlength=len(codes))
-    its = which[codes // b.size]
-    return pa.table(
-        {
-            "block": np.full(len(codes), state.column("block")[0].as_py(), np.int64),
-            "code": codes,
-            "ctx": candidates.column("ctx").to_numpy()[its],
-            "parent": candidates.column("parent").to_numpy()[its],
-            "symbol": b.symbols[codes % b.size],
-            "n": n,
-        }
-    )
+def _long(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(numbers, "<i8").tobytes(), 1)
+
+
+def _longs(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<i8")
+
+
+SENT = "bucket long, block long, a binary, b binary, parent binary, n binary, local binary"
+
+
+def _sent(parts: int, block: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray, n: np.ndarray, local: np.ndarray) -> pa.RecordBatch:
+    """What a block sees of keys (a, b), dealt to so many buckets by key: one row of packed numbers for each."""
+    h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(0xC4CEB9FE1A85EC53)
+    bucket = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((a, bucket))
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[: len(bucket)]
+    columns = [[_long(x) for x in np.split(c[order], first[1:])] if len(first) else [] for c in (a, b, parent, n, local)]
+    arrays = [pa.array(bucket[first]), pa.array(np.full(len(first), block, np.int64)), *(pa.array(c, pa.binary()) for c in columns)]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "a", "b", "parent", "n", "local"])
+
+
+def _totals(least: float):
+    """A bucket's rows -> bucket, a, b, parent, n of keys that all blocks together see so often."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        a, b, parent, n, _ = _unpacked_rows(sent)
+        at, first, found = _keys(a, b)
+        total = np.bincount(at, weights=n, minlength=found).astype(np.int64)
+        many = np.flatnonzero(total >= least)
+        first = first[many]
+        bucket = np.full(len(many), sent.column("bucket")[0].as_py(), np.int64)
+        return pa.table({"bucket": bucket, "a": a[first], "b": b[first], "parent": parent[first], "n": total[many]})
+
+    return run
+
+
+def _unpacked_rows(sent: pa.Table) -> tuple[np.ndarray, ...]:
+    columns = [[_longs(x) for x in sent.column(c).to_pylist()] for c in ("a", "b", "parent", "n", "local")]
+    return tuple(np.concatenate(c) for c in columns)
+
+
+def _keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which distinct pair each place has, a place of each pair, and the number of pairs."""
+    own, _ = pd.factorize(a)
+    other, others = pd.factorize(b)
+    at, found = pd.factorize(own * len(others) + other)
+    first = np.empty(len(found), np.int64)
+    first[at[::-1]] = np.arange(len(at))[::-1]
+    return at, first, len(found)
+
+
+def _matched(sent: pa.Table, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """block and local of the places of a bucket's rows whose key is found, and the found row of each."""
+    if not sent.num_rows or not found.num_rows:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    a, b, _, _, local = _unpacked_rows(sent)
+    sizes = [len(_longs(x)) for x in sent.column("local").to_pylist()]
+    block = np.repeat(sent.column("block").to_numpy(), sizes)
+    n = len(a)
+    at, _, count = _keys(np.concatenate([a, found.column("a").to_numpy()]), np.concatenate([b, found.column("b").to_numpy()]))
+    row = np.full(count, -1, np.int64)
+    row[at[n:]] = np.arange(found.num_rows)
+    row = row[at[:n]]
+    on = row >= 0
+    return block[on], local[on], row[on]
+
+
+def _given_contexts(sent: pa.Table, found: pa.Table) -> pa.Table:
+    """A bucket's rows and a, b, ctx -> block, number, ctx."""
+    block, local, row = _matched(sent, found)
+    return pa.table({"block": block, "number": local, "ctx": found.column("ctx").to_numpy()[row] if len(row) else row})
+
+
+GIVEN = "block long, code binary, ctx binary, x binary"
+
+
+def _given(block: np.ndarray, code: np.ndarray, ctx: np.ndarray | None, x: np.ndarray) -> pa.Table:
+    """Rows for each block of code, ctx (empty where these are listed symbols), x, packed."""
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))[: len(block)]
+    split = lambda c, pack: [pack(y) for y in np.split(c[order], first[1:])] if len(first) else []
+    columns = [split(code, _long), split(ctx, _long) if ctx is not None else [b""] * len(first), split(x, lambda y: y.astype("<f8").tobytes())]
+    return pa.Table.from_arrays([pa.array(block[first]), *(pa.array(c, pa.binary()) for c in columns)], ["block", "code", "ctx", "x"])
+
+
+def _given_listed(sent: pa.Table, found: pa.Table) -> pa.Table:
+    """A bucket's rows and a, b, x of listed symbols -> GIVEN."""
+    block, local, row = _matched(sent, found)
+    return _given(block, local, None, found.column("x").to_numpy()[row] if len(row) else np.zeros(0))
+
+
+def _packed_contexts(rows: pa.Table) -> pa.Table:
+    """block, number, ctx, x of a block's retained contexts -> GIVEN."""
+    return _given(*(rows.column(c).to_numpy() for c in ("block", "number", "ctx", "x")))
+
+
+def _seen(parts: int):
+    """The state -> SENT of every context (parent, older) of the level, with how often training has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                b = _Block(batch, row)
+                n = np.bincount(b.at[(b.at >= 0) & b.train], minlength=len(b.parents))
+                parent = b.contexts[b.parents]
+                yield _sent(parts, batch.column("block")[row].as_py(), parent, b.symbols[b.older], parent, n, np.arange(len(n)))
+
+    return run
+
+
+def _after(parts: int):
+    """A block's state and number, ctx of its candidates -> SENT of every (ctx, symbol) there, with how often training has it."""
+
+    def run(state: pa.Table, candidates: pa.Table) -> pa.Table:
+        b = _Block(state, 0)
+        which = np.full(len(b.parents) + 1, -1, np.int64)  # the last is for tokens without a context
+        which[candidates.column("number").to_numpy()] = np.arange(candidates.num_rows)
+        codes, at = _numbered(b.at * b.size + b.ids, which[b.at] >= 0)
+        n = np.bincount(at[(at >= 0) & b.train], minlength=len(codes))
+        number = codes // b.size
+        ctx = candidates.column("ctx").to_numpy()[which[number]]
+        sent = _sent(parts, state.column("block")[0].as_py(), ctx, b.symbols[codes % b.size], b.contexts[b.parents[number]], n, codes)
+        return pa.Table.from_batches([sent])
+
+    return run
 
 
 def _with_level(k: int):
-    """A block's state and code, ctx, x of what level k retains there -> its next state.
+    """A block's state and GIVEN of what level k retains there -> its next state.
 
     With ctx the code is a context's number and x what its unlisted symbols gain; without, code and x are of a listed symbol."""
 
     def run(state: pa.Table, kept: pa.Table) -> pa.Table:
         b = _Block(state, 0)
-        code, x = kept.column("code").to_numpy(), kept.column("x").to_numpy()
-        context = kept.column("ctx").is_valid().to_numpy()
+        rows = [(_longs(code), ctx, np.frombuffer(x, "<f8")) for code, ctx, x in zip(*(kept.column(c).to_pylist() for c in ("code", "ctx", "x")))]
+        number, contexts, rest, code, chance = (
+            np.concatenate([np.zeros(0, k), *c])
+            for k, c in (
+                (np.int64, [r[0] for r in rows if r[1]]),
+                (np.int64, [_longs(r[1]) for r in rows if r[1]]),
+                (np.float64, [r[2] for r in rows if r[1]]),
+                (np.int64, [r[0] for r in rows if not r[1]]),
+                (np.float64, [r[2] for r in rows if not r[1]]),
+            )
+        )
         which = np.full(len(b.parents) + 1, -1, np.int64)
-        which[code[context]] = np.arange(int(context.sum()))
+        which[number] = np.arange(len(number))
         places = which[b.at]
-        gain = np.where(places >= 0, np.append(x[context], 0.0)[places], 0.0)
-        order = np.argsort(code[~context])
+        gain = np.where(places >= 0, np.append(rest, 0.0)[places], 0.0)
+        order = np.argsort(code)
         on = np.flatnonzero(places >= 0)
-        listed = locate(code[~context][order], b.at[on] * b.size + b.ids[on])
-        gain[on] = np.where(listed >= 0, np.append(x[~context][order], 0.0)[listed], gain[on])
+        listed = locate(code[order], b.at[on] * b.size + b.ids[on])
+        gain[on] = np.where(listed >= 0, np.append(chance[order], 0.0)[listed], gain[on])
         row = {
             "gain": state.column("gain")[0].values.to_numpy() + np.add.reduceat(gain, b.starts),
-            "contexts": kept.column("ctx").filter(kept.column("ctx").is_valid()).to_numpy(),
+            "contexts": contexts,
         }
         row |= _contexts(b.ids, b.lengths, places, b.size, k + 1)
         return pa.Table.from_arrays([pa.array([row[n]]) if n in row else state.column(n) for n in STATE], STATE)
@@ -290,6 +394,8 @@ class SuffixTreeModel:
         )
         tokens = F.aggregate("train", F.lit(0).cast("long"), lambda a, b: a + b)
         self.total = self.blocks.agg(F.coalesce(F.sum(tokens), F.lit(0))).first()[0]
+        lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b)
+        self.tokens = self.blocks.agg(F.coalesce(F.sum(lengths), F.lit(0))).first()[0]
         self.levels: list[tuple[DataFrame, DataFrame]] = []
         self.state = self._symbols()
         discard(self.blocks)
@@ -343,20 +449,21 @@ class SuffixTreeModel:
     def _grow(self) -> bool:
         """Adds a level; False if it has no contexts.
 
-        What all blocks see is added up by aggregates and joined with the blocks' rows, so that no task holds all rows of a
-        common context."""
+        What blocks see goes to buckets by key, packed, is added up there, and what counts of it goes back to the blocks by
+        the same way. A common key comes once from each block and is one of many in its bucket."""
         k = len(self.levels) + 1
         listed = F.col("n") >= self._least(ENTRY_COUNT, ENTRY_SHARE)
-        seen = _written(self.state.mapInArrow(_seen, "block long, number long, parent long, older long, n long"), "lm-seen")
-        totals = seen.groupBy("parent", "older").agg(F.sum("n").alias("c"))
-        totals = totals.filter(F.col("c") >= F.greatest(F.lit(self._least(CONTEXT_COUNT, CONTEXT_SHARE)), F.lit(1)))
-        totals = _written(totals.select("parent", "older", F.monotonically_increasing_id().alias("ctx")), "lm-totals")
-        candidates = _written(seen.drop("n").join(totals, ["parent", "older"]), "lm-candidates")
-        discard(seen, totals)
+        least = max(self._least(CONTEXT_COUNT, CONTEXT_SHARE), 1)
+        parts = -(-self.tokens // BUCKET_TOKENS)
+        summed = "bucket long, a long, b long, parent long, n long"
+        seen = _written(self.state.mapInArrow(_seen(parts), SENT), "lm-seen")
+        totals = seen.groupBy("bucket").applyInArrow(_totals(least), summed)
+        totals = _written(totals.select("bucket", "a", "b", F.monotonically_increasing_id().alias("ctx")), "lm-totals")
+        given = seen.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_given_contexts, "block long, number long, ctx long")
+        candidates = _written(given, "lm-candidates")
+        discard(seen)
         state = self.state.groupBy("block")
-        pairs = state.cogroup(candidates.select("block", "number", "ctx", "parent").groupBy("block")).applyInArrow(
-            _after, "block long, code long, ctx long, parent long, symbol long, n long"
-        )
+        pairs = state.cogroup(candidates.groupBy("block")).applyInArrow(_after(parts), SENT)
         pairs = _written(pairs, "lm-pairs")
         # how the next symbols of a context diverge from those of its suffix, over all of them
         if self.levels:
@@ -366,8 +473,8 @@ class SuffixTreeModel:
             on = ["parent", "symbol"]
         else:
             before, on = self.symbols.withColumn("of_suffix", F.lit(self.total)), ["symbol"]
-        after = pairs.groupBy("ctx", "symbol").agg(F.sum("n").alias("n"), F.min("parent").alias("parent")).filter("n > 0")
-        after = _written(after.join(before, on).select("ctx", "symbol", "n", "m", "q", "of_suffix"), "lm-after")
+        after = pairs.groupBy("bucket").applyInArrow(_totals(1), summed).toDF("bucket", "ctx", "symbol", "parent", "n")
+        after = _written(after.join(before, on).select("bucket", "ctx", "symbol", "n", "m", "q", "of_suffix"), "lm-after")
         tested = after.groupBy("ctx").agg(
             F.sum("n").alias("c"),
             F.count(F.lit(1)).alias("k"),
@@ -377,7 +484,7 @@ class SuffixTreeModel:
         gain = F.col("gain") + F.col("c") * F.log(F.col("of_suffix") / F.col("c"))
         kept = tested.filter(gain - (F.col("k") - 1) >= DIVERGENCE * F.col("c")).select("ctx", "c")
         chance = F.when(listed, (F.col("n") + DRAW * F.col("q")) / (F.col("c") + DRAW))
-        level = _written(after.join(kept, "ctx").select("ctx", "symbol", "n", "c", "q", chance.alias("chance")), "lm-level")
+        level = _written(after.join(kept, "ctx").select("bucket", "ctx", "symbol", "n", "c", "q", chance.alias("chance")), "lm-level")
         discard(after)
         if level.isEmpty():
             return False
@@ -386,15 +493,14 @@ class SuffixTreeModel:
             return F.greatest(1.0 - F.coalesce(F.sum(F.when(F.col("chance").isNotNull(), F.col(x))), F.lit(0.0)), F.lit(1e-12))
 
         left = level.groupBy("ctx").agg((unlisted("chance") / unlisted("q")).alias("left"))
-        contexts = _written(candidates.join(left, "ctx"), "lm-contexts")
-        discard(candidates)
-        entries = level.filter("chance is not null").select("ctx", "symbol", F.log10(F.col("chance") / F.col("q")).alias("x"))
-        back = pairs.select("block", "code", "ctx", "symbol").join(entries, ["ctx", "symbol"])
-        back = back.select("block", "code", F.lit(None).cast("long").alias("ctx"), "x").unionByName(
-            contexts.select("block", F.col("number").alias("code"), "ctx", F.log10("left").alias("x"))
-        )
+        contexts = _written(totals.join(left, "ctx").select(F.col("a").alias("parent"), F.col("b").alias("older"), "ctx", "left"), "lm-contexts")
+        own = candidates.join(contexts.select("ctx", F.log10("left").alias("x")), "ctx").groupBy("block").applyInArrow(_packed_contexts, GIVEN)
+        entries = level.filter("chance is not null").select("bucket", F.col("ctx").alias("a"), F.col("symbol").alias("b"), F.log10(F.col("chance") / F.col("q")).alias("x"))
+        back = pairs.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(_given_listed, GIVEN)
+        back = _written(back.unionByName(own), "lm-back")
+        discard(pairs, candidates, totals)
         last, self.state = self.state, _written(state.cogroup(back.groupBy("block")).applyInArrow(_with_level(k), self.kinds), "lm-state")
-        discard(pairs, last)
+        discard(last, back)
         self.levels.append((contexts, level))
         return True
 
