@@ -1,18 +1,37 @@
 """Plain text, titles and links out of HTML, as Column expressions."""
 
-from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that are decoded, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+#: Entities by name, from the language's own table.
+NAMES = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _character(name: Column) -> Column:
+    """What an entity stands for; one that isn't known stays as it is."""
+    digits = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 8), 16, 10)).when(
+        F.startswith(name, F.lit("#")), F.substring(name, 2, 8)
+    )
+    point = digits.cast("long")
+    known = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    numeric = F.when(point == 0xA0, " ").when(known, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    table = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    return F.coalesce(numeric, F.element_at(table, name), F.concat(F.lit("&"), name, F.lit(";")))
 
 
 def decode(text: Column) -> Column:
-    """Entities decoded, twice over, since feeds escape what is escaped."""
-    once = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, once)
+    """Entities decoded, three times over at most, since feeds escape what is escaped; marks of CDATA dropped."""
+
+    def once(x: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(x, F.lit(ENTITY), F.lit(1)))
+        found = F.array_sort(found, lambda a, b: (a == "amp").cast("int") - (b == "amp").cast("int"))  # what an ampersand opens waits for the next time
+        return F.aggregate(found, x, lambda t, e: F.replace(t, F.concat(F.lit("&"), e, F.lit(";")), _character(e)))
+
+    three = F.aggregate(F.array(*map(F.lit, range(3))), text, lambda t, _: once(t))
+    return F.regexp_replace(F.when(F.contains(text, F.lit("&")), three).otherwise(text), r"<!\[CDATA\[|\]\]>", "")
 
 
 def strip_html(text: Column) -> Column:
@@ -30,16 +49,30 @@ def language(html: Column) -> Column:
 
 
 def anchors(html: Column) -> Column:
-    """An array of url, text: the page's links in order."""
-    tag = '<a href="([^"]*)">([^<]*)</a>'
-    urls, texts = F.regexp_extract_all(html, F.lit(tag), F.lit(1)), F.regexp_extract_all(html, F.lit(tag), F.lit(2))
-    return F.zip_with(urls, texts, lambda u, t: F.struct(u.alias("url"), strip_html(t).alias("text")))
+    """An array of url, text: the page's http(s) links in order, whatever the case, the quotes and other attributes."""
+    tags = F.regexp_extract_all(html, F.lit("(?is)<a\\s[^>]*>.*?</a\\s*>"), F.lit(0))
+
+    def parsed(tag: Column) -> Column:
+        value = F.regexp_extract(tag, "(?is)^<a\\s(?:[^>]*\\s)?href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)", 1)
+        inner = F.regexp_replace(tag, "(?is)^<a\\s[^>]*>|</a\\s*>$", "")
+        return F.struct(decode(F.trim(F.btrim(value, F.lit("\"'")))).alias("url"), strip_html(inner).alias("text"))
+
+    return F.filter(F.transform(tags, parsed), lambda a: F.lower(a["url"]).rlike("^https?://"))
 
 
 def meta(html: Column, *keys: str) -> Column:
-    """The first non-empty content of a page's meta tags with these keys, in the order of the keys."""
-    found = [F.nullif(F.regexp_extract(html, f'<meta (?:name|property)="{k}" content="([^"]*)"', 1), F.lit("")) for k in keys]
-    return F.coalesce(*found)
+    """The first non-empty content of a page's meta tags with these keys, in the order of the keys, whatever that of the attributes."""
+    tags = F.regexp_extract_all(html, F.lit("(?is)<meta\\s[^>]*>"), F.lit(0))
+
+    def attribute(tag: Column, name: str) -> Column:
+        value = F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*(\"[^\"]*\"|'[^']*')", 1)
+        return F.substring(value, F.lit(2), F.length(value) - 2)
+
+    def content(key: str) -> Column:
+        named = F.filter(tags, lambda t: (F.lower(attribute(t, "(?:name|property)")) == key) & (attribute(t, "content") != ""))
+        return F.nullif(decode(attribute(F.get(named, F.lit(0)), "content")), F.lit(""))
+
+    return F.coalesce(*map(content, keys))
 
 
 def first_image(html: Column) -> Column:

@@ -9,7 +9,7 @@ from feedloom.functions.decay import decayed, penalty_now
 from feedloom.operators.latest import latest_by
 
 #: What an event adds to an interest, and what a failure costs a site.
-SAVED, UP, DOWN, OPENED, LEAST_WEIGHT = 1.0, 1.0, -1.0, 0.1, 0.25
+SAVED, UP, DOWN, OPENED, RATED, LEAST_WEIGHT = 1.0, 1.0, -1.0, 0.1, 2.0, 0.25
 FIRST_FAILURE, NEXT_FAILURE = 0.2, 0.1
 
 
@@ -18,8 +18,8 @@ def latest_votes(feedback: DataFrame) -> DataFrame:
     return latest_by(feedback.filter("axis = 'interest'"), ["user_id", "candidate_id"])
 
 
-def signals(feedback: DataFrame, opens: DataFrame) -> DataFrame:
-    """user_id, candidate_id, base, created_at: curated saves, latest votes, and opens that nothing overrides."""
+def signals(feedback: DataFrame, opens: DataFrame, ratings: DataFrame) -> DataFrame:
+    """user_id, candidate_id, base, created_at: curated saves, latest votes, opens that nothing overrides, and ratings, all of them from any section."""
     curated = F.col("section") == "curated"
     saved = feedback.filter((F.col("axis") == "saved") & curated)
     votes = latest_votes(feedback).filter(curated)
@@ -29,6 +29,7 @@ def signals(feedback: DataFrame, opens: DataFrame) -> DataFrame:
         saved.withColumn("base", F.lit(SAVED)).select(out)
         .unionByName(votes.withColumn("base", F.when(F.col("value") == "up", UP).otherwise(DOWN)).select(out))
         .unionByName(silent.withColumn("base", F.lit(OPENED)).select(out))
+        .unionByName(ratings.withColumn("base", F.col("rating").cast("double") * RATED).select(out))
     )
 
 
@@ -65,12 +66,16 @@ def greedy_arms(stats: DataFrame) -> DataFrame:
 
 
 def site_penalties(failures: DataFrame) -> DataFrame:
-    """site, penalty, last_failure from site, day: each failure adds to what is left of the ones before it."""
-    days = failures.groupBy("site").agg(F.array_sort(F.collect_list("day")).alias("days"))
+    """site, penalty, last_failure from site, day: each failure adds to what is left of the ones before it.
 
-    def charge(state: Column, day: Column) -> Column:
-        left = F.when(state["last"].isNull(), 0.0).otherwise(penalty_now(state["p"], day - state["last"]))
-        return F.struct(F.when(left == 0, FIRST_FAILURE).otherwise(left + NEXT_FAILURE).alias("p"), day.alias("last"))
+    Failures are counted by day first, so a site's list is as long as its days."""
+    days = failures.groupBy("site", "day").agg(F.count(F.lit(1)).alias("n"))
+    days = days.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("day", "n"))).alias("days"))
+
+    def charge(state: Column, at: Column) -> Column:
+        left = F.when(state["last"].isNull(), 0.0).otherwise(penalty_now(state["p"], at["day"] - state["last"]))
+        first = F.when(left == 0, FIRST_FAILURE).otherwise(left + NEXT_FAILURE)
+        return F.struct((first + NEXT_FAILURE * (at["n"] - 1)).alias("p"), at["day"].alias("last"))
 
     start = F.struct(F.lit(0.0).alias("p"), F.lit(None).cast("long").alias("last"))
     return days.select("site", F.aggregate("days", start, charge).alias("x")).select(
@@ -102,18 +107,18 @@ def detect_saved(new: DataFrame, served: DataFrame, archived: DataFrame, saved:
 
 
 def coalesce_outbox(commands: DataFrame) -> DataFrame:
-    """key, op, payload, version: commands of a key folded in their order. A delete empties the payload, a put
-    after it starts anew, and a put without payload keeps the last one."""
-    ordered = commands.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "op", "payload"))).alias("c"))
-    start = F.struct(F.lit("").alias("op"), F.lit(None).cast("string").alias("payload"), F.lit(0).cast("long").alias("version"))
-
-    def fold(s: Column, c: Column) -> Column:
-        payload = F.when(c["op"] == "delete", F.lit(None).cast("string")).otherwise(
-            F.coalesce(c["payload"], F.when(s["op"] == "delete", F.lit(None).cast("string")).otherwise(s["payload"]))
-        )
-        return F.struct(c["op"].alias("op"), payload.alias("payload"), (s["version"] + 1).alias("version"))
-
-    return ordered.select("key", F.aggregate("c", start, fold).alias("x")).select("key", "x.*")
+    """key, op, payload, version: the last command of a key, with the last payload since its last delete, and their
+    number. Plain aggregates, so a hot key is added up before it moves."""
+    put = (F.col("op") != "delete") & F.col("payload").isNotNull()
+    folded = commands.groupBy("key").agg(
+        F.max_by("op", "id").alias("op"),
+        F.max_by(F.when(put, F.col("payload")), F.when(put, F.col("id"))).alias("last_payload"),
+        F.max(F.when(put, F.col("id"))).alias("put_at"),
+        F.max(F.when(F.col("op") == "delete", F.col("id"))).alias("gone_at"),
+        F.count(F.lit(1)).alias("version"),
+    )
+    alive = F.col("gone_at").isNull() | (F.col("put_at") > F.col("gone_at"))
+    return folded.select("key", "op", F.when(alive, F.col("last_payload")).alias("payload"), "version")
 
 
 def retry_delay(status: Column, attempts: Column) -> Column:

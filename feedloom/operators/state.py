@@ -30,17 +30,19 @@ def facet_tags(tags: Column, interest: Column, mood: Column) -> Column:
 
 
 def sections(commands: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """key, section, saved, moves: commands save, promote, explore, archive and unsave, folded in their order."""
-    ordered = commands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "command"))).alias("c"))
-    start = F.struct(F.lit("curated").alias("section"), F.lit(False).alias("saved"), F.lit(0).alias("moves"))
+    """key, section, saved, moves: what commands save, promote, explore, archive and unsave lead to in their order.
 
-    def step(s: Column, c: Column) -> Column:
-        to = F.when(c["command"] == "promote", "curated").when(c["command"] == "explore", "broad").when(c["command"] == "archive", "archive")
-        section = F.coalesce(to, s["section"])
-        saved = F.when(c["command"] == "unsave", False).otherwise(True)
-        return F.struct(section.alias("section"), saved.alias("saved"), (s["moves"] + (section != s["section"]).cast("int")).alias("moves"))
-
-    return ordered.select(key, F.aggregate("c", start, step).alias("x")).select(key, "x.*")
+    Aggregates and one lag over the moves, so no list of a key's commands is made."""
+    to = F.when(F.col("command") == "promote", "curated").when(F.col("command") == "explore", "broad").when(F.col("command") == "archive", "archive")
+    ends = commands.groupBy(key).agg(
+        F.max_by(to, F.when(to.isNotNull(), F.col("id"))).alias("section"), (F.max_by("command", "id") != "unsave").alias("saved")
+    )
+    moves = commands.withColumn("to", to).filter("to IS NOT NULL")
+    before = F.lag("to", 1, "curated").over(W.partitionBy(key).orderBy("id"))
+    moves = moves.withColumn("moved", (F.col("to") != before).cast("int")).groupBy(key).agg(F.sum("moved").alias("moves"))
+    return ends.join(moves, key, "left").select(
+        key, F.coalesce("section", F.lit("curated")).alias("section"), "saved", F.coalesce("moves", F.lit(0)).cast("int").alias("moves")
+    )
 
 
 def replace_marks(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

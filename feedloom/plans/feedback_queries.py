@@ -36,13 +36,13 @@ def facet_query(spark, sf_dir):
 
 
 def signal_set(spark, sf_dir):
-    rows = fb.signals(_feedback(spark, sf_dir), view(spark, sf_dir, "opens"))
+    rows = fb.signals(_feedback(spark, sf_dir), view(spark, sf_dir, "opens"), view(spark, sf_dir, "ratings"))
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("base"), 4).alias("total"))
 
 
 def centroid_weights(spark, sf_dir):
     near = similarity.assign(_candidates(spark, sf_dir), _centroids(spark, sf_dir), 0.2).select("candidate_id", "centroid")
-    signalled = fb.signals(_feedback(spark, sf_dir), view(spark, sf_dir, "opens"))
+    signalled = fb.signals(_feedback(spark, sf_dir), view(spark, sf_dir, "opens"), view(spark, sf_dir, "ratings"))
     weights = fb.centroid_weights(signalled, near, _centroids(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz"))
     return weights.select("centroid", F.round("weight", 4).alias("weight"))
 
@@ -144,7 +144,7 @@ def insert_or_ignore(spark, sf_dir):
 
 def insert_or_replace(spark, sf_dir):
     opens = view(spark, sf_dir, "opens").select("id", "candidate_id", "user_id")
-    return latest.insert_or_replace(latest.latest_by(opens.filter("id % 2 = 0"), ["candidate_id"]).select("id", "candidate_id", "user_id"), opens.filter("id % 2 = 1 AND id < 4000"), "candidate_id")
+    return latest.insert_or_replace(latest.latest_by(opens.filter("id % 2 = 0"), ["candidate_id"]).select("id", "candidate_id", "user_id"), opens.filter("id % 2 = 1"), "candidate_id")
 
 
 def outbox_coalesce(spark, sf_dir):
@@ -179,11 +179,13 @@ def strictly_increasing_stamp(spark, sf_dir):
 
 
 def feed_json(spark, sf_dir):
-    """The served items, curated before broad, by rank, each as one JSON object."""
-    items = view(spark, sf_dir, "served").join(view(spark, sf_dir, "candidates").select("candidate_id", "url"), "candidate_id")
-    w = W.orderBy(F.when(F.col("section") == "curated", 0).otherwise(1), "rank", "candidate_id")
-    items = items.filter("cycle = 2").withColumn("place", F.row_number().over(w).cast("long"))
-    return items.select("place", F.to_json(F.struct("candidate_id", "section", "url")).alias("item"))
+    """The items of the newest cycle, each as one JSON object with its place in its section; curated ones are shown before broad ones."""
+    served, newest = view(spark, sf_dir, "served"), view(spark, sf_dir, "served").agg(F.max("cycle").alias("cycle"))
+    items = served.join(F.broadcast(newest), "cycle").join(view(spark, sf_dir, "candidates").select("candidate_id", "url", "html"), "candidate_id")
+    w = W.partitionBy("section").orderBy("rank", "candidate_id")
+    items = items.withColumn("place", F.row_number().over(w).cast("long")).withColumn("title", html.title(F.col("html")))
+    items = items.withColumn("icon", F.concat(F.lit("https://"), url.domain("url"), F.lit("/favicon.ico")))
+    return items.select("section", "place", F.to_json(F.struct("candidate_id", "section", "url", "title", "icon")).alias("item"))
 
 
 def digest(spark, sf_dir):
@@ -203,10 +205,14 @@ def archive_difference(spark, sf_dir):
 
 
 def benchmark_stats(spark, sf_dir):
-    """Mean, median, the value nine tenths up, and the largest, per event type."""
-    at = F.element_at(F.array_sort(F.collect_list("value")), (F.floor(0.9 * (F.count(F.lit(1)) - 1)) + 1).cast("int"))
-    rows = read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(at.alias("p90"), F.round(F.avg("value"), 7).alias("mean"), F.median("value").alias("median"), F.max("value").alias("most"))
-    return rows.select("event_type", "user_id", "p90", "mean", F.round("median", 4).alias("median"), "most")
+    """Mean, median, the value nine tenths up, and the largest, per event type and user; the nine tenths by place, none is held as a list."""
+    keys = ["event_type", "user_id"]
+    events = read(spark, sf_dir, "events").select(*keys, "value")
+    placed = events.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("value")))
+    counts = events.groupBy(*keys).agg((F.floor(0.9 * (F.count(F.lit(1)) - 1)) + 1).alias("place"))
+    tenth = placed.join(counts, [*keys, "place"]).select(*keys, F.col("value").alias("p90"))
+    rows = events.groupBy(*keys).agg(F.round(F.avg("value"), 7).alias("mean"), F.median("value").alias("median"), F.max("value").alias("most"))
+    return rows.join(tenth, keys).select("event_type", "user_id", "p90", "mean", F.round("median", 4).alias("median"), "most")
 
 
 QUERIES = {
@@ -225,14 +231,15 @@ def _sql(rest: str, *names: str) -> str:
 
 
 from feedloom.plans import ranking_queries as _rank  # noqa: E402
-from feedloom.plans.text_queries import _KEY, _TITLE  # noqa: E402
+from feedloom.plans.text_queries import _DOMAIN, _KEY, _TITLE  # noqa: E402
 
 _VOTES = """(SELECT user_id, candidate_id, max(id) AS id, arg_max(value, id) AS value, arg_max(section, id) AS section, arg_max(created_at, id) AS created_at
     FROM feedback WHERE axis = 'interest' GROUP BY user_id, candidate_id)"""
 _SIGNALS = f"""(SELECT user_id, candidate_id, 1.0::DOUBLE AS base, created_at FROM feedback WHERE axis = 'saved' AND section = 'curated'
     UNION ALL SELECT user_id, candidate_id, CASE value WHEN 'up' THEN 1.0 ELSE -1.0 END, created_at FROM {_VOTES} WHERE section = 'curated'
     UNION ALL SELECT user_id, candidate_id, 0.1, created_at FROM opens o WHERE section = 'curated' AND NOT EXISTS (
-        SELECT 1 FROM feedback f WHERE f.user_id = o.user_id AND f.candidate_id = o.candidate_id AND f.axis IN ('saved', 'interest')))"""
+        SELECT 1 FROM feedback f WHERE f.user_id = o.user_id AND f.candidate_id = o.candidate_id AND f.axis IN ('saved', 'interest'))
+    UNION ALL SELECT user_id, candidate_id, CASE rating WHEN 1 THEN 2.0 WHEN 0.5 THEN 1.0 WHEN 0 THEN 0.0 WHEN -0.5 THEN -1.0 ELSE -2.0 END, created_at FROM ratings)"""
 _ARMS = """(SELECT c.topic, count(*) AS serves, sum(CASE
         WHEN s.candidate_id IN (SELECT candidate_id FROM feedback WHERE axis = 'saved')
           OR (SELECT arg_max(value, id) FROM feedback f WHERE f.axis = 'interest' AND f.candidate_id = s.candidate_id) = 'up' THEN 1.0
@@ -257,8 +264,8 @@ ORACLE_SQL = {
         arg_max(value, id) FILTER (axis = 'saved') AS saved FROM feedback GROUP BY candidate_id"""),
     "facet_query": _sql("""SELECT candidate_id, max(id) AS id FROM feedback WHERE axis = 'interest' GROUP BY candidate_id
         HAVING arg_max(value, id) = 'up' AND arg_max(created_at, id) >= TIMESTAMP '2024-01-20'"""),
-    "signal_set": _sql(f"SELECT user_id, count(*) AS n, round(sum(base), 4) AS total FROM {_SIGNALS} GROUP BY user_id", "opens"),
-    "centroid_weights": _sql("SELECT 1", "opens").removesuffix("SELECT 1").rstrip() + _rank._MET + f""", near AS (SELECT candidate_id, centroid FROM (
+    "signal_set": _sql(f"SELECT user_id, count(*) AS n, round(sum(base), 4) AS total FROM {_SIGNALS} GROUP BY user_id", "opens", "ratings"),
+    "centroid_weights": _sql("SELECT 1", "opens", "ratings").removesuffix("SELECT 1").rstrip() + _rank._MET + f""", near AS (SELECT candidate_id, centroid FROM (
         SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY sim DESC, centroid) AS n FROM met) WHERE n = 1 AND sim >= 0.2)
         SELECT centroid, round(greatest(0.25, 1 + coalesce(sum(base * pow(0.5, greatest(0, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 86400e6 / 30)), 0)), 4) AS weight
         FROM centroids LEFT JOIN near USING (centroid) LEFT JOIN {_SIGNALS} USING (candidate_id) GROUP BY centroid""",
@@ -289,7 +296,7 @@ ORACLE_SQL = {
     "insert_or_ignore": _sql("""SELECT arg_min(id, (id % 2) * 100000000 + id) AS id, candidate_id, arg_min(user_id, (id % 2) * 100000000 + id) AS user_id
         FROM opens GROUP BY candidate_id""", "opens"),
     "insert_or_replace": _sql("""SELECT arg_max(id, CASE WHEN id % 2 = 1 THEN 100000000 ELSE 0 END + id) AS id, candidate_id,
-        arg_max(user_id, CASE WHEN id % 2 = 1 THEN 100000000 ELSE 0 END + id) AS user_id FROM opens WHERE id % 2 = 0 OR id < 4000 GROUP BY candidate_id""", "opens"),
+        arg_max(user_id, CASE WHEN id % 2 = 1 THEN 100000000 ELSE 0 END + id) AS user_id FROM opens GROUP BY candidate_id""", "opens"),
     "outbox_coalesce": _sql("""SELECT candidate_id AS key, CASE arg_max(event_type, id) WHEN 'error' THEN 'delete' ELSE 'put' END AS op,
         'p' || max(id) FILTER (event_type = 'click' AND id > coalesce(gone, -1)) AS payload, count(*) AS version
         FROM log LEFT JOIN (SELECT candidate_id, max(id) AS gone FROM log WHERE event_type = 'error' GROUP BY candidate_id) USING (candidate_id) GROUP BY candidate_id"""),
@@ -300,9 +307,10 @@ ORACLE_SQL = {
             <= 600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, part""",
     "strictly_increasing_stamp": """SELECT event_id, CAST(max(now - n) OVER (PARTITION BY user_id ORDER BY event_id) + n AS BIGINT) AS stamp FROM (
         SELECT *, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS now, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)""",
-    "feed_json": _sql("""SELECT row_number() OVER (ORDER BY CASE section WHEN 'curated' THEN 0 ELSE 1 END, rank, candidate_id) AS place,
-        '{"candidate_id":' || candidate_id || ',"section":"' || section || '","url":"' || url || '"}' AS item
-        FROM served JOIN candidates USING (candidate_id) WHERE cycle = 2""", "served"),
+    "feed_json": _sql(f"""SELECT section, row_number() OVER (PARTITION BY section ORDER BY rank, candidate_id) AS place,
+        '{{"candidate_id":' || candidate_id || ',"section":"' || section || '","url":"' || url || '","title":"' || replace(replace(title, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))
+            || '","icon":"https://' || domain || '/favicon.ico"}}' AS item
+        FROM served JOIN (SELECT candidate_id, url, {_TITLE} AS title, {_DOMAIN} AS domain FROM candidates) USING (candidate_id) WHERE cycle = (SELECT max(cycle) FROM served)""", "served"),
     "digest": _sql(f"SELECT section, rank, candidate_id, (rank + 1) || '. [' || {_TITLE} || '] ' || s.source AS line FROM served s JOIN candidates c USING (candidate_id)", "served"),
     "union_keys": _sql(f"SELECT url_key FROM {_KEYED} WHERE id % 2 = 0 UNION SELECT url_key FROM {_KEYED} WHERE id % 3 = 0"),
     "archive_difference": _sql(f"SELECT url_key FROM {_KEYED} WHERE id % 2 = 0 EXCEPT SELECT url_key FROM {_KEYED} WHERE id % 3 = 0"),

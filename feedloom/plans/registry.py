@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.plans import feedback_queries, ranking_queries, state_queries, text_queries
+from feedloom.plans import feedback_queries, ranking_queries, rules_queries, state_queries, text_queries
 
-QUERIES = text_queries.QUERIES | ranking_queries.QUERIES | feedback_queries.QUERIES | state_queries.QUERIES
-ORACLE_SQL = text_queries.ORACLE_SQL | ranking_queries.ORACLE_SQL | feedback_queries.ORACLE_SQL | state_queries.ORACLE_SQL
+QUERIES = text_queries.QUERIES | ranking_queries.QUERIES | feedback_queries.QUERIES | state_queries.QUERIES | rules_queries.QUERIES
+ORACLE_SQL = text_queries.ORACLE_SQL | ranking_queries.ORACLE_SQL | feedback_queries.ORACLE_SQL | state_queries.ORACLE_SQL | rules_queries.ORACLE_SQL

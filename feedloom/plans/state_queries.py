@@ -73,8 +73,8 @@ def push_saves(spark, sf_dir):
 
 
 def marks_store(spark, sf_dir):
-    marks = read(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("text_id"), F.col("event_id").alias("id"), F.floor("value").alias("start"), F.floor(F.col("value") * (F.col("event_id") % 4)).alias("end"))
-    out = state.replace_marks(marks.filter("id % 2 = 0 AND end > start"), marks.filter("id % 2 = 1 AND text_id < 20"), ["text_id"])
+    marks = read(spark, sf_dir, "events").select((F.col("event_id") % 997).alias("text_id"), F.col("event_id").alias("id"), "event_type", F.floor("value").alias("start"), F.floor(F.col("value") * (F.col("event_id") % 4)).alias("end"))
+    out = state.replace_marks(marks.filter("event_type <> 'purchase' AND end > start"), marks.filter("event_type = 'purchase'"), ["text_id"])
     return out.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))
 
 
@@ -103,7 +103,7 @@ def subscription_status(spark, sf_dir):
     """Domains' latest outcome: the newest attempt replaces what was recorded."""
     pages = read(spark, sf_dir, "pages").select(url.domain("url").alias("domain"), F.col("page_id").alias("id"), F.when(F.col("page_id") % 3 == 0, "no_feed").otherwise("subscribed").alias("status"))
     old = latest.latest_by(pages.filter("id % 2 = 0"), ["domain"]).select("domain", "id", "status")
-    return latest.insert_or_replace(old, pages.filter("id % 2 = 1 AND id < 100"), "domain")
+    return latest.insert_or_replace(old, pages.filter("id % 2 = 1"), "domain")
 
 
 QUERIES = {
@@ -152,10 +152,10 @@ ORACLE_SQL = {
     "push_saves": _sql(f"""SELECT s.candidate_id, l.link_id, CASE WHEN l.link_id IS NULL THEN 'create' ELSE 'link' END AS action
         FROM (SELECT candidate_id, {_KEY} AS k FROM candidates WHERE candidate_id % 2 = 0) s
         LEFT JOIN (SELECT {_KEY} AS k, min(candidate_id) AS link_id FROM candidates WHERE candidate_id % 3 = 0 GROUP BY 1) l USING (k)"""),
-    "marks_store": """WITH m AS (SELECT event_id % 50 AS text_id, event_id AS id, CAST(floor(value) AS BIGINT) AS s, CAST(floor(value * (event_id % 4)) AS BIGINT) AS e FROM events),
-        n AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY s, id) AS r FROM m WHERE id % 2 = 1 AND text_id < 20 AND e > s)
+    "marks_store": """WITH m AS (SELECT event_id % 997 AS text_id, event_id AS id, event_type = 'purchase' AS fresh, CAST(floor(value) AS BIGINT) AS s, CAST(floor(value * (event_id % 4)) AS BIGINT) AS e FROM events),
+        n AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY s, id) AS r FROM m WHERE fresh AND e > s)
         SELECT text_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts FROM (
-            SELECT text_id, s FROM m WHERE id % 2 = 0 AND e > s AND text_id NOT IN (SELECT text_id FROM m WHERE id % 2 = 1 AND text_id < 20)
+            SELECT text_id, s FROM m WHERE NOT fresh AND e > s AND text_id NOT IN (SELECT text_id FROM m WHERE fresh)
             UNION ALL SELECT text_id, s FROM n WHERE r <= 500) GROUP BY text_id""",
     "settled_queue": _sql("SELECT candidate_id AS key, count(*) AS version FROM log GROUP BY candidate_id HAVING NOT (candidate_id % 3 > 0 AND candidate_id % 2 = 0)"),
     "backfilled_saves": _sql("""SELECT f.candidate_id, min(f.id) AS id, coalesce(any_value(c.url), 'https://key-' || f.candidate_id) AS url
@@ -164,5 +164,5 @@ ORACLE_SQL = {
         WHERE v = 'up' AND candidate_id NOT IN (SELECT candidate_id FROM served)"""),
     "subscription_status": f"""WITH p AS (SELECT {_DOMAIN} AS domain, page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'no_feed' ELSE 'subscribed' END AS status FROM pages)
         SELECT domain, arg_max(id, r) AS id, arg_max(status, r) AS status FROM (
-            SELECT *, id + CASE WHEN id % 2 = 1 THEN 1000000 ELSE 0 END AS r FROM p WHERE id % 2 = 0 OR id < 100) GROUP BY domain""",
+            SELECT *, id + CASE WHEN id % 2 = 1 THEN 1000000 ELSE 0 END AS r FROM p) GROUP BY domain""",
 }

@@ -173,9 +173,13 @@ _KEY = rf"""regexp_replace(lower({_AUTH}), '^www\.', '') || regexp_replace({_PAT
       AND lower(split_part(p, '=', 1)) NOT IN ('fbclid', 'gclid', 'msclkid', 'mc_cid', 'mc_eid')), '&'), ''), '')"""
 
 
+#: Those that occur in the given pages.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+
+
 def _decode(x: str) -> str:
     for _ in range(2):
-        for entity, char in html.ENTITIES:
+        for entity, char in _ENTITIES:
             x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return x
 
@@ -203,10 +207,10 @@ ORACLE_SQL = {
         lambda w: length(w) >= 3 AND lower(w) NOT IN ('html', 'htm', 'php', 'aspx', 'index', 'status', 'www')), ' ') AS words FROM pages""",
     "strip_html": f"SELECT page_id, md5({_strip('html')}) AS text_md5 FROM pages",
     "page_title": f"""SELECT page_id, {_TITLE} AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages""",
-    "anchors": f"""SELECT page_id, pos - 1 AS pos, regexp_extract(tag, '<a href="([^"]*)"', 1) AS href,
-        {_strip('''regexp_extract(tag, '>([^<]*)</a>', 1)''')} AS label FROM (
-        SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1)::BIGINT AS pos FROM (
-        SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS tags FROM pages))""",
+    "anchors": f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, {_decode('href')} AS href, {_strip('inside')} AS label FROM (
+        SELECT page_id, n, regexp_extract(tag, '(?i)href="([^"]*)"', 1) AS href, regexp_replace(tag, '(?i)^<a[^>]*>|</a>$', '', 'g') AS inside FROM (
+        SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1)::BIGINT AS n FROM (
+        SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>') AS tags FROM pages))) WHERE lower(href) LIKE 'http%'""",
     "url_list": r"""SELECT page_id, pos - 1 AS pos, regexp_replace(u, '[.,;:)\]}]+$', '') AS found_url FROM (
         SELECT page_id, unnest(us) AS u, generate_subscripts(us, 1)::BIGINT AS pos FROM (
         SELECT page_id, regexp_extract_all('see ' || url || ', then (' || url || ').', 'https?://[^\s<>"'']+') AS us FROM pages))""",

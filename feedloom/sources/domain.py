@@ -25,6 +25,9 @@ VIEWS = {
                     ELSE CASE WHEN id % 2 = 0 THEN 'happy' ELSE 'sad' END END AS value
         FROM log WHERE event_type <> 'view'""",
     "opens": "SELECT id, user_id, candidate_id, section, created_at FROM log WHERE event_type = 'view'",
+    "ratings": """
+        SELECT id, user_id, candidate_id, (id % 7 - 3) / 2 AS rating, section, created_at
+        FROM log WHERE event_type = 'signup' AND (id % 7 - 3) / 2 BETWEEN -1 AND 1""",
     "served": """
         SELECT candidate_id, source, candidate_id % 3 AS cycle, CASE WHEN source = 'searxng' THEN 'broad' ELSE 'curated' END AS section,
                candidate_id % 10 AS rank
