@@ -11,8 +11,8 @@ whole sets. Copies never become pairs: equal sets are one class from the start.
 Where every link counts, all entries of a bucket meet, those of large ones in salted
 blocks. For components alone there is a quick path. Every class goes to two of its
 buckets, those whose shingles have the least of two hashes: near copies mostly choose
-alike. There classes are dealt to blocks, and of a block's whole sets all links are
-found at once. After the components of these links, a bucket in one component needs
+alike. There classes are dealt to blocks, a block's prefixes are compared at once, and
+a spanning forest of the likeliest pairs is checked on whole sets. After the components of these links, a bucket in one component needs
 nothing more; in others all members outside the bucket's largest component meet all
 other members, in salted blocks, and pairs in one component drop out. No pair that
 could join two components is left out. The pairs that remain are checked first on
@@ -84,82 +84,69 @@ def shingle_set(text: str | None, width: int, words: dict) -> np.ndarray:
     return np.unique(out ^ out >> np.uint64(33))
 
 
-def _repeats(width: int):
-    """Shingles that several distinct sets of a task share, with how many."""
-
-    def flush(held: dict) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
-        many = counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], ["token", "n"])
+def _set_rows(width: int):
+    """row, doc_id, text, text_hash -> row, doc_id, n, sid, shingles, text_hash; a task gives a set's shingles once while it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = _Words(), {}, 0
+        words, given = _Words(), set()
         for batch in sliced(batches):
-            for text in batch.column(0).to_pylist():
+            ns, sids, sets = [], [], []
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, width, words)
-                key = xxhash.xxh3_128_digest(s)
-                if key not in held:
-                    held[key] = s
-                    size += len(s)
-            if size > FLUSH_SHINGLES:
-                yield flush(held)
-                held, size = {}, 0
-        yield flush(held)
+                sid = xxhash.xxh3_128_digest(s)
+                if len(given) > 200_000:
+                    given.clear()
+                ns.append(len(s))
+                sids.append(sid)
+                sets.append(s.tobytes() if len(s) and sid not in given else None)
+                given.add(sid)
+            arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(sids, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(3)], ["row", "doc_id", "n", "sid", "shingles", "text_hash"])
 
     return run
 
 
-def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
-    """row, doc_id, text, text_hash -> row, doc_id, n, sid, gid, prefix, text_hash; a task gives a group's prefix once while it remembers it."""
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shingles -> token, n: shingles that several sets of a task share, with how many."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        many = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], ["token", "n"])
+
+    for batch in sliced(batches):
+        held += [np.frombuffer(data, np.uint64) for data in batch.column(0).to_pylist()]
+        size += batch.nbytes // 8
+        if size > FLUSH_SHINGLES:
+            yield flush()
+            held, size = [], 0
+    yield flush()
+
+
+def _prefixes(percent: int, moved: np.ndarray, counts: np.ndarray):
+    """row, n, sid, shingles -> row, n, sid, gid, prefix; a task gives a group's prefix once while it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, given = _Words(), set()
+        given = set()
         for batch in sliced(batches):
-            ns, sids, gids, prefixes = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingle_set(text, width, words)
-                n = len(s)
-                length = n - -(-percent * n // 100) + 1 if n else 0
-                if len(moved) and n:
+            gids, prefixes = [], []
+            for n, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                s = np.frombuffer(data, np.uint64)
+                length = n - -(-percent * n // 100) + 1
+                prefix = s[:length]
+                if len(moved):
                     at = np.minimum(np.searchsorted(moved, s), len(moved) - 1)
-                    order = np.argsort(np.where(moved[at] == s, counts[at], 0), kind="stable")[:length]
-                    prefix = s[order]
-                else:
-                    prefix = s[:length]
+                    prefix = s[np.argsort(np.where(moved[at] == s, counts[at], 0), kind="stable")[:length]]
                 gid = xxhash.xxh3_128_digest(prefix.tobytes() + n.to_bytes(8, "little"))
                 if len(given) > 100_000:
                     given.clear()
                 prefixes.append(prefix.view(np.int64) if gid not in given else prefix[:0].view(np.int64))
                 given.add(gid)
-                ns.append(n)
-                sids.append(xxhash.xxh3_128_digest(s))
                 gids.append(gid)
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
-            arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(sids, pa.binary()), pa.array(gids, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column(3)], ["row", "doc_id", "n", "sid", "gid", "prefix", "text_hash"])
-
-    return run
-
-
-def _sets(width: int):
-    """cls, chunk, sid, homes, text -> homes, cls, n, shingles, where the text has that set; a task gives a class's chunk of homes once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, given = _Words(), set()
-        for batch in sliced(batches):
-            rows, sets, sizes = [], [], []
-            for i, (cls, chunk, sid, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))):
-                if (cls, chunk) not in given:
-                    s = shingle_set(text, width, words)
-                    if xxhash.xxh3_128_digest(s) == sid:
-                        given.add((cls, chunk))
-                        rows.append(i)
-                        sizes.append(len(s))
-                        sets.append(np.sort(s.view(np.int64)).tobytes())
-            at = pa.array(rows, pa.int64())
-            arrays = [batch.column(3).take(at), batch.column(0).take(at), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["homes", "cls", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(gids, pa.binary()), lists], ["row", "n", "sid", "gid", "prefix"])
 
     return run
 
@@ -167,27 +154,28 @@ def _sets(width: int):
 def _prefix_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """homes, cls, n, prefix -> homes, cls, n, shingles: the prefix in the order of hashes."""
     for batch in batches:
-        sets = [np.sort(x.values.to_numpy()).tobytes() for x in batch.column(3)]
+        sets = [np.sort(x.values.to_numpy().view(np.uint64)).tobytes() for x in batch.column(3)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["homes", "cls", "n", "shingles"])
 
 
 def _verifier(percent: int):
     """a, part, partner, cls, n, shingles in order -> a, b: the set of a comes first, and its partners after it.
 
-    n: the shingles of the whole set, of which those at hand may be a part; those in neither part may all be equal."""
+    n: the shingles of the whole set, of which those at hand may be its prefix. The prefix that ends earlier in the order of
+    all shingles holds all that both sets share up to there, so beside what prefixes share the rest of one set can be equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, own, whole = None, np.zeros(0, np.int64), 0
+        home, own, whole = None, np.zeros(0, np.uint64), 0
         for batch in sliced(batches):
             found: list[tuple[int, int]] = []
             for a, part, partner, cls, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                other = np.frombuffer(data, np.int64)
+                other = np.frombuffer(data, np.uint64)
                 if not partner:
                     home, own, whole = (a, part), other, n
                     continue
                 if home != (a, part):
                     raise ValueError(f"class {a} has no set")
-                both = len(np.intersect1d(own, other, assume_unique=True)) + min(whole - len(own), n - len(other))
+                both = len(np.intersect1d(own, other, assume_unique=True)) + max(whole - len(own), n - len(other))
                 if 100 * both >= percent * (whole + n - both):
                     found.append((a, cls))
             arrays = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
@@ -196,12 +184,12 @@ def _verifier(percent: int):
     return run
 
 
-def _joined(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links, enough of them to connect what all links between the sets connect."""
-    sizes = np.array([len(x) for x in sets])
-    tokens = np.concatenate(sets)
+def _likely(classes: list[int], sizes: list[int], prefixes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets that their prefixes allow to be similar enough: a spanning forest of all such pairs, the likeliest first."""
+    size, own = np.array(sizes), np.array([len(x) for x in prefixes])
+    tokens = np.concatenate(prefixes)
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    tokens, owner = tokens[order], np.repeat(np.arange(len(own)), own)[order]
     same = tokens[1:] == tokens[:-1]
     shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     place = np.cumsum(np.concatenate([[True], ~same]))[shared]
@@ -209,44 +197,50 @@ def _joined(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     if not len(owner):
         return []
     place = np.unique(place, return_inverse=True)[1]
-    both = np.zeros((len(sets), len(sets)), np.int64)
+    both = np.zeros((len(own), len(own)), np.int64)
     for low in range(0, int(place[-1]) + 1, COLUMNS):  # place is sorted
         a, b = np.searchsorted(place, [low, low + COLUMNS])
-        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has = np.zeros((len(own), COLUMNS), np.float32)
         has[owner[a:b], place[a:b] - low] = 1
         both += (has @ has.T).astype(np.int64)
-    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    out, left = [], set(range(len(sets)))
-    while left:
-        todo = [left.pop()]
-        while todo:
-            i = todo.pop()
-            for j in np.flatnonzero(linked[i]).tolist():
-                if j in left:
-                    left.remove(j)
-                    todo.append(j)
-                    out.append((classes[i], classes[j]))
+    most = both + np.maximum((size - own)[:, None], (size - own)[None, :])
+    able = (both > 0) & (100 * most >= percent * (size[:, None] + size[None, :] - most))
+    x, y = np.nonzero(np.triu(able, 1))
+    likeness = both[x, y] / (own[x] + own[y] - both[x, y])
+    root, out = list(range(len(own))), []
+    for k in np.argsort(-likeness, kind="stable").tolist():
+        i, j = int(x[k]), int(y[k])
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        if i != j:
+            root[i] = j
+            out.append((classes[x[k]], classes[y[k]]))
     return out
 
 
-def _block_links(percent: int):
-    """a, part, cls, shingles in order of (a, part) -> a, b: links within each (a, part)."""
+def _block_pairs(percent: int):
+    """a, part, cls, n, shingles in order of (a, part) -> a, b: pairs to verify within each (a, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, classes, sets = None, [], []
+        home, held = None, ([], [], [])
         for batch in sliced(batches):
             found: list[tuple[int, int]] = []
-            for a, part, cls, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, part, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if home != (a, part):
-                    found += _joined(classes, sets, percent) if len(sets) > 1 else []
-                    home, classes, sets = (a, part), [], []
-                classes.append(cls)
-                sets.append(np.frombuffer(data, np.int64))
+                    found += close(held)
+                    home, held = (a, part), ([], [], [])
+                for column, x in zip(held, (row[0], row[1], np.frombuffer(row[2], np.uint64))):
+                    column.append(x)
             yield pairs(found)
-        yield pairs(_joined(classes, sets, percent) if len(sets) > 1 else [])
+        yield pairs(close(held))
+
+    def close(held: tuple[list, list, list]) -> list[tuple[int, int]]:
+        return _likely(*held, percent) if len(held[0]) > 1 else []
 
     def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["a", "b"])
 
     return run
 
@@ -297,19 +291,19 @@ class JaccardJoin:
         self.texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         self.spark = docs.sparkSession
         self.wanted: list[DataFrame] = []
-        moved, counts = self._moved()
         kind = self.texts.schema["doc_id"].dataType.simpleString()
         rows = self.texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        rows = rows.mapInArrow(
-            _prefixes(width, percent, moved, counts),
-            f"row long, doc_id {kind}, n int, sid binary, gid binary, prefix array<long>, text_hash long",
-        )
-        self.rows = materialize(rows, "jaccard-rows")
-        full = self.rows.filter("n > 0")
+        rows = rows.mapInArrow(_set_rows(width), f"row long, doc_id {kind}, n int, sid binary, shingles binary, text_hash long")
+        #: every document, with its set where it is the first of a task to have it
+        self.rows = materialize(rows, "jaccard-sets")
+        self.sets = self.rows.filter("shingles IS NOT NULL").select("row", "n", "sid", "shingles")
+        moved, counts = self._moved()
+        full = self.sets.mapInArrow(_prefixes(percent, moved, counts), "row long, n int, sid binary, gid binary, prefix array<long>")
+        full = self.prefixes = materialize(full, "jaccard-prefixes")
         #: cls stands for all rows with one set; g for all with one prefix and size
-        classes = full.groupBy("sid").agg(F.min(F.struct("row", "doc_id", "gid", "n")).alias("x"))
-        classes = classes.select("sid", F.col("x.row").alias("cls"), F.col("x.doc_id").alias("doc_id"), "x.gid", "x.n")
-        groups = full.groupBy("gid").agg(F.min("row").alias("g"))
+        classes = full.groupBy("sid").agg(F.min(F.struct("row", "gid", "n")).alias("x"))
+        classes = classes.select("sid", F.col("x.row").alias("cls"), "x.gid", "x.n")
+        groups = full.filter(F.size("prefix") > 0).groupBy("gid").agg(F.min("row").alias("g"))
         self.classes = materialize(classes.join(groups, "gid").drop("gid"), "jaccard-classes")
         per_token = W.partitionBy("token")
         at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")  # in one number: most rows move only to be found alone
@@ -324,15 +318,14 @@ class JaccardJoin:
             entries.join(named, "row")
             .select("token", "g", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
             .distinct()
-            .withColumn("groups", F.count(F.lit(1)).over(per_token))
-            .filter("groups > 1")
         )
+        entries = entries.withColumn("groups", F.count(F.lit(1)).over(per_token)).filter("groups > 1")
         self.entries = materialize(entries, "jaccard-entries")
         forget(self.spark)
 
     def _moved(self) -> tuple[np.ndarray, np.ndarray]:
         """The most repeated shingles, sorted, and their counts; at most MOVED of them, 16 bytes each."""
-        counts = self.texts.select("text").mapInArrow(_repeats(self.width), "token long, n long")
+        counts = self.sets.select("shingles").mapInArrow(_repeats, "token long, n long")
         counts = materialize(counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= REPEATS), "jaccard-counts")
         level = F.floor(F.log2("n") * 8).cast("int")
         levels = sorted(((r.level, r.tokens) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("tokens")).collect()), reverse=True)
@@ -412,19 +405,16 @@ class JaccardJoin:
         """home, cls, n, shingles: the whole sets of homes' classes, at their homes, from cls, home."""
         chunks = homes.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / HOMES).alias("chunks"))
         homes = homes.join(chunks, "cls").groupBy("cls", F.pmod(F.xxhash64("home"), F.col("chunks")).alias("chunk"))
-        homes = homes.agg(F.collect_list("home").alias("homes"))
-        wanted = self.classes.join(homes, "cls").select("cls", "chunk", "sid", "homes", F.col("doc_id").alias("its_id"))
-        self.wanted.append(wanted := materialize(wanted, "jaccard-wanted"))
-        kind = wanted.schema["homes"].dataType.simpleString()
+        wanted = materialize(homes.agg(F.collect_list("home").alias("homes")), "jaccard-wanted")
+        self.wanted.append(wanted)
         if wanted.agg(F.coalesce(F.sum(F.size("homes")), F.lit(0))).first()[0] <= FETCH_BROADCAST:
             wanted = F.broadcast(wanted)
-        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id"))).select("cls", "chunk", "sid", "homes", "text")
-        sets = texts.mapInArrow(_sets(self.width), f"homes {kind}, cls long, n int, shingles binary")
+        sets = self.sets.join(wanted, F.col("row") == F.col("cls"))
         return sets.select(F.explode("homes").alias("home"), "cls", "n", "shingles")
 
     def _prefixes_sent(self, homes: DataFrame) -> DataFrame:
         """The same with prefixes, which are at hand, in the place of sets."""
-        first = self.rows.select(F.col("row").alias("g"), "prefix")
+        first = self.prefixes.select(F.col("row").alias("g"), "prefix")
         placed = homes.groupBy("cls").agg(F.collect_list("home").alias("homes"))
         kind = placed.schema["homes"].dataType.simpleString()
         rows = self.classes.join(placed, "cls").join(first, "g").select("homes", "cls", "n", "prefix")
@@ -470,9 +460,12 @@ class JaccardJoin:
         parts = F.ceil(F.greatest(F.count(F.lit(1)) / CLASSES, F.sum("n") / SHINGLES)).alias("parts")
         sizes = choices.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), parts).filter("classes > 1")
         home = F.struct(F.xxhash64("key").alias("a"), F.pmod(F.xxhash64("cls", "key"), F.col("parts")).alias("part"))
-        sent = self._sent(choices.join(sizes, "key").select("cls", home.alias("home")))
-        found = sent.select("home.*", "cls", "shingles").repartition("a", "part").sortWithinPartitions("a", "part")
-        return self._checked(found.mapInArrow(_block_links(self.percent), "a long, b long").distinct(), choices)
+        sent = self._prefixes_sent(choices.join(sizes, "key").select("cls", home.alias("home")))
+        found = sent.select("home.*", "cls", "n", "shingles").repartition("a", "part").sortWithinPartitions("a", "part")
+        likely = self._checked(found.mapInArrow(_block_pairs(self.percent), "a long, b long").distinct(), choices)
+        links = self.verified(likely)
+        discard(likely)
+        return links
 
     def links(self) -> DataFrame:
         """a, b: all pairs of classes that are similar enough, whatever the size of their buckets."""
@@ -483,7 +476,7 @@ class JaccardJoin:
         links = self.links()
         ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
         counts = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-        least = self.rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+        least = self.rows.select("sid", "n", "doc_id").filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
         own = self.classes.select("sid", "cls").join(least, "sid").join(counts, "cls", "left").select("sid", "least", "n_links")
         return self.rows.join(own, "sid", "left").select(
             "doc_id",
