@@ -31,6 +31,7 @@ training tokens every probability is 1; rows and ids may repeat.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,10 +42,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, forget, join_small, materialize, sliced
+from .common import discard, forget, join_small, materialize, release, sliced
 
 #: Tokens of a block; tokens for which a bucket is made, whose keys are added up in one task.
-BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 3_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 1_000_000, 3_000_000
 SYMBOL_SHARE, CONTEXT_SHARE, ENTRY_SHARE = 5e-5, 5e-5, 2e-6
 SYMBOL_COUNT, CONTEXT_COUNT, ENTRY_COUNT = 256, 256, 8
 DEPTH, DRAW, DIVERGENCE = 3, 30.0, 0.01
@@ -183,12 +184,12 @@ STATE = ["block", "docs", "held", "lengths", "known", "base", "gain", "symbols",
 
 
 def _with_symbols(total: int, distinct: int):
-    """A block and of_block, number, c, symbol of its words -> the state before the first level."""
+    """A block and of_block, number, c, symbol, packed, of its words -> the state before the first level."""
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        number = words.column("number").to_numpy()
+        number, c_of, symbol_of = (np.concatenate([_longs(x) for x in words.column(k).to_pylist()]) for k in ("number", "c", "symbol"))
         c, symbol = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-        c[number], symbol[number] = words.column("c").to_numpy(), words.column("symbol").to_numpy()
+        c[number], symbol[number] = c_of, symbol_of
         symbols, own = np.unique(symbol, return_inverse=True)
         ids = _unpacked(block.column("ids")[0].as_py())
         lengths = block.column("lengths")[0].values.to_numpy()
@@ -204,11 +205,69 @@ def _with_symbols(total: int, distinct: int):
             "contexts": np.array([ROOT], np.int64),
         }
         row |= _contexts(of_tokens, lengths, np.zeros(len(ids), np.int64), len(symbols) + 1, 1)
-        return pa.Table.from_arrays([pa.array([row[n]]) if n in row else block.column(n) for n in STATE], STATE)
+        out = pa.Table.from_arrays([pa.array([row[n]]) if n in row else block.column(n) for n in STATE], STATE)
+        release()
+        return out
 
     return run
 
 
+WORDS = "bucket long, block long, words binary, n binary, number binary"
+
+
+def _sent_words(parts: int):
+    """block, words, train -> WORDS: a block's words, without white space and so packed by it, dealt to buckets by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = [w.encode() for w in batch.column("words")[row].as_py()]
+                n = batch.column("train")[row].values.to_numpy()
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+                order = np.argsort(bucket, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
+                cut = np.split(order, first[1:])
+                arrays = [
+                    pa.array(bucket[order][first]),
+                    pa.array(np.full(len(first), batch.column("block")[row].as_py(), np.int64)),
+                    pa.array([zstandard.compress(b"\n".join(words[i] for i in own.tolist()), 1) for own in cut], pa.binary()),
+                    pa.array([_long(n[own]) for own in cut], pa.binary()),
+                    pa.array([_long(own) for own in cut], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "words", "n", "number"])
+        release()
+
+    return run
+
+
+def _bucket_words(sent: pa.Table) -> list[list[bytes]]:
+    return [zstandard.decompress(x).split(b"\n") for x in sent.column("words").to_pylist()]
+
+
+def _word_totals(sent: pa.Table) -> pa.Table:
+    """A bucket's WORDS -> bucket, word, c of the words that training has."""
+    at, words = pd.factorize(np.array([w for own in _bucket_words(sent) for w in own], object))
+    n = np.concatenate([_longs(x) for x in sent.column("n").to_pylist()])
+    c = np.bincount(at, weights=n, minlength=len(words)).astype(np.int64)
+    some = np.flatnonzero(c)
+    out = {"bucket": np.full(len(some), sent.column("bucket")[0].as_py(), np.int64), "word": [words[i].decode() for i in some.tolist()], "c": c[some]}
+    return pa.table(out, pa.schema([("bucket", pa.int64()), ("word", pa.string()), ("c", pa.int64())]))
+
+
+def _given_words(sent: pa.Table, known: pa.Table) -> pa.Table:
+    """A bucket's WORDS and word, c, symbol of known ones -> of_block, number, c, symbol of its blocks' words, packed."""
+    rows = []
+    number = {w.encode(): i for i, w in enumerate(known.column("word").to_pylist())}
+    c, symbol = np.append(known.column("c").to_numpy(), 0), np.append(known.column("symbol").to_numpy(), REST)
+    for block, own, places in zip(sent.column("block").to_pylist(), _bucket_words(sent) if sent.num_rows else [], sent.column("number").to_pylist()):
+        at = np.fromiter((number.get(w, -1) for w in own), np.int64, len(own))
+        rows.append((block, places, _long(c[at]), _long(symbol[at])))
+    release()
+    names = ["of_block", "number", "c", "symbol"]
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names)
+
+
 def _long(numbers: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(numbers, "<i8").tobytes(), 1)
 
@@ -236,6 +295,7 @@ def _totals(least: float):
     """A bucket's rows -> bucket, a, b, parent, n of keys that all blocks together see so often."""
 
     def run(sent: pa.Table) -> pa.Table:
+        release()
         a, b, parent, n, _ = _unpacked_rows(sent)
         at, first, found = _keys(a, b)
         total = np.bincount(at, weights=n, minlength=found).astype(np.int64)
@@ -264,6 +324,7 @@ def _keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def _matched(sent: pa.Table, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """block and local of the places of a bucket's rows whose key is found, and the found row of each."""
+    release()
     if not sent.num_rows or not found.num_rows:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     a, b, _, _, local = _unpacked_rows(sent)
@@ -326,6 +387,7 @@ def _after(parts: int):
     """A block's state and number, ctx of its candidates -> SENT of every (ctx, symbol) there, with how often training has it."""
 
     def run(state: pa.Table, candidates: pa.Table) -> pa.Table:
+        release()
         b = _Block(state, 0)
         which = np.full(len(b.parents) + 1, -1, np.int64)  # the last is for tokens without a context
         which[candidates.column("number").to_numpy()] = np.arange(candidates.num_rows)
@@ -345,6 +407,7 @@ def _with_level(k: int):
     With ctx the code is a context's number and x what its unlisted symbols gain; without, code and x are of a listed symbol."""
 
     def run(state: pa.Table, kept: pa.Table) -> pa.Table:
+        release()
         b = _Block(state, 0)
         rows = [(_longs(code), ctx, np.frombuffer(x, "<f8")) for code, ctx, x in zip(*(kept.column(c).to_pylist() for c in ("code", "ctx", "x")))]
         number, contexts, rest, code, chance = (
@@ -410,9 +473,9 @@ class SuffixTreeModel:
     def _symbols(self) -> DataFrame:
         """The state before the first level; self.words, endings and symbols (symbol, m, q: its count and probability)."""
         least = F.greatest(F.lit(self._least(SYMBOL_COUNT, SYMBOL_SHARE)), F.lit(1))
-        numbered = self.blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("number", "x"))
-        numbered = numbered.select("block", "number", F.col("x.words").alias("word"), F.col("x.train").alias("n"))
-        counted = numbered.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0")
+        sent = self.blocks.select("block", "words", "train").mapInArrow(_sent_words(-(-self.tokens // BUCKET_TOKENS) or 1), WORDS)
+        sent = _written(sent, "lm-sent-words")
+        counted = sent.groupBy("bucket").applyInArrow(_word_totals, "bucket long, word string, c long")
         rare = (F.col("word") != "") & (F.col("c") < least)
         counted = counted.withColumn("ending", F.when(rare, F.substring("word", -2, 2)))
         known = _written(counted.withColumn("id", F.monotonically_increasing_id() + FIRST_SYMBOL), "lm-words")
@@ -436,15 +499,18 @@ class SuffixTreeModel:
         two = [(REST, self.total - m - ends, self.rest), (END, ends, self.end)]
         two = self.blocks.sparkSession.createDataFrame(two, "symbol long, m long, q double")
         self.symbols = _written(own.select("symbol", "m", (F.col("mass") / whole).alias("q")).unionByName(two), "lm-symbols")
-        # words that training lacks end like the others
-        named = numbered.select("block", "number", "word").join(known.select("word", "c", "id"), "word", "left")
-        named = named.withColumn("ending", F.when(F.col("c").isNull() | (F.col("c") < least), F.substring("word", -2, 2)))
-        named = join_small(named, self.endings.select("ending", "shared"), ["ending"], self.endings.count(), "left")
-        symbol = F.when(F.col("number") == 0, END).when(F.col("c") >= least, F.col("id"))
-        symbol = symbol.when(F.col("c").isNull(), REST).otherwise(F.coalesce("shared", F.lit(REST)))
-        words = named.select(F.col("block").alias("of_block"), "number", F.coalesce("c", F.lit(0)).alias("c"), symbol.alias("symbol"))
+        named = join_small(known, self.endings.select("ending", "shared"), ["ending"], self.endings.count(), "left")
+        symbol = F.when(F.col("word") == "", END).when(F.col("c") >= least, F.col("id")).otherwise(F.coalesce("shared", F.lit(REST)))
+        named = _written(named.select("bucket", "word", "c", symbol.alias("symbol")), "lm-word-symbols")
+        words = sent.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(
+            _given_words, "of_block long, number binary, c binary, symbol binary"
+        )
+        words = _written(words, "lm-given-words")
+        discard(sent, named)
         own = self.blocks.select("block", "docs", "held", "lengths", "ids").groupBy("block")
-        return _written(own.cogroup(words.groupBy("of_block")).applyInArrow(_with_symbols(self.total, distinct), self.kinds), "lm-state")
+        state = _written(own.cogroup(words.groupBy("of_block")).applyInArrow(_with_symbols(self.total, distinct), self.kinds), "lm-state")
+        discard(words)
+        return state
 
     def _grow(self) -> bool:
         """Adds a level; False if it has no contexts.
