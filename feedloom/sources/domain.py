@@ -10,10 +10,11 @@ AS_OF = "2024-02-01 00:00:00"
 #: SQL that Spark and DuckDB read alike; each may use the ones before it.
 VIEWS = {
     "candidates": """
-        SELECT e.vec_id AS candidate_id, p.url, p.html, e.embedding AS vector, e.label,
+        SELECT e.vec_id AS candidate_id, coalesce(p.url, concat('https://vectors.example.org/v/', CAST(e.vec_id AS STRING))) AS url,
+               coalesce(p.html, '') AS html, e.embedding AS vector, e.label,
                concat('T', CAST(e.label AS STRING)) AS topic,
                CASE e.vec_id % 3 WHEN 0 THEN 'hackernews' WHEN 1 THEN 'rss' ELSE 'searxng' END AS source
-        FROM embeddings e JOIN pages p ON e.vec_id = p.page_id""",
+        FROM embeddings e LEFT JOIN pages p ON e.vec_id = p.page_id""",
     "log": """
         SELECT event_id AS id, user_id, event_id % (SELECT count(*) FROM candidates) AS candidate_id, event_type, value, ts AS created_at,
                CASE WHEN user_id % 4 = 0 THEN 'broad' ELSE 'curated' END AS section
