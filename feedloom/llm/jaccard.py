@@ -11,8 +11,8 @@ whole sets. Copies never become pairs: equal sets are one class from the start.
 Where every link counts, all entries of a bucket meet, those of large ones in salted
 blocks. For components alone there is a quick path. Every class goes to two of its
 buckets, those whose shingles have the least of two hashes: near copies mostly choose
-alike. There classes are dealt to blocks, a block's prefixes are compared at once, and
-a spanning forest of the likeliest pairs is checked on whole sets. After the components of these links, a bucket in one component needs
+alike. There classes are dealt to blocks, whose prefixes are compared at once, and so
+are the whole sets of those that may have a partner in their block. After the components of these links, a bucket in one component needs
 nothing more; in others all members outside the bucket's largest component meet all
 other members, in salted blocks, and pairs in one component drop out. No pair that
 could join two components is left out. The pairs that remain are checked first on
@@ -184,67 +184,89 @@ def _verifier(percent: int):
     return run
 
 
-def _likely(classes: list[int], sizes: list[int], prefixes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of sets that their prefixes allow to be similar enough: a spanning forest of all such pairs, the likeliest first."""
-    size, own = np.array(sizes), np.array([len(x) for x in prefixes])
-    tokens = np.concatenate(prefixes)
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share, but for the diagonal."""
+    tokens = np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], np.repeat(np.arange(len(own)), own)[order]
+    tokens, owner = tokens[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
     same = tokens[1:] == tokens[:-1]
     shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     place = np.cumsum(np.concatenate([[True], ~same]))[shared]
     owner = owner[shared]
+    both = np.zeros((len(sets), len(sets)), np.int64)
     if not len(owner):
-        return []
+        return both
     place = np.unique(place, return_inverse=True)[1]
-    both = np.zeros((len(own), len(own)), np.int64)
     for low in range(0, int(place[-1]) + 1, COLUMNS):  # place is sorted
         a, b = np.searchsorted(place, [low, low + COLUMNS])
-        has = np.zeros((len(own), COLUMNS), np.float32)
+        has = np.zeros((len(sets), COLUMNS), np.float32)
         has[owner[a:b], place[a:b] - low] = 1
         both += (has @ has.T).astype(np.int64)
+    np.fill_diagonal(both, 0)
+    return both
+
+
+def _likely(sizes: list[int], prefixes: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets have another one here that is similar enough, as far as their prefixes tell."""
+    size, own = np.array(sizes), np.array([len(x) for x in prefixes])
+    both = _overlaps(prefixes)
     most = both + np.maximum((size - own)[:, None], (size - own)[None, :])
-    able = (both > 0) & (100 * most >= percent * (size[:, None] + size[None, :] - most))
-    x, y = np.nonzero(np.triu(able, 1))
-    likeness = both[x, y] / (own[x] + own[y] - both[x, y])
-    root, out = list(range(len(own))), []
-    for k in np.argsort(-likeness, kind="stable").tolist():
-        i, j = int(x[k]), int(y[k])
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        while root[j] != j:
-            root[j] = j = root[root[j]]
-        if i != j:
-            root[i] = j
-            out.append((classes[x[k]], classes[y[k]]))
+    return ((both > 0) & (100 * most >= percent * (size[:, None] + size[None, :] - most))).any(axis=1)
+
+
+def _joined(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links, enough of them to connect what all links between these sets connect."""
+    size, both = np.array([len(x) for x in sets]), _overlaps(sets)
+    linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+    out, left = [], set(range(len(sets)))
+    while left:
+        todo = [left.pop()]
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(linked[i]).tolist():
+                if j in left:
+                    left.remove(j)
+                    todo.append(j)
+                    out.append((classes[i], classes[j]))
     return out
 
 
-def _block_pairs(percent: int):
-    """a, part, cls, n, shingles in order of (a, part) -> a, b: pairs to verify within each (a, part)."""
+def _of_blocks(close, names: list[str]):
+    """a, part, cls, n, shingles in order of (a, part) -> what close gives of each block: rows of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, held = None, ([], [], [])
         for batch in sliced(batches):
-            found: list[tuple[int, int]] = []
+            found: list[tuple] = []
             for a, part, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if home != (a, part):
-                    found += close(held)
+                    found += close(home, *held) if len(held[0]) > 1 else []
                     home, held = (a, part), ([], [], [])
                 for column, x in zip(held, (row[0], row[1], np.frombuffer(row[2], np.uint64))):
                     column.append(x)
-            yield pairs(found)
-        yield pairs(close(held))
-
-    def close(held: tuple[list, list, list]) -> list[tuple[int, int]]:
-        return _likely(*held, percent) if len(held[0]) > 1 else []
+            yield made(found)
+        yield made(close(home, *held) if len(held[0]) > 1 else [])
 
-    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["a", "b"])
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(names))], names)
 
     return run
 
 
+def _block_likely(percent: int):
+    """-> a, part, cls of the classes that may have a partner in their block."""
+
+    def close(home, classes, sizes, prefixes):
+        return [(*home, classes[i]) for i in np.flatnonzero(_likely(sizes, prefixes, percent)).tolist()]
+
+    return _of_blocks(close, ["a", "part", "cls"])
+
+
+def _block_links(percent: int):
+    """-> a, b: links within blocks of whole sets."""
+    return _of_blocks(lambda _, classes, sizes, sets: [(min(x), max(x)) for x in _joined(classes, sets, percent)], ["a", "b"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) of every node of edges a, b, two longs; loops may be absent.
 
@@ -461,11 +483,13 @@ class JaccardJoin:
         sizes = choices.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), parts).filter("classes > 1")
         home = F.struct(F.xxhash64("key").alias("a"), F.pmod(F.xxhash64("cls", "key"), F.col("parts")).alias("part"))
         sent = self._prefixes_sent(choices.join(sizes, "key").select("cls", home.alias("home")))
-        found = sent.select("home.*", "cls", "n", "shingles").repartition("a", "part").sortWithinPartitions("a", "part")
-        likely = self._checked(found.mapInArrow(_block_pairs(self.percent), "a long, b long").distinct(), choices)
-        links = self.verified(likely)
-        discard(likely)
-        return links
+
+        def in_blocks(sent: DataFrame) -> DataFrame:
+            return sent.select("home.*", "cls", "n", "shingles").repartition("a", "part").sortWithinPartitions("a", "part")
+
+        likely = self._checked(in_blocks(sent).mapInArrow(_block_likely(self.percent), "a long, part long, cls long"), choices)
+        sent = self._sent(likely.select("cls", F.struct("a", "part").alias("home")))
+        return self._checked(in_blocks(sent).mapInArrow(_block_links(self.percent), "a long, b long").distinct(), likely)
 
     def links(self) -> DataFrame:
         """a, b: all pairs of classes that are similar enough, whatever the size of their buckets."""

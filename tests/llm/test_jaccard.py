@@ -107,13 +107,15 @@ def test_blocks_connect_a_family_without_its_pairs(spark, copies):
     assert join._rest(connected_components(links)).count() <= copies
 
 
-def test_pairs_of_a_block_span_what_prefixes_allow(monkeypatch):
+def test_blocks_find_what_brute_force_connects(monkeypatch):
     r = random.Random(5)
     for columns in (7, 4096):
         monkeypatch.setattr(jaccard, "COLUMNS", columns)
-        sets = [sorted(r.sample(range(40), r.randint(24, 36))) for _ in range(25)] + [list(range(100, 120))]
-        cuts = [np.array(x[: len(x) - -(-75 * len(x) // 100) + 1], np.uint64) for x in sets]
-        got = jaccard._likely(list(range(len(sets))), [len(x) for x in sets], cuts, 75)
+        sets = [np.array(sorted(r.sample(range(40), r.randint(24, 36))), np.uint64) for _ in range(25)] + [np.arange(100, 120, dtype=np.uint64)]
+        cuts = [x[: len(x) - -(-75 * len(x) // 100) + 1] for x in sets]
+        near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b))}
+        likely = jaccard._likely([len(x) for x in sets], cuts, 75)
+        got = jaccard._joined(list(range(len(sets))), sets, 75)
 
         def reach(edges, n=len(sets)):
             root = list(range(n))
@@ -122,9 +124,8 @@ def test_pairs_of_a_block_span_what_prefixes_allow(monkeypatch):
                     root[i] = root[j] = min(root[i], root[j])
             return root
 
-        near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b))]
-        roots = reach(got)
-        assert near and all(roots[i] == roots[j] for i, j in near) and len(got) < len(sets)
+        assert near and set(got) <= near and reach(got) == reach(near)
+        assert all(likely[i] for i, _ in near) and not likely[-1]
 
 
 def test_other_paths_give_the_same(spark, monkeypatch):
