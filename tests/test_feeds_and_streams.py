@@ -40,8 +40,15 @@ def test_latest_votes_as_a_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         events.run_once(stream, events.keep_latest(str(tmp_path / "out"), ["key"]), str(tmp_path / "ck"))
-    got = spark.read.parquet(str(tmp_path / "out/snapshot=1")).collect()
-    assert {(r.key, r.value) for r in got} == {("a", "down"), ("b", "up")}
+    assert {(r.key, r.value) for r in events.newest(spark, str(tmp_path / "out")).collect()} == {("a", "down"), ("b", "up")}
+    spark.createDataFrame([(4, "b", "down")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    events.run_once(stream, events.keep_latest(str(tmp_path / "out"), ["key"]), str(tmp_path / "ck"))
+    left = sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir())
+    assert left == ["snapshot=0-1", "snapshot=0-2"]
+    fresh = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))  # a new checkpoint reads all again
+    events.run_once(fresh, events.keep_latest(str(tmp_path / "out"), ["key"], run="1"), str(tmp_path / "ck2"))
+    assert {(r.key, r.value) for r in events.newest(spark, str(tmp_path / "out"), "1").collect()} == {("a", "down"), ("b", "down")}
 
 
 def test_debounce_and_once_per_key_in_streams(spark, tmp_path):
