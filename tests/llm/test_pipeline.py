@@ -72,3 +72,18 @@ def test_the_last_stage_gives_the_library_s_byte_spans(spark):
     for d, text in own.items():
         ends = [p.end for p in library.encode(text or "", return_type="proto").pieces]
         assert got[d] == [0, *ends, ends[-1] if ends else 0]
+
+
+def test_stages_with_nulls_repeats_and_empty_tables(spark, tmp_path):
+    base = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    text = base.filter("length(text) > 400").first().text
+    odd = [(None, text, None, None, 1), (None, text, None, None, 1), (-7, None, "en", "x", 0), (-8, "", "en", None, 0), (-9, "12 34", None, "x", 5), (-9, "12 34", None, "x", 5)]
+    docs = base.union(spark.createDataFrame(odd, base.schema))
+    for name, rows in (("odd", docs), ("none", base.limit(0))):
+        for stage, run in corpus_pipeline.STAGES:
+            run(spark, rows, DATA).write.parquet(path := f"{tmp_path}/{name}-{stage}")
+            rows = spark.read.parquet(path)
+        if name == "none":
+            assert rows.count() == 0
+        else:
+            assert {-7, -8, -9} & {r.doc_id for r in rows.collect()} == set() and rows.count() > 0
