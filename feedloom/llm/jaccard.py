@@ -84,58 +84,44 @@ def shingle_set(text: str | None, width: int, words: dict) -> np.ndarray:
     return np.unique(out ^ out >> np.uint64(33))
 
 
-def _set_rows(width: int):
-    """row, doc_id, text, text_hash -> row, doc_id, n, sid, shingles, text_hash; a task gives a set's shingles once while it remembers it."""
+def _repeats(width: int):
+    """text -> token, n: shingles that several distinct sets of a task share, with how many."""
+
+    def flush(held: dict) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
+        many = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], ["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, given = _Words(), set()
+        words, held, size = _Words(), {}, 0
         for batch in sliced(batches):
-            ns, sids, sets = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(0).to_pylist():
                 s = shingle_set(text, width, words)
-                sid = xxhash.xxh3_128_digest(s)
-                if len(given) > 200_000:
-                    given.clear()
-                ns.append(len(s))
-                sids.append(sid)
-                sets.append(s.tobytes() if len(s) and sid not in given else None)
-                given.add(sid)
-            arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(sids, pa.binary()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column(3)], ["row", "doc_id", "n", "sid", "shingles", "text_hash"])
+                key = xxhash.xxh3_128_digest(s)
+                if key not in held:
+                    held[key] = s
+                    size += len(s)
+            if size > FLUSH_SHINGLES:
+                yield flush(held)
+                held, size = {}, 0
+        yield flush(held)
 
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """shingles -> token, n: shingles that several sets of a task share, with how many."""
-    held, size = [], 0
-
-    def flush() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-        many = counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], ["token", "n"])
-
-    for batch in sliced(batches):
-        held += [np.frombuffer(data, np.uint64) for data in batch.column(0).to_pylist()]
-        size += batch.nbytes // 8
-        if size > FLUSH_SHINGLES:
-            yield flush()
-            held, size = [], 0
-    yield flush()
-
-
-def _prefixes(percent: int, moved: np.ndarray, counts: np.ndarray):
-    """row, n, sid, shingles -> row, n, sid, gid, prefix; a task gives a group's prefix once while it remembers it."""
+def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
+    """row, doc_id, text, text_hash -> row, doc_id, n, sid, gid, prefix, text_hash; a task gives a group's prefix once while it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = set()
+        words, given = _Words(), set()
         for batch in sliced(batches):
-            gids, prefixes = [], []
-            for n, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                s = np.frombuffer(data, np.uint64)
-                length = n - -(-percent * n // 100) + 1
+            ns, sids, gids, prefixes = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                s = shingle_set(text, width, words)
+                n = len(s)
+                length = n - -(-percent * n // 100) + 1 if n else 0
                 prefix = s[:length]
-                if len(moved):
+                if len(moved) and n:
                     at = np.minimum(np.searchsorted(moved, s), len(moved) - 1)
                     prefix = s[np.argsort(np.where(moved[at] == s, counts[at], 0), kind="stable")[:length]]
                 gid = xxhash.xxh3_128_digest(prefix.tobytes() + n.to_bytes(8, "little"))
@@ -143,10 +129,35 @@ def _prefixes(percent: int, moved: np.ndarray, counts: np.ndarray):
                     given.clear()
                 prefixes.append(prefix.view(np.int64) if gid not in given else prefix[:0].view(np.int64))
                 given.add(gid)
+                ns.append(n)
+                sids.append(xxhash.xxh3_128_digest(s))
                 gids.append(gid)
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(gids, pa.binary()), lists], ["row", "n", "sid", "gid", "prefix"])
+            arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(sids, pa.binary()), pa.array(gids, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(3)], ["row", "doc_id", "n", "sid", "gid", "prefix", "text_hash"])
+
+    return run
+
+
+def _sets(width: int):
+    """cls, chunk, sid, homes, text -> homes, cls, n, shingles, where the text has that set; a task gives a class's chunk of homes once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, given = _Words(), set()
+        for batch in sliced(batches):
+            rows, sets, sizes = [], [], []
+            for i, (cls, chunk, sid, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))):
+                if (cls, chunk) not in given:
+                    s = shingle_set(text, width, words)
+                    if xxhash.xxh3_128_digest(s) == sid:
+                        given.add((cls, chunk))
+                        rows.append(i)
+                        sizes.append(len(s))
+                        sets.append(s.tobytes())
+            at = pa.array(rows, pa.int64())
+            arrays = [batch.column(3).take(at), batch.column(0).take(at), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["homes", "cls", "n", "shingles"])
 
     return run
 
@@ -313,20 +324,21 @@ class JaccardJoin:
         self.texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         self.spark = docs.sparkSession
         self.wanted: list[DataFrame] = []
+        moved, counts = self._moved()
         kind = self.texts.schema["doc_id"].dataType.simpleString()
         rows = self.texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        rows = rows.mapInArrow(_set_rows(width), f"row long, doc_id {kind}, n int, sid binary, shingles binary, text_hash long")
-        #: every document, with its set where it is the first of a task to have it
-        self.rows = materialize(rows, "jaccard-sets")
-        self.sets = self.rows.filter("shingles IS NOT NULL").select("row", "n", "sid", "shingles")
-        moved, counts = self._moved()
-        full = self.sets.mapInArrow(_prefixes(percent, moved, counts), "row long, n int, sid binary, gid binary, prefix array<long>")
-        full = self.prefixes = materialize(full, "jaccard-prefixes")
+        rows = rows.mapInArrow(
+            _prefixes(width, percent, moved, counts),
+            f"row long, doc_id {kind}, n int, sid binary, gid binary, prefix array<long>, text_hash long",
+        )
+        self.rows = materialize(rows, "jaccard-rows")
+        full = self.prefixes = self.rows.filter("n > 0")
         #: cls stands for all rows with one set; g for all with one prefix and size
-        classes = full.groupBy("sid").agg(F.min(F.struct("row", "gid", "n")).alias("x"))
-        classes = classes.select("sid", F.col("x.row").alias("cls"), "x.gid", "x.n")
+        classes = full.groupBy("sid").agg(F.min(F.struct("row", "doc_id", "gid", "n")).alias("x"))
+        classes = classes.select("sid", F.col("x.row").alias("cls"), F.col("x.doc_id").alias("its_id"), "x.gid", "x.n")
         groups = full.filter(F.size("prefix") > 0).groupBy("gid").agg(F.min("row").alias("g"))
         self.classes = materialize(classes.join(groups, "gid").drop("gid"), "jaccard-classes")
+        forget(self.spark)
         per_token = W.partitionBy("token")
         at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")  # in one number: most rows move only to be found alone
         entries = full.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -347,7 +359,7 @@ class JaccardJoin:
 
     def _moved(self) -> tuple[np.ndarray, np.ndarray]:
         """The most repeated shingles, sorted, and their counts; at most MOVED of them, 16 bytes each."""
-        counts = self.sets.select("shingles").mapInArrow(_repeats, "token long, n long")
+        counts = self.texts.select("text").mapInArrow(_repeats(self.width), "token long, n long")
         counts = materialize(counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= REPEATS), "jaccard-counts")
         level = F.floor(F.log2("n") * 8).cast("int")
         levels = sorted(((r.level, r.tokens) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("tokens")).collect()), reverse=True)
@@ -427,11 +439,14 @@ class JaccardJoin:
         """home, cls, n, shingles: the whole sets of homes' classes, at their homes, from cls, home."""
         chunks = homes.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / HOMES).alias("chunks"))
         homes = homes.join(chunks, "cls").groupBy("cls", F.pmod(F.xxhash64("home"), F.col("chunks")).alias("chunk"))
-        wanted = materialize(homes.agg(F.collect_list("home").alias("homes")), "jaccard-wanted")
+        homes = homes.agg(F.collect_list("home").alias("homes"))
+        wanted = materialize(self.classes.join(homes, "cls").select("cls", "chunk", "sid", "homes", "its_id"), "jaccard-wanted")
         self.wanted.append(wanted)
+        kind = wanted.schema["homes"].dataType.simpleString()
         if wanted.agg(F.coalesce(F.sum(F.size("homes")), F.lit(0))).first()[0] <= FETCH_BROADCAST:
             wanted = F.broadcast(wanted)
-        sets = self.sets.join(wanted, F.col("row") == F.col("cls"))
+        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id"))).select("cls", "chunk", "sid", "homes", "text")
+        sets = texts.mapInArrow(_sets(self.width), f"homes {kind}, cls long, n int, shingles binary")
         return sets.select(F.explode("homes").alias("home"), "cls", "n", "shingles")
 
     def _prefixes_sent(self, homes: DataFrame) -> DataFrame:
