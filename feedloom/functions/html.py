@@ -48,14 +48,20 @@ def language(html: Column) -> Column:
     return F.regexp_extract(html, '<html lang="([a-z]+)"', 1)
 
 
-def anchors(html: Column) -> Column:
-    """An array of url, text: the page's http(s) links in order, whatever the case, the quotes and other attributes."""
+def anchors(html: Column, page: Column | None = None) -> Column:
+    """An array of url, text: the page's http(s) links in order, whatever the case, the quotes and other attributes.
+
+    With the page's own address, links that start with a slash are completed by its host."""
     tags = F.regexp_extract_all(html, F.lit("(?is)<a\\s[^>]*>.*?</a\\s*>"), F.lit(0))
 
     def parsed(tag: Column) -> Column:
         value = F.regexp_extract(tag, "(?is)^<a\\s(?:[^>]*\\s)?href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)", 1)
         inner = F.regexp_replace(tag, "(?is)^<a\\s[^>]*>|</a\\s*>$", "")
-        return F.struct(decode(F.trim(F.btrim(value, F.lit("\"'")))).alias("url"), strip_html(inner).alias("text"))
+        address = decode(F.trim(F.btrim(value, F.lit("\"'"))))
+        if page is not None:
+            host = F.regexp_extract(page, "(?i)^(https?://[^/?#]+)", 1)
+            address = F.when(F.startswith(address, F.lit("/")) & ~F.startswith(address, F.lit("//")), F.concat(host, address)).otherwise(address)
+        return F.struct(address.alias("url"), strip_html(inner).alias("text"))
 
     return F.filter(F.transform(tags, parsed), lambda a: F.lower(a["url"]).rlike("^https?://"))
 

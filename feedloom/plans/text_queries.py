@@ -37,7 +37,7 @@ def page_title(spark, sf_dir):
 
 
 def anchors(spark, sf_dir):
-    rows = _pages(spark, sf_dir).select("page_id", F.posexplode(html.anchors(F.col("html"))).alias("pos", "a"))
+    rows = _pages(spark, sf_dir).select("page_id", F.posexplode(html.anchors(F.col("html"), F.col("url"))).alias("pos", "a"))
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("a.url").alias("href"), F.col("a.text").alias("label"))
 
 
@@ -208,9 +208,9 @@ ORACLE_SQL = {
     "strip_html": f"SELECT page_id, md5({_strip('html')}) AS text_md5 FROM pages",
     "page_title": f"""SELECT page_id, {_TITLE} AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages""",
     "anchors": f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, {_decode('href')} AS href, {_strip('inside')} AS label FROM (
-        SELECT page_id, n, regexp_extract(tag, '(?i)href="([^"]*)"', 1) AS href, regexp_replace(tag, '(?i)^<a[^>]*>|</a>$', '', 'g') AS inside FROM (
-        SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1)::BIGINT AS n FROM (
-        SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>') AS tags FROM pages))) WHERE lower(href) LIKE 'http%'""",
+        SELECT page_id, n, CASE WHEN starts_with(h, '/') AND NOT starts_with(h, '//') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h ELSE h END AS href, tag, regexp_replace(tag, '(?i)^<a[^>]*>|</a>$', '', 'g') AS inside FROM (SELECT *, regexp_extract(tag, '(?i)href="([^"]*)"', 1) AS h FROM (
+        SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1)::BIGINT AS n FROM (
+        SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>') AS tags FROM pages)))) WHERE lower(href) LIKE 'http%'""",
     "url_list": r"""SELECT page_id, pos - 1 AS pos, regexp_replace(u, '[.,;:)\]}]+$', '') AS found_url FROM (
         SELECT page_id, unnest(us) AS u, generate_subscripts(us, 1)::BIGINT AS pos FROM (
         SELECT page_id, regexp_extract_all('see ' || url || ', then (' || url || ').', 'https?://[^\s<>"'']+') AS us FROM pages))""",

@@ -20,7 +20,10 @@ def test_links_of_a_bookmark_file(spark):
     page = '''<DT><A HREF="https://a.org/?x=1&amp;y=2" ADD_DATE="1">B &amp; C</A> <a class=q href='http://b.org/'>x</a>
         <a href=ftp://c>n</a><a  id="z" href=https://d.org/p>D <b>e</b></a><a name="n">none</a><a href="/rel">r</a>'''
     got = one(spark, html.anchors(F.col("c0")), page)
-    assert [(a.url, a.text) for a in got] == [("https://a.org/?x=1&y=2", "B & C"), ("http://b.org/", "x"), ("https://d.org/p", "D e")]
+    want = [("https://a.org/?x=1&y=2", "B & C"), ("http://b.org/", "x"), ("https://d.org/p", "D e")]
+    assert [(a.url, a.text) for a in got] == want
+    got = one(spark, html.anchors(F.col("c0"), F.col("c1")), page, "https://h.org/a/b?c")
+    assert [(a.url, a.text) for a in got] == [*want, ("https://h.org/rel", "r")]
 
 
 @pytest.mark.parametrize(
