@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import phrase_graph
 from .common import documents
 from .exact_dedup import exact_duplicates
 from .fuzzy import edited_fingerprints
@@ -75,6 +76,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).documents().drop("source")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph(documents(spark, sf_dir)).top()
+
+
 QUERIES = {
     "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op2_exact_dedup": op2_exact_dedup,
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_pieces": op9_pieces,
     "op10_mix_sources": op10_mix_sources,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,4 +146,34 @@ ORACLE_SQL: dict[str, str] = {
         ), links AS (SELECT x, count(*) AS n_links FROM shared WHERE 100 * k >= 75 * (of_both - k) GROUP BY x)
         SELECT doc_id, n AS n_shingles, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM classes LEFT JOIN links ON x = class_id
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+            FROM documents
+        ), words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, k, g, count(*) AS f FROM (
+                SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+                FROM words, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k
+            ) GROUP BY ALL
+        ), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+        ), often AS (SELECT lang, k, g, f, string_split(g, ' ') AS w FROM grams WHERE f >= 10
+        ), holders AS (
+            SELECT lang, g, max(f) AS longer FROM (
+                SELECT lang, f, array_to_string(w[1:2], ' ') AS g FROM often WHERE k = 3
+                UNION ALL SELECT lang, f, array_to_string(w[2:3], ' ') FROM often WHERE k = 3
+            ) GROUP BY lang, g
+        ), kept AS (
+            SELECT o.* FROM often o LEFT JOIN holders h USING (lang, g) WHERE o.k >= 2 AND NOT (o.k = 2 AND coalesce(100 * h.longer >= 50 * o.f, false))
+        ), cuts AS (
+            SELECT lang, g, f AS a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:k], ' ') AS rest
+            FROM kept, (VALUES (1), (2)) AS at(c) WHERE c < k
+        ), sides AS (
+            SELECT t.lang, t.g, t.a, t.c, x.f AS l, y.f AS r, ((1000000::HUGEINT * t.a * t.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts t JOIN often x ON x.lang = t.lang AND x.g = t.head JOIN often y ON y.lang = t.lang AND y.g = t.rest
+        ), best AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+        FROM best JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
 }
