@@ -12,12 +12,14 @@ from .exact_dedup import exact_duplicates
 from .fuzzy import edited_fingerprints
 from .jaccard import JaccardJoin
 from .language import fit_dictionaries, identify_languages, remainder
+from .main_text import main_texts
 from .mixing import mix_sources
 from .pieces import digest_documents
 from .quality import quality_scores
 from .suffix_dedup import repeated_spans
 from .suffix_tree_lm import SuffixTreeModel
 from .token_counts import count_tokens
+from .whitening import whiten
 
 #: A folder with the public tokenizers' vocabulary files; without one, each machine takes those it has installed.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR")
@@ -80,6 +82,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_graph(documents(spark, sf_dir)).top()
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,6 +103,8 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_mix_sources": op10_mix_sources,
     "op11_collocations": op11_collocations,
+    "op12_whitening": op12_whitening,
+    "op13_main_text": op13_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -168,7 +180,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT o.* FROM often o LEFT JOIN holders h USING (lang, g) WHERE o.k >= 2 AND NOT (o.k = 2 AND coalesce(100 * h.longer >= 50 * o.f, false))
         ), cuts AS (
             SELECT lang, g, f AS a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:k], ' ') AS rest
-            FROM kept, (VALUES (1), (2)) AS at(c) WHERE c < k
+            FROM kept, (VALUES (1), (2)) AS ends(c) WHERE c < k
         ), sides AS (
             SELECT t.lang, t.g, t.a, t.c, x.f AS l, y.f AS r, ((1000000::HUGEINT * t.a * t.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
             FROM cuts t JOIN often x ON x.lang = t.lang AND x.g = t.head JOIN often y ON y.lang = t.lang AND y.g = t.rest
