@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,28 +59,25 @@ def _edges_of(lang: str, texts: list[bytes], longest: int) -> pa.RecordBatch:
     del tokens
     starts = np.flatnonzero(ids)
     words = pa.array(list(numbers), pa.binary())
-    # number the phrases word by word: a phrase is the pair of the phrase before and its last word
-    size, phrase, alive = len(numbers), ids[starts], np.ones(len(starts), bool)
-    node = words.take(pa.array(phrase))
-    codes = phrase
+    size, codes, alive = np.uint64(len(numbers)), ids[starts].astype(np.uint64), np.ones(len(starts), bool)
     for k in range(1, longest):
+        if len(codes) and (int(codes.max()) + 1) * len(numbers) >= 1 << 64:
+            codes = np.unique(codes, return_inverse=True)[1].astype(np.uint64)
         last = ids[starts + k]
         alive &= last > 0
-        last = np.where(alive, last, 0)
-        codes, first, back = np.unique(codes * size + last, return_index=True, return_inverse=True)
-        starts_of = starts[first]
-        if k < longest - 1:
-            codes = back
-            continue
-        counts = np.bincount(back, minlength=len(codes))
-        parts, ended = [], np.zeros(len(codes), bool)
-        for j in range(longest):
-            at = np.where(ended, 0, ids[starts_of + j])
-            ended |= at == 0
-            parts.append(pa.array(at, mask=ended))
-        take = [words.take(p) for p in parts]
-        node = pc.binary_join_element_wise(*take[:-1], pa.scalar(b" ", pa.binary()), null_handling="skip") if longest > 2 else take[0]
-        rows = [pa.repeat(pa.scalar(lang), len(codes)), node, take[-1], pa.array(counts)]
+        codes = codes * size + np.where(alive, last, 0).astype(np.uint64)
+    # equal phrases side by side: one row for each, with the place of any of them
+    order = np.argsort(codes)
+    codes = codes[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    counts, starts_of = np.diff(np.r_[first, len(codes)]), starts[order[first]]
+    parts, ended = [], np.zeros(len(first), bool)
+    for j in range(longest):
+        at = np.where(ended, 0, ids[starts_of + j])
+        ended |= at == 0
+        parts.append(words.take(pa.array(at, mask=ended)))
+    node = pc.binary_join_element_wise(*parts[:-1], pa.scalar(b" ", pa.binary()), null_handling="skip") if longest > 2 else parts[0]
+    rows = [pa.repeat(pa.scalar(lang), len(first)), node, parts[-1], pa.array(counts, pa.int64())]
     total = [pa.array([lang]), pa.array([b""]), pa.nulls(1, pa.binary()), pa.array([len(starts)])]
     table = pa.Table.from_batches([pa.RecordBatch.from_arrays(x, schema=_ROWS) for x in (rows, total)])
     return table.combine_chunks().to_batches()[0]
@@ -112,6 +108,80 @@ def _graph_rows(longest: int):
     return run
 
 
+_FLOWS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("f", pa.int64())])
+#: Rows of sorted edges that are added up at once.
+AT_ONCE = 200_000
+
+
+def _runs(*columns: pa.Array) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+        if c.null_count:
+            null = c.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= null[1:] != null[:-1]
+    return np.flatnonzero(new)
+
+
+def _flows(longest: int, least: int):
+    """Sorted rows of edges -> the flow of each frequent edge, of each node that is frequent or shorter than others, and of what begins nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        before = 0
+
+        def added_up(table: pa.Table, last: bool):
+            """What is complete in the rows; the last edge and the flow of its node so far stay for the next rows."""
+            nonlocal before, held
+            lang, node, following, f = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns)
+            edge_at = _runs(lang, node, following)
+            sums = np.add.reduceat(f.to_numpy(), edge_at)
+            lang, node, following = (c.take(pa.array(edge_at)) for c in (lang, node, following))
+            node_at = _runs(lang, node)
+            flow = np.add.reduceat(sums, node_at)
+            flow[0] += before
+            if not last:
+                before = int(flow[-1] - sums[-1])
+                held = [pa.RecordBatch.from_arrays([lang[-1:], node[-1:], following[-1:], pa.array(sums[-1:])], schema=_ROWS)]
+                sums, node_at, flow = sums[:-1], node_at[:-1], flow[:-1]
+            often = np.flatnonzero((sums >= least) & following.is_valid().to_numpy(zero_copy_only=False)[: len(sums)])
+            take = pa.array(often)
+            yield lang.take(take), pc.binary_join_element_wise(node.take(take), following.take(take), pa.scalar(b" ", pa.binary())), longest, sums[often]
+            at = pa.array(node_at)
+            lang, node = lang.take(at), node.take(at)
+            words = np.where(pc.equal(pc.binary_length(node), 0), 0, pc.count_substring(node, b" ").to_numpy(zero_copy_only=False) + 1)
+            for k in range(longest):
+                own = np.flatnonzero((words == k) & ((flow >= least) | (k < longest - 1)))
+                if len(own):
+                    yield lang.take(pa.array(own)), node.take(pa.array(own)), k, flow[own]
+                longer = np.flatnonzero(words > k)
+                if 0 < k < longest - 1 and len(longer):
+                    # sorted nodes that begin alike lie together
+                    its = lang.take(pa.array(longer))
+                    begun = pc.struct_field(pc.extract_regex(node.take(pa.array(longer)), rf"^(?P<b>[^ ]+(?: [^ ]+){{{k - 1}}})"), 0)
+                    at = _runs(its, begun)
+                    yield its.take(pa.array(at)), begun.take(pa.array(at)), k, np.add.reduceat(flow[longer], at)
+
+        def flush(last: bool):
+            table = pa.Table.from_batches(held).combine_chunks()
+            for lang, phrase, words, f in added_up(table, last):
+                if len(f):
+                    yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(f), words), pa.int32()), pa.array(f)], schema=_FLOWS)
+
+        for batch in batches:
+            held.append(pa.RecordBatch.from_arrays(batch.columns, schema=_ROWS))
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                yield from flush(False)
+                size = 1
+        if held:
+            yield from flush(True)
+
+    return run
+
+
 @dataclass
 class PhraseGraph:
     """The frequent part of the graph: counts has lang, phrase, words, f; every phrase of up to `longest` words
@@ -249,21 +319,9 @@ def phrase_graph(docs: DataFrame, longest: int = 3, least: int = 10, text_col: s
         raise ValueError("an edge has two words at least")
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     sent = source.mapInArrow(_graph_rows(longest), "lang string, node binary, next binary, f long")
-    sent = sent.select("lang", F.col("node").cast("string").alias("node"), F.col("next").cast("string").alias("next"), "f").repartition("lang", "node")
-    edges = sent.groupBy("lang", "node", "next").agg(F.sum("f").alias("f"))
-    often = F.collect_list(F.when((F.col("f") >= least) & F.col("next").isNotNull(), F.struct("next", "f")))
-    nodes = edges.groupBy("lang", "node").agg(F.sum("f").alias("flow"), often.alias("out"))
-    # a node's flow is part of the count of every phrase that begins it, its own included where it is long enough
-    begun = [F.struct(_first("node", k).alias("phrase"), F.lit(k).alias("words"), F.col("flow").alias("f")) for k in range(1, longest - 1)]
-    whole = F.struct(F.col("node").alias("phrase"), _words("node").alias("words"), F.col("flow").alias("f"))
-    edge = F.transform("out", lambda x: F.struct(F.concat_ws(" ", "node", x["next"]).alias("phrase"), F.lit(longest).alias("words"), x["f"].alias("f")))
-    beginnings = F.filter(F.array(*begun), lambda x: x["words"] < _words("node")) if begun else F.slice(F.array(whole), 1, 0)
-    # a full node's count is complete where its edges meet, so a rare one need not move on
-    own = F.filter(F.array(whole), lambda x: (x["words"] < longest - 1) | (x["f"] >= least))
-    rows = nodes.select("lang", F.inline(reduce(F.concat, [beginnings, own, edge])))
-    counts = rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 0))
+    # a node's rows meet, sorted, in one task, which holds a slice of them at a time
+    sent = sent.repartition("lang", "node").sortWithinPartitions("node", "lang", "next")
+    flows = sent.mapInArrow(_flows(longest, least), "lang string, phrase binary, words int, f long")
+    counts = flows.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "words").agg(F.sum("f").alias("f"))
+    counts = counts.filter((F.col("f") >= least) | (F.col("words") == 0))
     return PhraseGraph(materialize(counts, "phrase-counts"), longest, least)
-
-
-def _words(node: str) -> Column:
-    return F.when(F.col(node) == "", F.lit(0)).otherwise(F.length(node) - F.length(F.replace(F.col(node), F.lit(" "), F.lit(""))) + 1).cast("int")

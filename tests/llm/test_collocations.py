@@ -70,9 +70,38 @@ def test_limit_ties_and_least(spark):
 
 
 def test_blocks_are_added_up(spark, monkeypatch):
-    monkeypatch.setattr("feedloom.llm.collocations.BLOCK_WORDS", 20)
     rows = texts()
-    assert found(spark.createDataFrame(rows, "lang string, text string").coalesce(1)) == brute(rows)
+    docs = spark.createDataFrame([(lang, t) for lang, t in rows], "lang string, text string").coalesce(1)
+    want = {n: brute(rows, n) for n in (3, 4)}
+    monkeypatch.setattr("feedloom.llm.collocations.BLOCK_WORDS", 20)
+    assert found(docs) == want[3]
+
+
+def test_edges_are_added_up_slice_by_slice(monkeypatch):
+    import pyarrow as pa
+
+    from feedloom.llm import collocations
+
+    monkeypatch.setattr(collocations, "AT_ONCE", 3)
+    rows = [("a", b"x y", None, 4), ("a", b"x y", b"q", 2), ("a", b"x y", b"q", 9), ("b", b"x y", b"q", 30), ("a", b"x z", b"q", 3), ("a", b"x z", b"r", 3), ("a", b"x z", b"r", 3)]
+    rows += [("a", b"z", None, 1)]
+    for cut in range(1, 5):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("lang", "node", "next", "f"), r, strict=True)) for r in rows[i : i + cut]], collocations._ROWS) for i in range(0, len(rows), cut)]
+        sums = Counter()
+        for out in collocations._flows(3, 10)(iter(batches)):
+            for r in out.to_pylist():
+                sums[r["lang"], r["phrase"], r["words"]] += r["f"]
+        assert sums == {
+            ("a", b"x y q", 3): 11, ("b", b"x y q", 3): 30, ("a", b"x y", 2): 15, ("b", b"x y", 2): 30, ("a", b"x", 1): 24, ("b", b"x", 1): 30, ("a", b"z", 1): 1,
+        }
+
+
+def test_codes_beyond_64_bits():
+    from feedloom.llm.collocations import _edges_of
+
+    text = " ".join(f"w{i % 6000}" for i in range(7000)).encode()
+    rows = _edges_of("en", [text], 6).to_pylist()
+    assert sum(r["f"] for r in rows[:-1]) == 7000 == rows[-1]["f"] and len(rows) == 6000 + 5 + 1
 
 
 def test_paths_are_unary_and_whole(spark):
