@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from feedloom.plans import feedback_queries, ranking_queries, rules_queries, state_queries, text_queries
+from functools import reduce
 
-QUERIES = text_queries.QUERIES | ranking_queries.QUERIES | feedback_queries.QUERIES | state_queries.QUERIES | rules_queries.QUERIES
-ORACLE_SQL = text_queries.ORACLE_SQL | ranking_queries.ORACLE_SQL | feedback_queries.ORACLE_SQL | state_queries.ORACLE_SQL | rules_queries.ORACLE_SQL
+from feedloom.plans import feedback_queries, page_queries, ranking_queries, rules_queries, state_queries, text_queries
+
+_MODULES = (text_queries, ranking_queries, feedback_queries, state_queries, rules_queries, page_queries)
+QUERIES = reduce(lambda a, m: a | m.QUERIES, _MODULES, {})
+ORACLE_SQL = reduce(lambda a, m: a | m.ORACLE_SQL, _MODULES, {})
