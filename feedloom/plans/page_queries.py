@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.functions import plain_text
+from feedloom.functions import html, plain_text, svg, url, video
+from feedloom.plans.text_queries import _DOMAIN, _TITLE
 from feedloom.sources.domain import read
 
 
@@ -23,7 +24,61 @@ def plain_reflow(spark, sf_dir):
     return spans.select("doc_id", *(count(k).alias(f"{k}s") for k in ("text", "rule", "blank")), F.md5(plain_text.plain_html(F.col("s"))).alias("html_md5"))
 
 
-QUERIES = {f.__name__: f for f in (plain_gate, plain_reflow)}
+def _with_videos(spark, sf_dir):
+    """The pages with linked data and meta tags in their heads, made of their titles and addresses: films in nested data, in tags, streams, none."""
+    title, number = html.title(F.col("html")), F.col("page_id")
+    pages = read(spark, sf_dir, "pages").withColumns({"title": title, "host": url.domain(F.col("url"))})
+    kind, length = F.lit("VideoObject").alias("@type"), F.concat(F.lit("PT"), number % 3, F.lit("H"), number % 60, F.lit("M7S")).alias("duration")
+    film = F.struct(
+        kind, F.concat("url", F.lit("/v.mp4")).alias("contentUrl"), F.col("title").alias("description"), length,
+        F.struct(F.concat("host", F.lit(", Desk , Paper")).alias("name")).alias("author"),
+    )
+    clip = F.struct(
+        F.array(F.lit("Thing"), F.lit("VideoObject")).alias("@type"), F.struct(F.concat("url", F.lit(".bin")).alias("url")).alias("contentUrl"), F.lit("video/webm").alias("encodingFormat"),
+        F.array(F.concat("url", F.lit("/p.jpg"))).alias("thumbnailUrl"), F.lit("PT45S").alias("duration"), F.array(F.col("host"), F.lit("second")).alias("author"),
+    )
+    stream = F.struct(kind, F.concat("url", F.lit("/v.m3u8")).alias("contentUrl"))
+    page = F.struct(F.lit("WebPage").alias("@type"))
+    nested = F.concat(F.lit('{"mainEntity": {"hasPart": ['), F.to_json(page), F.lit(", "), F.to_json(F.struct(F.array(stream, stream).alias("video"))), F.lit(", "), F.to_json(F.struct(clip.alias("video"))), F.lit("]}}"))
+
+    def script(data):
+        return F.concat(F.lit('<script type="application/ld+json">'), F.replace(data, F.lit("</"), F.lit("<\\/")), F.lit("</script>"))
+
+    def tags(form: str):
+        own = (("og:video", F.concat("url", F.lit("/clip"))), ("og:video:type", F.lit(form)), ("og:image", F.concat("url", F.lit("/o.png"))), ("og:description", plain_text.escaped(F.col("title"))))
+        return F.concat(*(F.concat(F.lit(f'<meta property="{k}" content="'), v, F.lit('">')) for k, v in own))
+
+    head = (
+        F.when(number % 6 == 0, script(F.concat(F.lit('{"@graph": ['), F.to_json(page), F.lit(", "), F.to_json(film), F.lit("]}"))))
+        .when(number % 6 == 1, F.concat(script(F.lit("{broken")), script(nested)))
+        .when(number % 6 == 2, tags("video/mp4"))
+        .when(number % 6 == 3, tags("text/html"))
+        .when(number % 6 == 4, script(F.to_json(stream)))
+        .otherwise("")
+    )
+    return pages.withColumn("html", F.concat(head, "html"))
+
+
+def page_videos(spark, sf_dir):
+    """Every page's playable video, and what the reader shows of it."""
+    pages = _with_videos(spark, sf_dir).withColumn("videos", video.linked_videos(video.linked_data(F.col("html"))))
+    found = pages.select("page_id", "title", video.video(F.col("html"), F.col("videos")).alias("v"))
+    return found.select("page_id", "v.*", F.md5(video.video_body(F.col("v"), F.col("title"))).alias("body_md5"))
+
+
+def page_drawings(spark, sf_dir):
+    """Drawings in replies about pages: their titles as labels, among what may not stay."""
+    number, label = F.col("page_id"), plain_text.escaped(html.title(F.col("html")))
+    bad = F.lit('<script>alert(1)</script><rect id="r" fill="#f00" style="x" onclick="y()"/><a href="https://evil.example"><text>gone</text></a>')
+    drawing = F.concat(
+        F.lit("Here:\n```svg\n"), F.when(number % 5 == 3, F.lit("<!DOCTYPE x>")).otherwise(""), F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="9" viewBox="0 0  360 '), number, F.lit('">'),
+        F.when(number % 5 == 4, F.lit("<!ENTITY e 'e'>")).otherwise(""), bad, F.when(number % 5 != 2, F.concat(F.lit('<g><text x="1">'), label, F.lit("</text></g>"))).otherwise(""), F.lit("</svg>\n```"),
+    )
+    reply = F.when(number % 5 != 1, drawing).otherwise("I can't draw that.")
+    return read(spark, sf_dir, "pages").select("page_id", svg.clean_svg(reply, F.concat(F.lit("p"), number)).alias("drawing"))
+
+
+QUERIES = {f.__name__: f for f in (plain_gate, plain_reflow, page_videos, page_drawings)}
 
 _BLANK = r"[\s\x1C-\x1F\x{85}\p{Z}]"
 _RULE = f"^{_BLANK}*(" + "|".join(rf"\x{ord(c):02x}{{3,}}" for c in "-=~_*#") + f"){_BLANK}*$"
@@ -69,4 +124,16 @@ ORACLE_SQL = {
             md5('<div class="plain">' || coalesce(string_agg('<span' || CASE WHEN kind = 'rule' THEN ' class="rule"' WHEN kind = 'text' AND hang > 0
                 THEN ' style="--h:' || hang || '"' ELSE '' END || '>' || {_ESCAPED.format('body')} || '</span>', '' ORDER BY run), '') || '</div>') AS html_md5
         FROM documents d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id""",
+    "page_videos": f"""WITH p AS (SELECT page_id, page_id % 6 AS k, url, {_TITLE} AS title, {_DOMAIN} AS host, page_id % 3 AS h, page_id % 60 AS m FROM pages
+        ), v AS (
+            SELECT page_id, k, title, CASE k WHEN 0 THEN url || '/v.mp4' WHEN 1 THEN url || '.bin' WHEN 2 THEN url || '/clip' END AS src,
+                CASE k WHEN 1 THEN url || '/p.jpg' WHEN 2 THEN url || '/o.png' END AS poster, CASE WHEN k IN (0, 2) THEN nullif(title, '') END AS description,
+                CASE k WHEN 0 THEN CASE WHEN h > 0 THEN h || ':' || lpad(m::VARCHAR, 2, '0') || ':07' ELSE m || ':07' END WHEN 1 THEN '0:45' END AS duration,
+                CASE k WHEN 0 THEN host || ', Desk' WHEN 1 THEN host END AS author FROM p
+        )
+        SELECT page_id, src, poster, description, duration, author, md5('<video class="player" controls preload="none" playsinline'
+            || coalesce(' poster="' || {_ESCAPED.format('poster')} || '"', '') || ' src="' || {_ESCAPED.format('src')} || '"></video>' || chr(10) || '<p class="video-info">'
+            || {_ESCAPED.format("concat_ws(' · ', 'Video', duration || ' min', author)")} || '</p>') AS body_md5 FROM v""",
+    "page_drawings": f"""SELECT page_id, CASE WHEN page_id % 5 IN (0, 3) THEN '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 360 ' || page_id || '" role="img"><rect id="p' || page_id
+        || '-r" fill="currentColor" /><g><text x="1">' || replace(replace(replace({_TITLE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</text></g></svg>' END AS drawing FROM pages""",
 }
