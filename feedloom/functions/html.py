@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Entities by name, from the language's own table.
 NAMES = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+_TABLE = "map(" + ", ".join(f"'{name}', '\\u{ord(char):04x}'" for name, char in NAMES.items()) + ")"
 ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
@@ -18,8 +19,7 @@ def _character(name: Column) -> Column:
     point = digits.cast("long")
     known = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
     numeric = F.when(point == 0xA0, " ").when(known, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
-    table = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
-    return F.coalesce(numeric, F.element_at(table, name), F.concat(F.lit("&"), name, F.lit(";")))
+    return F.coalesce(numeric, F.element_at(F.expr(_TABLE), name), F.concat(F.lit("&"), name, F.lit(";")))
 
 
 def decode(text: Column) -> Column:

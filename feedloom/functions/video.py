@@ -102,7 +102,7 @@ def video(html: Column, videos: Column) -> Column:
     linked = F.get(F.filter(videos, lambda v: playable(v["src"], v["format"])), F.lit(0))
 
     def address(*keys: str) -> Column:
-        return F.coalesce(*(F.when(F.rlike(meta(html, k), F.lit("^https?://")), meta(html, k)) for k in keys))
+        return F.coalesce(*(F.nullif(F.regexp_extract(meta(html, k), "^(?s)(https?://.*)$", 1), F.lit("")) for k in keys))
 
     src = address("og:video:secure_url", "og:video")
     none = F.lit(None).cast("string")
