@@ -80,11 +80,11 @@ def paragraphs(text: Column) -> Column:
     hang is the column where the lines start into which the body wraps. Null and blank texts give an empty array."""
     lines = F.transform(text_lines(text), lambda x: without_tabs(F.regexp_replace(x, rf"{SPACE}+$", "")))
     looked = F.transform(lines, lambda x: _looked_at(F.regexp_replace(x, rf"{SPACE}+$", "")))
-    return _held(looked, _with_width)
+    return once(looked, _with_width)
 
 
-def _held(value: Column, then) -> Column:
-    """then(value), with value worked out once."""
+def once(value: Column, then) -> Column:
+    """then(value), with value worked out once and not wherever then names it."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
@@ -92,7 +92,7 @@ def _with_width(looked: Column) -> Column:
     lengths = F.sort_array(F.filter(F.transform(looked, lambda x: F.length(x["line"])), lambda n: n > 0))
     width = F.coalesce(F.get(lengths, (F.size(lengths) * 9 / 10).cast("int")), F.lit(0))
     last = F.array_max(F.transform(looked, lambda x, i: F.when(~x["blank"], i).otherwise(-1)))
-    return _held(F.struct(width.alias("width"), last.alias("last")), lambda m: _spans(looked, m["width"], m["last"]))
+    return once(F.struct(width.alias("width"), last.alias("last")), lambda m: _spans(looked, m["width"], m["last"]))
 
 
 def _spans(looked: Column, width: Column, last: Column) -> Column:
@@ -111,7 +111,7 @@ def _spans(looked: Column, width: Column, last: Column) -> Column:
 
     def built(roles: Column) -> Column:
         begins = F.filter(F.transform(roles, lambda r, i: F.when(r.isNotNull() & (r != "on"), i)), lambda i: i.isNotNull())
-        return _held(begins, lambda at: F.transform(at, lambda i, k: one(roles, at, i, k)))
+        return once(begins, lambda at: F.transform(at, lambda i, k: one(roles, at, i, k)))
 
     def one(roles: Column, at: Column, i: Column, k: Column) -> Column:
         kind, first = F.get(roles, i), F.get(looked, i)
@@ -123,7 +123,7 @@ def _spans(looked: Column, width: Column, last: Column) -> Column:
             F.when(kind == "start", "text").otherwise(kind).alias("kind"), F.when(kind == "start", first["hang"]).otherwise(0).alias("hang"), body.alias("body")
         )
 
-    return _held(F.transform(looked, role), built)
+    return once(F.transform(looked, role), built)
 
 
 def escaped(text: Column) -> Column:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedloom.functions import html, text, url
-from feedloom.operators import latest
+from feedloom.operators import latest, reader
 from feedloom.sources.domain import read
 
 URL = "url"
@@ -142,17 +141,17 @@ def plain_paragraphs(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.size(kept).cast("long").alias("paragraphs"), F.md5(F.array_join(kept, "\n")).alias("text_md5"))
 
 
-def reader_blocks(spark, sf_dir):
-    """Headings and paragraphs of the article in order; navigation, scripts, styles and empty headings left out."""
-
-    @F.udf(T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("body", T.StringType())])), useArrow=True)
-    def blocks(page: str):
-        from feedloom.functions.extract import article_blocks
+def block_scores(spark, sf_dir):
+    """Every block of a page that isn't round its article, with its words, those in links, and its score beside its neighbours."""
+    pages = _pages(spark, sf_dir).select(F.col("page_id").alias("page"), "url", "html")
+    rows = reader.scored_blocks(pages)
+    return rows.select(F.col("page").alias("page_id"), F.col("block").cast("long").alias("block"), "tag", *(F.col(c).cast("long").alias(c) for c in ("words", "linked")), "inside", "score")
 
-        return article_blocks(page or "")
 
-    rows = _pages(spark, sf_dir).select("page_id", F.posexplode(blocks("html")).alias("pos", "b"))
-    return rows.select("page_id", "pos", "b.tag", "b.body")
+def reader_blocks(spark, sf_dir):
+    """Headings, paragraphs, lists and figures of the articles in order, as safe HTML, under the pages' titles."""
+    pages = _pages(spark, sf_dir).select(F.col("page_id").alias("page"), "url", "html", html.title(F.col("html")).alias("title"))
+    return reader.reader_blocks(pages, "title").select(F.col("page").alias("page_id"), "pos", "tag", "body")
 
 
 QUERIES = {
@@ -160,7 +159,7 @@ QUERIES = {
     for f in (
         norm_url_identity, site_key, url_words, strip_html, page_title, anchors, url_list, ad_filter, repeats_title, detect_lang, prose_gate,
         card_summary, diagram_gate, shared_text, import_store, gather_dedupe, pending_domains, turn_validation, reply_cap, health_counts,
-        plain_paragraphs, reader_blocks,
+        plain_paragraphs, block_scores, reader_blocks,
     )
 }
 
@@ -192,6 +191,10 @@ def _strip(x: str) -> str:
 _TITLE = _strip("regexp_extract(html, '<title>([^<]*)</title>', 1)")
 
 
+def _quoted(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
 def _words(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -251,4 +254,34 @@ ORACLE_SQL = {
     "plain_paragraphs": f"""SELECT page_id, len(k)::BIGINT AS paragraphs, md5(array_to_string(k, chr(10))) AS text_md5 FROM (
         SELECT page_id, list_filter(list_transform(string_split(regexp_replace(html, '</p>|</h1>|</h2>|</li>|<br>', chr(1), 'g'), chr(1)),
             lambda x: {_strip('x')}), lambda x: x <> '') AS k FROM pages)""",
+    "block_scores": f"""WITH cut AS (
+            SELECT page_id, unnest(ts) AS tok, generate_subscripts(ts, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '{reader.TOKEN}') AS ts FROM pages)
+        ), named AS (
+            SELECT *, CASE WHEN tag THEN lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) ELSE '' END AS name,
+                CASE WHEN NOT tag THEN 0 WHEN starts_with(tok, '</') THEN -1 ELSE 1 END AS step FROM (SELECT *, regexp_matches(tok, '^<[A-Za-z/!?]') AS tag FROM cut)
+        ), placed AS (
+            SELECT *, sum(CASE WHEN name IN ({_quoted(reader.BLOCKS)}, 'img') THEN 1 ELSE 0 END) OVER w AS block,
+                sum(CASE WHEN name IN ({_quoted(reader.AROUND)}) THEN step ELSE 0 END) OVER w AS around, sum(CASE WHEN name = 'a' THEN step ELSE 0 END) OVER w AS a,
+                sum(CASE WHEN name IN ('article', 'main') THEN step ELSE 0 END) OVER w AS framed,
+                max(CASE WHEN name IN ('article', 'main') AND step = 1 THEN i END) OVER w AS begun, CASE WHEN name = '' THEN len(regexp_extract_all(tok, '\\S+')) ELSE 0 END AS n
+            FROM named WHERE NOT starts_with(tok, '<!') AND name NOT IN ({_quoted(reader.UNREAD)}) WINDOW w AS (PARTITION BY page_id ORDER BY i)
+        ), outer_ AS (SELECT *, CASE WHEN begun IS NULL THEN 0 ELSE first_value(around) OVER (PARTITION BY page_id, begun ORDER BY i) END AS beyond FROM placed
+        ), blocks AS (
+            SELECT page_id, block, CASE WHEN arg_min(step, i) = 1 THEN arg_min(name, i) ELSE 'div' END AS tag, sum(n) AS words, sum(CASE WHEN a > 0 THEN n ELSE 0 END) AS linked,
+                bool_or(around > beyond) AS goes, bool_or(framed > 0) AS inside, arg_min(name, i) AS first_name FROM outer_ GROUP BY page_id, block
+        ), kept AS (SELECT *, bool_or(inside AND NOT goes) OVER (PARTITION BY page_id) AS has_frame FROM blocks WHERE words > 0 OR first_name = 'img')
+        SELECT page_id, block::BIGINT AS block, tag, words::BIGINT AS words, linked::BIGINT AS linked, inside,
+            (words - linked) + 0.5 * (coalesce(lag(words - linked) OVER o, 0) + coalesce(lead(words - linked) OVER o, 0))::DOUBLE AS score
+        FROM kept WHERE NOT goes AND (inside OR NOT has_frame) WINDOW o AS (PARTITION BY page_id ORDER BY block)""",
+    # the given pages' articles hold a heading and paragraphs
+    "reader_blocks": f"""WITH parts AS (
+            SELECT page_id, title, generate_subscripts(ps, 1) AS i, trim(regexp_replace({_decode("regexp_replace(unnest(ps), '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS said
+            FROM (SELECT page_id, {_TITLE} AS title, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>|</p>|</h1>') AS ps FROM pages)
+        ), said AS (SELECT *, i = 1 AS head FROM parts WHERE said <> ''
+        ), enough AS (
+            SELECT page_id FROM said GROUP BY page_id HAVING sum(length(said) + 1) - 1 >= 400 AND sum(len(regexp_extract_all(said, {_ENDS}))) >= 3
+                AND sum(len(regexp_extract_all(said, '\\S+'))) <= 60 * sum(len(regexp_extract_all(said, {_ENDS})))
+        ), shown AS (SELECT * FROM said JOIN enough USING (page_id) WHERE NOT (head AND lower(said) = lower(trim(title))))
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, CASE WHEN head THEN 'h2' ELSE 'p' END AS tag,
+            '<' || tag || '>' || replace(replace(replace(replace(replace(said, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '</' || tag || '>' AS body FROM shown""",
 }

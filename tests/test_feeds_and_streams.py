@@ -2,7 +2,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from feedloom.functions.extract import article_blocks
 from feedloom.sources import feeds
 from feedloom.streaming import events
 
@@ -29,11 +28,6 @@ def test_opml_discovery_and_atom(spark):
     assert entry == '<entry><title>T&lt;</title><link href="http://x?a&amp;b"/><summary></summary></entry>'
 
 
-def test_blocks_leave_out_navigation_and_empty_headings():
-    page = "<nav><p>menu</p></nav><h1>Head</h1><p>One <b>two</b></p><h2>Empty</h2><h2>Last</h2><p>x &amp; y</p><script>p()</script><h3>end</h3>"
-    assert article_blocks(page) == [("h1", "Head"), ("p", "One two"), ("h2", "Last"), ("p", "x & y")]
-
-
 def test_latest_votes_as_a_stream(spark, tmp_path):
     schema = "id long, key string, value string"
     for part, rows in enumerate([[(1, "a", "up"), (2, "b", "up")], [(3, "a", "down")]]):
