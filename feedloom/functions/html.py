@@ -22,15 +22,16 @@ def _character(name: Column) -> Column:
     return F.coalesce(numeric, F.element_at(F.expr(_TABLE), name), F.concat(F.lit("&"), name, F.lit(";")))
 
 
-def decode(text: Column) -> Column:
-    """Entities decoded, three times over at most, since feeds escape what is escaped; marks of CDATA dropped."""
+def decode_once(text: Column) -> Column:
+    """Entities decoded a single time."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)))
+    found = F.array_sort(found, lambda a, b: (a == "amp").cast("int") - (b == "amp").cast("int"))  # what an ampersand opens waits for the next time
+    return F.aggregate(found, text, lambda t, e: F.replace(t, F.concat(F.lit("&"), e, F.lit(";")), _character(e)))
 
-    def once(x: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(x, F.lit(ENTITY), F.lit(1)))
-        found = F.array_sort(found, lambda a, b: (a == "amp").cast("int") - (b == "amp").cast("int"))  # what an ampersand opens waits for the next time
-        return F.aggregate(found, x, lambda t, e: F.replace(t, F.concat(F.lit("&"), e, F.lit(";")), _character(e)))
 
-    three = F.aggregate(F.array(*map(F.lit, range(3))), text, lambda t, _: once(t))
+def decode(text: Column) -> Column:
+    """Entities decoded, three times over at most, since feeds escape what is escaped; marks of CDATA dropped."""
+    three = F.aggregate(F.array(*map(F.lit, range(3))), text, lambda t, _: decode_once(t))
     return F.regexp_replace(F.when(F.contains(text, F.lit("&")), three).otherwise(text), r"<!\[CDATA\[|\]\]>", "")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions import html, plain_text, svg, url, video
+from feedloom.operators import reader, translation
+from feedloom.plans import text_queries
 from feedloom.plans.text_queries import _DOMAIN, _TITLE
 from feedloom.sources.domain import read
 
@@ -78,7 +80,30 @@ def page_drawings(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", svg.clean_svg(reply, F.concat(F.lit("p"), number)).alias("drawing"))
 
 
-QUERIES = {f.__name__: f for f in (plain_gate, plain_reflow, page_videos, page_drawings)}
+def _reader_pages(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), "url", "html", html.title(F.col("html")).alias("title"))
+
+
+def translation_requests(spark, sf_dir):
+    """What to ask for of every article: its chunks, with their texts."""
+    pages = _reader_pages(spark, sf_dir)
+    chunks = translation.requests(pages, reader.reader_blocks(pages, "title"))
+    return chunks.select(F.col("page").alias("page_id"), F.col("chunk").cast("long").alias("chunk"), F.size("texts").cast("long").alias("n"), F.md5(F.array_join("texts", "\n")).alias("texts_md5"))
+
+
+def translation_round_trip(spark, sf_dir):
+    """Articles translated by answers that say what was asked: one page in three needs the second attempt, one in seven has none that lines up."""
+    pages = _reader_pages(spark, sf_dir)
+    blocks = reader.reader_blocks(pages, "title")
+    asked = translation.requests(pages, blocks).withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2))))
+    whole, cut = F.to_json("texts"), F.to_json(F.slice("texts", 1, F.size("texts") - 1))
+    fails = ((F.col("page") % 3 == 0) & (F.col("attempt") == 1)) | (F.col("page") % 7 == 6)
+    answers = asked.select("page", "chunk", "attempt", F.concat(F.lit("<think>[x]</think>So: "), F.when(fails, cut).otherwise(whole)).alias("reply"))
+    out = translation.translated(pages, blocks, answers)
+    return out.select(F.col("page").alias("page_id"), "title", F.md5("body").alias("body_md5"), "calls")
+
+
+QUERIES = {f.__name__: f for f in (plain_gate, plain_reflow, page_videos, page_drawings, translation_requests, translation_round_trip)}
 
 _BLANK = r"[\s\x1C-\x1F\x{85}\p{Z}]"
 _RULE = f"^{_BLANK}*(" + "|".join(rf"\x{ord(c):02x}{{3,}}" for c in "-=~_*#") + f"){_BLANK}*$"
@@ -86,7 +111,26 @@ _BULLET, _QUOTE = rf"^{_BLANK}*(?:[-*+•]|[0-9]{{1,3}}[.)]){_BLANK}+[^\s\p{{Z}}
 _PROSE_ENDS = r"""'[.!?…]["''»«“”)\]]*(\s|$)'"""
 _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
 
+_QUOTED = "replace(replace(replace({}, '“', '&ldquo;'), '”', '&rdquo;'), '„', '&bdquo;')"
+_BARE = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+#: Texts of articles by place, the titles first, and the chunk of each.
+_CHUNKS = f"""WITH RECURSIVE shown AS ({text_queries.ORACLE_SQL["reader_blocks"]}
+    ), texts AS (
+        SELECT page_id, 1 AS i, {_QUOTED.format(_BARE.format(_TITLE))} AS t FROM pages
+        UNION ALL SELECT page_id, pos + 2, {_QUOTED.format("regexp_replace(body, '^<[a-z0-9]+>|</[a-z0-9]+>$', '', 'g')")} FROM shown
+    ), fold AS (
+        SELECT page_id, i, 0 AS chunk, length(t)::BIGINT AS held FROM texts WHERE i = 1
+        UNION ALL SELECT t.page_id, t.i, CASE WHEN held + length(t) > 3000 THEN chunk + 1 ELSE chunk END, CASE WHEN held + length(t) > 3000 THEN length(t) ELSE held + length(t) END
+        FROM fold JOIN texts t ON t.page_id = fold.page_id AND t.i = fold.i + 1
+    )"""
+
 ORACLE_SQL = {
+    "translation_requests": f"""{_CHUNKS} SELECT page_id, chunk::BIGINT AS chunk, count(*) AS n, md5(string_agg(t, chr(10) ORDER BY i)) AS texts_md5
+        FROM fold JOIN texts USING (page_id, i) GROUP BY page_id, chunk""",
+    "translation_round_trip": f"""{_CHUNKS} SELECT page_id, {_TITLE} AS title, md5(coalesce(body, '')) AS body_md5, (chunks * CASE page_id % 3 WHEN 0 THEN 2 ELSE 1 END)::BIGINT AS calls
+        FROM pages JOIN (SELECT page_id, max(chunk) + 1 AS chunks FROM fold GROUP BY page_id) USING (page_id)
+        LEFT JOIN (SELECT page_id, string_agg(replace(replace(body, '&quot;', '"'), '&#x27;', chr(39)), chr(10) ORDER BY pos) AS body FROM shown GROUP BY page_id) USING (page_id)
+        WHERE page_id % 7 <> 6""",
     "plain_gate": rf"""SELECT doc_id, coalesce(length(text) >= 400 AND ends >= 3 AND words <= 60 * ends
             AND 20 * len(list_filter(lines, lambda x: regexp_matches(x, '[;{{}}]\s*$'))) <= len(lines)
             AND 10 * len(list_filter(lines, lambda x: regexp_matches(x, '\S {{3,}}\S'))) <= len(lines) AND NOT regexp_matches(text, '[─-╿]'), false) AS plain
