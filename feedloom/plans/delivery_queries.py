@@ -13,6 +13,8 @@ from feedloom.functions import html, url
 from feedloom.operators import outbox
 from feedloom.sources import snapshots
 from feedloom.sources.domain import read, view, with_views
+from feedloom.streaming import stateful
+from feedloom.streaming.events import run_once
 
 NOW = 1_706_745_600.0
 
@@ -129,7 +131,34 @@ def model_change(spark, sf_dir):
     return reduce(DataFrame.unionByName, (counted(state, snapshot, name) for state, snapshot in both for name in snapshot.names))
 
 
-QUERIES = {f.__name__: f for f in (outbox_rows, delivery_records, outbox_settled, model_change)}
+def _streamed(spark, sf_dir, tag: str, transform) -> DataFrame:
+    """What a stream over the events gives, run until it has read them all."""
+    root = _folder(spark, tag)
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    before = {k: spark.conf.get(k, None) for k in stateful.ROCKSDB}
+    for k, v in stateful.ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        run_once(transform(stream), lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/state")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.parquet(f"{root}/out").drop("batch")
+
+
+def stream_first_events(spark, sf_dir):
+    """The first event of each user and type that the stream has ever seen."""
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key")
+    return _streamed(spark, sf_dir, "first", lambda s: stateful.once_ever(s.select(F.col("event_id").alias("id"), key), "key"))
+
+
+def stream_due_changes(spark, sf_dir):
+    """Users' runs of changes that are due, as timers find them."""
+    changes = _streamed(spark, sf_dir, "due", lambda s: stateful.debounced(s.select("user_id", F.col("ts").cast("timestamp").alias("created_at")), "user_id"))
+    return changes.select("user_id", F.unix_millis("due").alias("due_ms"), "changes")
+
+
+QUERIES = {f.__name__: f for f in (stream_first_events, stream_due_changes, outbox_rows, delivery_records, outbox_settled, model_change)}
 
 from feedloom.plans.text_queries import _KEY, _TITLE  # noqa: E402
 
@@ -178,4 +207,10 @@ ORACLE_SQL = {
             UNION ALL SELECT 'served', count(*), 0, 0, sum(candidate_id)::BIGINT FROM served), (VALUES ('before'), ('after')) AS s(state)
         UNION ALL SELECT 'before', 'profile', count(DISTINCT label), count(DISTINCT label), 0, (SELECT sum(l)::BIGINT FROM (SELECT DISTINCT label AS l FROM candidates)) FROM candidates
         UNION ALL SELECT 'after', 'profile', 0, 0, 0, 0""", "served"),
+    "stream_first_events": "SELECT min(event_id) AS id, user_id || ':' || event_type AS key FROM events GROUP BY user_id, event_type",
+    "stream_due_changes": """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events),
+        runs AS (SELECT user_id, max(t) + 600000 AS due_ms, count(*) AS changes, max(part) OVER (PARTITION BY user_id) AS last_part, part FROM (
+            SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS part FROM (
+                SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 600000 THEN 0 ELSE 1 END AS fresh FROM e)) GROUP BY user_id, part)
+        SELECT user_id, due_ms, changes FROM runs WHERE part < last_part OR due_ms <= (SELECT max(t) FROM e) - 3600000""",
 }
