@@ -132,9 +132,9 @@ def model_change(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, tag: str, transform) -> DataFrame:
-    """What a stream over the events gives, run until it has read them all."""
+    """What a stream over the events gives, run until it has read them all. A pattern, as a stream has no folder to watch where the table is one file."""
     root = _folder(spark, tag)
-    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     before = {k: spark.conf.get(k, None) for k in stateful.ROCKSDB}
     for k, v in stateful.ROCKSDB.items():
         spark.conf.set(k, v)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions import url, vector
-from feedloom.operators import ranking, similarity
+from feedloom.operators import index, ranking, similarity
 from feedloom.sources.domain import AS_OF, read, view, with_views
 
 K, FLOOR, GATE = 200, 0.2, 0.2
@@ -97,6 +97,19 @@ def neighbour_pairs(spark, sf_dir):
     return similarity.neighbour_pairs(_candidates(spark, sf_dir), 0.3).select("a", "b", F.round("sim", 5).alias("sim"))
 
 
+def indexed_neighbours(spark, sf_dir):
+    """The ten nearest of the vectors whose id is divisible by 20, a stated query set, by an index that holds all vectors."""
+    rows = _candidates(spark, sf_dir).select("candidate_id", "vector")
+    found = index.build(rows).neighbours(rows.filter("candidate_id % 20 = 0"), 10)
+    return found.select(F.col("query").alias("candidate_id"), "other", F.round("sim", 5).alias("sim"))
+
+
+def fresh_pairs(spark, sf_dir):
+    """Fresh stories near fresh or earlier ones, as candidates for one event."""
+    rows = _candidates(spark, sf_dir).select("candidate_id", "vector")
+    return index.near_pairs(rows.filter("candidate_id % 3 = 0"), rows.filter("candidate_id % 3 > 0")).select("a", "b", F.round("sim", 5).alias("sim"))
+
+
 def duplicate_groups(spark, sf_dir):
     """The stories that groups of the same event drop: all but the most relevant, and all where an earlier one is in."""
     roots = similarity.components(similarity.neighbour_pairs(_candidates(spark, sf_dir), 0.3))
@@ -149,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_norms, pairwise_cosine, knn_pool, similarity_floor, negative_exemplars, assign_gate, nearest_sim_stats, shortlist, minmax_relevance,
-        penalised_relevance, stale_filter, source_partition, neighbour_pairs, duplicate_groups, mmr, diversity, taste, interest_context, kmeans_profile,
+        penalised_relevance, stale_filter, source_partition, neighbour_pairs, indexed_neighbours, fresh_pairs, duplicate_groups, mmr, diversity, taste, interest_context, kmeans_profile,
     )
 }
 
