@@ -83,5 +83,6 @@ def meta(html: Column, *keys: str) -> Column:
 
 
 def first_image(html: Column) -> Column:
-    """The first absolute image address, or null."""
-    return F.nullif(F.regexp_extract(html, '<img[^>]* src="(https?://[^"]+)"', 1), F.lit(""))
+    """The address of the first image if it is absolute, or null; markup may be escaped."""
+    found = F.trim(F.regexp_extract(decode(F.coalesce(html, F.lit(""))), "(?i)<img\\b[^>]*?\\bsrc\\s*=\\s*[\"']([^\"']+)", 1))
+    return F.when(F.rlike(found, F.lit("^https?://")), found)

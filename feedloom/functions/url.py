@@ -9,11 +9,11 @@ NOISE = ("html", "htm", "php", "aspx", "index", "status", "www")
 
 
 def authority(url: Column) -> Column:
-    return F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
 
 
 def query(url: Column) -> Column:
@@ -26,7 +26,7 @@ def domain(url: Column) -> Column:
 
 
 def norm_url(url: Column) -> Column:
-    """Page identity: no scheme, fragment, www, trailing slashes or tracking parameters."""
+    """Page identity: no scheme, fragment, www, trailing slashes or tracking parameters. An address may lack its scheme, or its host."""
 
     def kept(pair: Column) -> Column:
         name = F.lower(F.split(pair, "=")[0])

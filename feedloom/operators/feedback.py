@@ -46,18 +46,21 @@ def centroid_weights(signalled: DataFrame, nearest: DataFrame, centroids: DataFr
 
 
 def arm_stats(served: DataFrame, feedback: DataFrame, opens: DataFrame) -> DataFrame:
-    """topic, serves, rewards over what the exploring section served: 1 for a save or an up vote, OPENED for an open."""
+    """topic, serves, rewards over what the exploring section served: 1 for a save or an up vote, OPENED for an open.
+
+    A story that was served again counts as served again, and is rewarded once."""
     broad = served.filter("section = 'broad'")
     saved = feedback.filter("axis = 'saved'").select("candidate_id").distinct().withColumn("saved", F.lit(True))
     vote = latest_by(feedback.filter("axis = 'interest'"), ["candidate_id"]).select("candidate_id", F.col("value").alias("vote"))
     opened = opens.filter("section = 'broad'").select("candidate_id").distinct().withColumn("opened", F.lit(True))
-    joined = broad.join(saved, "candidate_id", "left").join(vote, "candidate_id", "left").join(opened, "candidate_id", "left")
+    items = broad.groupBy("candidate_id", "topic").agg(F.count(F.lit(1)).alias("serves"))
+    joined = items.join(saved, "candidate_id", "left").join(vote, "candidate_id", "left").join(opened, "candidate_id", "left")
     reward = (
         F.when(F.coalesce("saved", F.lit(False)) | (F.coalesce("vote", F.lit("")) == "up"), 1.0)
         .when(F.coalesce("opened", F.lit(False)) & F.col("saved").isNull() & F.col("vote").isNull(), OPENED)
         .otherwise(0.0)
     )
-    return joined.groupBy("topic").agg(F.count(F.lit(1)).alias("serves"), F.sum(reward).alias("rewards"))
+    return joined.groupBy("topic").agg(F.sum("serves").alias("serves"), F.sum(reward).alias("rewards"))
 
 
 def greedy_arms(stats: DataFrame) -> DataFrame:

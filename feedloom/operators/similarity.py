@@ -22,7 +22,7 @@ BLOCK, BROADCAST_BYTES = 4_096, 64 << 20
 
 
 def packed(rows: DataFrame, key: str, vector: str, prefix: str = "") -> DataFrame:
-    """Blocks of rows with their keys (longs), their number and one matrix of doubles; vectors are of one length."""
+    """Blocks of rows with their keys (longs), their number and one matrix of doubles; vectors are of one length, and rows without one are left out."""
     names = [f"{prefix}{x}" for x in ("keys", "n", "matrix")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +34,7 @@ def packed(rows: DataFrame, key: str, vector: str, prefix: str = "") -> DataFram
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([flat.to_numpy(zero_copy_only=False).astype("<f8").tobytes()], pa.binary())], names)
 
     doubles = F.transform(vector, lambda x: x.cast("double"))
-    return rows.select(F.col(key).cast("long"), doubles).mapInArrow(run, f"{names[0]} array<long>, {names[1]} long, {names[2]} binary")
+    return rows.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long"), doubles).mapInArrow(run, f"{names[0]} array<long>, {names[1]} long, {names[2]} binary")
 
 
 def blockwise(
@@ -108,9 +108,10 @@ def knn_pool(candidates: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
 
 
 def best_similarity(rows: DataFrame, small: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """key, best: the largest similarity to the set, -1 at least."""
+    """key, best: the largest similarity to the set, -1 at least, and where the set is empty or the row has no vector."""
     found = blockwise(rows, small.withColumn("__their", F.lit(0)), key, "__their", _best, f"{key} long, best double, their long")
-    return found.groupBy(key).agg(F.greatest(F.lit(-1.0), F.max("best")).alias("best"))
+    found = found.groupBy(key).agg(F.max("best").alias("best"))
+    return rows.select(F.col(key).cast("long").alias(key)).join(found, key, "left").select(key, F.greatest(F.lit(-1.0), "best").alias("best"))
 
 
 def assign(rows: DataFrame, centroids: DataFrame, gate: float, key: str = "candidate_id") -> DataFrame:
@@ -139,12 +140,12 @@ def neighbour_pairs(rows: DataFrame, floor: float, neighbours: int = 3, key: str
     return near.select(F.least(key, "other").alias("a"), F.greatest(key, "other").alias("b"), "sim").dropDuplicates(["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node that edges a, b reach. Labels spread to neighbours and then take their label's
     label, until none moves; every round is written, so no plan grows."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "near").alias("next"), F.col("root").alias("was"))
         up = spread.select(F.col("node").alias("at"), F.col("next").alias("up"))
@@ -152,7 +153,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = moved.select("node", "root")
         if moved.filter("root <> was").isEmpty():
             return labels
-    raise ValueError(f"components did not settle in {rounds} rounds")
 
 
 def diversity(rows: DataFrame, group: str, key: str = "candidate_id") -> DataFrame:

@@ -66,15 +66,16 @@ def slots(size: int, topics: bool, profile: bool, share: float = 0.3) -> tuple[i
 
 
 def age_label(created: Column, as_of: Column) -> Column:
-    """An age as minutes, hours, days, or the date after a week."""
+    """An age as minutes (one at least), hours, days, or the day and month after a week, and where it lies ahead."""
     minutes = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 60_000_000)
 
     def said(n: Column, unit: str) -> Column:
         return F.concat(n.cast("string"), F.lit(unit))
 
     return (
-        F.when(minutes < 60, said(F.greatest(minutes, F.lit(0)), " min"))
+        F.when(minutes < 0, F.date_format(created, "dd.MM."))
+        .when(minutes < 60, said(F.greatest(minutes, F.lit(1)), " min"))
         .when(minutes < 1_440, said(F.floor(minutes / 60), " h"))
         .when(minutes < 10_080, said(F.floor(minutes / 1_440), " d"))
-        .otherwise(F.date_format(created, "yyyy-MM-dd"))
+        .otherwise(F.date_format(created, "dd.MM."))
     )

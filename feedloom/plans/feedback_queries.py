@@ -240,12 +240,12 @@ _SIGNALS = f"""(SELECT user_id, candidate_id, 1.0::DOUBLE AS base, created_at FR
     UNION ALL SELECT user_id, candidate_id, 0.1, created_at FROM opens o WHERE section = 'curated' AND NOT EXISTS (
         SELECT 1 FROM feedback f WHERE f.user_id = o.user_id AND f.candidate_id = o.candidate_id AND f.axis IN ('saved', 'interest'))
     UNION ALL SELECT user_id, candidate_id, CASE rating WHEN 1 THEN 2.0 WHEN 0.5 THEN 1.0 WHEN 0 THEN 0.0 WHEN -0.5 THEN -1.0 ELSE -2.0 END, created_at FROM ratings)"""
-_ARMS = """(SELECT c.topic, count(*) AS serves, sum(CASE
+_ARMS = """(SELECT topic, sum(n)::BIGINT AS serves, sum(reward)::DOUBLE AS rewards FROM (SELECT c.topic, s.candidate_id, count(*) AS n, max(CASE
         WHEN s.candidate_id IN (SELECT candidate_id FROM feedback WHERE axis = 'saved')
           OR (SELECT arg_max(value, id) FROM feedback f WHERE f.axis = 'interest' AND f.candidate_id = s.candidate_id) = 'up' THEN 1.0
         WHEN s.candidate_id IN (SELECT candidate_id FROM opens WHERE section = 'broad')
-          AND s.candidate_id NOT IN (SELECT candidate_id FROM feedback WHERE axis IN ('saved', 'interest')) THEN 0.1 ELSE 0.0 END)::DOUBLE AS rewards
-    FROM served s JOIN candidates c USING (candidate_id) WHERE s.section = 'broad' GROUP BY c.topic)"""
+          AND s.candidate_id NOT IN (SELECT candidate_id FROM feedback WHERE axis IN ('saved', 'interest')) THEN 0.1 ELSE 0.0 END) AS reward
+    FROM served s JOIN candidates c ON c.candidate_id = s.candidate_id WHERE s.section = 'broad' GROUP BY c.topic, s.candidate_id) GROUP BY topic)"""
 _FAILED = """WITH RECURSIVE f AS (SELECT source AS site, doc_id % 30 AS day, row_number() OVER (PARTITION BY source ORDER BY doc_id % 30) AS n
         FROM documents JOIN labels USING (doc_id) WHERE quality = 0),
     fold AS (SELECT site, day, n, 0.2::DOUBLE AS p FROM f WHERE n = 1

@@ -107,7 +107,7 @@ def indexed_neighbours(spark, sf_dir):
 def fresh_pairs(spark, sf_dir):
     """Fresh stories near fresh or earlier ones, as candidates for one event."""
     rows = _candidates(spark, sf_dir).select("candidate_id", "vector")
-    return index.near_pairs(rows.filter("candidate_id % 3 = 0"), rows.filter("candidate_id % 3 > 0")).select("a", "b", F.round("sim", 5).alias("sim"))
+    return index.near_pairs(rows.filter("candidate_id % 3 = 0"), rows.filter("candidate_id % 3 > 0"), 0.3).select("a", "b", F.round("sim", 5).alias("sim"))
 
 
 def duplicate_groups(spark, sf_dir):

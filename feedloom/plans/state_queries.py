@@ -126,8 +126,8 @@ _LATEST = "(SELECT candidate_id, arg_max(value, id) FILTER (axis = 'interest') A
 ORACLE_SQL = {
     "page_meta": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'og ' || url WHEN page_id % 3 > 0 THEN url END AS description,
         CASE WHEN page_id % 5 > 0 THEN 'https://img/' || page_id || '.png' END AS image FROM pages""",
-    "card_age": _sql(f"""SELECT id, CASE WHEN m < 60 THEN greatest(m, 0) || ' min' WHEN m < 1440 THEN m // 60 || ' h' WHEN m < 10080 THEN m // 1440 || ' d'
-        ELSE strftime(created_at, '%Y-%m-%d') END AS age FROM (
+    "card_age": _sql(f"""SELECT id, CASE WHEN m < 0 THEN strftime(created_at, '%d.%m.') WHEN m < 60 THEN greatest(m, 1) || ' min' WHEN m < 1440 THEN m // 60 || ' h' WHEN m < 10080 THEN m // 1440 || ' d'
+        ELSE strftime(created_at, '%d.%m.') END AS age FROM (
         SELECT *, CAST(floor((epoch_us(TIMESTAMP '{LATER}') - epoch_us(created_at)) / 60000000) AS BIGINT) AS m FROM log)"""),
     "card_flags": _sql("""SELECT candidate_id, section, candidate_id IN (SELECT candidate_id FROM feedback WHERE axis = 'saved') AS saved,
         EXISTS (SELECT 1 FROM opens o WHERE o.candidate_id = s.candidate_id AND o.section = s.section) AS opened,

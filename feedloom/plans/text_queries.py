@@ -16,7 +16,11 @@ def _pages(spark, sf_dir):
 
 
 def norm_url_identity(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", url.norm_url(URL).alias("url_key"))
+    """Keys of addresses: whole, without their scheme, and without a scheme's name."""
+    bare = F.regexp_replace(URL, "^https?://", "")
+    return _pages(spark, sf_dir).select(
+        "page_id", url.norm_url(URL).alias("url_key"), url.norm_url(bare).alias("bare_key"), url.norm_url(F.concat(F.lit("//"), bare)).alias("open_key")
+    )
 
 
 def site_key(spark, sf_dir):
@@ -55,7 +59,8 @@ def ad_filter(spark, sf_dir):
 
 def repeats_title(spark, sf_dir):
     t = html.title(F.col("html"))
-    return _pages(spark, sf_dir).select("page_id", text.repeats_title(t, F.concat(t, F.lit(" - x.org"))).alias("repeats"), text.repeats_title(t, URL).alias("by_url"))
+    return _pages(spark, sf_dir).select("page_id", text.repeats_title(t, F.concat(t, F.lit(" - x.org"))).alias("repeats"), text.repeats_title(t, URL).alias("by_url"),
+        text.repeats_title(t, F.substring(t, 1, 20)).alias("begins"), text.repeats_title(t, F.concat(t, F.lit(" and a good deal more"))).alias("adds"))
 
 
 def _docs(spark, sf_dir):
@@ -71,7 +76,9 @@ def prose_gate(spark, sf_dir):
 
 
 def card_summary(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(text.card_summary(F.col("text"))).alias("summary_md5"))
+    """Summaries of cards from a feed's snippet and the page's description: here a text's first 500 characters and the 300 after them."""
+    summary = text.card_summary(F.substring("text", 1, 500), F.substring("text", 501, 300))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(summary).alias("summary_md5"))
 
 
 def diagram_gate(spark, sf_dir):
@@ -163,8 +170,8 @@ QUERIES = {
     )
 }
 
-_AUTH = r"regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
-_PATH = r"regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_AUTH = r"regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
+_PATH = r"regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
 _DOMAIN = rf"regexp_replace(regexp_replace(lower({_AUTH}), '^[^@]*@|:[0-9]*$', '', 'g'), '^www\.', '')"
 _KEY = rf"""regexp_replace(lower({_AUTH}), '^www\.', '') || regexp_replace({_PATH}, '/+$', '') || coalesce('?' || nullif(array_to_string(
     list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> ''
@@ -188,6 +195,11 @@ def _strip(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({bare}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"
 
 
+def _cut(x: str) -> str:
+    bare = rf"""regexp_replace({x}, '\s*(\.\.\.|…)["“”»)]?$', '')"""
+    return f"CASE WHEN length({bare}) > 240 THEN regexp_replace(regexp_replace(left({bare}, 240), ' [^ ]*$', ''), '[,;:–-]+$', '') ELSE {bare} END || '…'"
+
+
 _TITLE = _strip("regexp_extract(html, '<title>([^<]*)</title>', 1)")
 
 
@@ -199,11 +211,18 @@ def _words(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+def _repeats(said: str) -> str:
+    return f"(a <> '' AND {said} <> '' AND (starts_with(a, {said}) OR (starts_with({said}, a) AND length({said}) - length(a) <= 12)))"
+
+
 _ALNUM = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _ENDS = r"""'[.!?…]["''»«“”)\]]*(\s|$)'"""
 
 ORACLE_SQL = {
-    "norm_url_identity": f"SELECT page_id, {_KEY} AS url_key FROM pages",
+    "norm_url_identity": f"""SELECT page_id, max(k) FILTER (form = 0) AS url_key, max(k) FILTER (form = 1) AS bare_key, max(k) FILTER (form = 2) AS open_key FROM (
+        SELECT page_id, form, {_KEY} AS k FROM (
+            SELECT page_id, form, CASE form WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?://', '') ELSE '//' || regexp_replace(url, '^https?://', '') END AS url
+            FROM pages, (VALUES (0), (1), (2)) AS forms(form))) GROUP BY page_id""",
     "site_key": f"""SELECT page_id, CASE WHEN len(parts) >= 2 THEN d || '/' || parts[1] ELSE d END AS site, d AS domain FROM (
         SELECT page_id, {_DOMAIN} AS d, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS parts FROM pages)""",
     "url_words": f"""SELECT page_id, array_to_string(list_filter(regexp_split_to_array({_PATH}, '[^A-Za-zÀ-ÿ]+'),
@@ -218,21 +237,30 @@ ORACLE_SQL = {
         SELECT page_id, unnest(us) AS u, generate_subscripts(us, 1)::BIGINT AS pos FROM (
         SELECT page_id, regexp_extract_all('see ' || url || ', then (' || url || ').', 'https?://[^\s<>"'']+') AS us FROM pages))""",
     "ad_filter": f"SELECT page_id FROM (SELECT page_id, lower({_TITLE}) AS t FROM pages) WHERE NOT (contains(t, 'the ') OR contains(t, 'des '))",
-    "repeats_title": f"""SELECT page_id, r(a, b) AS repeats, r(a, c) AS by_url FROM (
-        SELECT page_id, {_ALNUM.format('t')} AS a, {_ALNUM.format("t || ' - x.org'")} AS b, {_ALNUM.format('url')} AS c
-        FROM (SELECT page_id, url, {_TITLE} AS t FROM pages))""".replace("r(a, b)", "(a = b OR (abs(length(a) - length(b)) <= 12 AND a <> '' AND b <> '' AND (starts_with(a, b) OR starts_with(b, a))))").replace("r(a, c)", "(a = c OR (abs(length(a) - length(c)) <= 12 AND a <> '' AND c <> '' AND (starts_with(a, c) OR starts_with(c, a))))"),
+    "repeats_title": f"""SELECT page_id, r(a, b) AS repeats, r(a, c) AS by_url, r(a, d) AS begins, r(a, e) AS adds FROM (
+        SELECT page_id, {_ALNUM.format('t')} AS a, {_ALNUM.format("t || ' - x.org'")} AS b, {_ALNUM.format('url')} AS c, {_ALNUM.format('left(t, 20)')} AS d, {_ALNUM.format("t || ' and a good deal more'")} AS e
+        FROM (SELECT page_id, url, {_TITLE} AS t FROM pages))""".replace("r(a, b)", _repeats("b")).replace("r(a, c)", _repeats("c")).replace("r(a, d)", _repeats("d")).replace("r(a, e)", _repeats("e")),
     "detect_lang": f"""SELECT doc_id, CASE WHEN de >= 5 AND de >= 2 * en AND de > en THEN 'de' WHEN en >= 5 AND en >= 2 * de THEN 'en' END AS detected FROM (
         SELECT doc_id, len(list_filter(w, lambda x: list_contains({_words(text.GERMAN)}, x))) AS de,
                len(list_filter(w, lambda x: list_contains({_words(text.ENGLISH)}, x))) AS en
         FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-zäöüß]+') AS w FROM documents))""",
     "prose_gate": f"""SELECT doc_id, length(text) >= 400 AND ends >= 3 AND w <= 60 * ends AS prose, w::BIGINT AS n_words FROM (
         SELECT doc_id, text, len(regexp_extract_all(text, {_ENDS})) AS ends, len(regexp_extract_all(text, '\\S+')) AS w FROM documents)""",
-    "card_summary": rf"""SELECT doc_id, md5(CASE WHEN length(s) <= 240 THEN s
-            ELSE regexp_replace(regexp_replace(substring(s, 1, 240), ' [^ ]*$', ''), '[,;:–-]+$', '') || '…' END) AS summary_md5 FROM (
-        SELECT doc_id, CASE WHEN len(w) = 0 THEN '' WHEN length(w[1]) >= 80 OR len(w) = 1 THEN w[1]
-            WHEN length(w[1] || ' ' || w[2]) >= 80 OR len(w) = 2 THEN w[1] || ' ' || w[2] ELSE w[1] || ' ' || w[2] || ' ' || w[3] END AS s FROM (
-        SELECT doc_id, list_filter(list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')),
-            '([.!?…]["''»«“”)\]]*) +', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: regexp_matches(x, {_ENDS})) AS w FROM documents))""",
+    "card_summary": rf"""WITH texts AS (
+            SELECT doc_id, k, regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '(^ | $)', '', 'g') AS t FROM (
+                SELECT doc_id, 0 AS k, {_strip("left(text, 500)")} AS t FROM documents UNION ALL SELECT doc_id, 1, {_strip("substring(text, 501, 300)")} FROM documents)
+        ), cut AS (
+            SELECT doc_id, k, t, list_filter(string_split(regexp_replace(t, '([.!?…]["“”»)]?)\s+(["„“»(]?[A-ZÄÖÜ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS s FROM texts WHERE t <> ''
+        ), whole AS (
+            SELECT doc_id, k, t, CASE WHEN len(s) > 0 AND (regexp_matches(s[-1], '\s*(\.\.\.|…)["“”»)]?$') OR (k = 0 AND NOT regexp_matches(s[-1], '[.!?…]["“”»)]?$')))
+                THEN s[1:len(s) - 1] ELSE s END AS w FROM cut
+        ), said AS (
+            SELECT doc_id, k, t, CASE WHEN len(w) = 0 THEN '' WHEN length(w[1]) >= 80 OR len(w) = 1 THEN w[1] WHEN length(w[1] || ' ' || w[2]) >= 80 OR len(w) = 2 THEN w[1] || ' ' || w[2]
+                ELSE w[1] || ' ' || w[2] || ' ' || w[3] END AS p FROM whole
+        ), summed AS (SELECT doc_id, k, t, CASE WHEN length(p) <= 240 THEN p ELSE {_cut("p")} END AS p FROM said)
+        SELECT doc_id, md5(coalesce(CASE WHEN count(*) FILTER (length(p) >= 80) > 0 THEN arg_min(p, k) FILTER (length(p) >= 80)
+            WHEN max(length(p)) > 0 THEN arg_max(p, length(p) * 2 - k) ELSE arg_max({_cut("t")}, length(t) * 2 - k) END, '')) AS summary_md5
+        FROM documents LEFT JOIN summed USING (doc_id) GROUP BY doc_id""",
     "diagram_gate": r"""SELECT doc_id, list_max(list_transform(string_split(d, chr(10)), lambda x: length(rtrim(x)))) > 40
         AND (len(regexp_extract_all(d, '[─-╿]')) >= 6 OR len(regexp_extract_all(d, '\+-{2,}\+')) >= 2) AS diagram FROM (
         SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('+---+ ', 8) || text ELSE text END AS d FROM documents)""",

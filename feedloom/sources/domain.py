@@ -32,7 +32,10 @@ VIEWS = {
     "served": """
         SELECT candidate_id, source, candidate_id % 3 AS cycle, CASE WHEN source = 'searxng' THEN 'broad' ELSE 'curated' END AS section,
                candidate_id % 10 AS rank
-        FROM candidates WHERE candidate_id % 7 = 0""",
+        FROM candidates WHERE candidate_id % 7 = 0
+        UNION ALL
+        SELECT candidate_id, source, 3, CASE WHEN source = 'searxng' OR candidate_id % 4 = 0 THEN 'broad' ELSE 'curated' END, candidate_id % 11
+        FROM candidates WHERE candidate_id % 14 = 0""",
 }
 
 

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.functions import html
-from feedloom.operators import replies, selection
+from feedloom.functions import html, text, url
+from feedloom.operators import feedback, replies, selection, similarity, state
 from feedloom.plans import registry
 from feedloom.sources.domain import read
 
@@ -88,3 +88,75 @@ def test_k_means_covers_all_and_gives_each_its_nearest(spark):
     rows = registry.QUERIES["kmeans_profile"](spark, DATA).collect()
     n = read(spark, DATA, "embeddings").count()
     assert sum(r.n for r in rows) == n and 8 <= len(rows) <= 32
+
+
+@pytest.mark.parametrize(
+    ("address", "want"),
+    [("example.com/a", "example.com/a"), ("//www.H.x/a/", "h.x/a"), ("https://www.Example.com/a/?utm_source=x&b=1#top", "example.com/a?b=1"), ("http://h", "h"), ("/p/q/", "/p/q"), ("", ""), ("mailto:a@b", "a@b")],
+)
+def test_identity_of_addresses(spark, address, want):
+    assert one(spark, url.norm_url(F.col("c0")), address) == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "text", "image"),
+    [
+        ('<![CDATA[<p> <a href="https://t.de/x"><img src="https://img.t.de/1.jpg" alt=""></a> Der Text &amp; mehr\u200b</p>]]>', "Der Text & mehr", "https://img.t.de/1.jpg"),
+        ('<img src="/relative.jpg"><img src="https://a/b">', "", None), (None, "", None), ("<IMG alt=x SRC = 'http://a/b.png'>", "", "http://a/b.png"),
+        ("&lt;![CDATA[&lt;p&gt; &lt;img src=&#34;https://images.x.de/a.jpg?width=1920&#34; alt=&#34;T&#34;&gt; Bedroht? &amp;quot;Ja&amp;quot;&lt;/p&gt;]]&gt;", 'Bedroht? "Ja"', "https://images.x.de/a.jpg?width=1920"),
+        ('Text davor <img src="https://ex.com/a.jpg" al', "Text davor", "https://ex.com/a.jpg"),
+    ],
+)
+def test_texts_and_images_of_fragments(spark, raw, text, image):
+    assert (one(spark, html.strip_html(F.col("c0")), raw), one(spark, html.first_image(F.col("c0")), raw)) == (text, image)
+
+
+THREE = "Der erste Satz ist kurz. Der zweite Satz bringt den Text über zwei Zeilen hinaus. Ein dritter Satz wird nicht mehr gebraucht."
+STUB = "Die KI schreibt mit. Die Möglichkeiten künstlicher Intelligenz sind für Sc"
+FULL = "In Singapur sollen Schüler lernen, KI zu nutzen, ohne ihr das Denken zu überlassen."
+
+
+@pytest.mark.parametrize(
+    ("snippet", "description", "want"),
+    [
+        ("", None, ""), (None, None, ""), (THREE, None, THREE[: THREE.index(" Ein")]), (STUB, FULL, FULL), (STUB, None, "Die KI schreibt mit."),
+        ("Messages containing “Microslop.” were blocked. People then started testing…", None, "Messages containing “Microslop.” were blocked."),
+        ("Sie sagte „Nein.“ Danach war Ruhe im Saal und im ganzen Haus der …", None, "Sie sagte „Nein.“"), ("Radio waves were found. It reveals its ...", None, "Radio waves were found."),
+        ("Das gilt z.B. für Schulen und Hochschulen im ganzen Land.", None, "Das gilt z.B. für Schulen und Hochschulen im ganzen Land."), (None, "Er kam. Und dann sah er die …", "Er kam."),
+        ("GM and Ford lost share, according to a ...", None, "GM and Ford lost share, according to a…"), ("wort " * 80, None, ("wort " * 48)[:-1] + "…"),
+        ("<p>Kurz</p>", "headline without an end", "headline without an end"),
+    ],
+)
+def test_summaries_of_cards(spark, snippet, description, want):
+    assert one(spark, text.card_summary(F.col("c0"), F.col("c1")), snippet, description) == want
+
+
+@pytest.mark.parametrize(
+    ("title", "said", "want"),
+    [("Bundestag berät über &#34;Rente&#34;", 'Bundestag berät über "Rente"[ mehr ]', True), ("A long headline that goes on", "A long head", True), ("Head", "Head and quite a lot more", False), ("", "", False), ("x", "", False), (None, None, False)],
+)
+def test_what_repeats_a_title(spark, title, said, want):
+    assert one(spark, text.repeats_title(F.col("c0"), F.col("c1")), title, said) is want
+
+
+@pytest.mark.parametrize(
+    ("created", "want"),
+    [("2024-01-30 11:59:50", "1 min"), ("2024-01-30 11:25:00", "35 min"), ("2024-01-30 08:00:00", "4 h"), ("2024-01-28 12:00:00", "2 d"), ("2024-01-20 12:00:00", "20.01."), ("2024-01-31 12:00:00", "31.01."), (None, None)],
+)
+def test_ages_of_cards(spark, created, want):
+    assert one(spark, state.age_label(F.col("c0").cast("timestamp"), F.lit("2024-01-30 12:00:00").cast("timestamp")), created) == want
+
+
+def test_a_story_served_twice_is_rewarded_once(spark):
+    served = spark.createDataFrame([(1, "T", "broad"), (1, "T", "broad"), (2, "T", "broad"), (3, "T", "broad"), (4, "U", "curated")], "candidate_id long, topic string, section string")
+    log = spark.createDataFrame([(1, 1, "saved", "saved"), (2, 2, "interest", "up"), (3, 2, "interest", "down")], "id long, candidate_id long, axis string, value string")
+    opens = spark.createDataFrame([(3, "broad"), (3, "broad"), (2, "broad")], "candidate_id long, section string")
+    (row,) = feedback.arm_stats(served, log, opens).collect()
+    assert (row.topic, row.serves, round(row.rewards, 6)) == ("T", 4, 1.1)
+
+
+def test_rows_without_vectors_and_empty_sets(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "candidate_id long, vector array<double>")
+    small = spark.createDataFrame([([0.0, 1.0],)], "their_vector array<double>")
+    assert {tuple(r) for r in similarity.best_similarity(rows, small).collect()} == {(1, 0.0), (2, -1.0)}
+    assert {tuple(r) for r in similarity.best_similarity(rows, small.limit(0)).collect()} == {(1, -1.0), (2, -1.0)}
