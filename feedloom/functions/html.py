@@ -5,6 +5,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.url import joined
+
 #: Entities by name, from the language's own table.
 NAMES = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 _TABLE = "map(" + ", ".join(f"'{name}', '\\u{ord(char):04x}'" for name, char in NAMES.items()) + ")"
@@ -86,3 +88,8 @@ def first_image(html: Column) -> Column:
     """The address of the first image if it is absolute, or null; markup may be escaped."""
     found = F.trim(F.regexp_extract(decode(F.coalesce(html, F.lit(""))), "(?i)<img\\b[^>]*?\\bsrc\\s*=\\s*[\"']([^\"']+)", 1))
     return F.when(F.rlike(found, F.lit("^https?://")), found)
+
+
+def meta_image(html: Column, page: Column) -> Column:
+    """The address of the image that a page's head names, as it is meant on the page; null where it isn't http(s)."""
+    return joined(F.trim(meta(html, "og:image", "twitter:image")), page)

@@ -48,3 +48,22 @@ def url_words(url: Column) -> Column:
     return F.filter(
         F.split(path(url), r"[^A-Za-zÀ-ÿ]+"), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*NOISE)
     )
+
+
+def joined(address: Column, page: Column) -> Column:
+    """An address as it is meant on a page: with a scheme, without one, from the host's root, or from the page's folder; else null."""
+    root, folder = F.regexp_extract(page, r"(?i)^(https?://[^/?#]+)", 1), F.regexp_extract(page, r"(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+    folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
+    climb = r"^(https?://[^/]+(?:/[^/]+)*?)(?:/(?!\.\.)[^/]+)?/\.\./"
+
+    def meant(a: Column) -> Column:
+        up = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.concat(folder, F.regexp_replace(a, r"^(\./)+", "")), lambda x, _: F.regexp_replace(x, climb, "$1/"))
+        return (
+            F.when(F.rlike(a, F.lit("(?i)^https?://")), a)
+            .when(F.startswith(a, F.lit("//")), F.concat(F.regexp_extract(page, r"(?i)^(https?):", 1), F.lit(":"), a))
+            .when(F.rlike(a, F.lit("(?i)^[a-z][a-z0-9+.-]*:")) | (root == ""), F.lit(None))
+            .when(F.startswith(a, F.lit("/")), F.concat(root, a))
+            .when(a != "", up)
+        )
+
+    return F.get(F.transform(F.array(address), meant), F.lit(0))

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from feedloom.functions.html import decode
 from feedloom.functions.plain_text import escaped, is_plain_text, once, paragraphs, plain_html
 from feedloom.functions.text import LEAST_CHARS, LEAST_SENTENCES, MOST_WORDS, SENTENCE_END
+from feedloom.functions.url import joined
 
 #: Elements whose texts are not read, those round an article, those that begin a block, inline marks and what becomes of them.
 UNREAD = "script style noscript template svg textarea select iframe title".split()
@@ -44,25 +45,6 @@ def attribute(tag: Column, name: str) -> Column:
     return F.nullif(decode(F.trim(F.regexp_replace(value, r"^[\"']|[\"']$", ""))), F.lit(""))
 
 
-def joined(address: Column, page: Column) -> Column:
-    """An address as it is meant on a page: with a scheme, without one, from the host's root, or from the page's folder; else null."""
-    root, folder = F.regexp_extract(page, r"(?i)^(https?://[^/?#]+)", 1), F.regexp_extract(page, r"(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    climb = r"^(https?://[^/]+(?:/[^/]+)*?)(?:/(?!\.\.)[^/]+)?/\.\./"
-
-    def meant(a: Column) -> Column:
-        up = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.concat(folder, F.regexp_replace(a, r"^(\./)+", "")), lambda x, _: F.regexp_replace(x, climb, "$1/"))
-        return (
-            F.when(F.rlike(a, F.lit("(?i)^https?://")), a)
-            .when(F.startswith(a, F.lit("//")), F.concat(F.regexp_extract(page, r"(?i)^(https?):", 1), F.lit(":"), a))
-            .when(F.rlike(a, F.lit("(?i)^[a-z][a-z0-9+.-]*:")) | (root == ""), F.lit(None))
-            .when(F.startswith(a, F.lit("/")), F.concat(root, a))
-            .when(a != "", up)
-        )
-
-    return once(address, meant)
-
-
 def image_address(tag: Column, page: Column) -> Column:
     """The address of an <img>; lazy pages keep it beside a placeholder."""
     names = ("src", "data-src", "data-lazy-src", "data-original", "srcset", "data-srcset")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.functions import url
 from feedloom.operators import reader
 from tests.test_plain_text import NOTES
 
@@ -19,8 +20,8 @@ def pictures(inner):
     return f"<html><body><article><h1>T</h1>{text}{inner}<p>The last words.</p></article></body></html>"
 
 
-def read(spark, *pages, url="https://ex.com/a/b?c", title=None):
-    df = spark.createDataFrame([(i, url, p, title) for i, p in enumerate(pages)], "page long, url string, html string, title string")
+def read(spark, *pages, title=None):
+    df = spark.createDataFrame([(i, "https://ex.com/a/b?c", p, title) for i, p in enumerate(pages)], "page long, url string, html string, title string")
     rows = reader.reader_blocks(df, "title" if title else None).orderBy("page", "pos").collect()
     return ["\n".join(r.body for r in rows if r.page == i) for i in range(len(pages))]
 
@@ -94,7 +95,7 @@ def test_inline_marks_close(spark, raw, want):
 )
 def test_addresses_on_a_page(spark, address, want):
     df = spark.createDataFrame([(address, "http://h.o/p/q/r?s#t")], "a string, p string")
-    assert df.select(reader.joined(F.col("a"), F.col("p"))).first()[0] == want
+    assert df.select(url.joined(F.col("a"), F.col("p"))).first()[0] == want
 
 
 def test_an_empty_table(spark):
