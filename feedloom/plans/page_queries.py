@@ -8,6 +8,7 @@ from feedloom.functions import html, plain_text, svg, url, video
 from feedloom.operators import reader, translation
 from feedloom.plans import text_queries
 from feedloom.plans.text_queries import _DOMAIN, _TITLE
+from feedloom.sources import feeds
 from feedloom.sources.domain import read
 
 
@@ -103,7 +104,43 @@ def translation_round_trip(spark, sf_dir):
     return out.select(F.col("page").alias("page_id"), "title", F.md5("body").alias("body_md5"), "calls")
 
 
-QUERIES = {f.__name__: f for f in (plain_gate, plain_reflow, page_videos, page_drawings, translation_requests, translation_round_trip)}
+def _feeds(spark, sf_dir):
+    """A feed for each page, RSS and Atom by turns: the page as an entry with its markup as content, and one that only has a summary."""
+    title, number = plain_text.escaped(html.title(F.col("html"))), F.col("page_id")
+    address, body = plain_text.escaped(F.col("url")), plain_text.escaped(F.col("html"))
+    day = F.lpad((number % 28 + 1).cast("string"), 2, "0")
+    rss = F.concat(
+        F.lit('<rss xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:media="http://search.yahoo.com/mrss/"><channel><item><title>'), title, F.lit("</title><link>"), address,
+        F.lit("</link><description>short</description><content:encoded>"), body, F.lit("</content:encoded><pubDate>Mon, "), day, F.lit(" Jan 2024 06:30:00 GMT</pubDate></item><item><link>"), address,
+        F.lit("?2</link><description>sum</description><media:content url='https://i/"), number, F.lit(".png'/></item></channel></rss>"),
+    )
+    atom = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>'), title, F.lit('</title><link rel="self" href="https://no/"/><link href="'), address, F.lit('"/><summary>short</summary><content type="html">'), body,
+        F.lit("</content><published>2024-01-"), day, F.lit('T06:30:00Z</published></entry><entry><link rel="enclosure" type="image/png" href="https://i/'), number, F.lit('.png"/><link href="'), address, F.lit('?2"/><summary>sum</summary></entry></feed>'),
+    )
+    pages = read(spark, sf_dir, "pages")
+    return pages.select(number.cast("string").alias("feed"), F.encode(F.when(number % 2 == 0, rss).otherwise(atom), "UTF-8").alias("content"))
+
+
+def feed_files(spark, sf_dir):
+    """Entries of all feeds since the middle of a month."""
+    rows = feeds.feed_entries(_feeds(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    return rows.select("feed", "pos", "url", "title", F.md5("snippet").alias("snippet_md5"), "image_url", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
+
+
+def site_feeds(spark, sf_dir):
+    """The feed of each page's site: named in its head in one case of three, found at a usual path in another, else none."""
+    number = F.col("page_id")
+    link = F.when(number % 3 == 0, F.concat(F.lit("<LINK rel='Alternate x' TYPE='application/Atom+xml' href='/f/"), number, F.lit("?a&amp;b'>"))).otherwise('<link rel="alternate" type="text/html" href="/no">')
+    pages = read(spark, sf_dir, "pages").withColumn("site", F.concat("url", F.lit("#"), number))
+    root = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    paths = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.encode(F.lit(c), "UTF-8").alias("c")) for p, c in (("/feed", "<html>"), ("/atom.xml", "<?xml?><feed>"), ("/index.xml", "<rss>")))))
+    fetched = pages.filter("page_id % 3 = 1").select(root.alias("root"), paths.alias("x")).select(F.concat("root", "x.p").alias("url"), F.col("x.c").alias("content"))
+    found = feeds.discover(pages.select("site", F.concat(link, "html").alias("page")), fetched)
+    return found.select(F.regexp_extract("site", "#([0-9]+)$", 1).cast("long").alias("page_id"), "feed")
+
+
+QUERIES = {f.__name__: f for f in (feed_files, site_feeds, plain_gate, plain_reflow, page_videos, page_drawings, translation_requests, translation_round_trip)}
 
 _BLANK = r"[\s\x1C-\x1F\x{85}\p{Z}]"
 _RULE = f"^{_BLANK}*(" + "|".join(rf"\x{ord(c):02x}{{3,}}" for c in "-=~_*#") + f"){_BLANK}*$"
@@ -180,4 +217,10 @@ ORACLE_SQL = {
             || {_ESCAPED.format("concat_ws(' · ', 'Video', duration || ' min', author)")} || '</p>') AS body_md5 FROM v""",
     "page_drawings": f"""SELECT page_id, CASE WHEN page_id % 5 IN (0, 3) THEN '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 360 ' || page_id || '" role="img"><rect id="p' || page_id
         || '-r" fill="currentColor" /><g><text x="1">' || replace(replace(replace({_TITLE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</text></g></svg>' END AS drawing FROM pages""",
+    "feed_files": f"""SELECT page_id::VARCHAR AS feed, n AS pos, url || CASE n WHEN 1 THEN '?2' ELSE '' END AS url, CASE n WHEN 0 THEN {_TITLE} ELSE '' END AS title,
+            md5(CASE n WHEN 0 THEN left({text_queries._strip('html')}, 500) ELSE 'sum' END) AS snippet_md5, CASE n WHEN 1 THEN 'https://i/' || page_id || '.png' END AS image_url,
+            CASE n WHEN 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || ' 06:30' END AS published_at
+        FROM pages, (VALUES (0::BIGINT), (1::BIGINT)) AS entries(n) WHERE n = 1 OR page_id % 28 >= 14""",
+    "site_feeds": """WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM pages)
+        SELECT page_id, CASE WHEN page_id % 3 = 0 THEN root || '/f/' || page_id || '?a&b' WHEN root IN (SELECT root FROM p WHERE page_id % 3 = 1) THEN root || '/atom.xml' END AS feed FROM p""",
 }
