@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import html, url
-from feedloom.operators import outbox
+from feedloom.operators import commands, outbox
+from feedloom.operators.feedback import served_section
 from feedloom.sources import snapshots
 from feedloom.sources.domain import read, view, with_views
 from feedloom.streaming import stateful
@@ -45,9 +46,9 @@ def _commands(spark, sf_dir) -> DataFrame:
 
 def _rows(spark, sf_dir) -> DataFrame:
     """The outbox after all commands, of which the first 500 have been folded in before."""
-    commands = _commands(spark, sf_dir)
-    first = outbox.queued(spark.createDataFrame([], outbox.ROW), commands.filter("id < 500"))
-    return outbox.queued(first, commands.filter("id >= 500"))
+    rows = _commands(spark, sf_dir)
+    first = outbox.queued(spark.createDataFrame([], outbox.ROW), rows.filter("id < 500"))
+    return outbox.queued(first, rows.filter("id >= 500"))
 
 
 def outbox_rows(spark, sf_dir):
@@ -158,7 +159,46 @@ def stream_due_changes(spark, sf_dir):
     return changes.select("user_id", F.unix_millis("due").alias("due_ms"), "changes")
 
 
-QUERIES = {f.__name__: f for f in (stream_first_events, stream_due_changes, outbox_rows, delivery_records, outbox_settled, model_change)}
+#: What the log's events command.
+COMMANDS = {"purchase": "save", "signup": "promote", "click": "explore", "error": "unsave", "view": "archive"}
+
+
+def _commanded(spark, sf_dir) -> commands.Tables:
+    """The tables after the log's events as commands on known candidates, some saved and linked before."""
+    keyed = view(spark, sf_dir, "candidates").select("candidate_id", url.norm_url("url").alias("url_key")).filter("candidate_id % 9 > 0")
+    name = F.element_at(F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in COMMANDS.items()) + ")"), F.col("event_type"))
+    log = view(spark, sf_dir, "log").filter("id % 4 = 1 OR candidate_id % 2 = 0")
+    rows = log.select("id", "candidate_id", name.alias("command"), F.when(F.col("user_id") % 3 == 0, F.col("section")).alias("section"), "created_at")
+    long_ago = F.lit("2023-12-01 00:00:00").cast("timestamp_ntz")
+    link = F.when(F.col("candidate_id") % 2 == 0, F.col("candidate_id") + 1000)
+    saves = keyed.filter("candidate_id % 3 = 0").groupBy("url_key").agg(F.min("candidate_id").alias("candidate_id"))
+    saves = saves.select("url_key", "candidate_id", link.cast("long").alias("link_id"), F.lit("curated").alias("section"), long_ago.alias("created_at"))
+    saved = saves.select(F.col("candidate_id").alias("id"), "candidate_id", "url_key", F.lit("saved").alias("axis"), F.lit("explicit").alias("value"), "section", "created_at")
+    votes = view(spark, sf_dir, "feedback").filter("axis = 'interest'").join(keyed, "candidate_id").select((F.col("id") + 1_000_000).alias("id"), "candidate_id", "url_key", "axis", "value", "section", "created_at")
+    links = keyed.filter("candidate_id % 5 = 0").select(F.col("candidate_id").alias("link_id"), "url_key")
+    return commands.applied(rows, keyed, served_section(view(spark, sf_dir, "served")), saves, saved.unionByName(votes), links)
+
+
+def commands_saves(spark, sf_dir):
+    """Saves after all commands; a link of 0 is none."""
+    return _commanded(spark, sf_dir).saves.fillna(0, ["link_id"])
+
+
+def commands_feedback(spark, sf_dir):
+    """Events after all commands: saves where they lie now, and a vote against for each explore."""
+    return _commanded(spark, sf_dir).feedback
+
+
+def commands_links(spark, sf_dir):
+    return _commanded(spark, sf_dir).links
+
+
+def commands_outbox(spark, sf_dir):
+    """What the commands queue for stories with a link."""
+    return _commanded(spark, sf_dir).outbox
+
+
+QUERIES = {f.__name__: f for f in (commands_saves, commands_feedback, commands_links, commands_outbox, stream_first_events, stream_due_changes, outbox_rows, delivery_records, outbox_settled, model_change)}
 
 from feedloom.plans.text_queries import _KEY, _TITLE  # noqa: E402
 
@@ -179,7 +219,35 @@ def _sql(rest: str, *names: str) -> str:
 _COUNTED = "count(*) AS n, count(*) FILTER (embedding IS NOT NULL) AS vectors, coalesce(sum(embedded::BIGINT), 0)::BIGINT AS flags, coalesce(sum(id), 0)::BIGINT AS ids"
 _EVENTS = ", ".join(f"('{t}', '{e}')" for t, e in (("saves", "purchase"), ("feedback", "click"), ("ratings", "signup"), ("opens", "view")))
 
+_TOLD = f""", keyed AS (SELECT candidate_id, {_KEY} AS url_key FROM candidates WHERE candidate_id % 9 > 0),
+    places AS (SELECT candidate_id, arg_max(section, cycle * 2 + CASE WHEN section <> 'broad' THEN 1 ELSE 0 END) AS tab FROM served GROUP BY candidate_id),
+    known AS (SELECT id, candidate_id, url_key, command, created_at, CASE command WHEN 'save' THEN coalesce(section, tab, 'curated') WHEN 'promote' THEN 'curated'
+            WHEN 'explore' THEN 'broad' WHEN 'archive' THEN 'archive' END AS filed
+        FROM (SELECT *, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COMMANDS.items())} END AS command FROM (
+            SELECT id, candidate_id, event_type, created_at, CASE WHEN user_id % 3 = 0 THEN section END AS section FROM log WHERE id % 4 = 1 OR candidate_id % 2 = 0))
+        JOIN keyed USING (candidate_id) LEFT JOIN places USING (candidate_id)),
+    old AS (SELECT url_key, min(candidate_id) AS candidate_id, CASE min(candidate_id) % 2 WHEN 0 THEN min(candidate_id) + 1000 ELSE 0 END AS link_id FROM keyed WHERE candidate_id % 3 = 0 GROUP BY url_key),
+    mirrored AS (SELECT candidate_id AS link_id, url_key FROM keyed WHERE candidate_id % 5 = 0),
+    told AS (SELECT url_key, max(id) FILTER (command = 'unsave') AS gone FROM known GROUP BY url_key),
+    final AS (SELECT url_key, gone, arg_max(filed, id) FILTER (live) AS now, arg_min(candidate_id, id) FILTER (live) AS first_id, min(id) FILTER (live) AS first_no, arg_min(created_at, id) FILTER (live) AS first_at
+        FROM (SELECT *, filed IS NOT NULL AND id > coalesce(gone, -1) AS live FROM known JOIN told USING (url_key)) GROUP BY url_key, gone),
+    stay AS (SELECT o.*, coalesce(now, 'curated') AS section FROM old o LEFT JOIN final USING (url_key) WHERE gone IS NULL),
+    new AS (SELECT * FROM final WHERE now IS NOT NULL AND (gone IS NOT NULL OR url_key NOT IN (SELECT url_key FROM old UNION SELECT url_key FROM mirrored)))"""
+
 ORACLE_SQL = {
+    "commands_saves": _sql("SELECT 1", "served").removesuffix("SELECT 1").rstrip() + _TOLD + """
+        SELECT url_key, candidate_id, link_id, section, TIMESTAMP '2023-12-01' AS created_at FROM stay UNION ALL SELECT url_key, first_id, 0, now, first_at FROM new""",
+    "commands_feedback": _sql("SELECT 1", "served").removesuffix("SELECT 1").rstrip() + _TOLD + """, votes AS (SELECT f.id + 1000000 AS id, candidate_id, url_key, axis, value, section, created_at
+            FROM feedback f JOIN keyed USING (candidate_id) WHERE axis = 'interest'),
+        base AS (SELECT greatest((SELECT max(id) FROM votes), (SELECT max(candidate_id) FROM old)) AS b)
+        SELECT * FROM votes UNION ALL SELECT candidate_id, candidate_id, url_key, 'saved', 'explicit', section, TIMESTAMP '2023-12-01' FROM stay
+        UNION ALL SELECT b + 2 * first_no, first_id, url_key, 'saved', 'explicit', now, first_at FROM new, base
+        UNION ALL SELECT b + 2 * id + 1, candidate_id, url_key, 'interest', 'down', 'curated', created_at FROM known, base WHERE command = 'explore'""",
+    "commands_links": _sql("SELECT 1", "served").removesuffix("SELECT 1").rstrip() + _TOLD + " SELECT link_id, url_key FROM mirrored WHERE url_key NOT IN (SELECT url_key FROM told WHERE gone IS NOT NULL)",
+    "commands_outbox": _sql("SELECT 1", "served").removesuffix("SELECT 1").rstrip() + _TOLD + """, early AS (SELECT k.*, coalesce(lag(filed) OVER (PARTITION BY url_key ORDER BY id), 'curated') AS was
+            FROM known k WHERE filed IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known u WHERE u.url_key = k.url_key AND u.command = 'unsave' AND u.id < k.id))
+        SELECT e.id, link_id, 'put' AS op FROM early e JOIN old USING (url_key) WHERE link_id > 0 AND (command <> 'save' OR was <> filed)
+        UNION ALL SELECT min(k.id), link_id, 'delete' FROM known k JOIN old USING (url_key) WHERE link_id > 0 AND command = 'unsave' GROUP BY url_key, link_id""",
     "outbox_rows": _sql(f"SELECT link_id, op, md5(discussion) AS talk_md5, updated_at, due_s, 0::INTEGER AS attempts, 'pending' AS state, version FROM {_FULL}"),
     "delivery_records": _sql(f"""SELECT link_id, op, version, CASE op WHEN 'put' THEN 1 ELSE 0 END::INTEGER AS v, url, url_key, title, lang, coalesce(collection_id, 0) AS collection_id, section, source, saved_at,
             CASE op WHEN 'put' THEN updated_at END AS updated_at, interest, CASE op WHEN 'put' THEN coalesce(highlights, 0) ELSE 0 END AS highlights,
