@@ -63,6 +63,33 @@ def arm_stats(served: DataFrame, feedback: DataFrame, opens: DataFrame) -> DataF
     return joined.groupBy("topic").agg(F.sum("serves").alias("serves"), F.sum(reward).alias("rewards"))
 
 
+def _voted(feedback: DataFrame) -> DataFrame:
+    """The latest interest vote on each story: candidate_id, id, value, section."""
+    return latest_by(feedback.filter("axis = 'interest'").select("candidate_id", "id", "value", "section"), ["candidate_id"])
+
+
+def rejected(feedback: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidate_id, id, title, their_vector of stories whose latest vote is against them, and was given in the main section; those without a
+    vector are left out. candidates: candidate_id, title, vector. Ordered by id, falling, they are the newest first."""
+    down = _voted(feedback).filter("value = 'down' AND section = 'curated'").select("candidate_id", "id")
+    return down.join(candidates.select("candidate_id", "title", F.col("vector").alias("their_vector")).filter("their_vector IS NOT NULL"), "candidate_id")
+
+
+def kept(feedback: DataFrame, links: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidate_id, their_vector of the pages that are kept: links, saves, and stories with a latest vote for them in the main section."""
+    up = _voted(feedback).filter("value = 'up' AND section = 'curated'").select("candidate_id")
+    ids = links.select("candidate_id").unionByName(feedback.filter("axis = 'saved'").select("candidate_id")).unionByName(up).distinct()
+    return ids.join(candidates.select("candidate_id", F.col("vector").alias("their_vector")).filter("their_vector IS NOT NULL"), "candidate_id")
+
+
+def explore_taste(feedback: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidate_id, liked, their_vector from the exploring section alone: saves and latest votes for a story, or against it."""
+    saved = feedback.filter("axis = 'saved' AND section = 'broad'").select("candidate_id", F.lit(True).alias("liked"))
+    voted = _voted(feedback).filter("section = 'broad' AND value IN ('up', 'down')").select("candidate_id", (F.col("value") == "up").alias("liked"))
+    both = saved.unionByName(voted).distinct()
+    return both.join(candidates.select("candidate_id", F.col("vector").alias("their_vector")).filter("their_vector IS NOT NULL"), "candidate_id")
+
+
 def greedy_arms(stats: DataFrame) -> DataFrame:
     """Arms by rate, best first: (rewards + 1) / (serves + 2), ties by name."""
     return stats.withColumn("rate", (F.col("rewards") + 1) / (F.col("serves") + 2))

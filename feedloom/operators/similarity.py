@@ -122,13 +122,25 @@ def assign(rows: DataFrame, centroids: DataFrame, gate: float, key: str = "candi
 
 
 def negative_exemplars(rows: DataFrame, kept: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows that aren't nearer to a rejected story than to every kept page."""
+    """The rows that aren't nearer to a rejected story than to every kept page; where nothing is kept there is nothing to compare with, and all stay."""
+    if kept.isEmpty():
+        return rows
     up = best_similarity(rows, kept).withColumnRenamed("best", "up")
     down = best_similarity(rows, rejected).withColumnRenamed("best", "down")
     near = up.join(down, "candidate_id").filter("down > up").select("candidate_id")
     return rows.join(near, "candidate_id", "left_anti")
 
 
+def taste(rows: DataFrame, liked: DataFrame, disliked: DataFrame) -> DataFrame:
+    """candidate_id, taste: the nearest liked story less the nearest disliked one, of which none counts as 0; null where nothing is liked."""
+    if liked.isEmpty():
+        return rows.select("candidate_id", F.lit(None).cast("double").alias("taste"))
+    up = best_similarity(rows, liked).withColumnRenamed("best", "up")
+    if disliked.isEmpty():
+        return up.select("candidate_id", F.col("up").alias("taste"))
+    return up.join(best_similarity(rows, disliked), "candidate_id").select("candidate_id", (F.col("up") - F.col("best")).alias("taste"))
+
+
 def neighbour_pairs(rows: DataFrame, floor: float, neighbours: int = 3, key: str = "candidate_id") -> DataFrame:
     """a, b, sim: each row's nearest others above the floor, every pair once.
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions import url, vector
-from feedloom.operators import index, ranking, similarity
+from feedloom.operators import feedback, index, ranking, similarity
 from feedloom.sources.domain import AS_OF, read, view, with_views
 
 K, FLOOR, GATE = 200, 0.2, 0.2
+#: Until here votes are known where ranking reads them.
+EARLY = "2024-01-02 00:00:00"
 
 
 def _candidates(spark, sf_dir):
@@ -20,8 +22,24 @@ def _centroids(spark, sf_dir):
     return means.select(F.col("label").alias("centroid"), ((F.col("label") + 1) / 10).alias("weight"), "their_vector")
 
 
-def _exemplars(spark, sf_dir, digit):
-    return _candidates(spark, sf_dir).filter(F.col("candidate_id") % 10 == digit).select(F.col("vector").alias("their_vector"))
+def _early(spark, sf_dir):
+    """The feedback of the first day: at that moment most stories have none."""
+    return view(spark, sf_dir, "feedback").filter(F.col("created_at") < F.lit(EARLY).cast("timestamp_ntz"))
+
+
+def _exemplars(spark, sf_dir):
+    """Kept and rejected stories by the feedback so far, and those that had none yet."""
+    log, rows = _early(spark, sf_dir), _candidates(spark, sf_dir)
+    links = rows.filter("candidate_id % 11 = 0").select("candidate_id")
+    fresh = rows.join(log.select("candidate_id").unionByName(links), "candidate_id", "left_anti")
+    titled = rows.withColumn("title", F.col("url"))
+    return fresh, feedback.kept(log, links, titled), feedback.rejected(log, titled)
+
+
+def exploring_taste(spark, sf_dir, rows):
+    """rows' taste by the exploring section's feedback so far."""
+    taste = feedback.explore_taste(_early(spark, sf_dir), _candidates(spark, sf_dir))
+    return similarity.taste(rows, taste.filter("liked"), taste.filter("NOT liked"))
 
 
 def _pool(spark, sf_dir):
@@ -49,8 +67,18 @@ def similarity_floor(spark, sf_dir):
 
 
 def negative_exemplars(spark, sf_dir):
-    rows = similarity.negative_exemplars(_candidates(spark, sf_dir), _exemplars(spark, sf_dir, 1), _exemplars(spark, sf_dir, 2))
-    return rows.select("candidate_id")
+    """Stories without feedback so far that aren't nearer to a rejected one than to every page that is kept."""
+    fresh, kept, rejected = _exemplars(spark, sf_dir)
+    return similarity.negative_exemplars(fresh, kept, rejected).select("candidate_id")
+
+
+def rejected_stories(spark, sf_dir):
+    """The stories rejected so far, the newest first, as a context of ranking names them."""
+    from pyspark.sql import Window as W
+
+    rows = _exemplars(spark, sf_dir)[2]
+    # one person's votes of a section: their titles go into one prompt
+    return rows.select("candidate_id", "title", F.row_number().over(W.orderBy(F.desc("id"))).cast("long").alias("place"))
 
 
 def assign_gate(spark, sf_dir):
@@ -130,11 +158,9 @@ def diversity(spark, sf_dir):
 
 
 def taste(spark, sf_dir):
-    """The nearest liked story less the nearest disliked one."""
+    """Searched stories' taste: the nearest that exploring liked less the nearest that it disliked."""
     rows = _candidates(spark, sf_dir).filter("source = 'searxng'")
-    up = similarity.best_similarity(rows, _exemplars(spark, sf_dir, 3)).withColumnRenamed("best", "up")
-    down = similarity.best_similarity(rows, _exemplars(spark, sf_dir, 4)).withColumnRenamed("best", "down")
-    return up.join(down, "candidate_id").select("candidate_id", F.round(F.col("up") - F.col("down"), 5).alias("taste"))
+    return exploring_taste(spark, sf_dir, rows).select("candidate_id", F.round("taste", 5).alias("taste"))
 
 
 def interest_context(spark, sf_dir):
@@ -161,7 +187,7 @@ def kmeans_profile(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_norms, pairwise_cosine, knn_pool, similarity_floor, negative_exemplars, assign_gate, nearest_sim_stats, shortlist, minmax_relevance,
+        vector_norms, pairwise_cosine, knn_pool, similarity_floor, negative_exemplars, rejected_stories, assign_gate, nearest_sim_stats, shortlist, minmax_relevance,
         penalised_relevance, stale_filter, source_partition, neighbour_pairs, indexed_neighbours, fresh_pairs, duplicate_groups, mmr, diversity, taste, interest_context, kmeans_profile,
     )
 }
@@ -187,8 +213,16 @@ def _sql(rest: str, *more: str) -> str:
     return head.rstrip() + rest
 
 
-def _nearest(digit: int, where: str = "") -> str:
-    return f"(SELECT c.candidate_id, max({_DOT.format('c.vector', 'x.vector')}) AS s FROM candidates c JOIN candidates x ON x.candidate_id % 10 = {digit} {where} GROUP BY c.candidate_id)"
+_EXEMPLARS = f""", so_far AS (SELECT * FROM feedback WHERE created_at < TIMESTAMP '{EARLY}'),
+    voted AS (SELECT candidate_id, max(id) AS id, arg_max(value, id) AS value, arg_max(section, id) AS section FROM so_far WHERE axis = 'interest' GROUP BY candidate_id),
+    kept AS (SELECT candidate_id FROM candidates WHERE candidate_id % 11 = 0 UNION SELECT candidate_id FROM so_far WHERE axis = 'saved'
+        UNION SELECT candidate_id FROM voted WHERE value = 'up' AND section = 'curated'),
+    against AS (SELECT candidate_id, id FROM voted WHERE value = 'down' AND section = 'curated'),
+    liked AS (SELECT candidate_id FROM so_far WHERE axis = 'saved' AND section = 'broad' UNION SELECT candidate_id FROM voted WHERE value = 'up' AND section = 'broad'),
+    disliked AS (SELECT candidate_id FROM voted WHERE value = 'down' AND section = 'broad')"""
+#: Of a candidate c, after _EXEMPLARS; null where nothing is liked.
+_TASTE = f"""(SELECT max({_DOT.format('c.vector', 'x.vector')}) FROM liked JOIN candidates x USING (candidate_id))
+    - coalesce((SELECT max({_DOT.format('c.vector', 'x.vector')}) FROM disliked JOIN candidates x USING (candidate_id)), 0)"""
 
 
 _SITE = r"""CASE WHEN len(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) >= 2
@@ -201,7 +235,10 @@ ORACLE_SQL = {
         FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0""",
     "knn_pool": _sql(_POOL + " SELECT candidate_id, round(sim, 5) AS sim FROM pool"),
     "similarity_floor": _sql(_MET + ", " + _BEST + f" SELECT candidate_id, round(best, 5) AS best FROM best WHERE best >= {FLOOR}"),
-    "negative_exemplars": _sql(f" SELECT u.candidate_id FROM {_nearest(1)} u JOIN {_nearest(2)} d USING (candidate_id) WHERE NOT d.s > u.s"),
+    "negative_exemplars": _sql(_EXEMPLARS + f""" SELECT candidate_id FROM (SELECT c.candidate_id, (SELECT max({_DOT.format('c.vector', 'x.vector')}) FROM kept k JOIN candidates x USING (candidate_id)) AS u,
+            (SELECT max({_DOT.format('c.vector', 'x.vector')}) FROM against k JOIN candidates x USING (candidate_id)) AS d
+        FROM candidates c WHERE candidate_id % 11 > 0 AND candidate_id NOT IN (SELECT candidate_id FROM so_far)) WHERE u IS NULL OR d IS NULL OR NOT d > u""", "log", "feedback"),
+    "rejected_stories": _sql(_EXEMPLARS + " SELECT candidate_id, url AS title, row_number() OVER (ORDER BY id DESC) AS place FROM against JOIN candidates USING (candidate_id)", "log", "feedback"),
     "assign_gate": _sql(_MET + f""" SELECT candidate_id, centroid, round(sim, 5) AS sim FROM (
         SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY sim DESC, centroid) AS n FROM met) WHERE n = 1 AND sim >= {GATE}"""),
     "nearest_sim_stats": _sql(_MET + ", " + _BEST + " SELECT round(min(best), 5) AS least, round(median(best), 5) AS middle, round(max(best), 5) AS most FROM best"),
@@ -233,7 +270,7 @@ ORACLE_SQL = {
         SELECT id AS candidate_id, place::BIGINT AS place FROM step"""),
     "diversity": f"""SELECT a.label, count(DISTINCT a.vec_id) AS n, round(1 - avg({_DOT.format('a.embedding', 'b.embedding')}) FILTER (a.vec_id <> b.vec_id), 5) AS diversity
         FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY a.label""",
-    "taste": _sql(f""" SELECT u.candidate_id, round(u.s - d.s, 5) AS taste FROM {_nearest(3, "AND c.source = 'searxng'")} u JOIN {_nearest(4, "AND c.source = 'searxng'")} d USING (candidate_id)"""),
+    "taste": _sql(_EXEMPLARS + f" SELECT candidate_id, round({_TASTE}, 5) AS taste FROM candidates c WHERE c.source = 'searxng'", "log", "feedback"),
     "interest_context": _sql(_MET + """ SELECT centroid, candidate_id, place FROM (SELECT centroid, candidate_id, row_number() OVER (PARTITION BY centroid ORDER BY sim DESC, candidate_id) AS place
         FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY sim DESC, centroid) AS n FROM met) WHERE n = 1) WHERE place <= 3"""),
 }

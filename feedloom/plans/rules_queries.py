@@ -9,7 +9,7 @@ from feedloom.functions import html, text, url
 from feedloom.operators import feedback as fb
 from feedloom.operators import latest, replies, selection, similarity
 from feedloom.plans.feedback_queries import _stats
-from feedloom.plans.ranking_queries import _candidates, _exemplars
+from feedloom.plans.ranking_queries import _candidates, exploring_taste
 from feedloom.sources.domain import AS_OF, read, view, with_views
 
 EPSILON, SLOTS = 0.2, 8
@@ -37,12 +37,14 @@ def choose_arm_draws(spark, sf_dir):
 
 
 def broad_picks(spark, sf_dir):
-    """Eight exploring slots: the best arm with stories left, by taste less the site's penalty among its newest 30."""
-    material = _candidates(spark, sf_dir).filter("source = 'searxng'").join(view(spark, sf_dir, "served").select("candidate_id"), "candidate_id", "left_anti")
+    """Eight exploring slots: the best arm with stories left, by taste less the site's penalty among its newest 30; links and served stories are out."""
+    links = _keyed(spark, sf_dir).filter("candidate_id % 11 = 0").select("url_key")
+    material = _keyed(spark, sf_dir).filter("source = 'searxng'").join(links, "url_key", "left_anti")
+    material = material.join(view(spark, sf_dir, "served").select("candidate_id"), "candidate_id", "left_anti")
     arms = fb.greedy_arms(_stats(spark, sf_dir)).select("topic", "rate")
-    taste = similarity.best_similarity(material, _exemplars(spark, sf_dir, 3)).select("candidate_id", F.round("best", 6).alias("taste"))
+    taste = exploring_taste(spark, sf_dir, material).select("candidate_id", F.round("taste", 6).alias("taste"))
     penalty = F.when(F.col("candidate_id") % 4 == 0, 0.3).otherwise(0.0)
-    options = material.join(arms, "topic").join(taste, "candidate_id")
+    options = material.join(arms, "topic").join(taste, "candidate_id", "left")
     options = options.select(F.lit(0).alias("tenant"), "candidate_id", "topic", "rate", "taste", penalty.alias("penalty"))
     return selection.fill_slots(options, SLOTS).select("slot", "candidate_id")
 
@@ -223,7 +225,7 @@ QUERIES = {
 }
 
 from feedloom.plans.feedback_queries import _ARMS, _VOTES  # noqa: E402
-from feedloom.plans.ranking_queries import _DOT, _PAIRS  # noqa: E402
+from feedloom.plans.ranking_queries import _EXEMPLARS, _PAIRS, _TASTE  # noqa: E402
 from feedloom.plans.text_queries import _DOMAIN, _KEY, _TITLE, _strip  # noqa: E402
 
 
@@ -249,9 +251,10 @@ ORACLE_SQL = {
             AND candidate_id NOT IN (SELECT candidate_id FROM served WHERE section = 'curated')"""),
     "choose_arm_draws": _more(_RANKED, f"""SELECT event_id AS id, topic FROM (SELECT event_id, event_id * 7919 % 1000 / 1000 AS u, event_id * 104729 % 1009 / 1009 AS v FROM events)
         JOIN arms ON (u < {EPSILON} AND place = CAST(floor(v * arms) AS BIGINT) + 1) OR (u >= {EPSILON} AND best = 1)"""),
-    "broad_picks": _more(_RANKED + f""", opts AS (SELECT c.candidate_id AS id, topic, rate, CASE WHEN c.candidate_id % 4 = 0 THEN 0.3 ELSE 0.0 END AS penalty,
-            round((SELECT max({_DOT.format('c.vector', 'x.vector')}) FROM candidates x WHERE x.candidate_id % 10 = 3), 6) AS taste
-            FROM candidates c JOIN arms USING (topic) WHERE c.source = 'searxng' AND c.candidate_id NOT IN (SELECT candidate_id FROM served)),
+    "broad_picks": _more(_RANKED + _EXEMPLARS + f""", opts AS (SELECT c.candidate_id AS id, topic, rate, CASE WHEN c.candidate_id % 4 = 0 THEN 0.3 ELSE 0.0 END AS penalty,
+            round({_TASTE}, 6) AS taste
+            FROM candidates c JOIN arms USING (topic) WHERE c.source = 'searxng' AND c.candidate_id NOT IN (SELECT candidate_id FROM served)
+                AND {_KEY.replace('url', 'c.url')} NOT IN (SELECT {_KEY} FROM candidates WHERE candidate_id % 11 = 0)),
         step AS (SELECT 0 AS slot, NULL::BIGINT AS id, []::BIGINT[] AS ids UNION ALL SELECT s.slot + 1, n.id, list_append(s.ids, n.id) FROM step s, LATERAL (
             SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY id DESC) AS r FROM opts WHERE NOT list_contains(s.ids, id))
             WHERE r <= 30 ORDER BY rate DESC, topic, taste - penalty DESC, id DESC LIMIT 1) n WHERE s.slot < {SLOTS})""",

@@ -160,3 +160,29 @@ def test_rows_without_vectors_and_empty_sets(spark):
     small = spark.createDataFrame([([0.0, 1.0],)], "their_vector array<double>")
     assert {tuple(r) for r in similarity.best_similarity(rows, small).collect()} == {(1, 0.0), (2, -1.0)}
     assert {tuple(r) for r in similarity.best_similarity(rows, small.limit(0)).collect()} == {(1, -1.0), (2, -1.0)}
+
+
+def votes(spark):
+    rows = [(1, 1, "interest", "down", "curated"), (2, 2, "interest", "down", "curated"), (3, 2, "interest", "up", "curated"), (4, 3, "interest", "down", "broad"), (5, 4, "saved", "saved", "broad"),
+            (6, 5, "interest", "up", "broad"), (7, 6, "interest", "down", "curated"), (8, 7, "saved", "saved", "curated"), (9, 1, "mood", "happy", "curated"), (10, 4, "interest", "down", "broad"), (11, 8, "interest", "down", "curated")]
+    log = spark.createDataFrame(rows, "id long, candidate_id long, axis string, value string, section string")
+    stories = spark.createDataFrame([(i, f"t{i}", None if i == 8 else [1.0, i / 10]) for i in range(1, 12)], "candidate_id long, title string, vector array<double>")
+    return log, stories
+
+
+def test_exemplars_come_from_votes(spark):
+    log, stories = votes(spark)
+    down = feedback.rejected(log, stories).orderBy(F.desc("id")).collect()
+    assert [(r.candidate_id, r.title) for r in down] == [(6, "t6"), (1, "t1")]  # the newest first; 8 has no vector, 2 was voted for since
+    links = stories.filter("candidate_id = 9")
+    assert {r.candidate_id for r in feedback.kept(log, links, stories).collect()} == {2, 4, 7, 9}
+    assert {(r.candidate_id, r.liked) for r in feedback.explore_taste(log, stories).collect()} == {(4, True), (4, False), (5, True), (3, False)}
+
+
+def test_exemplars_and_taste_of_empty_sets(spark):
+    _, stories = votes(spark)
+    rows, none = stories.filter("candidate_id < 4"), stories.limit(0).withColumnRenamed("vector", "their_vector")
+    some = stories.filter("candidate_id = 1").withColumnRenamed("vector", "their_vector")
+    assert similarity.negative_exemplars(rows, none, some).count() == 3 and similarity.negative_exemplars(rows, some, none).count() == 3
+    assert {r.taste for r in similarity.taste(rows, none, some).collect()} == {None}
+    assert all(r.taste > 0.9 for r in similarity.taste(rows, some, none).collect())
