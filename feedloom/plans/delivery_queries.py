@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import html, url
-from feedloom.operators import commands, outbox
+from feedloom.operators import commands, outbox, output
 from feedloom.operators.feedback import served_section
 from feedloom.sources import snapshots
 from feedloom.sources.domain import read, view, with_views
@@ -159,6 +159,31 @@ def stream_due_changes(spark, sf_dir):
     return changes.select("user_id", F.unix_millis("due").alias("due_ms"), "changes")
 
 
+def _items(spark, sf_dir) -> DataFrame:
+    """Served stories with what a reader shows of them; scores and reasons as verdicts give them, to one story in three."""
+    served = view(spark, sf_dir, "served").select("candidate_id", "cycle", "section", "rank")
+    rows = served.join(view(spark, sf_dir, "candidates").select("candidate_id", "url", "html", "topic", "source"), "candidate_id")
+    return rows.select(
+        "cycle", "rank", "section", "candidate_id", ((F.col("candidate_id") % 100) / 100).alias("score"), F.when(F.col("candidate_id") % 3 == 0, F.concat(F.lit("near "), "topic")).alias("reason"),
+        "source", "url", html.title(F.col("html")).alias("title"), F.substring("html", 1, 900).alias("snippet"), F.lit(None).cast("string").alias("published_at"), html.first_image(F.col("html")).alias("image_url"),
+        F.lit(None).cast("string").alias("description"),
+    )
+
+
+def feed_rows(spark, sf_dir):
+    """The newest cycle as a reader shows it, in its order."""
+    rows = output.rows(_items(spark, sf_dir))
+    return rows.select("rank", "section", "candidate_id", "source", "url", "title", F.md5("snippet").alias("snippet_md5"), "score", "reason", "discovered_at", "favicon", (F.length("summary") > 0).alias("summed"))
+
+
+def atom_feed(spark, sf_dir):
+    return output.atom(_items(spark, sf_dir), "https://app.example/", "2024-01-31T00:00:00Z")
+
+
+def digest_text(spark, sf_dir):
+    return output.digest(_items(spark, sf_dir), "https://app.example", "2024-01-31")
+
+
 #: What the log's events command.
 COMMANDS = {"purchase": "save", "signup": "promote", "click": "explore", "error": "unsave", "view": "archive"}
 
@@ -198,9 +223,9 @@ def commands_outbox(spark, sf_dir):
     return _commanded(spark, sf_dir).outbox
 
 
-QUERIES = {f.__name__: f for f in (commands_saves, commands_feedback, commands_links, commands_outbox, stream_first_events, stream_due_changes, outbox_rows, delivery_records, outbox_settled, model_change)}
+QUERIES = {f.__name__: f for f in (feed_rows, atom_feed, digest_text, commands_saves, commands_feedback, commands_links, commands_outbox, stream_first_events, stream_due_changes, outbox_rows, delivery_records, outbox_settled, model_change)}
 
-from feedloom.plans.text_queries import _KEY, _TITLE  # noqa: E402
+from feedloom.plans.text_queries import _KEY, _TITLE, _strip  # noqa: E402
 
 _TALKS = """(SELECT conv_id, '[' || string_agg('{"role":"' || role || '","content":' || CAST(to_json(text) AS VARCHAR) || ',"searches":[]}', ',' ORDER BY turn) || ']' AS discussion,
     string_agg(role || ':' || text, ';' ORDER BY turn) AS talk FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)"""
@@ -234,7 +259,30 @@ _TOLD = f""", keyed AS (SELECT candidate_id, {_KEY} AS url_key FROM candidates W
     stay AS (SELECT o.*, coalesce(now, 'curated') AS section FROM old o LEFT JOIN final USING (url_key) WHERE gone IS NULL),
     new AS (SELECT * FROM final WHERE now IS NOT NULL AND (gone IS NOT NULL OR url_key NOT IN (SELECT url_key FROM old UNION SELECT url_key FROM mirrored)))"""
 
+_SHOWN = f""", shown AS (SELECT s.rank, s.section, s.candidate_id, c.source, url, coalesce(nullif({_TITLE}, ''), url) AS title, {_strip("left(html, 900)")} AS snippet,
+        (s.candidate_id % 100) / 100 AS score, CASE WHEN s.candidate_id % 3 = 0 THEN 'near ' || topic ELSE '' END AS reason, cycle AS discovered_at,
+        'https://www.google.com/s2/favicons?domain=' || replace(split_part(regexp_replace(url, '^.*//', ''), '/', 1), 'www.', '') || '&sz=128' AS favicon,
+        CASE s.section WHEN 'curated' THEN 0 ELSE 1 END AS part
+    FROM served s JOIN candidates c ON c.candidate_id = s.candidate_id WHERE cycle = (SELECT max(cycle) FROM served))"""
+
+
+def _xml(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
 ORACLE_SQL = {
+    "feed_rows": _sql("SELECT 1", "served").removesuffix("SELECT 1").rstrip() + _SHOWN + """
+        SELECT rank, section, candidate_id, source, url, title, md5(snippet) AS snippet_md5, score, reason, discovered_at, favicon, snippet <> '' AS summed FROM shown""",
+    "atom_feed": _sql("SELECT 1", "served").removesuffix("SELECT 1").rstrip() + _SHOWN + f"""
+        SELECT '<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><id>urn:feedloom:discover</id><title>Personal Discover</title>'
+            || '<link href="https://app.example/feed.atom" rel="self"/><updated>2024-01-31T00:00:00Z</updated>' || coalesce(string_agg('<entry><id>' || {_xml('url')} || '</id><title>' || {_xml('title')}
+            || '</title><link href="' || {_xml('url')} || '"/><summary>' || {_xml("coalesce(nullif(reason, ''), snippet) || chr(10) || chr(10) || '— ' || source || printf(' (score %.2f)', score)")}
+            || '</summary></entry>', '' ORDER BY part, rank, candidate_id), '') || '</feed>' AS feed, count(*) AS n FROM shown""",
+    "digest_text": _sql("SELECT 1", "served").removesuffix("SELECT 1").rstrip() + _SHOWN + """
+        SELECT '# Your digest — 2024-01-31' || chr(10) || chr(10) || string_agg(CASE WHEN part = 1 AND coalesce(before, 0) = 0 THEN '# Beyond your bubble' || chr(10) || chr(10) ELSE '' END
+            || '## ' || (rank + 1) || '. [' || title || '](' || url || ')' || chr(10) || CASE reason WHEN '' THEN '' ELSE '> ' || reason || chr(10) END || '`' || source || printf('` · score %.2f', score)
+            || ' · [rate](https://app.example/ui#c' || candidate_id || ')' || chr(10), chr(10) ORDER BY part, rank, candidate_id) AS text, count(*) AS n
+        FROM (SELECT *, lag(part) OVER (ORDER BY part, rank, candidate_id) AS before FROM shown)""",
     "commands_saves": _sql("SELECT 1", "served").removesuffix("SELECT 1").rstrip() + _TOLD + """
         SELECT url_key, candidate_id, link_id, section, TIMESTAMP '2023-12-01' AS created_at FROM stay UNION ALL SELECT url_key, first_id, 0, now, first_at FROM new""",
     "commands_feedback": _sql("SELECT 1", "served").removesuffix("SELECT 1").rstrip() + _TOLD + """, votes AS (SELECT f.id + 1000000 AS id, candidate_id, url_key, axis, value, section, created_at
