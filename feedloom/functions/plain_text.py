@@ -15,6 +15,7 @@ from feedloom.functions.text import is_prose
 
 #: White space, and where lines end.
 SPACE = r"[\s\x1C-\x1F\x85\p{Z}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\x{2028}\x{2029}]"
 #: A heading's underline, list marks, marks that quoted lines repeat, lines of code, columns, boxes; how full a line is before it wraps.
 RULE = rf"^{SPACE}*([-=~_*#])\1{{2,}}{SPACE}*$"
@@ -48,7 +49,7 @@ def without_tabs(line: Column) -> Column:
 
 
 def _bare(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def _matched(x: Column, pattern: str) -> Column:
@@ -57,29 +58,33 @@ def _matched(x: Column, pattern: str) -> Column:
 
 
 def _looked_at(line: Column) -> Column:
-    quote = _matched(line, QUOTE)
-    rest = F.when(quote.isNotNull(), F.substring(line, F.length(quote) + 1, F.length(line))).otherwise(F.regexp_replace(line, rf"^{SPACE}+", ""))
-    start = F.coalesce(quote, _matched(line, BULLET))
-    indent = F.length(line) - F.length(F.regexp_replace(line, rf"^{SPACE}+", ""))
-    return F.struct(
-        line.alias("line"),
-        (line == "").alias("blank"),
-        F.rlike(line, F.lit(RULE)).alias("rule"),
-        _bare(quote).alias("mark"),
-        F.rlike(rest, F.lit(BULLET)).alias("bullet"),
-        indent.alias("indent"),
-        F.coalesce(F.length(start), indent).alias("hang"),
-        _bare(rest).alias("rest"),
-        F.length(F.regexp_extract(rest, rf"^{SPACE}*([^\s\x1C-\x1F\x85\p{{Z}}]*)", 1)).alias("first"),
-    )
+    def with_quote(quote: Column) -> Column:
+        rest = F.when(quote.isNotNull(), F.substring(line, F.length(quote) + 1, F.length(line))).otherwise(F.ltrim(line, F.lit(SPACES)))
+        return once(rest, lambda r: looked(quote, r))
+
+    def looked(quote: Column, rest: Column) -> Column:
+        indent = F.length(F.regexp_extract(line, rf"^{SPACE}*", 0))
+        return F.struct(
+            line.alias("line"),
+            F.length(line).alias("n"),
+            (line == "").alias("blank"),
+            F.rlike(line, F.lit(RULE)).alias("rule"),
+            _bare(quote).alias("mark"),
+            F.rlike(rest, F.lit(BULLET)).alias("bullet"),
+            indent.alias("indent"),
+            F.coalesce(F.length(F.coalesce(quote, _matched(line, BULLET))), indent).alias("hang"),
+            F.when(quote.isNull(), rest).otherwise(_bare(rest)).alias("rest"),
+            F.length(F.regexp_extract(rest, rf"^{SPACE}*([^\s\x1C-\x1F\x85\p{{Z}}]*)", 1)).alias("first"),
+        )
+
+    return once(_matched(line, QUOTE), with_quote)
 
 
 def paragraphs(text: Column) -> Column:
     """An array of kind, hang, body: paragraphs, list items and headings as `text`, underlines as `rule`, and one `blank` for blank lines between them.
 
     hang is the column where the lines start into which the body wraps. Null and blank texts give an empty array."""
-    lines = F.transform(text_lines(text), lambda x: without_tabs(F.regexp_replace(x, rf"{SPACE}+$", "")))
-    looked = F.transform(lines, lambda x: _looked_at(F.regexp_replace(x, rf"{SPACE}+$", "")))
+    looked = F.transform(text_lines(text), lambda x: once(without_tabs(F.rtrim(x, F.lit(SPACES))), _looked_at))
     return once(looked, _with_width)
 
 
@@ -89,7 +94,7 @@ def once(value: Column, then) -> Column:
 
 
 def _with_width(looked: Column) -> Column:
-    lengths = F.sort_array(F.filter(F.transform(looked, lambda x: F.length(x["line"])), lambda n: n > 0))
+    lengths = F.sort_array(F.filter(F.transform(looked, lambda x: x["n"]), lambda n: n > 0))
     width = F.coalesce(F.get(lengths, (F.size(lengths) * 9 / 10).cast("int")), F.lit(0))
     last = F.array_max(F.transform(looked, lambda x, i: F.when(~x["blank"], i).otherwise(-1)))
     return once(F.struct(width.alias("width"), last.alias("last")), lambda m: _spans(looked, m["width"], m["last"]))
@@ -103,7 +108,7 @@ def _spans(looked: Column, width: Column, last: Column) -> Column:
         same = F.when(x["mark"].isNotNull() & before["mark"].isNotNull(), x["mark"] == before["mark"]).otherwise(
             x["mark"].isNull() & before["mark"].isNull() & (x["indent"] == before["hang"])
         )
-        wrapped = (F.length(before["line"]) + 1 + x["first"]) * 100 > width * FULL_PERCENT
+        wrapped = (before["n"] + 1 + x["first"]) * 100 > width * FULL_PERCENT
         underlined = F.coalesce(after["rule"], F.lit(False))
         goes_on = F.coalesce(is_open & same & wrapped & (x["first"] > 0) & ~underlined & ~x["bullet"], F.lit(False))
         between = (i > 0) & (i < last) & ~F.coalesce(before["blank"], F.lit(True))

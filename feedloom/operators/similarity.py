@@ -7,10 +7,12 @@ counts leaves the task: the best of a row, the nearest of a centroid.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +21,8 @@ from feedloom.functions.vector import unit
 
 #: Vectors of a block; a set of up to so many bytes goes out whole, a larger one meets the rows' blocks in a shuffle.
 BLOCK, BROADCAST_BYTES = 4_096, 64 << 20
+#: Interests of a profile.
+LEAST_CLUSTERS, MOST_CLUSTERS = 8, 32
 
 
 def packed(rows: DataFrame, key: str, vector: str, prefix: str = "") -> DataFrame:
@@ -91,6 +95,31 @@ def label_means(vectors: DataFrame, label: str = "label", vector: str = "vector"
     return means.select(label, unit(F.transform("v", lambda p: p["m"])).alias("their_vector"))
 
 
+def cluster_count(points: int, fixed: int | None = None) -> int:
+    """Interests of so many kept pages: about the root of half their number, 8 to 32, or a fixed number; never more than pages."""
+    return max(1, min(fixed or min(MOST_CLUSTERS, max(LEAST_CLUSTERS, round(math.sqrt(points / 2)))), points))
+
+
+def profile(pages: DataFrame, fixed: int | None = None, vector: str = "their_vector", dim: int | None = None) -> DataFrame:
+    """centroid, n, their_vector: the interests of kept pages as unit centroids of k-means; no rows without pages.
+
+    Pages whose vector is null, holds what is no number, or has another length than `dim` (a former model's) are left out."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    doubles = pages.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v IS NOT NULL")
+    fit = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)))
+    rows = doubles.filter(fit if dim is None else fit & (F.size("v") == dim)).select(array_to_vector("v").alias("features"))
+    points = rows.count()
+    if not points:
+        return pages.sparkSession.createDataFrame([], "centroid long, n long, their_vector array<double>")
+    model = KMeans(k=cluster_count(points, fixed), seed=0, maxIter=20).fit(rows)
+    grouped = model.transform(rows).groupBy(F.col("prediction").cast("long").alias("centroid")).agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("features")).alias("mean")
+    )
+    return grouped.select("centroid", "n", unit(vector_to_array("mean")).alias("their_vector"))
+
+
 def knn_pool(candidates: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     """candidate_id, sim: exact top k of each centroid, positive similarities scaled by the centroid's weight,
     then a candidate's best. Exclusions come later, as the pool is of all candidates."""

@@ -172,6 +172,18 @@ def interest_context(spark, sf_dir):
     return owned.withColumn("place", n.cast("long")).filter("place <= 3").select("centroid", "candidate_id", "place")
 
 
+def profile_pool(spark, sf_dir):
+    """The pool of stories without feedback so far, by the interests that the kept pages make, weighed by their feedback."""
+    fresh, kept, _ = _exemplars(spark, sf_dir)
+    centroids = similarity.profile(kept, dim=64)
+    log, opens = _early(spark, sf_dir), view(spark, sf_dir, "opens").filter(F.col("created_at") < F.lit(EARLY).cast("timestamp_ntz"))
+    ratings = view(spark, sf_dir, "ratings").filter(F.col("created_at") < F.lit(EARLY).cast("timestamp_ntz"))
+    near = similarity.assign(_candidates(spark, sf_dir), centroids, GATE)
+    weights = feedback.centroid_weights(feedback.signals(log, opens, ratings), near, centroids, F.lit(EARLY).cast("timestamp_ntz"))
+    pool = similarity.knn_pool(fresh, centroids.join(weights, "centroid"), K)
+    return pool.select("candidate_id", F.round("sim", 5).alias("sim"))
+
+
 def kmeans_profile(spark, sf_dir):
     """Clusters of the vectors, by size: their number follows the number of points, 8 to 32 and no more than those."""
     from pyspark.ml.clustering import KMeans
@@ -188,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_norms, pairwise_cosine, knn_pool, similarity_floor, negative_exemplars, rejected_stories, assign_gate, nearest_sim_stats, shortlist, minmax_relevance,
-        penalised_relevance, stale_filter, source_partition, neighbour_pairs, indexed_neighbours, fresh_pairs, duplicate_groups, mmr, diversity, taste, interest_context, kmeans_profile,
+        penalised_relevance, stale_filter, source_partition, neighbour_pairs, indexed_neighbours, fresh_pairs, duplicate_groups, mmr, diversity, taste, interest_context, profile_pool, kmeans_profile,
     )
 }
 

@@ -186,3 +186,17 @@ def test_exemplars_and_taste_of_empty_sets(spark):
     assert similarity.negative_exemplars(rows, none, some).count() == 3 and similarity.negative_exemplars(rows, some, none).count() == 3
     assert {r.taste for r in similarity.taste(rows, none, some).collect()} == {None}
     assert all(r.taste > 0.9 for r in similarity.taste(rows, some, none).collect())
+
+
+@pytest.mark.parametrize(("points", "want"), [(3, 3), (40, 8), (726, 19), (10_000, 32), (1, 1)])
+def test_number_of_interests(points, want):
+    assert similarity.cluster_count(points) == want and similarity.cluster_count(points, 5) == min(5, points)
+
+
+def test_profile_is_of_unit_centroids(spark):
+    rows = [([1.0, 0.1 * (i % 2)],) for i in range(10)] + [([0.0, 2.0 + i],) for i in range(5)] + [(None,), ([float("nan"), 1.0],), ([1.0],)]
+    pages = spark.createDataFrame(rows, "their_vector array<double>")
+    got = similarity.profile(pages, 2, dim=2).collect()
+    assert sorted(r.n for r in got) == [5, 10] and all(abs(sum(x * x for x in r.their_vector) - 1) < 1e-9 for r in got)
+    assert max(r.their_vector[1] for r in got) == pytest.approx(1.0)
+    assert similarity.profile(pages.limit(0), dim=2).collect() == [] and similarity.profile(pages, dim=7).collect() == []
