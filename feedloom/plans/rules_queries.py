@@ -49,6 +49,19 @@ def broad_picks(spark, sf_dir):
     return selection.fill_slots(options, SLOTS).select("slot", "candidate_id")
 
 
+def broad_picks_by_user(spark, sf_dir):
+    """Four exploring slots for every user, with chance: arms by all feedback, penalties by site, stories that the user has no feedback on."""
+    material = _candidates(spark, sf_dir).filter("source = 'searxng'").select("candidate_id", "topic")
+    arms = fb.greedy_arms(_stats(spark, sf_dir)).select("topic", "rate")
+    taste = exploring_taste(spark, sf_dir, _candidates(spark, sf_dir).filter("source = 'searxng'"))
+    scored = material.join(arms, "topic").join(taste, "candidate_id", "left").withColumn("penalty", F.when(F.col("candidate_id") % 4 == 0, 0.3).otherwise(0.0))
+    log = view(spark, sf_dir, "log").select("user_id", "candidate_id")
+    # the topics that a user has met are those that they have selected
+    selected = log.join(_candidates(spark, sf_dir).select("candidate_id", "topic"), "candidate_id").select("user_id", "topic").distinct()
+    options = selected.join(scored, "topic").join(log.distinct(), ["user_id", "candidate_id"], "left_anti")
+    return selection.fill_slots(options, 4, "user_id", EPSILON, 7).select("user_id", "slot", "candidate_id")
+
+
 def served_stories(spark, sf_dir):
     return selection.served_stories(view(spark, sf_dir, "served"), view(spark, sf_dir, "candidates"), 64).select("candidate_id")
 
@@ -218,7 +231,7 @@ def cut_replies(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        eligible_stories, choose_arm_draws, broad_picks, served_stories, same_story_groups, article_verdicts, story_lookup, title_order, newest_saves,
+        eligible_stories, choose_arm_draws, broad_picks, broad_picks_by_user, served_stories, same_story_groups, article_verdicts, story_lookup, title_order, newest_saves,
         stage_status, recent_arm_stats, reset_vectors, outbox_backfill, holds_to_archive, reply_scores, safe_urls, readable_gate, page_dates,
         translation_chunks, pasted_urls, search_top, bookmark_walk, fetch_domains, cut_replies,
     )

@@ -200,3 +200,24 @@ def test_profile_is_of_unit_centroids(spark):
     assert sorted(r.n for r in got) == [5, 10] and all(abs(sum(x * x for x in r.their_vector) - 1) < 1e-9 for r in got)
     assert max(r.their_vector[1] for r in got) == pytest.approx(1.0)
     assert similarity.profile(pages.limit(0), dim=2).collect() == [] and similarity.profile(pages, dim=7).collect() == []
+
+
+def test_slots_with_chance_equal_a_walk(spark):
+    from feedloom.operators.selection import NEWEST, fill_slots, keyed_draw
+
+    rows = [(g, i, f"t{i % 5}", (i % 5) / 5, None if g == 2 else (i * 7 % 11) / 11, (i % 3) / 10) for g in (1, 2, 3) for i in range(60)]
+    options = spark.createDataFrame(rows, "tenant long, candidate_id long, topic string, rate double, taste double, penalty double")
+    got = {(r.tenant, r.slot): r.candidate_id for r in fill_slots(options, 20, epsilon=0.4, seed=3).collect()}
+    chance = 0
+    for g in (1, 2, 3):
+        left = {r[1]: r for r in rows if r[0] == g}
+        for slot in range(20):
+            arms = sorted({r[2] for r in left.values()})
+            any_arm, which, no_taste = (keyed_draw(3, g, slot, k) for k in range(3))
+            arm = arms[int(which * len(arms))] if any_arm < 0.4 else min(arms, key=lambda t: (-max(r[3] for r in left.values() if r[2] == t), t))
+            chance += any_arm < 0.4
+            own = sorted((r for r in left.values() if r[2] == arm), key=lambda r: -r[1])
+            pick = max(own[:NEWEST], key=lambda r: r[4] - r[5]) if g != 2 and no_taste >= 0.4 else min(own, key=lambda r: r[5])
+            assert got[g, slot] == pick[1]
+            del left[pick[1]]
+    assert 10 < chance < 40 and len(got) == 60
