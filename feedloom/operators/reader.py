@@ -108,7 +108,7 @@ def scored_blocks(pages: DataFrame) -> DataFrame:
     goes = F.col("around") - F.col("outer") > 0
     blocks = numbered.groupBy("page", "block").agg(
         F.min(F.struct("i", "name", "step", "tok", "list", "list_kind", "figure", "in_figure", "a", "href")).alias("head"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", piece.alias("p")))), lambda x: x["p"]), "").alias("raw"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", piece.alias("p")))), lambda x: x["p"]), "").alias("raw"),
         F.sum(words).alias("words"),
         F.sum(F.when(F.col("a") > 0, words).otherwise(0)).alias("linked"),
         F.max(goes).alias("goes"),
@@ -126,10 +126,13 @@ def scored_blocks(pages: DataFrame) -> DataFrame:
 
 def balanced(body: Column) -> Column:
     """Inline marks that close what they open stay; of others all of the block go. Marks of line ends become <br>."""
+    given = body
     for mark in sorted(set(INLINE.values())):
         uneven = F.regexp_count(body, F.lit(f"<{mark}>")) != F.regexp_count(body, F.lit(f"</{mark}>"))
-        early = F.rlike(body, F.lit(f"(?s)^(?:(?!<{mark}>).)*</{mark}>"))
+        opened, closed = F.instr(body, f"<{mark}>"), F.instr(body, f"</{mark}>")
+        early = (closed > 0) & ((opened == 0) | (closed < opened))
         body = F.when(uneven | early, F.regexp_replace(body, f"</?{mark}>", "")).otherwise(F.regexp_replace(body, rf"<{mark}>(\s*)</{mark}>", "$1"))
+    body = F.when(F.contains(given, F.lit("<")), body).otherwise(given)  # most blocks have no marks
     return F.regexp_replace(body, f"(?:\\s*{BREAK}\\s*)+", "<br>")
 
 
@@ -196,7 +199,7 @@ def reader_blocks(pages: DataFrame, title: str | None = None) -> DataFrame:
     # items of one list are one block, at the place of its first
     item = F.col("tag") == "li"
     parts = made.groupBy("page", F.when(item, -F.col("list")).otherwise(F.col("block")).alias("part")).agg(
-        F.min(F.struct("block", "tag", "kind", "title", F.lower(F.trim("said")).alias("said"))).alias("head"), F.array_sort(F.collect_list(F.struct("block", "body"))).alias("all")
+        F.min(F.struct("block", "tag", "kind", "title", F.lower(F.trim("said")).alias("said"))).alias("head"), F.sort_array(F.collect_list(F.struct("block", "body"))).alias("all")
     )
     tag = F.when(F.col("head.tag") == "li", F.col("head.kind")).otherwise(F.col("head.tag"))
     items = F.array_join(F.transform("all", lambda x: F.concat(F.lit("<li>"), x["body"], F.lit("</li>"))), "")
