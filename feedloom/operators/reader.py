@@ -191,11 +191,12 @@ def reader_blocks(pages: DataFrame, title: str | None = None) -> DataFrame:
     said = F.when(image, "").otherwise(decode(F.regexp_replace(_flat(F.col("raw")), "<[^>]*>", "")))
     made = blocks.select("page", "block", "title", outer.alias("tag"), body.alias("body"), said.alias("said"), F.col("head.list").alias("list"), F.coalesce("head.list_kind", F.lit("ul")).alias("kind"))
     # enough sentences in all that is said, or the page has no article
-    whole = W.partitionBy("page")
-    length, ends = F.sum(F.length("said") + 1).over(whole), F.sum(F.regexp_count("said", F.lit(SENTENCE_END))).over(whole)
-    words = F.sum(F.regexp_count("said", F.lit(r"\S+"))).over(whole)
-    made = made.filter("body <> ''").withColumns({"length": length - 1, "ends": ends, "all_words": words})
-    made = made.filter((F.col("length") >= LEAST_CHARS) & (F.col("ends") >= LEAST_SENTENCES) & (F.col("all_words") <= MOST_WORDS * F.col("ends")))
+    whole, some = W.partitionBy("page"), F.col("body") != ""
+    length, ends = F.sum(F.when(some, F.length("said") + 1)).over(whole), F.sum(F.when(some, F.regexp_count("said", F.lit(SENTENCE_END)))).over(whole)
+    words = F.sum(F.when(some, F.regexp_count("said", F.lit(r"\S+")))).over(whole)
+    made = made.withColumns({"length": length - 1, "ends": ends, "all_words": words})
+    # only here are empty blocks left out: before the window, the condition would have bodies made twice
+    made = made.filter(some & (F.col("length") >= LEAST_CHARS) & (F.col("ends") >= LEAST_SENTENCES) & (F.col("all_words") <= MOST_WORDS * F.col("ends")))
     # items of one list are one block, at the place of its first
     item = F.col("tag") == "li"
     parts = made.groupBy("page", F.when(item, -F.col("list")).otherwise(F.col("block")).alias("part")).agg(
