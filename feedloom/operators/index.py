@@ -80,7 +80,7 @@ class ListIndex:
                 return schema.empty_table()
             a, b = (np.asarray(t.column("key")) for t in (left, right))
             x, y = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (left, right))
-            return pa.Table.from_arrays([pa.array(c) for c in choose(a, b, x @ y.T)], schema=schema)
+            return pa.Table.from_arrays([pa.array(c) for c in choose(a, b, x, y)], schema=schema)
 
         where = ["list", "part", "group"]
         met = theirs.groupBy(*where).cogroup(mine.groupBy(*where)).applyInArrow(run, "query long, other long, sim double")

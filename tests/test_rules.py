@@ -221,3 +221,21 @@ def test_slots_with_chance_equal_a_walk(spark):
             assert got[g, slot] == pick[1]
             del left[pick[1]]
     assert 10 < chance < 40 and len(got) == 60
+
+
+def test_large_sets_meet_in_stripes_without_a_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal((2_200, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] = v[3]  # equal vectors: the least key first
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "candidate_id long, vector array<double>")
+    sims = v @ v.T
+    np.fill_diagonal(sims, -1)
+    want = {(min(i, int(j)), max(i, int(j))) for i in range(len(v)) for j in np.lexsort((np.arange(len(v)), -np.round(sims[i], 12)))[:3] if sims[i, j] >= 0.3}
+    monkeypatch.setattr(similarity, "BLOCK", 500)
+    monkeypatch.setattr(similarity, "STRIPE", 900, raising=False)
+    pairs = similarity.neighbour_pairs(rows, 0.3)
+    assert "BroadcastNestedLoopJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+    best = similarity.best_similarity(rows, rows.filter("candidate_id % 2 = 1").withColumnRenamed("vector", "their_vector"))
+    assert all(abs(r.best - (v[r.candidate_id] @ v[1::2].T).max()) < 1e-9 for r in best.collect())
