@@ -239,3 +239,17 @@ def test_large_sets_meet_in_stripes_without_a_broadcast(spark, monkeypatch):
     assert {(r.a, r.b) for r in pairs.collect()} == want
     best = similarity.best_similarity(rows, rows.filter("candidate_id % 2 = 1").withColumnRenamed("vector", "their_vector"))
     assert all(abs(r.best - (v[r.candidate_id] @ v[1::2].T).max()) < 1e-9 for r in best.collect())
+
+
+@pytest.mark.parametrize("liked", [True, False])
+def test_slots_by_place_equal_those_of_all_options(spark, liked):
+    from feedloom.operators.selection import fill_slots, fill_slots_by_place
+
+    stories = [(i, f"t{i % 5}", (i % 5) / 5, (i * 7 % 31) / 31 if liked else None, (i % 3) / 10) for i in range(300)] + [(400 + i, "few", 0.9, 0.1 if liked else None, 0.0) for i in range(2)]
+    material = spark.createDataFrame(stories, "candidate_id long, topic string, rate double, taste double, penalty double")
+    selected = spark.createDataFrame([(u, t) for u in range(20) for t in ("t0", "t1", "t3", "few") if (u + len(t)) % 4], "user_id long, topic string")
+    seen = spark.createDataFrame([(u, i) for u in range(20) for i in range(0, 402, 1 + u % 3) if i % 5 == u % 5 or i == 400], "user_id long, candidate_id long")
+    options = selected.join(material, "topic").join(seen, ["user_id", "candidate_id"], "left_anti")
+    want = {tuple(r) for r in fill_slots(options, 6, "user_id", 0.3, 5).select("user_id", "slot", "candidate_id").collect()}
+    got = {tuple(r) for r in fill_slots_by_place(selected, material, seen, 6, "user_id", 0.3, 5).select("user_id", "slot", "candidate_id").collect()}
+    assert got == want and len(got) > 80
