@@ -20,9 +20,18 @@ from feedloom.streaming.events import run_once
 NOW = 1_706_745_600.0
 
 
+def _said(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """The log with the conversation that a purchase is about."""
+    return view(spark, sf_dir, "log").withColumn("conv_id", F.when(F.col("event_type") == "purchase", F.col("id") % 60))
+
+
 def _talks(spark, sf_dir) -> DataFrame:
-    """Conversations as the JSON of a discussion."""
-    said = read(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
+    """Conversations that the log is about as the JSON of a discussion."""
+    said = _said(spark, sf_dir).join(_asked(spark, sf_dir).select("conv_id").distinct(), "conv_id", "left_semi")
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     search = F.array().cast("array<struct<query: string, results: array<struct<title: string, url: string>>>>")
     turn = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"), search.alias("searches")))
@@ -30,10 +39,12 @@ def _talks(spark, sf_dir) -> DataFrame:
 
 
 def _commands(spark, sf_dir) -> DataFrame:
-    """Commands out of the log: errors delete, purchases are saves with a discussion, signups are highlights, sent ten minutes later."""
-    log = view(spark, sf_dir, "log").withColumn("conv_id", F.when(F.col("event_type") == "purchase", F.col("id") % 60))
+    """Commands out of the log: errors delete, purchases are saves with a discussion, signups are highlights, sent ten minutes later.
+
+    A discussion is the number of its conversation here: its text, which many commands share, is joined once they are folded."""
+    held = _said(spark, sf_dir).select("conv_id", F.col("conv_id").cast("string").alias("discussion")).distinct()
     at = F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6
-    return log.join(_talks(spark, sf_dir), "conv_id", "left").select(
+    return _asked(spark, sf_dir).join(held, "conv_id", "left").select(
         "id",
         (F.col("candidate_id") - 3).alias("link_id"),
         F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"),
@@ -44,16 +55,23 @@ def _commands(spark, sf_dir) -> DataFrame:
     )
 
 
-def _rows(spark, sf_dir) -> DataFrame:
-    """The outbox after all commands, of which the first 500 have been folded in before."""
+def _folded(spark, sf_dir) -> DataFrame:
+    """The outbox after all commands, of which the first 500 have been folded in before, with numbers for discussions."""
     rows = _commands(spark, sf_dir)
     first = outbox.queued(spark.createDataFrame([], outbox.ROW), rows.filter("id < 500"))
     return outbox.queued(first, rows.filter("id >= 500"))
 
 
+def _told(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    """rows with the texts of discussions in the place of their numbers."""
+    talks = _talks(spark, sf_dir).select(F.col("conv_id").cast("string").alias("number"), F.col("discussion").alias("talk"))
+    return rows.join(talks, F.col("discussion") == F.col("number"), "left").withColumn("discussion", F.col("talk")).drop("number", "talk")
+
+
 def outbox_rows(spark, sf_dir):
     """The outbox that the whole log of commands leaves, folded in two goes."""
-    return _rows(spark, sf_dir).select("link_id", "op", F.md5("discussion").alias("talk_md5"), "updated_at", F.floor("due_at").alias("due_s"), "attempts", "state", "version")
+    rows = _told(spark, sf_dir, _folded(spark, sf_dir))
+    return rows.select("link_id", "op", F.md5("discussion").alias("talk_md5"), "updated_at", F.floor("due_at").alias("due_s"), "attempts", "state", "version")
 
 
 def delivery_records(spark, sf_dir):
@@ -70,7 +88,7 @@ def delivery_records(spark, sf_dir):
         F.floor("value").cast("int").alias("start"), (F.floor("value") + F.col("id") % 9).cast("int").alias("end"), F.col("event_type").alias("quote"), F.lit("").alias("prefix"), F.lit(" x").alias("suffix"),
     )
     votes = feedback.filter("axis = 'interest'").join(candidates.select("candidate_id", "url_key"), "candidate_id").select("url_key", "id", "value")
-    sent = outbox.records(_rows(spark, sf_dir), saves, candidates, articles, marks, votes)
+    sent = outbox.records(_told(spark, sf_dir, _folded(spark, sf_dir)), saves, candidates, articles, marks, votes)
     r = F.col("record")
     marked = F.array_join(F.transform(r["highlights"], lambda m: F.concat_ws("|", *(m[c].cast("string") for c in ("variant", *outbox.MARK)))), ";")
     talk = F.array_join(F.transform(r["discussion"], lambda t: F.concat(t["role"], F.lit(":"), t["content"])), ";")
@@ -83,10 +101,10 @@ def delivery_records(spark, sf_dir):
 
 def outbox_settled(spark, sf_dir):
     """The outbox after an answer to two rows in three; of one in five the row has changed meanwhile."""
-    rows = _rows(spark, sf_dir)
+    rows = _folded(spark, sf_dir)
     status = F.element_at(F.array(*map(F.lit, (204, 404, 429, 503, 0, 200))), (F.col("link_id") % 6 + 1).cast("int"))
     answers = rows.filter("link_id % 3 > 0").select("link_id", (F.col("version") - (F.col("link_id") % 5 == 0).cast("long")).alias("version"), "attempts", status.alias("status"), F.lit(None).cast("string").alias("error"))
-    out = outbox.settled(rows, answers, NOW)
+    out = _told(spark, sf_dir, outbox.settled(rows, answers, NOW))
     return out.select("link_id", "op", F.md5("discussion").alias("talk_md5"), F.floor("due_at").alias("due_s"), "attempts", "last_error", "state", "version")
 
 

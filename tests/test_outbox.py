@@ -148,3 +148,12 @@ def test_delivery_as_a_stream(spark, tmp_path):
     for _ in range(2):
         run_once(stream, outbox.delivery(kept, lambda op, link, record: (204 if (op == "put") == (record is not None) else 400, None)), str(tmp_path / "check"))
     assert outbox.settled(rows, outbox.answers(spark, kept), 0.0).count() == 0
+
+
+def test_commands_are_folded_without_the_texts_of_discussions(spark):
+    from feedloom.plans import delivery_queries
+
+    data = "/root/testdata/sf0.001"
+    assert delivery_queries._commands(spark, data).agg(F.max(F.length("discussion"))).first()[0] <= 2
+    talks = delivery_queries.outbox_rows(spark, data).filter("talk_md5 IS NOT NULL")
+    assert 0 < talks.select("talk_md5").distinct().count() <= 60
