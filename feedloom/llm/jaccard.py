@@ -13,8 +13,9 @@ blocks. For components alone there is a quick path. Every class goes to two of i
 buckets, those whose shingles have the least of two hashes: near copies mostly choose
 alike. There classes are dealt to blocks, whose prefixes are compared at once, and so
 are the whole sets of those that may have a partner in their block. After the components of these links, a bucket in one component needs
-nothing more; in others all members outside the bucket's largest component meet all
-other members, in salted blocks, and pairs in one component drop out. No pair that
+nothing more; in others the members outside the bucket's largest component first meet a few
+other members each, which joins most of what links to a large component. Then those that are still
+outside meet all other members, in salted blocks, and pairs in one component drop out. No pair that
 could join two components is left out. The pairs that remain are checked first on
 prefixes, whose common shingles bound those of the sets, and then on whole sets.
 
@@ -48,6 +49,8 @@ CHOICES, CLASSES, SHINGLES = 2, 64, 500_000
 BLOCK = 256
 #: Entries of a bucket of several components that those outside the largest meet in one task.
 REST_BLOCK = 4_096
+#: Entries of a larger bucket of several components that those outside the largest meet first, and in how many buckets.
+TRIED, TRIES = 128, 4
 #: Counts below this don't move a shingle to the end; at most so many shingles are moved.
 REPEATS, MOVED = 8, 250_000
 #: Sets are fetched by a broadcast list of the places that want them up to this length (about 60 bytes each), beyond it by a shuffle.
@@ -310,6 +313,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root after further edges a, b: only the roots that these join are connected anew."""
+    one, two = (labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab")
+    ends = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = connected_components(ends.filter("a <> b").distinct())
+    moved = moved.select(F.col("node").alias("was"), F.col("root").alias("now"))
+    known = labels.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    new = moved.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    return known.unionByName(new)
+
+
 def _can_reach(percent: int, n: Column, m: Column, i: Column, j: Column) -> Column:
     """Whether sets of n and m shingles, the first they share at places i and j, can be similar enough."""
     most = F.lit(1) + F.least(n - i - 1, m - j - 1)
@@ -412,20 +426,21 @@ class JaccardJoin:
         met = x.join(y, ["key", "i", "j"]).filter(once & fits)
         return self._small().unionByName(met.select(F.least("cls", "its").alias("a"), F.greatest("cls", "its").alias("b"))).distinct()
 
-    def _rest(self, labels: DataFrame) -> DataFrame:
-        """a, b: pairs of different components in a bucket, one side outside the bucket's largest component."""
+    def _split(self, labels: DataFrame) -> DataFrame:
+        """key, cls, n, pos, root, most (the bucket's largest component), entries: the buckets of several components."""
         roots = labels.select(F.col("node").alias("cls"), "root")
         large = self._members(1).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         shares = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
         largest = shares.groupBy("key").agg(
             F.max(F.struct("k", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("k").alias("entries")
         )
-        split = materialize(large.join(largest.filter("roots > 1"), "key"), "jaccard-split")
-        parts = F.ceil(F.col("entries") / REST_BLOCK).cast("int")
-        few = split.filter("root <> most").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "cls", "n", "pos", "root")
+        return materialize(large.join(largest.filter("roots > 1"), "key"), "jaccard-split")
+
+    def _met(self, few: DataFrame, split: DataFrame, block: int) -> DataFrame:
+        """a, b: few (key, part, cls, n, pos, root) with the members of other components in their part of the bucket, of about `block` entries."""
         all_ = split.select(
             F.col("key").alias("key2"),
-            F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part2"),
+            F.pmod(F.xxhash64("cls"), F.ceil(F.col("entries") / block).cast("int")).cast("int").alias("part2"),
             F.col("cls").alias("other"),
             F.col("n").alias("m"),
             F.col("pos").alias("at"),
@@ -435,6 +450,25 @@ class JaccardJoin:
         met = few.join(all_, (few["key"] == all_["key2"]) & (few["part"] == all_["part2"]) & (F.col("root") != F.col("root2")) & fits)
         return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
+    def _tries(self, split: DataFrame) -> DataFrame:
+        """a, b: for each class outside its buckets' largest components a few others of buckets that are too large to meet it whole.
+
+        What links is found by few of a large component's members, and then needs no pair with the others."""
+        large = split.filter(F.col("entries") > TRIED)
+        # the earlier the place, the more partners the bounds let through; a class has as many entries as its prefix
+        entry = F.struct("pos", F.xxhash64("key", "cls").alias("h"), "key", "n", "root", "entries")
+        outside = large.filter("root <> most").groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, TRIES).alias("all"))
+        outside = outside.select("cls", F.explode("all").alias("x"))
+        part = F.pmod(F.col("x.h"), F.ceil(F.col("x.entries") / TRIED).cast("int")).cast("int")
+        return self._met(outside.select("x.key", part.alias("part"), "cls", "x.n", "x.pos", "x.root"), large, TRIED)
+
+    def _rest(self, labels: DataFrame, split: DataFrame | None = None) -> DataFrame:
+        """a, b: pairs of different components in a bucket, one side outside the bucket's largest component."""
+        split = self._split(labels) if split is None else split
+        parts = F.ceil(F.col("entries") / REST_BLOCK).cast("int")
+        few = split.filter("root <> most").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "cls", "n", "pos", "root")
+        return self._met(few, split, REST_BLOCK)
+
     def _sent(self, homes: DataFrame) -> DataFrame:
         """home, cls, n, shingles: the whole sets of homes' classes, at their homes, from cls, home."""
         chunks = homes.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / HOMES).alias("chunks"))
@@ -524,19 +558,35 @@ class JaccardJoin:
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
 
+    def _near(self, pairs: DataFrame) -> DataFrame | None:
+        """The links among pairs, checked on prefixes first; null where there are none."""
+        pairs = materialize(pairs, "jaccard-rest")
+        near = None if pairs.isEmpty() else self.verified(pairs, whole=False)
+        discard(pairs)
+        links = None if near is None or near.isEmpty() else self.verified(near)
+        return None if links is None or links.isEmpty() else links
+
+    def _connected(self) -> tuple[DataFrame, DataFrame]:
+        """a, b: verified pairs of classes, enough of them to connect every component; and node, root of what they connect."""
+        links = self.chosen()
+        labels = materialize(connected_components(links), "jaccard-labels")
+        split = self._split(labels)
+        if (found := self._near(self._tries(split))) is not None:
+            links, labels = links.unionByName(found), materialize(relabelled(labels, found), "jaccard-labels")
+            discard(split)
+            split = self._split(labels)
+        if (found := self._near(self._rest(labels, split))) is not None:
+            links, labels = links.unionByName(found), materialize(relabelled(labels, found), "jaccard-labels")
+        discard(split)
+        return links, labels
+
     def connecting(self) -> DataFrame:
         """a, b: verified pairs of classes, enough of them to connect every component."""
-        first = self.chosen()
-        rest = materialize(self._rest(connected_components(first)), "jaccard-rest")
-        if rest.isEmpty():
-            return first
-        near = self.verified(rest, whole=False)
-        discard(rest)
-        return first.unionByName(self.verified(near)) if not near.isEmpty() else first
+        return self._connected()[0]
 
     def _rooted(self) -> DataFrame:
         """row, doc_id, n, text_hash, root (a number of its component), cls of every document."""
-        labels = connected_components(self.connecting())
+        _, labels = self._connected()
         roots = self.classes.join(labels, F.col("cls") == F.col("node"), "left").select("sid", "cls", F.coalesce("root", "cls").alias("root"))
         return self.rows.join(roots, "sid", "left").select(
             "row", "doc_id", "n", "text_hash", F.coalesce("root", "row").alias("root"), F.coalesce("cls", "row").alias("cls")

@@ -178,3 +178,23 @@ def test_link_counts_equal_their_sql(spark):
     want = con.execute(queries.ORACLE_SQL["op3_jaccard_links"]).fetchall()
     got = queries.QUERIES["op3_jaccard_links"](spark, data).select("doc_id", "n_shingles", "class_id", "n_links")
     assert sorted(map(tuple, got.collect())) == sorted(want) and any(n for *_, n in want)
+
+
+def test_a_class_outside_a_large_component_is_joined_by_few_of_its_members(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TRIED", 20, raising=False)
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        words = [f"v{j}" for j in range(200)]
+        words[r.randrange(200)] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    join = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = sorted(x.cls for x in join.classes.select("cls").collect())
+    labels = spark.createDataFrame([(c, classes[1]) for c in classes[1:]], "node long, root long")
+    split = join._split(labels)
+    assert join._rest(labels, split).count() > 150
+    tried = join._tries(split)
+    assert 0 < tried.count() < 150
+    joined = jaccard.relabelled(labels, join._near(tried))
+    assert {tuple(x) for x in joined.collect()} == {(c, classes[0]) for c in classes}
+    assert join._rest(joined).count() == 0
