@@ -12,7 +12,7 @@ Where every link counts, all entries of a bucket meet, those of large ones in sa
 blocks. For components alone there is a quick path. Every class goes to two of its
 buckets, those whose shingles have the least of two hashes: near copies mostly choose
 alike. There classes are dealt to blocks, whose prefixes are compared at once, and so
-are the whole sets of those that may have a partner in their block. After the components of these links, a bucket in one component needs
+are the whole sets of those that may have a partner in their block, a part of the blocks after another. After the components of these links, a bucket in one component needs
 nothing more; in others the members outside the bucket's largest component first meet a few
 other members each, which joins most of what links to a large component. Then those that are still
 outside meet all other members, in salted blocks, and pairs in one component drop out. No pair that
@@ -31,6 +31,7 @@ rows may repeat, also with one id; a null id counts as the largest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import discard, forget, fresh, materialize, sliced
+from .common import BROADCAST_ROWS, discard, forget, fresh, materialize, sliced
 
 #: Groups in a bucket that are paired outright.
 BUCKET = 64
@@ -58,33 +59,81 @@ FETCH_BROADCAST = 500_000
 PARTNERS = 256
 #: Shingles of a block that are looked at together.
 COLUMNS = 4_096
+#: Whole sets go to the blocks in so many rounds, each with its part of the blocks, if there are more than BROADCAST_ROWS of them.
+ROUNDS = 4
 #: Pairs of one class that its set goes to from one row.
 HOMES = 1_024
-FLUSH_SHINGLES, CACHE_WORDS = 2_000_000, 150_000
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+FLUSH_SHINGLES = 2_000_000
+#: Bytes of texts whose shingles are made together (about forty times as much on the way), and of a word that is hashed by its places.
+TEXT_BYTES, PLACED = 512 << 10, 64
+
+SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: A number for each byte, one for both cases of a letter, and what a place multiplies it by.
+BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+BYTES[ord("A") : ord("Z") + 1] = BYTES[ord("a") : ord("z") + 1]
+STEP = 0xD1342543DE82EF95
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """STEP to the power of each place, and its inverse to it, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(TEXT_BYTES + PLACED, x, np.uint64))) for x in (STEP, pow(STEP, -1, 1 << 64)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> np.uint64(33)) * np.uint64(factor)
+    return x ^ x >> np.uint64(33)
+
+
+def _hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie one after another in data, and the number of words before each of the bounds.
+
+    A word is its bytes' numbers times the powers of their places, so a running sum gives all words at once. Such sums
+    are weak for very long words that are made for it; those beyond PLACED bytes are hashed one by one."""
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = SPACES[data[:-1]]
+    cut[bounds] = True  # no word goes on into the next text
+    word = ~SPACES[data]
+    starts, ends = np.flatnonzero(word & cut[:-1]), np.flatnonzero(word & np.append(cut[1:-1] | SPACES[data[1:]], True)) + 1
+    hashes, (powers, inverse) = np.empty(len(starts), np.uint64), _powers()
+    for low in range(0, len(data), TEXT_BYTES):
+        part = data[low : low + TEXT_BYTES + PLACED]
+        own = slice(*np.searchsorted(starts, [low, low + TEXT_BYTES]))
+        at, to = starts[own] - low, np.minimum(ends[own] - low, len(part))
+        sums = np.append(np.uint64(0), np.cumsum(BYTES[part] * powers[: len(part)]))
+        hashes[own] = _mixed((sums[to] - sums[at]) * inverse[at] + (to - at).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > PLACED).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
+    return hashes, np.searchsorted(starts, bounds)
+
+
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles."""
+    held = texts.fill_null("").cast(pa.large_binary())
+    bounds = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    if not len(held) or bounds[0] == bounds[-1]:
+        return [np.zeros(0, np.uint64)] * len(held)
+    data = np.frombuffer(held.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    hashes, upto = _hashed_words(data, bounds - bounds[0])
+    count = np.diff(upto)
+    rolled = np.full(max(0, len(hashes) - width + 1), width, np.uint64)
+    for j in range(width):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(rolled)]
+    rolled = _mixed(rolled)
+    out = []
+    for low, n in zip(upto[:-1].tolist(), count.tolist()):
+        own = np.sort(rolled[low : low + n - width + 1]) if n >= width else _whole(hashes[low : low + n])
+        out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own)
+    return out
 
 
-def shingle_set(text: str | None, width: int, words: dict) -> np.ndarray:
-    """The sorted 64-bit hashes of the distinct shingles of text; bytes.split() and lower() know ASCII alone."""
-    found = text.encode().lower().split() if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    n = max(1, len(found) - width + 1)
-    out = np.full(n, min(width, len(found)), np.uint64)
-    for j in range(min(width, len(found))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        out ^= out >> np.uint64(shift)
-        out *= np.uint64(factor)
-    return np.unique(out ^ out >> np.uint64(33))
+def _whole(hashes: np.ndarray) -> np.ndarray:
+    """The one shingle of a text that has fewer words than a shingle, or none."""
+    value = len(hashes)
+    for x in hashes.tolist():
+        value = (value * 0x9E3779B97F4A7C15 + x) % (1 << 64)
+    return _mixed(np.full(min(1, len(hashes)), value, np.uint64))
 
 
 def _repeats(width: int):
@@ -96,10 +145,9 @@ def _repeats(width: int):
         return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], ["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = _Words(), {}, 0
-        for batch in sliced(batches):
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, width, words)
+        held, size = {}, 0
+        for batch in sliced(batches, TEXT_BYTES):
+            for s in shingle_sets(batch.column(0), width):
                 key = xxhash.xxh3_128_digest(s)
                 if key not in held:
                     held[key] = s
@@ -116,11 +164,10 @@ def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
     """row, doc_id, text, text_hash -> row, doc_id, n, sid, gid, prefix, text_hash; a task gives a group's prefix once while it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, given = _Words(), set()
-        for batch in sliced(batches):
+        given = set()
+        for batch in sliced(batches, TEXT_BYTES):
             ns, sids, gids, prefixes = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingle_set(text, width, words)
+            for s in shingle_sets(batch.column(2), width):
                 n = len(s)
                 length = n - -(-percent * n // 100) + 1 if n else 0
                 prefix = s[:length]
@@ -147,12 +194,12 @@ def _sets(width: int):
     """cls, chunk, sid, homes, text -> homes, cls, n, shingles, where the text has that set; a task gives a class's chunk of homes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, given = _Words(), set()
-        for batch in sliced(batches):
+        given = set()
+        for batch in sliced(batches, TEXT_BYTES):
             rows, sets, sizes = [], [], []
-            for i, (cls, chunk, sid, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))):
+            keys = zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)))
+            for i, ((cls, chunk, sid), s) in enumerate(zip(keys, shingle_sets(batch.column(4), width))):
                 if (cls, chunk) not in given:
-                    s = shingle_set(text, width, words)
                     if xxhash.xxh3_128_digest(s) == sid:
                         given.add((cls, chunk))
                         rows.append(i)
@@ -537,8 +584,12 @@ class JaccardJoin:
             return sent.select("home.*", "cls", "n", "shingles").repartition("a", "part").sortWithinPartitions("a", "part")
 
         likely = self._checked(in_blocks(sent).mapInArrow(_block_likely(self.percent), "a long, part long, cls long"), choices)
-        sent = self._sent(likely.select("cls", F.struct("a", "part").alias("home")))
-        return self._checked(in_blocks(sent).mapInArrow(_block_links(self.percent), "a long, b long").distinct(), likely)
+        rounds, links = ROUNDS if likely.count() > BROADCAST_ROWS else 1, []
+        for nth in range(rounds):
+            own = likely.filter(F.pmod(F.xxhash64("a", "part"), F.lit(rounds)) == nth)
+            sent = self._sent(own.select("cls", F.struct("a", "part").alias("home")))
+            links.append(self._checked(in_blocks(sent).mapInArrow(_block_links(self.percent), "a long, b long")))
+        return self._checked(reduce(DataFrame.unionByName, links).distinct(), likely, *links)
 
     def links(self) -> DataFrame:
         """a, b: all pairs of classes that are similar enough, whatever the size of their buckets."""

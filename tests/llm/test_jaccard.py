@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,29 @@ def test_a_class_outside_a_large_component_is_joined_by_few_of_its_members(spark
     joined = jaccard.relabelled(labels, join._near(tried))
     assert {tuple(x) for x in joined.collect()} == {(c, classes[0]) for c in classes}
     assert join._rest(joined).count() == 0
+
+
+def test_sets_of_many_texts_are_those_of_their_words(monkeypatch):
+    r = random.Random(5)
+    signs = ["a", "B", "b", "É", "é", "ß", " ", " ", "\n", "\x0b", "\x1c", "\t", "x" * 70, "X" * 70]
+    texts = [None, "", " ", "a b c d", "a b c d e", "A B c d E"] + ["".join(r.choices(signs, k=r.randint(0, 60))) for _ in range(1000)]
+    given, names = pa.array(["zz", *texts, "yy"]).slice(1, len(texts)), {}
+    sets = jaccard.shingle_sets(given, 5)
+    for text, got in zip(texts, sets):
+        w = WORD.findall((text or "").translate(ASCII))
+        want = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        assert len(got) == len(want) and got.tolist() == sorted(got.tolist())
+        assert names.setdefault(want, got.tobytes()) == got.tobytes()
+    assert len(set(names.values())) == len(names)
+    monkeypatch.setattr(jaccard, "TEXT_BYTES", 100)  # a long text is hashed stretch by stretch
+    assert [x.tobytes() for x in jaccard.shingle_sets(given, 5)] == [x.tobytes() for x in sets]
+
+
+def test_rounds_of_blocks_give_the_same_components(spark, monkeypatch):
+    sent, inner = [], JaccardJoin._sent
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(JaccardJoin, "_sent", lambda join, homes: sent.append(homes.select("home").distinct().collect()) or inner(join, homes))
+    rows = corpus(11, 25, 5)
+    assert found(spark, rows) == brute(rows)
+    first = [{x.home for x in part} for part in sent[: jaccard.ROUNDS]]
+    assert len(first) == jaccard.ROUNDS and all(not a & b for i, a in enumerate(first) for b in first[:i]) and sum(map(bool, first)) > 1
