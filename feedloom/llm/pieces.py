@@ -38,6 +38,8 @@ UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts of at most so many characters are kept, in two generations of at most so many each.
 KEPT_CHARS, KEPT_PARTS = 48, 200_000
+#: Bytes of texts that are encoded together: what Python holds of them on the way is about thirty times as much.
+TOGETHER = 256 << 10
 #: Parts of at most so many characters are merged together with others.
 SHORT = 64
 #: The score of two neighbours that make up no piece.
@@ -159,8 +161,8 @@ class Codec:
         # no piece holds a line break or goes on with a space after something else: most parts end there
         inner = any(x != SPACE and y == SPACE for x, y in self.pairs) or any("\n" in p and len(p) > 1 for p in self.ids)
         self.parts = re.compile("(?s).+" if inner else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self.new: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def forget(self) -> None:
         self.new, self.old = {}, {}
@@ -222,8 +224,8 @@ class Codec:
         order = np.argsort(part, kind="stable")
         return sym[order], part[order]
 
-    def learn(self, texts: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids, and lengths in bytes of the normalised text, of parts; both as 32-bit integers."""
+    def learn(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids, each with its length in bytes of the normalised text, of parts; both as 32-bit integers."""
         short = [x for x in texts if len(x) <= SHORT]
         found = {}
         if short:
@@ -237,12 +239,12 @@ class Codec:
             sym, part = self._merged(self.point_numbers[at[plain]], part[plain])
             ids = self.id_of[sym]
             odd[part[ids < 0]] = True
-            ends = 4 * np.searchsorted(part, np.arange(len(short)), side="right")
-            data, sizes = ids.astype("<u4").tobytes(), self.bytes_of[sym].astype("<u4").tobytes()
+            ends = 8 * np.searchsorted(part, np.arange(len(short)), side="right")
+            data = np.stack([ids, self.bytes_of[sym]], axis=1).astype("<u4").tobytes()
             low = 0
             for x, high, is_odd in zip(short, ends.tolist(), odd.tolist()):
                 if not is_odd:
-                    found[x] = data[low:high], sizes[low:high]
+                    found[x] = data[low:high]
                 low = high
         for x in texts:
             if x not in found:  # long, or with characters that are no piece
@@ -251,13 +253,13 @@ class Codec:
             self._keep(x, got)
         return found
 
-    def _keep(self, text: str, got: tuple[bytes, bytes]) -> None:
+    def _keep(self, text: str, got: bytes) -> None:
         if len(text) <= KEPT_CHARS:
             if len(self.new) >= KEPT_PARTS:
                 self.new, self.old = {}, self.new
             self.new[text] = got
 
-    def _numbers(self, pieces: list[str]) -> tuple[bytes, bytes]:
+    def _numbers(self, pieces: list[str]) -> bytes:
         ids, lengths = [], []
         for p in pieces:
             known = self.known.get(p)
@@ -271,8 +273,7 @@ class Codec:
             else:
                 ids.append(self.unknown)
                 lengths.append(len(p.encode()))
-        form = f"<{len(ids)}I"
-        return struct.pack(form, *ids), struct.pack(form, *lengths)
+        return np.array([ids, lengths], "<u4").T.tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids without begin and end, and for each the end of its byte span; the spans of a text follow one another."""
@@ -286,12 +287,12 @@ class Codec:
         new, old = self.new, self.old
         more = self.learn([p for p in distinct if p not in new and p not in old])
         got = [new.get(p) or more.get(p) or old[p] for p in distinct]
-        sizes = np.array([len(x) // 4 for x, _ in got], np.int64)
+        sizes = np.array([len(x) // 8 for x in got], np.int64)
         each = sizes[which]
         upto = np.cumsum(each)
         at = np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - each), each) + np.arange(int(each.sum()))
-        all_ids = np.frombuffer(b"".join([x for x, _ in got]), "<u4")[at]
-        all_ends = np.cumsum(np.frombuffer(b"".join([x for _, x in got]), "<u4")[at], dtype=np.int64)
+        known = np.frombuffer(b"".join(got), "<u4").reshape(-1, 2)
+        all_ids, all_ends = known[at, 0], np.cumsum(known[at, 1], dtype=np.int64)
         out, low = [], 0
         for text, (norm, source), high in zip(texts, prepared, np.append(0, upto)[np.cumsum([len(own) for own in parts])].tolist()):
             ids, ends = all_ids[low:high], all_ends[low:high] - (all_ends[low - 1] if low else 0)
@@ -399,7 +400,7 @@ def _spans(ends: np.ndarray) -> np.ndarray:
 def _encoder(path: str, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in sliced(batches):
+        for batch in sliced(batches, TOGETHER):
             ids, ends = [], []
             for i, e in c.encode_all([text or "" for text in batch.column(batch.num_columns - 1).to_pylist()]):
                 ids.append(np.concatenate([[c.begin], i, [c.end]]).astype(np.int32))
@@ -431,7 +432,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in sliced(batches):
+        for batch in sliced(batches, TOGETHER):
             texts = [c.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -462,7 +463,7 @@ def _with_digests(rows: DataFrame, model: str, with_ids: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in sliced(batches):
+        for batch in sliced(batches, TOGETHER):
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             texts = batch.column(batch.num_columns - 1).to_pylist()
             yield pa.RecordBatch.from_arrays([*kept, *_digests(c, texts, with_ids)], [*batch.schema.names[:-1], *names])

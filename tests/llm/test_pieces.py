@@ -1,12 +1,15 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
+from feedloom.llm import pieces
 from feedloom.llm.pieces import Normalizer, codec, decode_documents, digest_documents, encode_documents, merge
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,3 +83,16 @@ def test_documents_round_trip_and_digests(spark, library):
 
 def test_empty_table(spark):
     assert digest_documents(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+def test_a_large_batch_is_encoded_a_little_at_a_time():
+    words = [f"w{i * 7919 % 10007}" for i in range(40_000)]
+    texts = [" ".join(words[i : i + 200]) for i in range(0, len(words), 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    c = pieces.codec(MODEL)
+    tracemalloc.start()
+    got = sum(out.num_rows for out in pieces._encoder(MODEL, True)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(texts) and batch.nbytes > 2 << 20
+    assert peak < 48 << 20 and not c.new  # a batch as a whole took more
