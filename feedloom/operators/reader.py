@@ -76,7 +76,14 @@ def scored_blocks(pages: DataFrame) -> DataFrame:
     pages: page (tells pages apart), url, html. inside: within an article or main element; score: words out of links,
     with half of those of the blocks beside it."""
     upto = W.partitionBy("page").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    rows = _tokens(pages)
+    text = F.col("name") == ""
+    # what is asked of a token is told before the windows, whose rows need not hold it then, unless blocks are put together
+    rows = _tokens(pages).select(
+        "*",
+        F.when(text, F.regexp_count("tok", F.lit(r"\S+"))).otherwise(0).alias("words"),
+        F.when(F.col("name") == "img", F.col("tok")).alias("image"),
+        F.when((F.col("name") == "a") & (F.col("step") == 1), F.regexp_extract("tok", "(?i)\\shref\\s*=\\s*[\"']?([^\"'\\s>]*)", 1)).alias("target"),
+    )
     is_block = F.col("name").isin(*BLOCKS, "img")
     step = F.col("step")
 
@@ -91,26 +98,24 @@ def scored_blocks(pages: DataFrame) -> DataFrame:
         depth(*AROUND).alias("around"),
         depth("a").alias("a"),
         depth("article", "main").alias("framed"),
-        F.max(F.when(frame, F.col("i"))).over(upto).alias("begun"),
-        F.last(F.when((F.col("name") == "a") & (step == 1), F.regexp_extract("tok", "(?i)\\shref\\s*=\\s*[\"']?([^\"'\\s>]*)", 1)), ignorenulls=True).over(upto).alias("href"),
+        F.last("target", ignorenulls=True).over(upto).alias("href"),
         F.sum(F.when(F.col("name").isin("ul", "ol"), 1).otherwise(0)).over(upto).alias("list"),
         F.last(F.when(F.col("name").isin("ul", "ol") & (step == 1), F.col("name")), ignorenulls=True).over(upto).alias("list_kind"),
         F.sum(F.when(F.col("name") == "figure", 1).otherwise(0)).over(upto).alias("figure"),
         depth("figure").alias("in_figure"),
     )
-    whole = W.partitionBy("page", "begun").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    numbered = numbered.withColumn("outer", F.when(F.col("begun").isNull(), 0).otherwise(F.first("around").over(whole)))
+    # in the order of the first windows, so the rows are sorted once
+    numbered = numbered.withColumn("outer", F.coalesce(F.last(F.when(frame, F.col("around")), ignorenulls=True).over(upto), F.lit(0)))
     known = F.element_at(F.expr("map(" + ", ".join(f"'{a}', '{b}'" for a, b in INLINE.items()) + ")"), F.col("name"))
     inline = F.concat(F.when(step == 1, "<").otherwise("</"), known, F.lit(">"))
-    text = F.col("name") == ""
     piece = F.when(text, escaped(decode(F.col("tok")))).when(F.col("name") == "br", BREAK).otherwise(F.coalesce(inline, F.lit("")))
-    words = F.when(text, F.regexp_count("tok", F.lit(r"\S+"))).otherwise(0)
     goes = F.col("around") - F.col("outer") > 0
     blocks = numbered.groupBy("page", "block").agg(
-        F.min(F.struct("i", "name", "step", "tok", "list", "list_kind", "figure", "in_figure", "a", "href")).alias("head"),
+        F.min(F.struct("i", "name", "step")).alias("head"),
+        F.min(F.struct("i", "image", "list", "list_kind", "figure", "in_figure", "a", "href")).alias("about"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", piece.alias("p")))), lambda x: x["p"]), "").alias("raw"),
-        F.sum(words).alias("words"),
-        F.sum(F.when(F.col("a") > 0, words).otherwise(0)).alias("linked"),
+        F.sum("words").alias("words"),
+        F.sum(F.when(F.col("a") > 0, F.col("words")).otherwise(0)).alias("linked"),
         F.max(goes).alias("goes"),
         F.max(F.col("framed") > 0).alias("inside"),
     )
@@ -148,9 +153,9 @@ def _figure(alt: Column) -> Column:
 
 def _with_images(blocks: DataFrame) -> DataFrame:
     """Blocks with src, alt and caption of images; those go that are small, repeated, another page's teaser, or don't say what they are."""
-    image, tok = F.col("tag") == "img", F.col("head.tok")
+    image, tok = F.col("tag") == "img", F.col("about.image")
     said = F.when(F.col("tag") == "figcaption", _flat(F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", ""), BREAK, " ")))
-    in_figure = F.when(F.col("head.in_figure") > 0, F.col("head.figure"))
+    in_figure = F.when(F.col("about.in_figure") > 0, F.col("about.figure"))
     rows = blocks.withColumns(
         {
             "figure": F.coalesce(in_figure, -F.col("block")),
@@ -163,8 +168,8 @@ def _with_images(blocks: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("caption", F.min(F.when(F.col("said").isNotNull(), F.struct("block", "said"))).over(W.partitionBy("page", "figure"))["said"])
     rows = rows.withColumn("name", F.regexp_replace(F.regexp_extract("src", r"([^/?#]*)(?:[?#].*)?$", 1), r"-\d+x\d+(?=\.\w+$)", ""))
-    target = F.regexp_extract(F.regexp_replace("head.href", r"[?#].*$", ""), r"^(?:[A-Za-z]+://[^/]+)?/*(.*)$", 1)
-    teaser = F.coalesce((F.col("head.a") > 0) & (target != "") & ~F.rlike(target, F.lit(IMAGE_FILE)), F.lit(False))
+    target = F.regexp_extract(F.regexp_replace("about.href", r"[?#].*$", ""), r"^(?:[A-Za-z]+://[^/]+)?/*(.*)$", 1)
+    teaser = F.coalesce((F.col("about.a") > 0) & (target != "") & ~F.rlike(target, F.lit(IMAGE_FILE)), F.lit(False))
     small = F.least(F.coalesce("w", F.lit(LEAST_PX)), F.coalesce("h", F.lit(LEAST_PX))) < LEAST_PX
     tells = F.col("caption").isNotNull() | (F.col("alt") != "") | F.col("w").isNotNull()
     rows = rows.withColumn("own", image & F.col("src").isNotNull() & ~F.endswith(F.lower("name"), F.lit(".svg")) & ~small & ~teaser & tells)
@@ -189,7 +194,7 @@ def reader_blocks(pages: DataFrame, title: str | None = None) -> DataFrame:
     code = F.regexp_replace(F.regexp_replace("raw", BREAK, "\n"), "</?(?:strong|em|code)>", "")
     body = F.when(image, _figure(F.col("alt"))).when(F.col("tag") == "pre", once(code, pre)).otherwise(once(_flat(F.col("raw")), balanced))
     said = F.when(image, "").otherwise(decode(F.regexp_replace(_flat(F.col("raw")), "<[^>]*>", "")))
-    made = blocks.select("page", "block", "title", outer.alias("tag"), body.alias("body"), said.alias("said"), F.col("head.list").alias("list"), F.coalesce("head.list_kind", F.lit("ul")).alias("kind"))
+    made = blocks.select("page", "block", "title", outer.alias("tag"), body.alias("body"), said.alias("said"), F.col("about.list").alias("list"), F.coalesce("about.list_kind", F.lit("ul")).alias("kind"))
     # enough sentences in all that is said, or the page has no article
     whole, some = W.partitionBy("page"), F.col("body") != ""
     length, ends = F.sum(F.when(some, F.length("said") + 1)).over(whole), F.sum(F.when(some, F.regexp_count("said", F.lit(SENTENCE_END)))).over(whole)

@@ -100,3 +100,11 @@ def test_addresses_on_a_page(spark, address, want):
 
 def test_an_empty_table(spark):
     assert reader.reader_blocks(spark.createDataFrame([], "page long, url string, html string")).collect() == []
+
+
+def test_the_windows_of_scores_hold_no_text_and_are_sorted_once(spark):
+    pages = spark.createDataFrame([(1, "https://x.example/a", "<main><p>one two <a href='/b'>three</a></p></main>")], "page long, url string, html string")
+    scored = reader.scored_blocks(pages).select("page", "block", "tag", "words", "linked", "inside", "score")
+    plan = scored._jdf.queryExecution().sparkPlan().toString()
+    assert all("tok#" not in line.split("Window", 1)[1] for line in plan.splitlines() if "Window [" in line) and "begun" not in plan
+    assert scored.count() == 1
