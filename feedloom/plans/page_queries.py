@@ -95,7 +95,7 @@ def translation_requests(spark, sf_dir):
 def translation_round_trip(spark, sf_dir):
     """Articles translated by answers that say what was asked: one page in three needs the second attempt, one in seven has none that lines up."""
     pages = _reader_pages(spark, sf_dir)
-    blocks = reader.reader_blocks(pages, "title")
+    blocks = reader.reader_blocks(pages, "title").checkpoint()  # made once, for what is asked, what is answered and what is put together
     asked = translation.requests(pages, blocks).withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2))))
     whole, cut = F.to_json("texts"), F.to_json(F.slice("texts", 1, F.size("texts") - 1))
     fails = ((F.col("page") % 3 == 0) & (F.col("attempt") == 1)) | (F.col("page") % 7 == 6)

@@ -67,3 +67,27 @@ def test_only_inline_marks_survive(spark, text, want):
 def test_empty_tables(spark):
     titles, blocks = tables(spark)
     assert answered(spark, titles, blocks, None) == {}
+
+
+def test_blocks_of_the_round_trip_are_made_once(spark, monkeypatch):
+    from feedloom.operators import reader
+    from feedloom.plans import page_queries
+
+    seen = spark.sparkContext.accumulator(0)
+    inner = reader.reader_blocks
+
+    def counted(pages, title=None):
+        made = inner(pages, title)
+
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return made.mapInArrow(run, made.schema)
+
+    monkeypatch.setattr(reader, "reader_blocks", counted)
+    out = page_queries.translation_round_trip(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and len(out.collect()) > 0
+    once = inner(page_queries._reader_pages(spark, "/root/testdata/sf0.001"), "title").count()
+    assert once > 0 and seen.value == once
