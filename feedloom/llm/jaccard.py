@@ -136,6 +136,10 @@ def _whole(hashes: np.ndarray) -> np.ndarray:
     return _mixed(np.full(min(1, len(hashes)), value, np.uint64))
 
 
+def _prefix_length(percent: int, n):
+    return n - -(-percent * n // 100) + 1
+
+
 def _repeats(width: int):
     """text -> token, n: shingles that several distinct sets of a task share, with how many."""
 
@@ -169,7 +173,7 @@ def _prefixes(width: int, percent: int, moved: np.ndarray, counts: np.ndarray):
             ns, sids, gids, prefixes = [], [], [], []
             for s in shingle_sets(batch.column(2), width):
                 n = len(s)
-                length = n - -(-percent * n // 100) + 1 if n else 0
+                length = _prefix_length(percent, n) if n else 0
                 prefix = s[:length]
                 if len(moved) and n:
                     at = np.minimum(np.searchsorted(moved, s), len(moved) - 1)
@@ -213,31 +217,34 @@ def _sets(width: int):
 
 
 def _prefix_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """homes, cls, n, prefix -> homes, cls, n, shingles: the prefix in the order of hashes."""
+    """homes, cls, n, shared -> homes, cls, n, shingles."""
     for batch in batches:
-        sets = [np.sort(x.values.to_numpy().view(np.uint64)).tobytes() for x in batch.column(3)]
+        sets = [x.values.to_numpy().tobytes() for x in batch.column(3)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["homes", "cls", "n", "shingles"])
 
 
-def _verifier(percent: int):
+def _verifier(percent: int, whole: bool = True):
     """a, part, partner, cls, n, shingles in order -> a, b: the set of a comes first, and its partners after it.
 
-    n: the shingles of the whole set, of which those at hand may be its prefix. The prefix that ends earlier in the order of
-    all shingles holds all that both sets share up to there, so beside what prefixes share the rest of one set can be equal."""
+    n: the shingles of the whole set; without whole=True those at hand are what its prefix can share. The prefix that ends earlier in
+    the order of all shingles holds all that both sets share up to there, so beside what prefixes share the rest of one set can be equal."""
+
+    def rest(n: int) -> int:
+        return 0 if whole else n - _prefix_length(percent, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, own, whole = None, np.zeros(0, np.uint64), 0
+        home, own, size = None, np.zeros(0, np.uint64), 0
         for batch in sliced(batches):
             found: list[tuple[int, int]] = []
             for a, part, partner, cls, n, data in zip(*(c.to_pylist() for c in batch.columns)):
                 other = np.frombuffer(data, np.uint64)
                 if not partner:
-                    home, own, whole = (a, part), other, n
+                    home, own, size = (a, part), other, n
                     continue
                 if home != (a, part):
                     raise ValueError(f"class {a} has no set")
-                both = len(np.intersect1d(own, other, assume_unique=True)) + max(whole - len(own), n - len(other))
-                if 100 * both >= percent * (whole + n - both):
+                both = len(np.intersect1d(own, other, assume_unique=True)) + max(rest(size), rest(n))
+                if 100 * both >= percent * (size + n - both):
                     found.append((a, cls))
             arrays = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
@@ -268,10 +275,10 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _likely(sizes: list[int], prefixes: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets have another one here that is similar enough, as far as their prefixes tell."""
-    size, own = np.array(sizes), np.array([len(x) for x in prefixes])
-    both = _overlaps(prefixes)
-    most = both + np.maximum((size - own)[:, None], (size - own)[None, :])
+    """Which sets have another one here that is similar enough, as far as what their prefixes can share tells."""
+    size = np.array(sizes)
+    both, rest = _overlaps(prefixes), size - _prefix_length(percent, size)
+    most = both + np.maximum(rest[:, None], rest[None, :])
     return ((both > 0) & (100 * most >= percent * (size[:, None] + size[None, :] - most))).any(axis=1)
 
 
@@ -393,7 +400,7 @@ class JaccardJoin:
             f"row long, doc_id {kind}, n int, sid binary, gid binary, prefix array<long>, text_hash long",
         )
         self.rows = materialize(rows, "jaccard-rows")
-        full = self.prefixes = self.rows.filter("n > 0")
+        full = self.rows.filter("n > 0")
         #: cls stands for all rows with one set; g for all with one prefix and size
         classes = full.groupBy("sid").agg(F.min(F.struct("row", "doc_id", "gid", "n")).alias("x"))
         classes = classes.select("sid", F.col("x.row").alias("cls"), F.col("x.doc_id").alias("its_id"), "x.gid", "x.n")
@@ -408,16 +415,26 @@ class JaccardJoin:
             .withColumn("seen", F.count(F.lit(1)).over(per_token))
             .filter("seen > 1")
         )
-        named = full.join(groups, "gid").select("row", "g")
-        entries = (
-            entries.join(named, "row")
-            .select("token", "g", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
-            .distinct()
+        # other rows of a group have the prefix of the first again
+        entries = entries.join(groups.select(F.col("g").alias("row")), "row").select(
+            "token", F.col("row").alias("g"), F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos")
         )
         entries = entries.withColumn("groups", F.count(F.lit(1)).over(per_token)).filter("groups > 1")
         self.entries = materialize(entries, "jaccard-entries")
+        with_prefixes, self.rows = self.rows, materialize(self.rows.drop("gid", "prefix"), "jaccard-rows")
+        discard(with_prefixes)
+        self.shared = materialize(self._shared(), "jaccard-shared")
         forget(self.spark)
 
+    def _shared(self) -> DataFrame:
+        """g, shared: what a group's prefix can share with others. Shingles of this group alone are left out, but if it has several classes numbers stand for them."""
+        groups = self.classes.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+        tokens = self.entries.groupBy("g").agg(F.collect_list("token").alias("tokens"))
+        groups = groups.join(tokens, "g", "left").filter("k > 1 OR tokens IS NOT NULL").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<long>")))
+        length, own = f"n - ({self.percent} * cast(n AS long) + 99) DIV 100 + 1", "size(tokens)"
+        alone = f"IF(k > 1 AND {length} > {own}, transform(sequence({own} + 1L, {length}), i -> xxhash64(g, i)), cast(array() AS array<bigint>))"
+        return groups.select("g", F.concat("tokens", F.expr(alone)).alias("shared"))
+
     def _moved(self) -> tuple[np.ndarray, np.ndarray]:
         """The most repeated shingles, sorted, and their counts; at most MOVED of them, 16 bytes each."""
         counts = self.texts.select("text").mapInArrow(_repeats(self.width), "token long, n long")
@@ -441,12 +458,16 @@ class JaccardJoin:
         others = self.classes.select(F.col("g").alias("h"), F.col("cls").alias("b"))
         return pairs.join(members, "g").join(others, "h").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def _members(self, least: int) -> DataFrame:
-        """key, cls, n, pos: entries of the buckets of more than `least` groups, and of groups with several classes as buckets of their own."""
-        tokens = self.entries.filter(F.col("groups") > least).select(F.struct(F.lit(0), "token").alias("key"), "g", "pos")
+    def _members(self, least: int, *more: Column) -> DataFrame:
+        """key, cls, n, pos: entries of the buckets of more than `least` groups, and of groups with several classes as buckets of their own.
+
+        more: further columns of the entries, null in those buckets."""
+        names = ["key", "cls", "n", "pos", *(f"more{i}" for i in range(len(more)))]
+        classes = self.classes.select("g", "cls", "n")
+        tokens = self.entries.filter(F.col("groups") > least).select(F.struct(F.lit(0), "token").alias("key"), "g", "pos", *(c.alias(x) for c, x in zip(more, names[4:])))
         own = self.classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
         groups = own.select(F.struct(F.lit(1), F.col("g").alias("token")).alias("key"), "g", F.lit(0).alias("pos"))
-        return tokens.unionByName(groups).join(self.classes.select("g", "cls", "n"), "g").select("key", "cls", "n", "pos")
+        return tokens.join(classes, "g").select(names).unionByName(groups.join(classes, "g").select(names[:4]), allowMissingColumns=True)
 
     def _small(self) -> DataFrame:
         """a, b: pairs of classes from small buckets."""
@@ -473,18 +494,25 @@ class JaccardJoin:
         met = x.join(y, ["key", "i", "j"]).filter(once & fits)
         return self._small().unionByName(met.select(F.least("cls", "its").alias("a"), F.greatest("cls", "its").alias("b"))).distinct()
 
-    def _split(self, labels: DataFrame) -> DataFrame:
-        """key, cls, n, pos, root, most (the bucket's largest component), entries: the buckets of several components."""
+    def _split(self, labels: DataFrame, last: DataFrame | None = None) -> DataFrame:
+        """key, cls, n, pos, before, root, most (the bucket's largest component), entries: the buckets of several components.
+
+        before: the group's bucket before this one, in the order of places. last: what it was with fewer links, which has all of these buckets."""
         roots = labels.select(F.col("node").alias("cls"), "root")
-        large = self._members(1).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        if last is None:
+            last = self._members(1, F.lag("token").over(W.partitionBy("g").orderBy("pos"))).withColumnRenamed("more0", "before")
+        large = last.select("key", "cls", "n", "pos", "before").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         shares = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
         largest = shares.groupBy("key").agg(
             F.max(F.struct("k", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("k").alias("entries")
         )
         return materialize(large.join(largest.filter("roots > 1"), "key"), "jaccard-split")
 
-    def _met(self, few: DataFrame, split: DataFrame, block: int) -> DataFrame:
-        """a, b: few (key, part, cls, n, pos, root) with the members of other components in their part of the bucket, of about `block` entries."""
+    def _met(self, few: DataFrame, split: DataFrame, block: int, everywhere: bool = False) -> DataFrame:
+        """a, b: few (key, part, cls, n, pos, root) with the members of other components in their part of the bucket, of about `block` entries.
+
+        everywhere: few are in all of their buckets. Then two that come from one bucket have met there, where the bounds let through
+        whatever they do here, and don't meet again: else near copies would in each of their many common buckets."""
         all_ = split.select(
             F.col("key").alias("key2"),
             F.pmod(F.xxhash64("cls"), F.ceil(F.col("entries") / block).cast("int")).cast("int").alias("part2"),
@@ -492,8 +520,11 @@ class JaccardJoin:
             F.col("n").alias("m"),
             F.col("pos").alias("at"),
             F.col("root").alias("root2"),
+            F.col("before").alias("before2"),
         )
         fits = _can_reach(self.percent, F.col("n"), F.col("m"), F.col("pos"), F.col("at"))
+        if everywhere:
+            fits &= F.coalesce(F.col("before") != F.col("before2"), F.lit(True))
         met = few.join(all_, (few["key"] == all_["key2"]) & (few["part"] == all_["part2"]) & (F.col("root") != F.col("root2")) & fits)
         return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
@@ -513,8 +544,8 @@ class JaccardJoin:
         """a, b: pairs of different components in a bucket, one side outside the bucket's largest component."""
         split = self._split(labels) if split is None else split
         parts = F.ceil(F.col("entries") / REST_BLOCK).cast("int")
-        few = split.filter("root <> most").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "cls", "n", "pos", "root")
-        return self._met(few, split, REST_BLOCK)
+        few = split.filter("root <> most").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "cls", "n", "pos", "before", "root")
+        return self._met(few, split, REST_BLOCK, everywhere=True)
 
     def _sent(self, homes: DataFrame) -> DataFrame:
         """home, cls, n, shingles: the whole sets of homes' classes, at their homes, from cls, home."""
@@ -531,11 +562,10 @@ class JaccardJoin:
         return sets.select(F.explode("homes").alias("home"), "cls", "n", "shingles")
 
     def _prefixes_sent(self, homes: DataFrame) -> DataFrame:
-        """The same with prefixes, which are at hand, in the place of sets."""
-        first = self.prefixes.select(F.col("row").alias("g"), "prefix")
+        """The same with what prefixes can share, which is at hand, in the place of sets."""
         placed = homes.groupBy("cls").agg(F.collect_list("home").alias("homes"))
         kind = placed.schema["homes"].dataType.simpleString()
-        rows = self.classes.join(placed, "cls").join(first, "g").select("homes", "cls", "n", "prefix")
+        rows = self.classes.join(placed, "cls").join(self.shared, "g").select("homes", "cls", "n", "shared")
         sets = rows.mapInArrow(_prefix_sets, f"homes {kind}, cls long, n int, shingles binary")
         return sets.select(F.explode("homes").alias("home"), "cls", "n", "shingles")
 
@@ -555,7 +585,7 @@ class JaccardJoin:
         checked = (
             sent.repartition("a", "part")
             .sortWithinPartitions("a", "part", "partner")
-            .mapInArrow(_verifier(self.percent), "a long, b long")
+            .mapInArrow(_verifier(self.percent, whole), "a long, b long")
             .distinct()
         )
         return self._checked(checked, pairs)
@@ -624,8 +654,8 @@ class JaccardJoin:
         split = self._split(labels)
         if (found := self._near(self._tries(split))) is not None:
             links, labels = links.unionByName(found), materialize(relabelled(labels, found), "jaccard-labels")
-            discard(split)
-            split = self._split(labels)
+            last, split = split, self._split(labels, split)
+            discard(last)
         if (found := self._near(self._rest(labels, split))) is not None:
             links, labels = links.unionByName(found), materialize(relabelled(labels, found), "jaccard-labels")
         discard(split)

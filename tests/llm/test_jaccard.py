@@ -225,3 +225,38 @@ def test_rounds_of_blocks_give_the_same_components(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
     first = [{x.home for x in part} for part in sent[: jaccard.ROUNDS]]
     assert len(first) == jaccard.ROUNDS and all(not a & b for i, a in enumerate(first) for b in first[:i]) and sum(map(bool, first)) > 1
+
+
+def test_near_copies_meet_in_one_of_their_common_buckets(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    for family in range(8):
+        for i in range(6):
+            words = [f"f{family}w{j}" for j in range(120)]
+            for place in r.sample(range(120), 2):
+                words[place] = f"x{family}_{i}_{place}"
+            rows.append((6 * family + i, " ".join(words)))
+    join, met = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")), []
+    split = join._split(spark.createDataFrame([], "node long, root long"))
+    monkeypatch.setattr(type(split), "distinct", lambda df: met.append(df.count()) or df.dropDuplicates())
+    pairs = join._rest(None, split).count()
+    assert pairs >= 8 * 10 and met[-1] < 6 * pairs
+    monkeypatch.undo()
+    assert found(spark, rows) == brute(rows)
+
+
+def test_prefixes_are_sent_without_what_no_other_has(spark):
+    r, rows = random.Random(9), []
+    for i in range(30):  # two sets each, which differ in one shingle: most have one prefix, which no other group shares
+        words = [f"w{i}_{j}" for j in range(150)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    for i in range(30):  # texts that share five shingles with one another and no more
+        words = [f"v{i}_{j}" for j in range(300)]
+        words[100:109] = [f"common{j}" for j in range(9)]
+        rows.append((100 + i, " ".join(words)))
+    join = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    several = [x.g for x in join.classes.groupBy("g").count().filter("count > 1").collect()]
+    assert len(several) > 15
+    sent = join._prefixes_sent(join.classes.selectExpr("cls", "struct(0 AS a) AS home")).join(join.classes.select("cls", "g"), "cls").collect()
+    for x in sent:
+        assert len(x.shingles) == 8 * (37 if x.g in several else join.entries.filter(f"g = {x.g}").count())
+    assert found(spark, rows) == brute(rows)
