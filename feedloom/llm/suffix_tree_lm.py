@@ -20,9 +20,12 @@ Texts become blocks first, in each of which words, and later symbols and context
 are numbered. The counts of all words are exact: each block sends its words with
 their counts, Spark adds them up by word, and every block gets the totals and symbols
 of its words back. In the same way each level sends a block's contexts and what
-follows them, packed and dealt to buckets by key, and gets back those that are
-retained with what they change. Symbols, contexts and next symbols are tables in the
-shared folder; nothing of them reaches the driver or is broadcast for its own sake.
+follows them, packed and dealt to buckets by key, and hears which contexts are
+retained, with their counts, and the counts of what follows. The tokens are written
+once: what a block has heard is kept beside them in the order in which it sent, and
+contexts and chances of the levels before are made from both again when needed.
+Symbols, contexts and next symbols are tables in the shared folder; nothing of them
+reaches the driver or is broadcast for its own sake.
 
 Defined results: null counts as the empty text, whose one token is the end; without
 training tokens every probability is 1; rows and ids may repeat.
@@ -34,6 +37,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -150,62 +154,204 @@ def locate(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte numbers, by pairs of bytes, the last pairs first: the others hardly differ."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c).view("<u2").reshape(-1, 4).T.tobytes() for c in columns), 1)
+
+
+def _unpack(data: bytes, columns: int) -> np.ndarray:
+    """The columns, as longs."""
+    raw = np.frombuffer(zstandard.decompress(data), "<u2").reshape(columns, 4, -1)
+    return np.ascontiguousarray(raw.transpose(0, 2, 1)).view("<i8")[:, :, 0]
+
+
 def _numbered(keys: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys among the valid ones, and each one's place among them, -1 where it isn't valid."""
+    """The distinct keys among the valid ones, rising, and each one's place among them, -1 where it isn't valid."""
     at = np.full(len(keys), -1, np.int64)
-    at[valid], found = pd.factorize(keys[valid])
-    return found, at
+    where = np.flatnonzero(valid)
+    own = keys[where]
+    order = np.argsort(own)
+    own = own[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    at[where[order]] = np.cumsum(new) - 1
+    return own[new], at
+
+
+class _Dealt:
+    """Keys (a, b) dealt to so many buckets: their order by bucket, the buckets that have some, and where each begins."""
+
+    def __init__(self, parts: int, a: np.ndarray, b: np.ndarray):
+        h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(0xC4CEB9FE1A85EC53)
+        bucket = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        bucket = bucket[self.order].astype(np.int64)
+        self.first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[: len(bucket)]
+        self.buckets = bucket[self.first]
+
+    def sent(self, block: int, kind: int, *columns: np.ndarray) -> pa.Table:
+        """SENT: one row of packed columns for each bucket; buckets of the two kinds are different ones."""
+        ends = np.append(self.first[1:], len(self.order))
+        columns = [c[self.order] for c in columns]
+        x = [_pack(*(c[low:high] for c in columns)) for low, high in zip(self.first.tolist(), ends.tolist())]
+        return pa.Table.from_arrays([pa.array(2 * self.buckets + kind), pa.array(np.full(len(x), block, np.int64)), pa.array(x, pa.binary())], ["bucket", "block", "x"])
+
+    def begins(self, bucket: np.ndarray) -> np.ndarray:
+        return self.first[np.searchsorted(self.buckets, bucket)]
 
 
-def _contexts(ids: np.ndarray, lengths: np.ndarray, places: np.ndarray, size: int, k: int) -> dict[str, bytes]:
-    """Of each token the context of length k, where the one of k-1, at `places`, is in the tree: distinct ones, and which a token has."""
-    since = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    older = np.zeros(len(ids), np.int64)
-    older[k:] = ids[:-k]
-    older[since < k] = 0  # a block's symbol 0 is BEFORE
-    found, at = _numbered(places * size + older, (since >= k - 1) & (places >= 0))
-    return {"parents": _packed(found // size), "older": _packed(found % size), "at": _packed(at)}
+PAIRS, CONTEXTS = 0, 1
+SENT = "bucket long, block long, x binary"
+#: What a block has heard from a bucket: which of the contexts that it sent are candidates (at, ctx, c, log10 of left; NaN where not retained), or n of the pairs that it sent.
+HEARD = "level long, bucket long, block long, contexts binary, n binary"
+TOKENS = ["block", "held", "lengths", "symbols", "m", "q", "ids"]
 
 
 class _Block:
-    """A row of the state: its tokens' symbols, and the contexts that they have on the level to come."""
-
-    def __init__(self, state: pa.Table | pa.RecordBatch, row: int):
-        self.symbols = state.column("symbols")[row].values.to_numpy()
-        self.contexts = state.column("contexts")[row].values.to_numpy()
-        self.parents, self.older, self.at, self.ids = (_unpacked(state.column(c)[row].as_py()) for c in ("parents", "older", "at", "ids"))
-        self.lengths = state.column("lengths")[row].values.to_numpy()
-        self.train = np.repeat(~np.array(state.column("held")[row].as_py(), bool), self.lengths)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+    """A block's tokens and, of each, the context on the last level that was heard of, and count and chance of its symbol on the last retained one (0: not listed).
+
+    going: of the level after those heard in whole, the candidates are known."""
+
+    def __init__(self, row: pa.Table, parts: int, listed: float, going: bool = False):
+        self.parts, self.listed, self.k, self.going = parts, listed, 0, going
+        self.block = row.column("block")[0].as_py()
+        self.symbols, m, q = (row.column(c)[0].values.to_numpy() for c in ("symbols", "m", "q"))
+        self.ids = _unpacked(row.column("ids")[0].as_py())
+        lengths = row.column("lengths")[0].values.to_numpy()
+        self.train = np.repeat(~np.array(row.column("held")[0].as_py(), bool), lengths)
+        self.starts = np.cumsum(lengths) - lengths
+        self.since = np.arange(len(self.ids)) - np.repeat(self.starts, lengths)
         self.size = len(self.symbols)
+        # the last level's candidates, each token's one, and whether it is retained
+        self.ctx, self.place, self.on = np.array([ROOT], np.int64), np.zeros(len(self.ids), np.int64), np.ones(len(self.ids), bool)
+        self.m, self.q, self.gain = m[self.ids], q[self.ids], np.zeros(len(self.ids))
+
+    def seen(self) -> pa.Table:
+        """SENT of every context (parent, older) of the next level, with how often training has it; parents are the candidates of this one."""
+        found, at, dealt = self._extended()
+        n = np.bincount(at[(at >= 0) & self.train], minlength=len(found))
+        return dealt.sent(self.block, CONTEXTS, self.ctx[found // self.size], self.symbols[found % self.size], n)
+
+    def after(self) -> pa.Table:
+        """SENT of every (candidate, symbol), with how often training has it, and count and chance after the candidate's suffix."""
+        codes, pair, dealt = self._pairs()
+        on = np.flatnonzero(pair >= 0)
+        one = np.empty(len(codes), np.int64)
+        one[pair[on]] = on
+        n = np.bincount(pair[on[self.train[on]]], minlength=len(codes))
+        return dealt.sent(self.block, PAIRS, self.ctx[codes // self.size], self.symbols[codes % self.size], n, self.m[one], self.q[one].view("<i8"))
+
+    def both(self) -> pa.Table:
+        return pa.concat_tables([self.after(), self.seen()])
+
+    def hear(self, heard: pa.Table | None, levels: int) -> _Block:
+        """Goes up so many levels by what was heard of them; of the next one candidates may be known."""
+        rows = [] if heard is None else heard.sort_by([("level", "ascending"), ("bucket", "ascending")]).select(["level", "bucket", "contexts", "n"]).to_pylist()
+        for k in range(1, levels + 2):
+            own = [r for r in rows if r["level"] == k]
+            contexts = [(r["bucket"], r["contexts"]) for r in own if r["contexts"] is not None]
+            if k <= levels or self.going:
+                self._candidates(contexts)
+            if k <= levels:
+                self._next(np.concatenate([np.zeros(0, np.int64), *(_unpack(r["n"], 1)[0] for r in own if r["n"] is not None)]))
+        return self
+
+    def _extended(self) -> tuple[np.ndarray, np.ndarray, _Dealt]:
+        k = self.k + 1
+        older = np.zeros(len(self.ids), np.int64)
+        older[k:] = self.ids[:-k]
+        older[self.since < k] = 0  # a block's symbol 0 is BEFORE
+        found, at = _numbered(self.place * self.size + older, (self.since >= k - 1) & (self.place >= 0))
+        return found, at, _Dealt(self.parts, self.ctx[found // self.size], self.symbols[found % self.size])
+
+    def _candidates(self, rows: list[tuple[int, bytes]]) -> None:
+        """The next level's; those whose suffix wasn't retained have no tokens."""
+        found, at, dealt = self._extended()
+        columns = [_unpack(x, 4) for _, x in rows]
+        number, self.ctx, self.c, x = np.concatenate([np.zeros((4, 0), np.int64), *columns], axis=1)
+        self.left = np.ascontiguousarray(x).view("<f8")
+        which = np.full(len(found) + 1, -1, np.int64)  # the last is for tokens without a context
+        begins = dealt.begins(np.repeat(np.array([b for b, _ in rows], np.int64), [c.shape[1] for c in columns]))
+        which[dealt.order[begins + number]] = np.arange(len(number))
+        self.place = np.where(self.on, which[at], -1)
+        self.k += 1
+
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, _Dealt]:
+        codes, pair = _numbered(self.place * self.size + self.ids, self.place >= 0)
+        return codes, pair, _Dealt(self.parts, self.ctx[codes // self.size], self.symbols[codes % self.size])
+
+    def _next(self, totals: np.ndarray) -> None:
+        codes, pair, dealt = self._pairs()
+        n = np.empty(len(codes), np.int64)
+        n[dealt.order] = totals
+        self.on = np.append(~np.isnan(self.left), False)[self.place]
+        on = np.flatnonzero(self.on)
+        place, m, q = self.place[on], n[pair[on]], self.q[on]
+        listed = m >= self.listed
+        chance = np.where(listed, (m + DRAW * q) / (self.c[place] + DRAW), 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.gain[on] += np.where(listed, np.log10(chance / q), self.left[place])
+        self.m[on], self.q[on] = m, chance
+
+
+def _each(run):
+    """run, which takes a table of one row and what the row has heard, over the rows of batches: nothing was heard yet."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield from run(pa.Table.from_batches([batch.slice(row, 1)]), None).to_batches()
+
+    return rows
+
+
+def _sends(what: str, levels: int, parts: int, listed: float):
+    """A block's row and HEARD of so many levels -> what it sends."""
+
+    def run(row: pa.Table, heard: pa.Table | None) -> pa.Table:
+        release()
+        return getattr(_Block(row, parts, listed, what != "seen").hear(heard, levels), what)()
+
+    return run
 
 
-STATE = ["block", "docs", "held", "lengths", "known", "base", "gain", "symbols", "ids", "contexts", "parents", "older", "at"]
+SCORED = ["docs", "held", "lengths", "known", "base", "gain"]
 
 
-def _with_symbols(total: int, distinct: int):
-    """A block and of_block, number, c, symbol, packed, of its words -> the state before the first level."""
+def _scored(levels: int, parts: int, listed: float):
+    """A block's row and HEARD of so many levels -> the row with the gain of its texts."""
+
+    def run(row: pa.Table, heard: pa.Table | None) -> pa.Table:
+        release()
+        b = _Block(row, parts, listed).hear(heard, levels)
+        return pa.Table.from_arrays([pa.array([np.add.reduceat(b.gain, b.starts)]) if n == "gain" else row.column(n) for n in SCORED], SCORED)
+
+    return run
+
+
+def _with_symbols(total: int, whole: float, distinct: int, rest: float):
+    """A block and of_block, x (number, c, symbol, m, k) of its words -> its tokens by symbols, with count and chance of each symbol."""
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        number, c_of, symbol_of = (np.concatenate([_longs(x) for x in words.column(k).to_pylist()]) for k in ("number", "c", "symbol"))
-        c, symbol = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-        c[number], symbol[number] = c_of, symbol_of
-        symbols, own = np.unique(symbol, return_inverse=True)
+        number, *columns = np.concatenate([_unpack(x, 5) for x in words.column("x").to_pylist()], axis=1)
+        c, symbol, m, k = (np.empty(len(number), np.int64) for _ in columns)
+        for of_word, own in zip((c, symbol, m, k), columns):
+            of_word[number] = own
+        symbols, first, own = np.unique(symbol, return_index=True, return_inverse=True)
         ids = _unpacked(block.column("ids")[0].as_py())
         lengths = block.column("lengths")[0].values.to_numpy()
         starts = np.cumsum(lengths) - lengths
         base = np.log10((c + ADD) / (total + ADD * (distinct + 1))) if total else np.zeros(len(c))
-        of_tokens = own[ids] + 1
         row = {
             "known": np.add.reduceat((c[ids] > 0).astype(np.int64), starts),
             "base": np.add.reduceat(base[ids], starts),
-            "gain": np.zeros(len(lengths)),
             "symbols": np.concatenate([[BEFORE], symbols]),
-            "ids": _packed(of_tokens),
-            "contexts": np.array([ROOT], np.int64),
+            "m": np.concatenate([[0], m[first]]),
+            "q": np.concatenate([[0.0], np.where(symbols == REST, rest, (m[first] + ADD * k[first]) / whole)]),
+            "ids": _packed(own[ids] + 1),
         }
-        row |= _contexts(of_tokens, lengths, np.zeros(len(ids), np.int64), len(symbols) + 1, 1)
-        out = pa.Table.from_arrays([pa.array([row[n]]) if n in row else block.column(n) for n in STATE], STATE)
+        names = ["block", "docs", "held", "lengths", "known", "base", "symbols", "m", "q", "ids"]
+        out = pa.Table.from_arrays([pa.array([row[n]]) if n in row else block.column(n) for n in names], names)
         release()
         return out
 
@@ -254,18 +400,20 @@ def _word_totals(sent: pa.Table) -> pa.Table:
     return pa.table(out, pa.schema([("bucket", pa.int64()), ("word", pa.string()), ("c", pa.int64())]))
 
 
-def _given_words(sent: pa.Table, known: pa.Table) -> pa.Table:
-    """A bucket's WORDS and word, c, symbol of known ones -> of_block, number, c, symbol of its blocks' words, packed."""
-    rows = []
-    number = {w.encode(): i for i, w in enumerate(known.column("word").to_pylist())}
-    c, symbol = np.append(known.column("c").to_numpy(), 0), np.append(known.column("symbol").to_numpy(), REST)
-    for block, own, places in zip(sent.column("block").to_pylist(), _bucket_words(sent) if sent.num_rows else [], sent.column("number").to_pylist()):
-        at = np.fromiter((number.get(w, -1) for w in own), np.int64, len(own))
-        rows.append((block, places, _long(c[at]), _long(symbol[at])))
-    release()
-    names = ["of_block", "number", "c", "symbol"]
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names)
+def _given_words(rest: int):
+    """A bucket's WORDS and word, c, symbol, m, k of known ones -> of_block, x of its blocks' words: number, c, symbol, and the symbol's m and k, packed."""
+
+    def run(sent: pa.Table, known: pa.Table) -> pa.Table:
+        rows = []
+        number = {w.encode(): i for i, w in enumerate(known.column("word").to_pylist())}
+        columns = [np.append(known.column(c).to_numpy(), missing) for c, missing in (("c", 0), ("symbol", REST), ("m", rest), ("k", 0))]
+        for block, own, places in zip(sent.column("block").to_pylist(), _bucket_words(sent) if sent.num_rows else [], sent.column("number").to_pylist()):
+            at = np.fromiter((number.get(w, -1) for w in own), np.int64, len(own))
+            rows.append((block, _pack(_longs(places), *(c[at] for c in columns))))
+        release()
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["of_block", "x"])
+
+    return run
 
 
 def _long(numbers: np.ndarray) -> bytes:
@@ -276,42 +424,6 @@ def _longs(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), "<i8")
 
 
-SENT = "bucket long, block long, a binary, b binary, parent binary, n binary, local binary"
-
-
-def _sent(parts: int, block: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray, n: np.ndarray, local: np.ndarray) -> pa.RecordBatch:
-    """What a block sees of keys (a, b), dealt to so many buckets by key: one row of packed numbers for each."""
-    h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(0xC4CEB9FE1A85EC53)
-    bucket = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((a, bucket))
-    bucket = bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[: len(bucket)]
-    columns = [[_long(x) for x in np.split(c[order], first[1:])] if len(first) else [] for c in (a, b, parent, n, local)]
-    arrays = [pa.array(bucket[first]), pa.array(np.full(len(first), block, np.int64)), *(pa.array(c, pa.binary()) for c in columns)]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "a", "b", "parent", "n", "local"])
-
-
-def _totals(least: float):
-    """A bucket's rows -> bucket, a, b, parent, n of keys that all blocks together see so often."""
-
-    def run(sent: pa.Table) -> pa.Table:
-        release()
-        a, b, parent, n, _ = _unpacked_rows(sent)
-        at, first, found = _keys(a, b)
-        total = np.bincount(at, weights=n, minlength=found).astype(np.int64)
-        many = np.flatnonzero(total >= least)
-        first = first[many]
-        bucket = np.full(len(many), sent.column("bucket")[0].as_py(), np.int64)
-        return pa.table({"bucket": bucket, "a": a[first], "b": b[first], "parent": parent[first], "n": total[many]})
-
-    return run
-
-
-def _unpacked_rows(sent: pa.Table) -> tuple[np.ndarray, ...]:
-    columns = [[_longs(x) for x in sent.column(c).to_pylist()] for c in ("a", "b", "parent", "n", "local")]
-    return tuple(np.concatenate(c) for c in columns)
-
-
 def _keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Which distinct pair each place has, a place of each pair, and the number of pairs."""
     own, _ = pd.factorize(a)
@@ -322,118 +434,87 @@ def _keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return at, first, len(found)
 
 
-def _matched(sent: pa.Table, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """block and local of the places of a bucket's rows whose key is found, and the found row of each."""
-    release()
-    if not sent.num_rows or not found.num_rows:
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    a, b, _, _, local = _unpacked_rows(sent)
-    sizes = [len(_longs(x)) for x in sent.column("local").to_pylist()]
-    block = np.repeat(sent.column("block").to_numpy(), sizes)
-    n = len(a)
-    at, _, count = _keys(np.concatenate([a, found.column("a").to_numpy()]), np.concatenate([b, found.column("b").to_numpy()]))
-    row = np.full(count, -1, np.int64)
-    row[at[n:]] = np.arange(found.num_rows)
-    row = row[at[:n]]
-    on = row >= 0
-    return block[on], local[on], row[on]
-
-
-def _given_contexts(sent: pa.Table, found: pa.Table) -> pa.Table:
-    """A bucket's rows and a, b, ctx -> block, number, ctx."""
-    block, local, row = _matched(sent, found)
-    return pa.table({"block": block, "number": local, "ctx": found.column("ctx").to_numpy()[row] if len(row) else row})
-
+def _received(sent: pa.Table, columns: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """A bucket's SENT, unpacked, and block, low and high of the part of each."""
+    parts = [_unpack(x, columns) for x in sent.column("x").to_pylist()]
+    ends = np.cumsum([p.shape[1] for p in parts]).tolist()
+    return np.concatenate(parts, axis=1), list(zip(sent.column("block").to_pylist(), [0, *ends[:-1]], ends))
 
-GIVEN = "block long, code binary, ctx binary, x binary"
 
+def _table(kinds: str, rows: list[dict]) -> pa.Table:
+    """Rows of a bucket; a column that a row lacks is null."""
+    arrow = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    columns = [c.split() for c in kinds.split(", ")]
+    return pa.Table.from_arrays([pa.array([r.get(n) for r in rows], arrow[k]) for n, k in columns], [n for n, _ in columns])
 
-def _given(block: np.ndarray, code: np.ndarray, ctx: np.ndarray | None, x: np.ndarray) -> pa.Table:
-    """Rows for each block of code, ctx (empty where these are listed symbols), x, packed."""
-    order = np.argsort(block, kind="stable")
-    block = block[order]
-    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))[: len(block)]
-    split = lambda c, pack: [pack(y) for y in np.split(c[order], first[1:])] if len(first) else []
-    columns = [split(code, _long), split(ctx, _long) if ctx is not None else [b""] * len(first), split(x, lambda y: y.astype("<f8").tobytes())]
-    return pa.Table.from_arrays([pa.array(block[first]), *(pa.array(c, pa.binary()) for c in columns)], ["block", "code", "ctx", "x"])
-
-
-def _given_listed(sent: pa.Table, found: pa.Table) -> pa.Table:
-    """A bucket's rows and a, b, x of listed symbols -> GIVEN."""
-    block, local, row = _matched(sent, found)
-    return _given(block, local, None, found.column("x").to_numpy()[row] if len(row) else np.zeros(0))
-
-
-def _packed_contexts(rows: pa.Table) -> pa.Table:
-    """block, number, ctx, x of a block's retained contexts -> GIVEN."""
-    return _given(*(rows.column(c).to_numpy() for c in ("block", "number", "ctx", "x")))
-
-
-def _seen(parts: int):
-    """The state -> SENT of every context (parent, older) of the level, with how often training has it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                b = _Block(batch, row)
-                n = np.bincount(b.at[(b.at >= 0) & b.train], minlength=len(b.parents))
-                parent = b.contexts[b.parents]
-                yield _sent(parts, batch.column("block")[row].as_py(), parent, b.symbols[b.older], parent, n, np.arange(len(n)))
 
-    return run
+#: Of each block that sent some contexts its candidates, as HEARD has them before any is retained, or n of the pairs that it sent. Rows without a block
+#: hold all candidates (ctx, parent, older); what counts for each candidate's test (ctx, c, k, gain, many, listed); the listed symbols (of, symbol, count, q).
+BACK = (
+    "bucket long, block long, contexts binary, n binary, ctx array<long>, parent array<long>, older array<long>, c array<long>, k array<long>, gain array<double>, "
+    "many array<long>, listed array<double>, of array<long>, symbol array<long>, count array<long>, q array<double>"
+)
 
 
-def _after(parts: int):
-    """A block's state and number, ctx of its candidates -> SENT of every (ctx, symbol) there, with how often training has it."""
+def _back(least: float, listed: float):
+    """A bucket's SENT -> BACK."""
 
-    def run(state: pa.Table, candidates: pa.Table) -> pa.Table:
+    def run(sent: pa.Table) -> pa.Table:
         release()
-        b = _Block(state, 0)
-        which = np.full(len(b.parents) + 1, -1, np.int64)  # the last is for tokens without a context
-        which[candidates.column("number").to_numpy()] = np.arange(candidates.num_rows)
-        codes, at = _numbered(b.at * b.size + b.ids, which[b.at] >= 0)
-        n = np.bincount(at[(at >= 0) & b.train], minlength=len(codes))
-        number = codes // b.size
-        ctx = candidates.column("ctx").to_numpy()[which[number]]
-        sent = _sent(parts, state.column("block")[0].as_py(), ctx, b.symbols[codes % b.size], b.contexts[b.parents[number]], n, codes)
-        return pa.Table.from_batches([sent])
+        bucket, kind = divmod(sent.column("bucket")[0].as_py(), 2)
+        return _table(BACK, _counted(sent, bucket, least) if kind == CONTEXTS else _added(sent, bucket, listed))
 
     return run
 
 
-def _with_level(k: int):
-    """A block's state and GIVEN of what level k retains there -> its next state.
-
-    With ctx the code is a context's number and x what its unlisted symbols gain; without, code and x are of a listed symbol."""
-
-    def run(state: pa.Table, kept: pa.Table) -> pa.Table:
-        release()
-        b = _Block(state, 0)
-        rows = [(_longs(code), ctx, np.frombuffer(x, "<f8")) for code, ctx, x in zip(*(kept.column(c).to_pylist() for c in ("code", "ctx", "x")))]
-        number, contexts, rest, code, chance = (
-            np.concatenate([np.zeros(0, k), *c])
-            for k, c in (
-                (np.int64, [r[0] for r in rows if r[1]]),
-                (np.int64, [_longs(r[1]) for r in rows if r[1]]),
-                (np.float64, [r[2] for r in rows if r[1]]),
-                (np.int64, [r[0] for r in rows if not r[1]]),
-                (np.float64, [r[2] for r in rows if not r[1]]),
-            )
-        )
-        which = np.full(len(b.parents) + 1, -1, np.int64)
-        which[number] = np.arange(len(number))
-        places = which[b.at]
-        gain = np.where(places >= 0, np.append(rest, 0.0)[places], 0.0)
-        order = np.argsort(code)
-        on = np.flatnonzero(places >= 0)
-        listed = locate(code[order], b.at[on] * b.size + b.ids[on])
-        gain[on] = np.where(listed >= 0, np.append(chance[order], 0.0)[listed], gain[on])
-        row = {
-            "gain": state.column("gain")[0].values.to_numpy() + np.add.reduceat(gain, b.starts),
-            "contexts": contexts,
-        }
-        row |= _contexts(b.ids, b.lengths, places, b.size, k + 1)
-        return pa.Table.from_arrays([pa.array([row[n]]) if n in row else state.column(n) for n in STATE], STATE)
+def _counted(sent: pa.Table, bucket: int, least: float) -> list[dict]:
+    """Contexts that all blocks together see so often."""
+    (parent, older, n), blocks = _received(sent, 3)
+    at, first, found = _keys(parent, older)
+    many = np.flatnonzero(np.bincount(at, weights=n, minlength=found) >= least)
+    ctx = np.full(found, -1, np.int64)
+    ctx[many] = (bucket << 40) + np.arange(len(many))
+    rows = [{"bucket": bucket, "ctx": ctx[many], "parent": parent[first[many]], "older": older[first[many]]}] if len(many) else []
+    for block, low, high in blocks:
+        own = ctx[at[low:high]]
+        some = np.flatnonzero(own >= 0)
+        if len(some):
+            rows.append({"bucket": bucket, "block": block, "contexts": _pack(some, own[some], np.zeros(len(some), np.int64), np.full(len(some), np.nan))})
+    return rows
+
+
+def _added(sent: pa.Table, bucket: int, least: float) -> list[dict]:
+    """Pairs of all blocks together."""
+    (a, b, n, m, q), blocks = _received(sent, 5)
+    at, first, found = _keys(a, b)
+    n = np.bincount(at, weights=n, minlength=found).astype(np.int64)
+    rows = [{"bucket": bucket, "block": block, "n": _pack(n[at[low:high]])} for block, low, high in blocks]
+    some = np.flatnonzero(n)  # the others are in held-out texts alone
+    if len(some):
+        n, first = n[some], first[some]
+        m, q = m[first], np.ascontiguousarray(q[first]).view("<f8")
+        own, ctx = pd.factorize(a[first])
+        listed = n >= least
+        add = lambda x: np.bincount(own, weights=x, minlength=len(ctx))
+        counts = {"c": add(n).astype(np.int64), "k": np.bincount(own), "many": add(n * listed).astype(np.int64)}
+        rows.append({"bucket": bucket, "ctx": ctx, "gain": add(n * np.log(n / m)), "listed": add(q * listed)} | counts)
+        rows.append({"bucket": bucket, "of": a[first][listed], "symbol": b[first][listed], "count": n[listed], "q": q[listed]})
+    return rows
+
+
+def _heard(level: int):
+    """A bucket's candidates of blocks and its retained contexts -> HEARD of contexts."""
+
+    def run(candidates: pa.Table, kept: pa.Table) -> pa.Table:
+        ids = kept.column("ctx").to_numpy()
+        order = np.argsort(ids)
+        c, left = np.append(kept.column("c").to_numpy()[order], 0), np.append(np.log10(kept.column("left").to_numpy()[order]), np.nan)
+        rows = []
+        for block, bucket, x in zip(*(candidates.column(n).to_pylist() for n in ("block", "bucket", "contexts"))):
+            at, ctx, _, _ = _unpack(x, 4)
+            place = locate(ids[order], ctx)
+            rows.append({"level": level, "bucket": bucket, "block": block, "contexts": _pack(at, ctx, c[place], left[place].view("<i8"))})
+        return _table(HEARD, rows)
 
     return run
 
@@ -453,14 +534,18 @@ class SuffixTreeModel:
         self.blocks = _written(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "lm-blocks")
         self.kinds = (
             f"block long, docs array<{id_kind}>, held array<boolean>, lengths array<long>, known array<long>, base array<double>, "
-            "gain array<double>, symbols array<long>, ids binary, contexts array<long>, parents binary, older binary, at binary"
+            "symbols array<long>, m array<long>, q array<double>, ids binary"
         )
+        self.scored = f"docs array<{id_kind}>, held array<boolean>, lengths array<long>, known array<long>, base array<double>, gain array<double>"
         tokens = F.aggregate("train", F.lit(0).cast("long"), lambda a, b: a + b)
         self.total = self.blocks.agg(F.coalesce(F.sum(tokens), F.lit(0))).first()[0]
         lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b)
         self.tokens = self.blocks.agg(F.coalesce(F.sum(lengths), F.lit(0))).first()[0]
+        self.parts = -(-self.tokens // BUCKET_TOKENS) or 1
+        self.listed = max(self._least(ENTRY_COUNT, ENTRY_SHARE), 1)
         self.levels: list[tuple[DataFrame, DataFrame]] = []
-        self.state = self._symbols()
+        self.heard: list[DataFrame] = []
+        self.coded = self._symbols()
         discard(self.blocks)
         if self.total:
             for _ in range(DEPTH):
@@ -471,9 +556,9 @@ class SuffixTreeModel:
         return min(count, share * self.total)
 
     def _symbols(self) -> DataFrame:
-        """The state before the first level; self.words, endings and symbols (symbol, m, q: its count and probability)."""
+        """The tokens by symbols; self.words, endings and symbols (symbol, q: its probability)."""
         least = F.greatest(F.lit(self._least(SYMBOL_COUNT, SYMBOL_SHARE)), F.lit(1))
-        sent = self.blocks.select("block", "words", "train").mapInArrow(_sent_words(-(-self.tokens // BUCKET_TOKENS) or 1), WORDS)
+        sent = self.blocks.select("block", "words", "train").mapInArrow(_sent_words(self.parts), WORDS)
         sent = _written(sent, "lm-sent-words")
         counted = sent.groupBy("bucket").applyInArrow(_word_totals, "bucket long, word string, c long")
         rare = (F.col("word") != "") & (F.col("c") < least)
@@ -494,23 +579,35 @@ class SuffixTreeModel:
         end = known.filter("word = ''").first()
         ends = end.c if end else 0
         m, mass = own.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
-        self.rest = max(ADD / whole, 1.0 - (mass + ends + ADD) / whole)
-        self.end = (ends + ADD) / whole
-        two = [(REST, self.total - m - ends, self.rest), (END, ends, self.end)]
-        two = self.blocks.sparkSession.createDataFrame(two, "symbol long, m long, q double")
-        self.symbols = _written(own.select("symbol", "m", (F.col("mass") / whole).alias("q")).unionByName(two), "lm-symbols")
-        named = join_small(known, self.endings.select("ending", "shared"), ["ending"], self.endings.count(), "left")
+        rest = max(ADD / whole, 1.0 - (mass + ends + ADD) / whole)
+        two = self.blocks.sparkSession.createDataFrame([(REST, rest), (END, (ends + ADD) / whole)], "symbol long, q double")
+        self.symbols = own.select("symbol", (F.col("mass") / whole).alias("q")).unionByName(two)
+        shared = self.endings.select("ending", "shared", F.col("c").alias("of_all"), F.col("k").alias("words"))
+        named = join_small(known, shared, ["ending"], shared.count(), "left")
+        alone = (F.col("word") == "") | (F.col("c") >= least)
         symbol = F.when(F.col("word") == "", END).when(F.col("c") >= least, F.col("id")).otherwise(F.coalesce("shared", F.lit(REST)))
-        named = _written(named.select("bucket", "word", "c", symbol.alias("symbol")), "lm-word-symbols")
-        words = sent.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(
-            _given_words, "of_block long, number binary, c binary, symbol binary"
-        )
+        of_symbol = F.when(alone, F.col("c")).otherwise(F.coalesce("of_all", F.lit(self.total - m - ends)))
+        named = named.select("bucket", "word", "c", symbol.alias("symbol"), of_symbol.alias("m"), F.when(alone, 1).otherwise(F.coalesce("words", F.lit(0))).cast("long").alias("k"))
+        words = sent.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(_given_words(self.total - m - ends), "of_block long, x binary")
         words = _written(words, "lm-given-words")
-        discard(sent, named)
+        discard(sent)
         own = self.blocks.select("block", "docs", "held", "lengths", "ids").groupBy("block")
-        state = _written(own.cogroup(words.groupBy("of_block")).applyInArrow(_with_symbols(self.total, distinct), self.kinds), "lm-state")
+        coded = own.cogroup(words.groupBy("of_block")).applyInArrow(_with_symbols(self.total, whole, distinct, rest), self.kinds)
+        coded = _written(coded, "lm-tokens")
         discard(words)
-        return state
+        return coded
+
+    def _blockwise(self, run, schema: str, columns: list[str], heard: list[DataFrame]) -> DataFrame:
+        """What `run` makes of each block and of what it has heard."""
+        rows = self.coded.select(*columns)
+        if not heard:
+            return rows.mapInArrow(_each(run), schema)
+        return rows.groupBy("block").cogroup(reduce(DataFrame.unionByName, heard).groupBy("block")).applyInArrow(run, schema)
+
+    def _sent(self, what: str, heard: list[DataFrame]) -> DataFrame:
+        least = max(self._least(CONTEXT_COUNT, CONTEXT_SHARE), 1)
+        sent = self._blockwise(_sends(what, len(self.levels), self.parts, self.listed), SENT, TOKENS, heard)
+        return _written(sent.groupBy("bucket").applyInArrow(_back(least, self.listed), BACK), "lm-back")
 
     def _grow(self) -> bool:
         """Adds a level; False if it has no contexts.
@@ -518,56 +615,37 @@ class SuffixTreeModel:
         What blocks see goes to buckets by key, packed, is added up there, and what counts of it goes back to the blocks by
         the same way. A common key comes once from each block and is one of many in its bucket."""
         k = len(self.levels) + 1
-        listed = F.col("n") >= self._least(ENTRY_COUNT, ENTRY_SHARE)
-        least = max(self._least(CONTEXT_COUNT, CONTEXT_SHARE), 1)
-        parts = -(-self.tokens // BUCKET_TOKENS)
-        summed = "bucket long, a long, b long, parent long, n long"
-        seen = _written(self.state.mapInArrow(_seen(parts), SENT), "lm-seen")
-        totals = seen.groupBy("bucket").applyInArrow(_totals(least), summed)
-        totals = _written(totals.select("bucket", "a", "b", F.monotonically_increasing_id().alias("ctx")), "lm-totals")
-        given = seen.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_given_contexts, "block long, number long, ctx long")
-        candidates = _written(given, "lm-candidates")
-        discard(seen)
-        state = self.state.groupBy("block")
-        pairs = state.cogroup(candidates.groupBy("block")).applyInArrow(_after(parts), SENT)
-        pairs = _written(pairs, "lm-pairs")
+        if k == 1:
+            self.candidates = self._sent("seen", self.heard)
+        candidates = self.candidates
+        own = candidates.filter("contexts is not null").select("bucket", "block", "contexts")
+        level, no = F.lit(k).cast("long").alias("level"), F.lit(None).cast("binary")
+        known = own.select(level, "bucket", "block", "contexts", no.alias("n"))
+        added = self.candidates = self._sent("both" if k < DEPTH else "after", [*self.heard, known])
         # how the next symbols of a context diverge from those of its suffix, over all of them
+        x = F.explode(F.arrays_zip("ctx", "c", "k", "gain", "many", "listed")).alias("x")
+        tested = added.filter("gain is not null").select(x).select("x.*").groupBy("ctx").agg(*(F.sum(c).alias(c) for c in ("c", "k", "gain", "many", "listed")))
+        x = F.explode(F.arrays_zip("ctx", "parent", "older")).alias("x")
+        tested = tested.join(candidates.filter("parent is not null").select("bucket", x).select("bucket", "x.*"), "ctx")
         if self.levels:
-            before = self.levels[-1][1].select(
-                F.col("ctx").alias("parent"), "symbol", F.col("n").alias("m"), F.col("chance").alias("q"), F.col("c").alias("of_suffix")
-            )
-            on = ["parent", "symbol"]
+            tested = tested.join(self.levels[-1][0].select(F.col("ctx").alias("parent"), F.col("c").alias("of_suffix")), "parent")
         else:
-            before, on = self.symbols.withColumn("of_suffix", F.lit(self.total)), ["symbol"]
-        after = pairs.groupBy("bucket").applyInArrow(_totals(1), summed).toDF("bucket", "ctx", "symbol", "parent", "n")
-        after = _written(after.join(before, on).select("bucket", "ctx", "symbol", "n", "m", "q", "of_suffix"), "lm-after")
-        tested = after.groupBy("ctx").agg(
-            F.sum("n").alias("c"),
-            F.count(F.lit(1)).alias("k"),
-            F.sum(F.col("n") * F.log(F.col("n") / F.col("m"))).alias("gain"),
-            F.first("of_suffix").alias("of_suffix"),
-        )
+            tested = tested.withColumn("of_suffix", F.lit(self.total))
         gain = F.col("gain") + F.col("c") * F.log(F.col("of_suffix") / F.col("c"))
-        kept = tested.filter(gain - (F.col("k") - 1) >= DIVERGENCE * F.col("c")).select("ctx", "c")
-        chance = F.when(listed, (F.col("n") + DRAW * F.col("q")) / (F.col("c") + DRAW))
-        level = _written(after.join(kept, "ctx").select("bucket", "ctx", "symbol", "n", "c", "q", chance.alias("chance")), "lm-level")
-        discard(after)
-        if level.isEmpty():
+        unlisted = lambda x: F.greatest(1.0 - x, F.lit(1e-12))
+        left = unlisted((F.col("many") + DRAW * F.col("listed")) / (F.col("c") + DRAW)) / unlisted(F.col("listed"))
+        contexts = tested.filter(gain - (F.col("k") - 1) >= DIVERGENCE * F.col("c")).select("bucket", "ctx", "parent", "older", "c", left.alias("left"))
+        contexts = _written(contexts, "lm-contexts")
+        if contexts.isEmpty():
+            discard(added, contexts)
             return False
-
-        def unlisted(x: str) -> Column:
-            return F.greatest(1.0 - F.coalesce(F.sum(F.when(F.col("chance").isNotNull(), F.col(x))), F.lit(0.0)), F.lit(1e-12))
-
-        left = level.groupBy("ctx").agg((unlisted("chance") / unlisted("q")).alias("left"))
-        contexts = _written(totals.join(left, "ctx").select(F.col("a").alias("parent"), F.col("b").alias("older"), "ctx", "left"), "lm-contexts")
-        own = candidates.join(contexts.select("ctx", F.log10("left").alias("x")), "ctx").groupBy("block").applyInArrow(_packed_contexts, GIVEN)
-        entries = level.filter("chance is not null").select("bucket", F.col("ctx").alias("a"), F.col("symbol").alias("b"), F.log10(F.col("chance") / F.col("q")).alias("x"))
-        back = pairs.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(_given_listed, GIVEN)
-        back = _written(back.unionByName(own), "lm-back")
-        discard(pairs, candidates, totals)
-        last, self.state = self.state, _written(state.cogroup(back.groupBy("block")).applyInArrow(_with_level(k), self.kinds), "lm-state")
-        discard(last, back)
-        self.levels.append((contexts, level))
+        heard = _written(own.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_heard(k), HEARD), "lm-heard")
+        totals = added.filter("n is not null").select(level, "bucket", "block", no.alias("contexts"), "n")
+        self.heard += [heard, totals]
+        x = F.explode(F.arrays_zip("of", "symbol", "count", "q")).alias("x")
+        listed = added.filter("of is not null").select(x).select(F.col("x.of").alias("ctx"), "x.symbol", "x.count", "x.q")
+        chance = (F.col("count") + DRAW * F.col("q")) / (F.col("c") + DRAW)
+        self.levels.append((contexts, listed.join(contexts, "ctx").select("ctx", "symbol", chance.alias("chance"))))
         return True
 
     @property
@@ -585,14 +663,15 @@ class SuffixTreeModel:
             rows = contexts.select("ctx", "parent", "older", "left").distinct().collect()
             rows = sorted((places[r.parent] * tree.size + number[r.older], r.ctx, r.left) for r in rows)
             places = {ctx: i for i, (_, ctx, _) in enumerate(rows)}
-            entries = sorted((places[r.ctx] * tree.size + number[r.symbol], r.chance) for r in level.filter("chance is not null").collect())
+            entries = sorted((places[r.ctx] * tree.size + number[r.symbol], r.chance) for r in level.collect())
             tree.levels.append(Level(*map(np.array, ([r[0] for r in rows], [r[2] for r in rows], [e[0] for e in entries], [e[1] for e in entries]))))
         return tree
 
     def score(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; scores are log10."""
         x = F.explode(F.arrays_zip("docs", "held", "lengths", "known", "base", "gain")).alias("x")
-        return self.state.select(x).select(
+        scored = self._blockwise(_scored(len(self.levels), self.parts, self.listed), self.scored, [*TOKENS, "docs", "known", "base"], self.heard)
+        return scored.select(x).select(
             F.col("x.docs").alias("doc_id"),
             F.col("x.held").alias("held_out"),
             F.col("x.lengths").alias("n_tokens"),

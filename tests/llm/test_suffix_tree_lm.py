@@ -147,3 +147,16 @@ def test_counts_and_not_shares_of_the_tokens_bound_the_tree(spark):
     assert sorted(want) == level.keys.tolist()
     got = {(int(level.keys[e // tree.size]), int(e % tree.size)): p for e, p in zip(level.entries.tolist(), level.chances)}
     assert got == pytest.approx(chances)
+
+
+def test_tokens_are_written_once_and_not_with_every_level(spark):
+    _, docs = table(spark)
+    written = []
+    with pytest.MonkeyPatch.context() as m:
+        for share in ("SYMBOL_SHARE", "CONTEXT_SHARE", "ENTRY_SHARE"):
+            m.setattr(suffix_tree_lm, share, 2e-3)
+        plain = suffix_tree_lm.materialize
+        m.setattr(suffix_tree_lm, "materialize", lambda df, tag: written.append(df.columns) or plain(df, tag))
+        model = SuffixTreeModel(docs, remainder("doc_id", 10) == 0)
+    assert len(model.levels) >= 2
+    assert sum("ids" in columns for columns in written) == 2  # by words, by symbols
