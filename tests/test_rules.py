@@ -202,6 +202,12 @@ def test_profile_is_of_unit_centroids(spark):
     assert similarity.profile(pages.limit(0), dim=2).collect() == [] and similarity.profile(pages, dim=7).collect() == []
 
 
+def test_profile_without_a_fixed_number(spark):
+    pages = spark.createDataFrame([([float(i % 10), 1.0, float(i % 7)],) for i in range(40)], "their_vector array<double>")
+    got = similarity.profile(pages, dim=3).collect()
+    assert len(got) == 8 and sum(r.n for r in got) == 40
+
+
 def test_slots_with_chance_equal_a_walk(spark):
     from feedloom.operators.selection import NEWEST, fill_slots, keyed_draw
 
