@@ -208,6 +208,27 @@ def test_profile_without_a_fixed_number(spark):
     assert len(got) == 8 and sum(r.n for r in got) == 40
 
 
+def test_all_pairs_are_whole_and_take_few_bytes(spark, monkeypatch, tmp_path):
+    v = np.random.default_rng(5).standard_normal((3_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "b long, vector array<double>").coalesce(1)
+    asked = rows.filter("b % 20 = 0").selectExpr("b AS a", "vector AS their_vector")
+    pairs = similarity.similarities(rows, asked, "b", "a").select("a", "b", F.round("sim", 5).alias("sim"))
+    pairs.coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 5 * (3_000 * 150 - 150)
+    want = {(20 * i, j): s for i, line in enumerate(v[::20] @ v.T) for j, s in enumerate(line) if 20 * i != j}
+
+    def check(got):
+        assert len(got) == len(want) and max(abs(r.sim - want.pop((r.a, r.b))) for r in got) < 1e-5 and not want
+
+    kept = dict(want)
+    check(spark.read.parquet(str(tmp_path / "pairs")).collect())
+    for name, value in (("BROADCAST_BYTES", 0), ("PAIRED", 700), ("CYCLE", 7), ("ALIKE", 100)):
+        monkeypatch.setattr(similarity, name, value)
+    want |= kept
+    check(similarity.similarities(rows, asked, "b", "a").collect())
+
+
 def test_slots_with_chance_equal_a_walk(spark):
     from feedloom.operators.selection import NEWEST, fill_slots, keyed_draw
 
