@@ -229,6 +229,21 @@ def test_all_pairs_are_whole_and_take_few_bytes(spark, monkeypatch, tmp_path):
     check(similarity.similarities(rows, asked, "b", "a").collect())
 
 
+@pytest.mark.parametrize("name", ["same_story_groups", "duplicate_groups"])
+def test_groups_of_stories_broadcast_nothing(spark, name):
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def plans():
+        bus.waitUntilEmpty()
+        runs = store.executionsList()
+        return {runs.apply(i).executionId(): runs.apply(i).physicalPlanDescription() for i in range(runs.size())}
+
+    old = plans()
+    assert registry.QUERIES[name](spark, DATA).count() > 0
+    new = [plan for k, plan in plans().items() if k not in old]
+    assert any("SortMergeJoin" in plan for plan in new) and not any("BroadcastHashJoin" in plan for plan in new)
+
+
 def test_slots_with_chance_equal_a_walk(spark):
     from feedloom.operators.selection import NEWEST, fill_slots, keyed_draw
 
